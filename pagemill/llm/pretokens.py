@@ -14,9 +14,11 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 import tiktoken
 import xxhash
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
@@ -150,7 +152,7 @@ def lookup(docs: DataFrame, answer: Callable[[], Callable[[list[bytes]], list[by
             cut = np.flatnonzero(np.diff(of)) + 1
             for a, b in zip([0, *cut], [*cut, len(raw)]) if raw else ():
                 part = raw[a:b]
-                yield pa.RecordBatch.from_pydict({"bucket": pa.array([int(of[a])], pa.int32()), "block": pa.array([block], pa.int64()), "base": pa.array([int(a)], pa.int32()), "lens": [np.fromiter(map(len, part), "<u4", len(part)).tobytes()], "words": [b"".join(part)]})
+                yield pa.RecordBatch.from_pydict({"bucket": pa.array([int(of[a])], pa.int32()), "block": pa.array([block], pa.int64()), "base": pa.array([int(a)], pa.int32()), "lens": [_packed(np.fromiter(map(len, part), "<u4", len(part)))], "words": [_small(b"".join(part))]})
 
     def answered(batches):
         reply, known, bucket = answer(), {}, None
@@ -162,30 +164,50 @@ def lookup(docs: DataFrame, answer: Callable[[], Callable[[list[bytes]], list[by
                 new = [w for w in found if w not in known]
                 known.update(zip(new, reply(new)))
                 out = [known[w] for w in found]
-                yield pa.RecordBatch.from_pydict({"block": pa.array([row["block"]], pa.int64()), "base": pa.array([row["base"]], pa.int32()), "lens": [np.fromiter(map(len, out), "<u4", len(out)).tobytes()], "answers": [b"".join(out)]})
+                yield pa.RecordBatch.from_pydict({"block": pa.array([row["block"]], pa.int64()), "base": pa.array([row["base"]], pa.int32()), "lens": [_packed(np.fromiter(map(len, out), "<u4", len(out)))], "answers": [_small(b"".join(out))]})
 
     def coded(batches):
         for block, ids, codes, found in _blocks(batches, block_bytes):
             order, _, _ = _by_bucket(found, buckets)
-            new = np.empty(len(order), np.uint32)
-            new[order] = np.arange(len(order), dtype=np.uint32)
-            kind = "<u2" if len(order) <= 0xFFFF else "<u4"
-            for a in range(0, len(ids), 256):
-                part = [new[c].astype(kind) for c in codes[a : a + 256]]
-                yield pa.RecordBatch.from_pydict({"block": pa.array([block] * len(part), pa.int64()), "doc_id": pa.array(ids[a : a + 256], pa.int64()), "wide": pa.array([kind == "<u4"] * len(part)), "codes": [c.tobytes() for c in part]})
+            place = np.empty(len(order), np.uint32)
+            place[order] = np.arange(len(order), dtype=np.uint32)
+            # Words are numbered as they appear, so that common ones have small numbers; the block's first row places them.
+            rows = [(None, place), *zip(ids, codes)]
+            for a in range(0, len(rows), 256):
+                part = rows[a : a + 256]
+                yield pa.RecordBatch.from_pydict({"block": pa.array([block] * len(part), pa.int64()), "doc_id": pa.array([i for i, _ in part], pa.int64()), "places": pa.array([a + i == 0 for i in range(len(part))]), "codes": [_packed(c) for _, c in part]})
 
     def reassembled(key, left: pa.Table, right: pa.Table) -> pa.Table:
         rows = sorted(right.select(["base", "lens", "answers"]).to_pylist(), key=lambda r: r["base"])
         answers = [x for r in rows for x in unpack(r["lens"], r["answers"])]
-        codes = [np.frombuffer(c, "<u4" if w else "<u2") for c, w in zip(left["codes"].to_pylist(), left["wide"].to_pylist())]
-        return pa.Table.from_batches([finish()(left["doc_id"].to_pylist(), codes, answers)])
+        docs_ = left.filter(pc.invert(left["places"]))
+        place = _unpacked(left.filter(left["places"])["codes"][0].as_py())
+        codes = [place[_unpacked(c)] for c in docs_["codes"].to_pylist()]
+        return pa.Table.from_batches([finish()(docs_["doc_id"].to_pylist(), codes, answers)])
 
     sent = docs.mapInArrow(words, "bucket int, block bigint, base int, lens binary, words binary")
     back = sent.repartition(partitions(spark), "bucket").sortWithinPartitions("bucket").mapInArrow(answered, "block bigint, base int, lens binary, answers binary")
-    kept = docs.mapInArrow(coded, "block bigint, doc_id bigint, wide boolean, codes binary")
+    kept = docs.mapInArrow(coded, "block bigint, doc_id bigint, places boolean, codes binary")
     return kept.groupBy("block").cogroup(back.groupBy("block")).applyInArrow(reassembled, schema)
 
 
 def unpack(lens: bytes, blob: bytes) -> list[bytes]:
-    ends = np.cumsum(np.frombuffer(lens, "<u4")).tolist()
+    blob, ends = _large(blob), np.cumsum(_unpacked(lens)).tolist()
     return [blob[a:b] for a, b in zip([0, *ends], ends)]
+
+
+def _small(blob: bytes) -> bytes:
+    return zstandard.ZstdCompressor(level=3).compress(blob)
+
+
+def _large(blob: bytes) -> bytes:
+    return zstandard.ZstdDecompressor().decompress(blob)
+
+
+def _packed(numbers: np.ndarray) -> bytes:
+    """Small 32-bit numbers: first bytes, second bytes, and so on, so that the many zeros are together."""
+    return _small(numbers.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes())
+
+
+def _unpacked(blob: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(_large(blob), np.uint8).reshape(4, -1).T).view("<u4").ravel()
