@@ -4,14 +4,22 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from pagemill.llm import bpe, near_dedup, token_counts
+from pagemill.llm import bpe, language_id, near_dedup, quality, token_counts
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    held_out = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) % 5 == 0
+    learned = language_id.learn(docs.where(~held_out))
+    return language_id.identify(docs, learned, "text", "doc_id", held_out.alias("held_out"))
+
+
 def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, with_ids=False)
 
@@ -20,9 +28,13 @@ def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_groups(_table(spark, sf_dir, "documents"), words=3, percent=85).drop("n_links")
 
 
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.resample(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))[0]
+
+
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"))
 
 
-QUERIES = {"op2_bpe": op2_bpe, "op4_near_dedup": op4_near_dedup, "op10_token_counts": op10_token_counts}
+QUERIES = {"op1_language_id": op1_language_id, "op2_bpe": op2_bpe, "op4_near_dedup": op4_near_dedup, "op8_quality": op8_quality, "op10_token_counts": op10_token_counts}
 ORACLES: dict[str, str] = {}
