@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagemill.llm import bpe, decontaminate, language_id, near_dedup, quality, token_counts, url_filter
+from pagemill.llm import bpe, decontaminate, language_id, near_dedup, quality, suffix_dedup, token_counts, url_filter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -24,6 +24,10 @@ def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, with_ids=False)
 
 
+def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.digest(_table(spark, sf_dir, "documents"))
+
+
 def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_groups(_table(spark, sf_dir, "documents"), words=3, percent=85).drop("n_links")
 
@@ -48,5 +52,5 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"))
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op2_bpe, op4_near_dedup, op6_decontaminate, op8_quality, op9_url_filter, op10_token_counts)}
+QUERIES = {f.__name__: f for f in (op1_language_id, op2_bpe, op3_suffix_dedup, op4_near_dedup, op6_decontaminate, op8_quality, op9_url_filter, op10_token_counts)}
 ORACLES: dict[str, str] = {}
