@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagemill.llm import bpe, decontaminate, language_id, near_dedup, quality, suffix_dedup, token_counts, url_filter
+from pagemill.llm import bpe, decontaminate, fingerprint, language_id, near_dedup, quality, suffix_dedup, token_counts, url_filter, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -32,10 +32,18 @@ def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_groups(_table(spark, sf_dir, "documents"), words=3, percent=85).drop("n_links")
 
 
+def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(_table(spark, sf_dir, "pages"))
+
+
 def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op7_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint.fingerprints(_table(spark, sf_dir, "documents"))
+
+
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.resample(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))[0]
 
@@ -52,5 +60,5 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"))
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op2_bpe, op3_suffix_dedup, op4_near_dedup, op6_decontaminate, op8_quality, op9_url_filter, op10_token_counts)}
+QUERIES = {f.__name__: f for f in (op1_language_id, op2_bpe, op3_suffix_dedup, op4_near_dedup, op5_warc, op6_decontaminate, op7_fingerprint, op8_quality, op9_url_filter, op10_token_counts)}
 ORACLES: dict[str, str] = {}
