@@ -3,7 +3,8 @@
 Texts with equal shingle sets form one class, which only its smallest id represents. A representative retains the k
 smallest hashes of its set. Inverted lists of the retained values give the overlaps: under one order of all values
 (rarest first) two sketches with at least `least` common values share a value among their first k - least + 1, so only
-those are indexed, and what is common to many texts is indexed nowhere unless a text consists of little else. Pairs from
+those are indexed, and what is common to many texts is indexed nowhere unless a text consists of little else (such texts are
+indexed once more by larger sketches). Pairs from
 the lists are filtered by the Jaccard estimate of their union's sketch and then verified on full sets.
 
 A list is not expanded into all its pairs: its members are first compared with a leader (another one each round), and
@@ -23,9 +24,11 @@ from pagemill.llm.components import components
 from pagemill.llm.shingles import shingle_sets
 
 K = 64
-#: Least share of a full sketch that two texts of the wanted similarity have in common: below 0.6 of 64 values lies less
-#: than one of a million pairs of similarity 0.8 or more (binomial tail; z = 4 at 0.8, 6.2 at 0.85).
-LEAST = {85: 0.6, 80: 0.5}
+#: Texts that consist largely of what is common (a value of theirs is indexed for more than LONG texts) are indexed anew
+#: among themselves by sketches of WIDE values, which for most texts is their whole set.
+LONG, WIDE = 48, 512
+#: Standard deviations below the mean of what two sketches have in common: so deep lies less than one of 10**8 pairs.
+DEVIATIONS = 6.0
 STAR_ROUNDS = 2
 CHUNK = 1 << 20
 
@@ -43,26 +46,35 @@ def sketches(docs: DataFrame, words: int, k: int = K) -> DataFrame:
     return docs.mapInArrow(sketch, "doc_id bigint, n bigint, c1 bigint, c2 bigint, sketch array<bigint>")
 
 
-def inverted_lists(reps: DataFrame, least: float) -> DataFrame:
-    """(v, rep): each representative under the rarest of its retained values, as far as a partner can need them."""
-    values = reps.select("rep", F.size("sketch").alias("m"), F.explode("sketch").alias("v"))
+def inverted_lists(reps: DataFrame, percent: int, k: int) -> DataFrame:
+    """(v, rep, n): each representative under the rarest of its retained values, as far as a partner can need them.
+
+    Of two full sketches of sets of Jaccard similarity p, the common part is binomial: k * p less DEVIATIONS standard
+    deviations. A sketch of m < k values is a whole set and shares at least m * (2 p - 1) / p values with a partner's.
+    """
+    p = percent / 100
+    cut = max(0.0, p - DEVIATIONS * (p * (1 - p) / k) ** 0.5)
+    values = reps.select("rep", "n", F.size("sketch").alias("m"), F.explode("sketch").alias("v"))
     often = values.groupBy("v").agg(F.count("*").alias("f")).where("f > 1")
-    found = values.join(often, "v").groupBy("rep", "m").agg(F.array_sort(F.collect_list(F.struct("f", "v"))).alias("common"))
-    room = F.col("m") - F.floor(F.col("m") * F.lit(least)) + 1 - (F.col("m") - F.size("common"))
-    return found.select("rep", F.explode(F.slice("common", 1, F.greatest(room, F.lit(0)).cast("int"))).alias("c")).select("c.v", "rep")
+    found = values.join(often, "v").groupBy("rep", "n", "m").agg(F.array_sort(F.collect_list(F.struct("f", "v"))).alias("common"))
+    least = F.floor(F.col("m") * F.when(F.col("m") < k, max(0.0, (2 * p - 1) / p)).otherwise(cut))
+    room = F.col("m") - least + 1 - (F.col("m") - F.size("common"))
+    return found.select("rep", "n", F.explode(F.slice("common", 1, F.greatest(room, F.lit(0)).cast("int"))).alias("c")).select("c.v", "rep", "n")
 
 
-def _pairs(lists: DataFrame, round_: int) -> DataFrame:
-    """Distinct (a, b), a < b, of one list and of different components; star rounds take one leader for each list."""
+def _pairs(lists: DataFrame, round_: int, percent: int) -> DataFrame:
+    """Distinct (a, b), a < b, of one list, of different components and of sizes that allow the similarity; star rounds
+    take one leader for each list."""
+    fits = F.expr(f"100 * least(n, m) >= {percent} * greatest(n, m)")
     if round_ < STAR_ROUNDS:
-        lead = lists.groupBy("v").agg(F.min_by(F.struct("rep", "comp"), F.xxhash64("rep", F.lit(round_))).alias("lead"))
-        found = lists.join(lead, "v").where("comp <> lead.comp").select(F.col("rep").alias("x"), F.col("lead.rep").alias("y"))
+        lead = lists.groupBy("v").agg(F.min_by(F.struct("rep", "comp", "n"), F.xxhash64("rep", F.lit(round_))).alias("lead"))
+        found = lists.join(lead, "v").withColumn("m", F.col("lead.n")).where("comp <> lead.comp").where(fits).select(F.col("rep").alias("x"), F.col("lead.rep").alias("y"))
     else:  # the component with most members in the list needs no pairs within itself
-        each = lists.groupBy("v", "comp").agg(F.count("*").alias("n"))
-        main = each.groupBy("v").agg(F.max_by("comp", F.struct("n", "comp")).alias("main"), F.count("*").alias("comps")).where("comps > 1")
+        each = lists.groupBy("v", "comp").agg(F.count("*").alias("c"))
+        main = each.groupBy("v").agg(F.max_by("comp", F.struct("c", "comp")).alias("main"), F.count("*").alias("comps")).where("comps > 1")
         apart = lists.join(main, "v")
-        others = apart.where("comp <> main").select("v", F.col("rep").alias("x"), F.col("comp").alias("cx"))
-        found = others.join(apart.select("v", F.col("rep").alias("y"), "comp", "main"), "v").where("cx <> comp and (comp = main or x < y)").select("x", "y")
+        others = apart.where("comp <> main").select("v", F.col("rep").alias("x"), F.col("comp").alias("cx"), F.col("n").alias("m"))
+        found = others.join(apart.select("v", F.col("rep").alias("y"), "comp", "main", "n"), "v").where("cx <> comp and (comp = main or x < y)").where(fits).select("x", "y")
     return found.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
 
@@ -107,13 +119,24 @@ def near_groups(docs: DataFrame, words: int = 5, percent: int = 80, k: int = K,
     """
     source = id_text(docs, id_col, text_col)
     source = source.select(F.coalesce("doc_id", F.lit(NULL_ID)).alias("doc_id"), "text")
-    least = LEAST.get(percent, max(0.0, percent / 100 - 0.3))
+    least = max(0.0, percent / 100 - DEVIATIONS * (percent / 100 * (1 - percent / 100) / k) ** 0.5)
     each = materialize(sketches(source, words, k), "sketches")
-    reps = each.where("n > 0").groupBy("c1", "c2").agg(F.min("doc_id").alias("id"), F.first("sketch").alias("sketch"))
+    reps = each.where("n > 0").groupBy("c1", "c2").agg(F.min("doc_id").alias("id"), F.first("n").alias("n"), F.first("sketch").alias("sketch"))
     # A class is named by its smallest id; where ids repeat, two classes may share it, and a half of their hash names them.
     by_id = not each.groupBy("doc_id").count().where("count > 1").limit(1).count()
     reps = materialize(reps.withColumn("rep", F.col("id" if by_id else "c1")), "classes")
-    lists = materialize(inverted_lists(reps, least), "lists")
+    first = materialize(inverted_lists(reps, percent, k), "lists")
+    long_ = first.groupBy("v").agg(F.count("*").alias("f")).where(F.col("f") > LONG).select("v")
+    crowded = materialize(first.join(long_, "v", "left_semi").select("rep").distinct(), "crowded")
+
+    def texts_of_reps(chosen: DataFrame) -> DataFrame:
+        ids = reps.join(chosen, "rep", "left_semi").select(F.col("id").alias("doc_id")).distinct()
+        return source.join(ids, "doc_id", "left_semi")
+
+    wide = sketches(texts_of_reps(crowded), words, WIDE).withColumn("rep", F.col("doc_id" if by_id else "c1"))
+    wide = wide.join(crowded, "rep", "left_semi")
+    again = inverted_lists((wide if by_id else wide.dropDuplicates(["rep"])).select("rep", "n", "sketch"), percent, WIDE)
+    lists = materialize(first.join(long_, "v", "left_anti").unionByName(again).distinct(), "lists")
 
     def sets(batches):
         for part in chunks(batches, "text", CHUNK):
@@ -121,13 +144,12 @@ def near_groups(docs: DataFrame, words: int = 5, percent: int = 80, k: int = K,
             rep = part.column(0) if by_id else pa.array([(xxhash.xxh3_128_intdigest(s) >> 64) - 2**63 for s in raw], pa.int64())
             yield pa.RecordBatch.from_pydict({"rep": rep, "set": pa.array(raw, pa.binary())})
 
-    wanted = reps.join(lists.select("rep").distinct(), "rep", "left_semi")
-    full = source.join(wanted.select(F.col("id").alias("doc_id")).distinct(), "doc_id", "left_semi").mapInArrow(sets, "rep bigint, set binary")
+    full = texts_of_reps(lists.select("rep").distinct()).mapInArrow(sets, "rep bigint, set binary")
     full = materialize(full if by_id else full.dropDuplicates(["rep"]), "sets")
     comps, links = None, None
     for round_ in range(STAR_ROUNDS + 1):
-        tagged = lists.withColumn("comp", F.col("rep")) if comps is None else lists.join(comps.withColumnRenamed("node", "rep"), "rep", "left").select("v", "rep", F.coalesce("low", "rep").alias("comp"))
-        near = _with_both(_pairs(tagged, round_), reps, "sketch").mapInArrow(lambda rows: _estimated(rows, k, least), "a bigint, b bigint")
+        tagged = lists.withColumn("comp", F.col("rep")) if comps is None else lists.join(comps.withColumnRenamed("node", "rep"), "rep", "left").select("v", "rep", "n", F.coalesce("low", "rep").alias("comp"))
+        near = _with_both(_pairs(tagged, round_, percent), reps, "sketch").mapInArrow(lambda rows: _estimated(rows, k, least), "a bigint, b bigint")
         found = materialize(_with_both(near, full, "set").mapInArrow(lambda rows: _verified(rows, percent), "a bigint, b bigint"), "verified")
         links = found if links is None else links.union(found)
         comps = materialize(components(links), "components")
