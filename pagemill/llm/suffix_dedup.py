@@ -21,10 +21,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from pagemill.llm import induced
-from pagemill.llm._common import NULL_ID, chunks, fresh, materialize, mix, partitions
+from pagemill.llm._common import NULL_ID, chunks, fresh, materialize, mix, partitions, small_batches
 from pagemill.llm.shingles import _powers
 
-LENGTH, KGRAM = 100, 32
+LENGTH, KGRAM = 100, 24
 #: Texts are taken in buffers of so many bytes; a longer text in pieces of so many windows.
 BUFFER = 4 << 20
 #: Bits of a packed anchor that hold its place in the buffer.
@@ -186,14 +186,15 @@ def _matched(batches, length: int):
         yield from settle(held)
 
 
-def _cut_out(batches):
-    """The bytes of each wanted snippet of a document."""
+def _cut_out(batches, text_at: int, length: int):
+    """The bytes of each wanted snippet; rows have id, th and the snippets in their last columns."""
     for batch in batches:
-        for row in batch.to_pylist():
-            own = row["wanted"]
+        ids, ths, texts = (batch.column(i).to_pylist() for i in (batch.num_columns - 3, batch.num_columns - 2, text_at))
+        for i, th, text, own in zip(ids, ths, texts, batch.column(batch.num_columns - 1).to_pylist()):
+            raw = text.encode()
             for at in range(0, len(own), 4096):
                 part = own[at : at + 4096]
-                yield pa.RecordBatch.from_pydict({"key": pa.array([w["key"] for w in part], pa.int64()), "id": pa.array([row["id"]] * len(part), pa.int64()), "th": pa.array([row["th"]] * len(part), pa.int64()), "a": pa.array([w["a"] for w in part], pa.int64()), "b": pa.array([w["b"] for w in part], pa.int64()), "piece": pa.array([row["text"][w["a"] : w["a"] + w["b"] + row["length"] - 1] for w in part], pa.binary())})
+                yield pa.RecordBatch.from_pydict({"key": pa.array([w["key"] for w in part], pa.int64()), "id": pa.array([i] * len(part), pa.int64()), "th": pa.array([th] * len(part), pa.int64()), "a": pa.array([w["a"] for w in part], pa.int64()), "b": pa.array([w["b"] for w in part], pa.int64()), "piece": pa.array([raw[w["a"] : w["a"] + w["b"] + length - 1] for w in part], pa.binary())})
 
 
 def _sorted_shard(batches, length: int):
@@ -249,11 +250,12 @@ def _sorted_shard(batches, length: int):
         yield pa.RecordBatch.from_arrays([pa.array(ids[group[s]]), pa.array(th[group[s]]), pa.array(low[s]), pa.array(high[s])], names=["id", "th", "a", "b"])
 
 
-def _keyed(docs: DataFrame, id_col: str, text_col: str, id_name: str, th_name: str) -> DataFrame:
-    """docs with an integer id (null: the smallest) and, where ids repeat, a hash of the text that tells rows apart."""
+def _keyed(docs: DataFrame, id_col: str, text_col: str, id_name: str, th_name: str) -> tuple[DataFrame, bool]:
+    """docs with an integer id (null: the smallest) and, where ids repeat (it says so, too), a hash of the text that tells
+    rows apart."""
     ident = F.coalesce(F.col(f"`{id_col}`").cast("bigint"), F.lit(NULL_ID))
     repeats = docs.groupBy(ident.alias("i")).count().where("count > 1").limit(1).count()
-    return docs.withColumns({id_name: ident, th_name: F.xxhash64(F.col(f"`{text_col}`")) if repeats else F.lit(0).cast("bigint")})
+    return docs.withColumns({id_name: ident, th_name: F.xxhash64(F.col(f"`{text_col}`")) if repeats else F.lit(0).cast("bigint")}), bool(repeats)
 
 
 def with_ranges(docs: DataFrame, length: int, id_col: str, text_col: str) -> tuple[DataFrame, str]:
@@ -261,22 +263,25 @@ def with_ranges(docs: DataFrame, length: int, id_col: str, text_col: str) -> tup
 
     Of rows with one id, the text's hash decides which is earlier; rows that repeat id and text are one document.
     """
-    spark = docs.sparkSession
+    spark = small_batches(docs.sparkSession)
     ranges, i, t = fresh(docs, "ranges"), fresh(docs, "row_id"), fresh(docs, "row_hash")
-    keyed = _keyed(docs, id_col, text_col, i, t).withColumns({i: F.col(i), t: F.col(t)})
+    keyed, repeats = _keyed(docs, id_col, text_col, i, t)
+    names = {"id": i, "th": t} if repeats else {"id": i}
     binary = F.col(f"`{text_col}`").cast("binary")
     own = keyed.select(F.col(i).alias("id"), F.col(t).alias("th"), binary.alias("text"))
     found = own.mapInArrow(lambda b: _scanned(b, length), _SQL)
     sorted_ = found.repartition(partitions(spark), "key").sortWithinPartitions("key", "id", "th", "a")
     matched = materialize(sorted_.mapInArrow(lambda b: _matched(b, length), _SQL), "snippets")
-    # Both joins below read one shuffle of the documents.
-    dealt = keyed.repartition(partitions(spark), i, t)
-    wanted = matched.where("kind = 1").groupBy("id", "th").agg(F.collect_list(F.struct("key", "a", "b")).alias("wanted"))
-    texts = dealt.join(wanted, (F.col(i) == wanted["id"]) & (F.col(t) == wanted["th"])).select("id", "th", binary.alias("text"), "wanted", F.lit(length).alias("length"))
-    cut = texts.mapInArrow(_cut_out, "key bigint, id bigint, th bigint, a bigint, b bigint, piece binary")
+    # Both joins below read one shuffle of the documents: they take the same columns of it.
+    dealt = keyed.repartition(partitions(spark), *names.values())
+    wanted = matched.where("kind = 1").groupBy(*names).agg(F.collect_list(F.struct("key", "a", "b")).alias("wanted"))
+    same = lambda other: [F.col(own) == other[c] for c, own in names.items()]
+    texts = dealt.join(wanted, same(wanted)).select(*[F.col(f"`{c}`") for c in docs.columns], i, t, "wanted")
+    text_at = docs.columns.index(text_col)
+    cut = texts.mapInArrow(lambda b: _cut_out(b, text_at, length), "key bigint, id bigint, th bigint, a bigint, b bigint, piece binary")
     late = cut.repartition(partitions(spark), "key").mapInArrow(lambda b: _sorted_shard(b, length), "id bigint, th bigint, a bigint, b bigint")
-    every = matched.where("kind = 0").select("id", "th", "a", "b").unionByName(late).groupBy("id", "th").agg(F.collect_list(F.struct("a", "b")).alias(ranges))
-    return dealt.join(every, (F.col(i) == every["id"]) & (F.col(t) == every["th"]), "left").select(*[F.col(f"`{c}`") for c in docs.columns], ranges), ranges
+    every = matched.where("kind = 0").select("id", "th", "a", "b").unionByName(late).groupBy(*names).agg(F.collect_list(F.struct("a", "b")).alias(ranges))
+    return dealt.join(every, same(every), "left").select(*[F.col(f"`{c}`") for c in docs.columns], ranges), ranges
 
 
 def cut_ranges(text: bytes, ranges: list[dict] | None) -> tuple[bytes, int, int]:
