@@ -25,6 +25,14 @@ def shared_dir(spark: SparkSession) -> str:
     return path.rstrip("/")
 
 
+def small_batches(spark: SparkSession) -> SparkSession:
+    """Arrow batches of at most some hundred texts, unless the session says otherwise: a batch stands in memory of the
+    JVM and of Python at once."""
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "512")
+    return spark
+
+
 def shared_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/pagemill/{name}-{uuid.uuid4().hex}"
 
@@ -51,6 +59,7 @@ def fresh(df: DataFrame, name: str) -> str:
 
 def id_text(docs: DataFrame, id_col: str, text_col: str, *more: str) -> DataFrame:
     """Only the columns an operator needs, under its own names, so that further columns cannot clash."""
+    small_batches(docs.sparkSession)
     return docs.select(F.col(f"`{id_col}`").cast("bigint").alias("doc_id"), F.col(f"`{text_col}`").alias("text"), *[F.col(f"`{m}`").alias(m) for m in more])
 
 

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pagemill.llm._common import chunks, mix, texts_of
+from pagemill.llm._common import chunks, mix, small_batches, texts_of
 from pagemill.llm.shingles import shingled
 from pagemill.llm.tokens import WORD, runs
 
@@ -106,6 +106,7 @@ def matches(hashes: np.ndarray, index: Index, least: float) -> list[tuple[int |
 
 def _groups(benchmark: DataFrame, item_col: str, text_col: str) -> list[list]:
     """The items in groups of bounded size, so that what is sent to the executors at once is bounded."""
+    small_batches(benchmark.sparkSession)
     items = benchmark.select(F.col(f"`{item_col}`").cast("bigint").alias("item"), F.col(f"`{text_col}`").alias("text")).where("text is not null").distinct()
     size = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("n")).first().n
     n = -(-size // GROUP_BYTES)

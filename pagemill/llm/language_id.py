@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagemill.llm._common import chunks, code_points, mix, texts_of
+from pagemill.llm._common import chunks, code_points, mix, small_batches, texts_of
 from pagemill.llm.pretokens import LETTER, _classes
 
 N = 3
@@ -132,6 +132,7 @@ def identify(docs: DataFrame, learned: Filter, text_col: str = "text", id_col: s
             names, scores = learned.decide(texts_of(chunk))
             yield pa.RecordBatch.from_arrays([*chunk.columns[:-1], pa.array(names, pa.string()), pa.array(scores, pa.float64())], names=[*chunk.schema.names[:-1], "lang_pred", "score"])
 
+    small_batches(docs.sparkSession)
     kept = docs.select(F.col(f"`{id_col}`").alias("doc_id"), *more, F.col(f"`{text_col}`").alias("text"))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema.fields[:-1])
     return kept.mapInArrow(predict, f"{schema}, lang_pred string, score double")

@@ -38,7 +38,7 @@ def _classes() -> np.ndarray:
     unassigned for Python) are put to tiktoken itself: with a vocabulary of bytes and of any byte joined to "a" or "1",
     a character merges with the letter or the digit after it if and only if it is of that class.
     """
-    every = "".join(map(chr, [*range(0xD800), *range(0xE000, 0x110000)]))
+    every = np.concatenate([np.arange(0xD800, dtype="<u4"), np.arange(0xE000, 0x110000, dtype="<u4")]).tobytes().decode("utf-32-le")
     kind = np.full(len(every), OTHER, np.uint8)
     for k, pattern in ((LETTER, r"\p{L}+"), (NUMBER, r"\p{N}+"), (SPACE, r"\s+")):
         for m in regex.finditer(pattern, every):

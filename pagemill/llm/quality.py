@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pagemill.llm._common import chunks, fresh, materialize, mix, partitions, texts_of
+from pagemill.llm._common import chunks, fresh, materialize, mix, partitions, small_batches, texts_of
 from pagemill.llm.pretokens import _packed, _unpacked
 from pagemill.llm.tokens import runs
 
@@ -47,14 +47,19 @@ def features(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return out[keep], upto[2 * first]
 
 
+def _add(counts: np.ndarray, found: np.ndarray) -> None:
+    which, n = np.unique(found, return_counts=True)
+    counts[which] += n.astype(np.uint32)
+
+
 def _counted(batches):
     """Per task: counts of all documents (model 0) and of the good ones to learn from (model 1), in blocks."""
-    counts = np.zeros((2, BUCKETS), np.int64)
+    counts = np.zeros((2, BUCKETS), np.uint32)  # of one task, which reads far fewer than 2**32 words
     for part in chunks(batches, "text", CHUNK):
         found, first = features(texts_of(part))
-        counts[0] += np.bincount(found, minlength=BUCKETS)
+        _add(counts[0], found)
         good = np.array([x == 1 for x in part.column(1).to_pylist()])
-        counts[1] += np.bincount(found[np.repeat(good, np.diff(first))], minlength=BUCKETS)
+        _add(counts[1], found[np.repeat(good, np.diff(first))])
     for model in (0, 1):
         for at in range(0, BUCKETS, BLOCK):
             if (own := counts[model, at : at + BLOCK]).any():
@@ -96,7 +101,7 @@ def _labelled(docs: DataFrame, labels: DataFrame, most: int) -> DataFrame:
 
 def fit(docs: DataFrame, labels: DataFrame, most_labelled: int = MOST_LABELLED) -> tuple[np.ndarray, np.ndarray]:
     """The log ratio and the level of every bucket. The raw model counts all documents; the models have BUCKETS numbers each."""
-    spark = docs.sparkSession
+    spark = small_batches(docs.sparkSession)
     rows = _labelled(docs.select("doc_id", "text"), labels, most_labelled).select("text", "label")
     schema = "model int, at int, counts binary"
     sums = rows.mapInArrow(_counted, schema).repartition(min(64, partitions(spark)), "model", "at").mapInArrow(_summed, schema)
