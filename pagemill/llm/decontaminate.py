@@ -93,14 +93,15 @@ def matches(hashes: np.ndarray, index: Index, least: float) -> list[tuple[int |
                 found = np.zeros((len(starts), len(items)), bool)
                 for b in range(BLOCKS):
                     found |= probe[b][windows[:, b]]
-                for i, j in zip(*np.nonzero(found)):
-                    distance = int(_DISTANCE[windows[i] ^ prints[j]].sum())
-                    if distance <= RADIUS:
-                        at = low + int(starts[i])
-                        similarity = weighted_jaccard(own[at : at + m], items[j][1])
-                        key = (n, int(j))
-                        if similarity >= least and (key not in best or similarity > best[key][4]):
-                            best[key] = (items[j][0], at, n, distance, similarity)
+                i, j = np.nonzero(found)
+                distance = _DISTANCE[windows[i] ^ prints[j]].sum(1)
+                near = distance <= RADIUS
+                for i, j, d in zip(i[near].tolist(), j[near].tolist(), distance[near].tolist()):
+                    at = low + int(starts[i])
+                    similarity = weighted_jaccard(own[at : at + m], items[j][1])
+                    key = (n, j)
+                    if similarity >= least and (key not in best or similarity > best[key][4]):
+                        best[key] = (items[j][0], at, n, d, similarity)
     return list(best.values())
 
 
