@@ -34,7 +34,6 @@ def test_states_follow_events(spark, tmp_path):
     assert batch["a"].state == "completed" and batch["a"].percent == 100.0 and batch["b"].state == "failed"
     df.repartition(1).write.parquet(str(tmp_path / "in"))
     stream = jobs.track(spark.readStream.schema(schema).parquet(str(tmp_path / "in")))
-    q = stream.writeStream.outputMode("update").format("memory").queryName("job_states").option("checkpointLocation", str(tmp_path / "cp")).start()
-    q.processAllAvailable()
-    q.stop()
+    q = stream.writeStream.outputMode("update").format("memory").queryName("job_states").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+    assert q.awaitTermination(120)
     assert {r.job_id: r for r in spark.sql("select * from job_states").collect()} == batch
