@@ -32,6 +32,11 @@ def _forest(batches):
         yield pa.RecordBatch.from_pydict({"node": pa.array([p[0] for p in part], pa.int64()), "low": pa.array([p[1] for p in part], pa.int64())})
 
 
+def _state(pairs: DataFrame) -> tuple:
+    """Number of links and the sum of their hashes: equal sets have equal states."""
+    return tuple(pairs.agg(F.count("*"), F.sum(F.xxhash64("node", "low").cast("decimal(38,0)"))).first())
+
+
 def components(links: DataFrame) -> DataFrame:
     """(node, low): for every node of links (a bigint, b bigint), the smallest node that it can reach.
 
@@ -40,7 +45,8 @@ def components(links: DataFrame) -> DataFrame:
     """
     pairs = links.select(F.col("a").cast("bigint"), F.col("b").cast("bigint")).where("a is not null and b is not null and a <> b")
     pairs = materialize(pairs.mapInArrow(_forest, "node bigint, low bigint"), "links")
-    while True:
+    state = _state(pairs)
+    while state[0]:
         # Large star: every larger neighbour of a node is tied to the smallest of its neighbourhood.
         both = pairs.union(pairs.select(F.col("low").alias("node"), F.col("node").alias("low")))
         least = both.groupBy("node").agg(F.min("low").alias("m")).select("node", F.least("m", "node").alias("m"))
@@ -49,8 +55,7 @@ def components(links: DataFrame) -> DataFrame:
         least = large.groupBy("node").agg(F.min("low").alias("m"))
         small = large.join(least, "node").select(F.col("low").alias("node"), F.col("m").alias("low")).union(least.select("node", F.col("m").alias("low")))
         new = materialize(small.where("node <> low").distinct(), "links")
-        changed = new.exceptAll(pairs).union(pairs.distinct().exceptAll(new)).limit(1).count()
-        pairs = new
-        if not changed:
+        before, state, pairs = state, _state(new), new
+        if state == before:
             break
     return pairs.groupBy("node").agg(F.min("low").alias("low")).union(pairs.select(F.col("low").alias("node"), "low").distinct()).groupBy("node").agg(F.min("low").alias("low"))
