@@ -67,3 +67,56 @@ def logical(b: Column, page_width: Column, page_height: Column, degrees: Column)
     px, py, _, _ = turned(zero, zero, page_width, page_height)
     u0, v0, u1, v1 = turned(b["x0"], b["y0"], b["x1"], b["y1"])
     return F.struct((u0 - px).alias("x0"), (v0 - py).alias("y0"), (u1 - px).alias("x1"), (v1 - py).alias("y1"))
+
+
+def clamp(b: Column, page_width: Column, page_height: Column) -> Column:
+    """The part of a box that lies on the page."""
+    inside = lambda v, top: F.greatest(F.lit(0.0), F.least(v, top))
+    return box(inside(b["x0"], page_width), inside(b["y0"], page_height), inside(b["x1"], page_width), inside(b["y1"], page_height))
+
+
+def padded(b: Column, by: Column) -> Column:
+    return box(b["x0"] - by, b["y0"] - by, b["x1"] + by, b["y1"] + by)
+
+
+def erase_padding(kind: Column) -> Column:
+    """Room around what is erased: more for titles and headings."""
+    return F.when(kind.isin("title", "heading"), 1.2).when(kind == "caption", 0.8).otherwise(0.6)
+
+
+def irregular(lines: Column) -> Column:
+    """An array of line boxes whose left edges spread by max(12, twice the median height) or more."""
+    left = F.transform(lines, lambda b: b["x0"])
+    heights = F.array_sort(F.transform(lines, lambda b: b["y1"] - b["y0"]))
+    n = F.size(heights)
+    median = (F.get(heights, F.floor((n - 1) / 2).cast("int")) + F.get(heights, F.floor(n / 2).cast("int"))) / 2
+    return (n > 1) & (F.array_max(left) - F.array_min(left) >= F.greatest(F.lit(12.0), 2 * median))
+
+
+def upright(b: Column, degrees: Column) -> Column:
+    """Width and height of a box as its text reads: exchanged at a quarter turn."""
+    quarter = F.abs(F.abs(degrees) - 90) < 45
+    return F.struct(F.when(quarter, height(b)).otherwise(width(b)).alias("w"), F.when(quarter, width(b)).otherwise(height(b)).alias("h"))
+
+
+def corners(b: Column, degrees: Column) -> Column:
+    """The four corners of a box turned around its middle."""
+    cx, cy, c, s = (b["x0"] + b["x1"]) / 2, (b["y0"] + b["y1"]) / 2, F.cos(F.radians(degrees)), F.sin(F.radians(degrees))
+    turn = lambda x, y: F.struct((cx + (x - cx) * c - (y - cy) * s).alias("x"), (cy + (x - cx) * s + (y - cy) * c).alias("y"))
+    return F.array(turn(b["x0"], b["y0"]), turn(b["x1"], b["y0"]), turn(b["x1"], b["y1"]), turn(b["x0"], b["y1"]))
+
+
+def safe_page(w: Column, h: Column) -> Column:
+    """A page size between 250 and 3000 points; else A4."""
+    fine = w.between(250.0, 3000.0) & h.between(250.0, 3000.0)
+    return F.struct(F.when(fine, w).otherwise(595.28).alias("w"), F.when(fine, h).otherwise(841.89).alias("h"))
+
+
+def fits_page(image: Column, page_width: Column, page_height: Column, share: float = 0.94) -> Column:
+    """An image covers at least `share` of the page."""
+    return area(image) >= share * page_width * page_height
+
+
+def scan_source(n_images: Column, long_side: Column, image_ratio: Column, page_ratio: Column, degrees: Column) -> Column:
+    """A page's only image stands for the page: unrotated, 900 pixels or more, and of nearly its proportions."""
+    return (n_images == 1) & (long_side >= 900) & (F.abs(image_ratio - page_ratio) <= 0.035) & (F.abs(degrees) < 0.05)

@@ -101,3 +101,43 @@ def eta_label(seconds: Column) -> Column:
     """Whole tens of seconds, rounded up, as minutes and seconds."""
     tens = (F.ceil(seconds / 10) * 10).cast("bigint")
     return F.format_string("%d:%02d", (tens / 60).cast("bigint"), F.pmod(tens, F.lit(60)))
+
+
+def local_path(c: Column) -> Column:
+    """A pasted path: paired outer quotes go, and backslashes before blanks, brackets and quotes."""
+    bare = F.regexp_replace(F.trim(c), r"""^(["'])(.*)\1$""", "$2")
+    return F.when(bare.startswith("/") | bare.startswith("~"), F.regexp_replace(bare, r"""\\([ ()'"&\[\]])""", "$1")).otherwise(bare)
+
+
+def clamped(c: Column, low: int, high: int, default: int) -> Column:
+    """An option as a whole number within its bounds; what is no number is the default."""
+    return F.greatest(F.lit(low), F.least(F.lit(high), F.coalesce(F.trim(c).try_cast("int"), F.lit(default))))
+
+
+def chosen(c: Column, allowed: tuple[int, ...], default: int) -> Column:
+    """An option that must be one of a few numbers."""
+    own = F.trim(c).try_cast("int")
+    return F.when(own.isin(*allowed), own).otherwise(F.lit(default))
+
+
+def task_id_ok(c: Column) -> Column:
+    return c.rlike(r"^[A-Za-z0-9][A-Za-z0-9_-]{0,63}$")
+
+
+def stress_text(c: Column, marker: str, ratio: float, kept: Column) -> Column:
+    """A text of a stated length for layout tests: the marker repeated up to ceil(letters * ratio) signs, then the tokens
+    that must survive and all numbers."""
+    n = F.ceil(letters(c) * ratio).cast("int")
+    body = F.left(F.repeat(F.lit(marker), F.ceil(n / len(marker)).cast("int")), n)
+    return F.rtrim(F.concat_ws(" ", body, F.array_join(kept, " "), F.array_join(numbers(c), " ")))
+
+
+def fragmentary_label(c: Column) -> Column:
+    """Two to four very short words without a capital or digit: a torn piece of a label."""
+    words = F.split(F.trim(c), r"\s+")
+    return F.size(words).between(2, 4) & F.forall(words, lambda w: F.length(w) <= 3) & ~c.rlike(r"[\p{Lu}\d]")
+
+
+def short_label(c: Column) -> Column:
+    """At most 24 signs in three words, without a sentence's end."""
+    return (F.length(F.trim(c)) <= 24) & (F.size(F.split(F.trim(c), r"\s+")) <= 3) & ~F.trim(c).rlike(r"[.!?。！？]$")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def diff(stored: DataFrame, new: DataFrame, keys: list[str], compared: list[str]) -> DataFrame:
@@ -40,3 +41,46 @@ def orphans(files: DataFrame, referenced: DataFrame, name: str) -> DataFrame:
 def remove_tasks(tasks: DataFrame, segments: DataFrame, gone: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
     """Both tables without the tasks that go."""
     return tasks.join(gone, key, "left_anti"), segments.join(gone, key, "left_anti")
+
+
+def save(spark, path: str, new: DataFrame, keys: list[str], partition: str) -> DataFrame:
+    """Write a table's new state for the partitions that `new` holds and return what changed; other partitions stay.
+
+    Partitions are replaced as a whole by Spark's commit, so that a failed write leaves the old state.
+    """
+    try:
+        old = spark.read.schema(new.schema).parquet(path)
+    except Exception as e:  # no table yet
+        if "PATH_NOT_FOUND" not in str(e):
+            raise
+        old = spark.createDataFrame([], new.schema)
+    compared = [c for c in new.columns if c not in keys]
+    touched = old.join(new.select(partition).distinct(), partition, "left_semi")
+    summary = spark.createDataFrame(diff(touched, new, keys, compared).groupBy("action").count().collect(), "action string, count bigint")
+    new.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(partition).parquet(path)
+    return summary
+
+
+def load(spark, path: str, schema, partition: str, key, order: str) -> DataFrame:
+    """One partition of a saved table in order."""
+    return spark.read.schema(schema).parquet(path).where(F.col(partition) == key).orderBy(order)
+
+
+def manifest(tasks: DataFrame, without: list[str]) -> DataFrame:
+    """One JSON document for each task, without the long lists."""
+    return tasks.select("task_id", F.to_json(F.struct(*[F.col(c) for c in tasks.columns if c not in without])).alias("manifest"))
+
+
+def read_manifests(spark, path: str, schema) -> tuple[DataFrame, DataFrame]:
+    """(valid tasks, broken documents) of JSON files, one document a file."""
+    wide = T.StructType([*schema.fields, T.StructField("_corrupt_record", T.StringType())])
+    rows = spark.read.schema(wide).option("multiLine", True).option("mode", "PERMISSIVE").json(path)
+    cached = rows.withColumn("file", F.input_file_name())
+    return cached.where("_corrupt_record is null").drop("_corrupt_record"), cached.where("_corrupt_record is not null").select("file", "_corrupt_record")
+
+
+def unchanged(files: DataFrame, known: DataFrame) -> DataFrame:
+    """(file, state): same by size and time, same by hash, or changed; the hash is compared only where size or time differ."""
+    joined = files.alias("f").join(known.alias("k"), "file")
+    quick = (F.col("f.size") == F.col("k.size")) & (F.col("f.mtime") == F.col("k.mtime"))
+    return joined.select("file", F.when(quick, "same").when(F.col("f.hash") == F.col("k.hash"), "same_content").otherwise("changed").alias("state"))

@@ -443,3 +443,35 @@ def q54_rotations(s, d):
     turn = G.rotation(F.cos(F.radians((k % 360).cast("double") - 180.0)), F.sin(F.radians((k % 360).cast("double") - 180.0)))
     angle = (-(k % 4) * 90.0).cast("double")
     return A.table(s, d, "lineitem").select("l_orderkey", "l_linenumber", F.pmod(F.round(turn, 6) + 180.0, F.lit(360.0)).alias("t"), F.round(q * F.cos(F.radians(angle)) - F.col("l_linenumber") * F.sin(F.radians(angle)), 6).alias("u")).withColumn("turn", F.col("t") - 180.0).drop("t")
+
+
+@query(r"""WITH n AS (SELECT conv_id, turn, CAST(ceil(length(regexp_replace(text, '[^\p{L}]', '', 'g')) * 0.6) AS INT) AS n, text FROM conversations)
+SELECT conv_id, turn, rtrim(concat_ws(' ', left(repeat('测试', CAST(ceil(n / 2) AS INT)), n), role_, array_to_string(list_sort(list_transform(regexp_extract_all(text, '(\d+(?:[.,]\d+)?)', 1), lambda x: replace(x, ',', '.'))), ' '))) AS stress FROM (SELECT n.*, c.role AS role_ FROM n JOIN conversations c USING (conv_id, turn))""")
+def q55_stress_text(s, d):
+    return A.table(s, d, "conversations").select("conv_id", "turn", T.stress_text(F.col("text"), "测试", 0.6, F.array("role")).alias("stress"))
+
+
+@query(f"WITH {BOXES} SELECT page, box_id, greatest(0.0, least(x0, 300.0)) AS x0, greatest(0.0, least(y1, 400.0)) AS y1, greatest(greatest(0.0, least(x1, 300.0)) - greatest(0.0, least(x0, 300.0)), 0.0) AS width FROM boxes")
+def q56_clamped_boxes(s, d):
+    b = F.col("b")
+    return _boxes(s, d).select("page", "box_id", G.clamp(G.box("x0", "y0", "x1", "y1"), F.lit(300.0), F.lit(400.0)).alias("b")).select("page", "box_id", b["x0"].alias("x0"), b["y1"].alias("y1"), G.width(b).alias("width"))
+
+
+@query("""SELECT page_id::VARCHAR AS file, CASE WHEN page_id % 3 <> 0 THEN 'same' WHEN page_id % 2 = 0 THEN 'same_content' ELSE 'changed' END AS state FROM pages""")
+def q57_changed_files(s, d):
+    k = F.col("page_id")
+    files = A.table(s, d, "pages").select(k.cast("string").alias("file"), F.octet_length("html").alias("size"), k.alias("mtime"), F.sha2("html", 256).alias("hash"))
+    known = A.table(s, d, "pages").select(k.cast("string").alias("file"), F.octet_length("html").alias("size"), F.when(k % 3 == 0, k + 1).otherwise(k).alias("mtime"), F.when(k % 2 == 0, F.sha2("html", 256)).otherwise("other").alias("hash"))
+    return store.unchanged(files, known)
+
+
+@query("""WITH s AS (SELECT lang AS page, doc_id AS segment_id FROM documents) SELECT page, count(*) AS n_segments, count(*) FILTER (segment_id NOT IN (SELECT doc_id FROM labels)) AS n_missing, round(1 - count(*) FILTER (segment_id NOT IN (SELECT doc_id FROM labels)) / count(*), 6) AS coverage FROM s GROUP BY 1""")
+def q58_reflow_quality(s, d):
+    return quality.reflow_quality(_docs(s, d).select(F.col("lang").alias("page"), F.col("doc_id").alias("segment_id")), A.table(s, d, "labels").select(F.col("doc_id").alias("segment_id")))
+
+
+@query("""SELECT page_id, CASE WHEN page_id % 4 = 0 THEN 170 WHEN page_id % 4 = 1 THEN 240 ELSE 200 END AS dpi, least(64, page_id) AS workers FROM pages""")
+def q59_options(s, d):
+    k = F.col("page_id")
+    dpi = F.when(k % 4 == 0, " 170 ").when(k % 4 == 1, "240").when(k % 4 == 2, "300").otherwise("x")
+    return A.table(s, d, "pages").select("page_id", T.chosen(dpi, (170, 200, 240), 200).alias("dpi"), T.clamped(k.cast("string"), 0, 64, 1).alias("workers"))

@@ -154,3 +154,22 @@ def test_store(spark):
     new = spark.createDataFrame([(1, "a"), (2, "c"), (4, "d")], "k int, v string")
     assert {r.k: r.action for r in store.diff(old, new, ["k"], ["v"]).collect()} == {1: "unchanged", 2: "update", 3: "delete", 4: "insert"}
     assert [r.k for r in store.history_page(old, ["k"], 9, 2).collect()] == [3]
+
+
+def test_saved_tables(spark, tmp_path):
+    path = str(tmp_path / "segments")
+    first = spark.createDataFrame([("a", 1, "x"), ("a", 2, "y"), ("b", 1, "z")], "task string, k int, v string")
+    assert {r.action: r["count"] for r in store.save(spark, path, first, ["task", "k"], "task").collect()} == {"insert": 3}
+    second = spark.createDataFrame([("a", 1, "x"), ("a", 3, "n")], "task string, k int, v string")
+    assert {r.action: r["count"] for r in store.save(spark, path, second, ["task", "k"], "task").collect()} == {"unchanged": 1, "insert": 1, "delete": 1}
+    assert [(r.task, r.k) for r in store.load(spark, path, first.schema, "task", "a", "k").collect()] == [("a", 1), ("a", 3)]
+    assert store.load(spark, path, first.schema, "task", "b", "k").count() == 1
+
+
+def test_more_text_and_geometry(spark):
+    assert values(spark, T.local_path, "'/a b/c'", r"/a\ b", "plain") == ["/a b/c", "/a b", "plain"]
+    assert values(spark, T.fragmentary_label, "or at q", "FUEL TANK", "words of length") == [True, False, False]
+    df = spark.createDataFrame([([(0.0, 0.0, 5.0, 5.0), (30.0, 6.0, 50.0, 11.0)],), ([(0.0, 0.0, 5.0, 5.0), (3.0, 6.0, 9.0, 11.0)],)], "b array<struct<x0:double,y0:double,x1:double,y1:double>>")
+    assert [r[0] for r in df.select(G.irregular(F.col("b"))).collect()] == [True, False]
+    turned = df.select(G.corners(F.col("b")[0], F.lit(90.0)).alias("c")).first().c
+    assert abs(turned[0].x - 5.0) < 1e-9 and abs(turned[0].y) < 1e-9
