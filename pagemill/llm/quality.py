@@ -26,25 +26,28 @@ BUCKETS = 1 << 21
 BLOCK = 1 << 15
 #: Labelled documents that are learned from: about so many good ones and so many others, chosen by a hash of their ids.
 MOST_LABELLED = 20_000
-LEVELS, LEAST_RATIO = (3.0, 4.5, 6.0, 9.0), 2.0
+LEVELS, LEAST_RATIO = (3.0, 4.0, 5.0, 6.0, 7.5, 9.0), 2.0
 SHARPNESS = 8.0
 CHUNK = 1 << 20
 WEIGHTS = [f"w{i}" for i in range(len(LEVELS))]
 
 
 def features(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Buckets of all runs and of all pairs of neighbouring runs, text after text; and the texts' bounds."""
+    """Buckets of the distinct runs and pairs of neighbouring runs of each text, and the texts' bounds.
+
+    A text counts an n-gram once, so that a word which one text repeats a thousand times says little of others. That
+    much of a text repeats is an n-gram of its own: one for each halving of the share of its pairs that are distinct.
+    """
     h, first = runs(texts)
     shift = np.uint64(64 - BUCKETS.bit_length() + 1)
-    one = (h >> shift).astype(np.int64)
-    two = (mix(h[:-1] * np.uint64(3) + h[1:]) >> shift).astype(np.int64) if len(h) else one
-    two = np.append(two, 0)[: len(one)]
-    out = np.stack([one, two], 1).ravel()
-    keep = np.ones(len(out), bool)
-    last = first[1:][first[1:] > first[:-1]] - 1
-    keep[2 * last + 1] = False  # the last run has no right neighbour
-    upto = np.concatenate([[0], np.cumsum(keep)])
-    return out[keep], upto[2 * first]
+    of = np.repeat(np.arange(len(texts)), np.diff(first))
+    inside = of[:-1] == of[1:]
+    pairs = of[:-1][inside] * BUCKETS + (mix(h[:-1] * np.uint64(3) + h[1:])[inside] >> shift).astype(np.int64)
+    distinct = np.unique(pairs)
+    many, few = (np.bincount(x // BUCKETS, minlength=len(texts)) for x in (pairs, distinct))
+    halved = [np.flatnonzero((many >= 1 << j) & (few << j <= many)) * BUCKETS + int(mix(np.array([j], np.uint64))[0] >> shift) for j in range(1, 8)]
+    keys = np.unique(np.concatenate([of * BUCKETS + (h >> shift).astype(np.int64), distinct, *halved]))
+    return keys % BUCKETS, np.searchsorted(keys, np.arange(len(texts) + 1) * BUCKETS)
 
 
 def _add(counts: np.ndarray, found: np.ndarray) -> None:
