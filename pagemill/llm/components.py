@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from pagemill.llm._common import materialize
 
+#: So many links (of 16 bytes) are contracted by one task; more are by all, in rounds. Results are the same.
+LOCAL = 1 << 17
+
 
 def _forest(batches):
     """Each partition keeps a spanning forest of its links: every node with the smallest of its tree."""
@@ -32,6 +35,10 @@ def _forest(batches):
         yield pa.RecordBatch.from_pydict({"node": pa.array([p[0] for p in part], pa.int64()), "low": pa.array([p[1] for p in part], pa.int64())})
 
 
+def _with_roots(pairs: DataFrame) -> DataFrame:
+    return pairs.union(pairs.select(F.col("low").alias("node"), "low").distinct())
+
+
 def _state(pairs: DataFrame) -> tuple:
     """Number of links and the sum of their hashes: equal sets have equal states."""
     return tuple(pairs.agg(F.count("*"), F.sum(F.xxhash64("node", "low").cast("decimal(38,0)"))).first())
@@ -46,7 +53,9 @@ def components(links: DataFrame) -> DataFrame:
     pairs = links.select(F.col("a").cast("bigint"), F.col("b").cast("bigint")).where("a is not null and b is not null and a <> b")
     pairs = materialize(pairs.mapInArrow(_forest, "node bigint, low bigint"), "links")
     state = _state(pairs)
-    while state[0]:
+    if state[0] <= LOCAL:  # a spanning forest of bounded size is contracted by one task
+        return pairs.repartition(1).mapInArrow(_forest, "node bigint, low bigint").transform(_with_roots)
+    while True:
         # Large star: every larger neighbour of a node is tied to the smallest of its neighbourhood.
         both = pairs.union(pairs.select(F.col("low").alias("node"), F.col("node").alias("low")))
         least = both.groupBy("node").agg(F.min("low").alias("m")).select("node", F.least("m", "node").alias("m"))
@@ -58,4 +67,4 @@ def components(links: DataFrame) -> DataFrame:
         before, state, pairs = state, _state(new), new
         if state == before:
             break
-    return pairs.groupBy("node").agg(F.min("low").alias("low")).union(pairs.select(F.col("low").alias("node"), "low").distinct()).groupBy("node").agg(F.min("low").alias("low"))
+    return _with_roots(pairs.groupBy("node").agg(F.min("low").alias("low")))

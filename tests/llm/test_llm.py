@@ -164,7 +164,9 @@ def test_near_groups(unique, docs, nothing):
     assert near_dedup.near_groups(nothing).count() == 0
 
 
-def test_components(spark):
+@pytest.mark.parametrize("local", [0, 1 << 17])
+def test_components(spark, monkeypatch, local):
+    monkeypatch.setattr("pagemill.llm.components.LOCAL", local)
     links = [(RNG.randrange(60), RNG.randrange(60)) for _ in range(40)] + [(i, i + 1) for i in range(100, 130)]
     parent = {}
 
