@@ -204,6 +204,8 @@ class WarcReader(DataSourceReader):
         return True
 
     def read(self, partition):
+        if partition is None:  # no files
+            return
         where, _ = _place(self.path)
         asked = set(self.columns)
         schema = pa.schema([(c, {"http_length": pa.int64(), "position": pa.int64(), "payload": pa.binary()}.get(c, pa.string())) for c in self.columns])
