@@ -32,7 +32,8 @@ def _row(job: str, s: tuple) -> dict:
 
 
 def track(events: DataFrame) -> DataFrame:
-    """A stream of (job_id, ts, current, total, state) as one of job states; finished jobs are kept for a day."""
+    """A stream of (job_id, ts, current, total, state) as one of job states; a job is kept for a day of
+    event time after its last event."""
 
     def update(key, frames, state: GroupState):
         if state.hasTimedOut:
@@ -43,10 +44,10 @@ def track(events: DataFrame) -> DataFrame:
             for r in frame.sort_values(["ts", "current"]).itertuples():
                 own = advance(own, r.ts.timestamp(), int(r.current), int(r.total), r.state)
         state.update(own)
-        state.setTimeoutDuration(RETENTION_HOURS * 3600 * 1000)
+        state.setTimeoutTimestamp(max(int(own[1] * 1000) + RETENTION_HOURS * 3600 * 1000, state.getCurrentWatermarkMs() + 1))
         yield pd.DataFrame([_row(key[0], own)])
 
-    return events.groupBy("job_id").applyInPandasWithState(update, OUT, STATE, "update", GroupStateTimeout.ProcessingTimeTimeout)
+    return events.withWatermark("ts", "1 hour").groupBy("job_id").applyInPandasWithState(update, OUT, STATE, "update", GroupStateTimeout.EventTimeTimeout)
 
 
 def track_batch(events: DataFrame) -> DataFrame:
