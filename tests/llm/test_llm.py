@@ -274,6 +274,34 @@ def test_url_models_tell_urls_apart(spark):
     assert (good >= model.threshold).mean() > 0.95 and (bad < model.threshold).mean() > 0.95
 
 
+def test_url_models_count_exactly(spark):
+    """More contexts than any fixed table would hold apart."""
+    signs = "abcdefghijklmnopqrstuvwxyz0123456789-_~%é漢"
+    rows = [(i, "".join(RNG.choice(signs) for _ in range(40)), "allow" if i % 3 else "block") for i in range(4000)]
+    rows += [(4000, "nul\0\0in\0", "block"), (4001, None, "allow")]
+    df = spark.createDataFrame(rows, "page_id bigint, url string, verdict string")
+    held = {r.page_id for r in df.where(url_filter._held(F.coalesce("url", F.lit("")))).collect()}
+    seen, follow = collections.Counter(), collections.Counter()
+    grams = lambda t: [(p[i - k : i], p[i], k) for p in ["\x02" * 4 + t + "\x03"] for i in range(4, len(p)) for k in range(5)]
+    for i, url, side in rows:
+        if i not in held:
+            for context, c, k in grams(url or ""):
+                seen[side, context] += 1
+                follow[side, context, c] += 1
+
+    def want(t):
+        total = 0.0
+        for side, sign in (("allow", 1), ("block", -1)):
+            for context, c, k in grams(t):
+                p = (follow[side, context, c] + 2.0 * (p if k else 1 / 256)) / (seen[side, context] + 2.0)
+                total += sign * np.log(p) if k == 4 else 0
+        return total / (len(t) + 1)
+
+    texts = [r[1] or "" for r in rows[:20] + rows[-2:]] + ["".join(RNG.choice(signs) for _ in range(30)) for _ in range(20)]
+    assert len({x for x in seen if len(x[1]) == 4}) > 1 << 16
+    assert np.allclose(url_filter.fit(df).score(texts), [want(t) for t in texts], atol=1e-8)
+
+
 def test_warc(spark, tmp_path):
     pages = [(1, "http://a/\n1", "<p>x</p>"), (2, None, "<p>x</p>"), (5, "u", "<p>x</p>"), (3, "v", "é" * 70_000), (4, "w", None), (None, "z", "q"), (6, "w2", "")]
     df = spark.createDataFrame(pages, "page_id bigint, url string, html string").withColumn("payload", F.lit(1))
