@@ -1,6 +1,7 @@
 """Benchmark decontamination by SimHash fingerprints of item-sized windows.
 
-A document's words (runs of letters and numbers, lower case) are seen through windows of as many words as an item has.
+A document's words (runs of letters and numbers, lower case) are seen through windows of as many words as an item has; a
+document of fewer words than the item is one window.
 Windows and items have 128-bit SimHash fingerprints of their word shingles, weighted by how often they occur. The items'
 fingerprints are indexed by BLOCKS blocks: two within RADIUS bits differ in at most RADIUS // BLOCKS bits of some block,
 so that probing every block with all its values so near finds all of them. Found pairs are verified by the exact
@@ -86,8 +87,9 @@ def matches(hashes: np.ndarray, index: Index, least: float) -> list[tuple[int |
             hits = np.concatenate([[0], np.cumsum(np.isin(own[low:high], known))])
             for n, (size, items, prints, probe) in index.sizes.items():
                 m = n - w + 1  # shingles of a window
-                if size != w or high - low < m:
+                if size != w or (high - low) / m < least:  # no similarity can be higher
                     continue
+                m = min(m, high - low)  # a document of fewer words than the item is one window
                 starts = np.flatnonzero(hits[m:] - hits[:-m] > 0)
                 windows = _fingerprints(upto[starts + m] - upto[starts])
                 found = np.zeros((len(starts), len(items)), bool)
@@ -101,7 +103,7 @@ def matches(hashes: np.ndarray, index: Index, least: float) -> list[tuple[int |
                     similarity = weighted_jaccard(own[at : at + m], items[j][1])
                     key = (n, j)
                     if similarity >= least and (key not in best or similarity > best[key][4]):
-                        best[key] = (items[j][0], at, n, d, similarity)
+                        best[key] = (items[j][0], at, m + w - 1, d, similarity)
     return list(best.values())
 
 

@@ -229,6 +229,18 @@ def test_decontamination(spark, nothing):
     assert decontaminate.contaminated(nothing, bench).count() == 0 and decontaminate.contaminated(df, bench.limit(0)).count() == 0
 
 
+def test_decontamination_of_shorter_documents(spark):
+    """Items less their last or first words: one window of the whole document."""
+    word = lambda i, k: f"w{i}x{k}"
+    items = [(i, [word(i, k) for k in range(n)]) for i, n in enumerate((15, 38, 59, 9))]
+    cuts = [(10, items[0][1][:-1], 0, 10 / 11), (11, items[0][1][:-2], 0, 9 / 11), (12, items[1][1][5:], 1, 29 / 34), (13, items[2][1][:-5], 2, 50 / 55), (14, items[0][1][:-3], None, 8 / 11), (15, items[3][1][:-1], 3, 4 / 5), (16, items[3][1][:-2], None, 3 / 5), (17, items[0][1][:3], None, 0)]
+    df = spark.createDataFrame([(i, " ".join(t)) for i, t, _, _ in cuts], "doc_id bigint, text string")
+    bench = spark.createDataFrame([(i, " ".join(t)) for i, t in items], "item_id bigint, text string")
+    got = {(r.doc_id, r.item_id, r.start_word, r.n_words): r.similarity for r in decontaminate.contaminated(df, bench).collect()}
+    assert got == pytest.approx({(i, item, 0, len(t)): similarity for i, t, item, similarity in cuts if item is not None})
+    assert {r.doc_id for r in decontaminate.keep_clean(df, bench).collect()} == {14, 16, 17}
+
+
 def test_fingerprints(docs, unique, nothing):
     rows = sorted(((r.doc_id, r.text or "") for r in unique.collect()), reverse=True)
     got = {r.doc_id: r for r in fingerprint.fingerprints(unique).collect()}
