@@ -475,3 +475,23 @@ def q59_options(s, d):
     k = F.col("page_id")
     dpi = F.when(k % 4 == 0, " 170 ").when(k % 4 == 1, "240").when(k % 4 == 2, "300").otherwise("x")
     return A.table(s, d, "pages").select("page_id", T.chosen(dpi, (170, 200, 240), 200).alias("dpi"), T.clamped(k.cast("string"), 0, 64, 1).alias("workers"))
+
+
+HTML_BLOCKS = "html_blocks AS (" + " UNION ALL ".join(
+    rf"""SELECT page, '{kind}' AS kind, generate_subscripts(l, 1) - 1 AS block_no, trim(regexp_replace(replace(regexp_replace(unnest(l), '<[^>]*>', ' ', 'g'), chr(173), ''), '[ \t\r\f\v]+', ' ', 'g'), chr(10) || ' ') AS t FROM (SELECT page_id AS page, regexp_extract_all(html, '(?s)<{tag}>(.*?)</{tag}>', 1) AS l FROM pages)"""
+    for tag, kind in {"title": "title", "h1": "heading", "p": "paragraph", "li": "item", "nav": "navigation", "footer": "footer"}.items()
+) + ")"
+
+
+@query(rf"""WITH {HTML_BLOCKS}, f AS (SELECT *, CASE kind WHEN 'title' THEN 20.0 WHEN 'heading' THEN 14.0 WHEN 'footer' THEN 8.0 ELSE 10.0 END AS size, CASE kind WHEN 'title' THEN 0.04 WHEN 'heading' THEN 0.1 WHEN 'paragraph' THEN 0.2 WHEN 'footer' THEN CASE page % 2 WHEN 0 THEN 0.96 ELSE 0.9 END ELSE 0.02 END AS top FROM html_blocks),
+m AS (SELECT page, median(size) AS m FROM f GROUP BY 1)
+SELECT page, kind, block_no, CASE WHEN regexp_matches(t, '(?i)^(page\s*)?\d+(\s*/\s*\d+)?$') AND (top < 0.08 OR top + 0.02 > 0.92) THEN 'page_number' WHEN regexp_matches(t, '(?i)^(figure|fig\.|table)\s+\d+') THEN 'caption'
+ WHEN page = 1 AND block_no <= 3 AND size >= greatest(16.0, m * 1.55) THEN 'title' WHEN length(t) <= 180 AND size >= greatest(12.0, m * 1.25) THEN 'heading' WHEN top < 0.035 THEN 'header' WHEN top + 0.02 > 0.965 THEN 'footer' WHEN top + 0.02 > 0.82 AND size < m * 0.9 THEN 'footnote' ELSE 'paragraph' END AS block_type FROM f JOIN m USING (page)""")
+def q60_html_block_classes(s, d):
+    """All blocks of all pages, each against its page's median size."""
+    of = lambda other, **by: F.coalesce(*[F.when(F.col("kind") == k, v) for k, v in by.items()], other)
+    top = of(F.lit(0.02), title=F.lit(0.04), heading=F.lit(0.1), paragraph=F.lit(0.2), footer=F.when(F.col("page") % 2 == 0, 0.96).otherwise(0.9))
+    blocks = A.html_blocks(A.table(s, d, "pages")).withColumns({"size": of(F.lit(10.0), title=F.lit(20.0), heading=F.lit(14.0), footer=F.lit(8.0)), "top": top})
+    median = blocks.groupBy("page").agg(F.median("size").alias("m"))
+    kind = layout.classify(F.col("text"), F.col("size"), F.col("size"), F.col("m"), F.col("top"), F.col("top") + 0.02, F.col("page"), F.col("block_no"))
+    return blocks.join(median, "page").select("page", "kind", "block_no", kind.alias("block_type"))

@@ -26,7 +26,8 @@ def visual_lines(documents: DataFrame, width: int = 80) -> DataFrame:
 def html_blocks(pages: DataFrame) -> DataFrame:
     """(page, kind, block_no, text): titles, headings, paragraphs, list items, navigation and footers of pages."""
     kinds = {"title": "title", "h1": "heading", "p": "paragraph", "li": "item", "nav": "navigation", "footer": "footer"}
-    each = [F.transform(F.regexp_extract_all("html", F.lit(rf"(?s)<{tag}>(.*?)</{tag}>"), 1), lambda x, i, k=kind: F.struct(F.lit(k).alias("kind"), i.alias("block_no"), x.alias("text"))) for tag, kind in kinds.items()]
+    block = lambda kind: lambda x, i: F.struct(F.lit(kind).alias("kind"), i.alias("block_no"), x.alias("text"))
+    each = [F.transform(F.regexp_extract_all("html", F.lit(rf"(?s)<{tag}>(.*?)</{tag}>"), 1), block(kind)) for tag, kind in kinds.items()]
     clean = lambda c: T.squeeze(F.regexp_replace(c, r"<[^>]*>", " "))
     return pages.select(F.col("page_id").alias("page"), F.inline(F.concat(*each))).withColumn("text", clean(F.col("text")))
 

@@ -1,6 +1,7 @@
 """Every query against its SQL twin in DuckDB."""
 
 import math
+import re
 
 import duckdb
 import pandas as pd
@@ -39,3 +40,12 @@ def test_query(spark, sf, duck, name):
         assert rows(got) == rows(want)
     else:
         assert len(got)
+
+
+def test_every_html_block_is_classified(spark, sf, duck):
+    """One row a block of whole pages, counted without the adapter."""
+    got = catalog.QUERIES["q60_html_block_classes"](spark, sf).toPandas()
+    pages = duck.sql("select html from pages").df()["html"]
+    want = sum(len(re.findall(rf"(?s)<{tag}>.*?</{tag}>", html)) for html in pages for tag in ("title", "h1", "p", "li", "nav", "footer"))
+    assert len(got) == want > 5 * len(pages)
+    assert {"heading", "header", "footer", "footnote", "paragraph"} <= set(got.block_type)
