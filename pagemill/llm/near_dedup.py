@@ -27,7 +27,8 @@ K = 64
 #: Texts that consist largely of what is common (a value of theirs is indexed for more than LONG texts) are indexed anew
 #: among themselves by sketches of WIDE values, which for most texts is their whole set.
 LONG, WIDE = 48, 512
-#: Standard deviations below the mean of what two sketches have in common: so deep lies less than one of 10**8 pairs.
+#: Standard deviations below the mean of what two sketches have in common: the exact
+#: binomial tail at the stated similarity is up to 1.5e-7 a pair (0.85, 64 values) and 1.9e-8 (0.8).
 DEVIATIONS = 6.0
 STAR_ROUNDS = 2
 CHUNK = 1 << 20
@@ -111,7 +112,8 @@ def near_groups(docs: DataFrame, words: int = 5, percent: int = 80, k: int = K,
 
     Words are runs of bytes other than U+0020 and U+0009-U+000D, A-Z lower-cased; a text of fewer than `words` words is
     one shingle. Two texts are linked where 100 * |A & B| >= percent * |A | B|. component_id is the smallest doc_id that
-    can be reached, kept says whether it is the row's own; n_links counts the verified links of the row's class.
+    can be reached, kept says whether it is the row's own; n_links counts the links used
+    to connect the row's class: pairs within a component that is already joined are not verified, and not counted.
 
     A null, empty or blank text has no shingles, stays alone and is kept. Rows with equal sets are one class. A null id
     counts as the smallest one. Rows that repeat an id get a row each; with different texts they are documents of their
