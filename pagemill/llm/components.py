@@ -5,10 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagemill.llm._common import materialize
-
-#: So many links (of 16 bytes) are contracted by one task; more are by all, in rounds. Results are the same.
-LOCAL = 1 << 17
+from pagemill.llm._common import Scratch
 
 
 def _forest(batches):
@@ -35,10 +32,6 @@ def _forest(batches):
         yield pa.RecordBatch.from_pydict({"node": pa.array([p[0] for p in part], pa.int64()), "low": pa.array([p[1] for p in part], pa.int64())})
 
 
-def _with_roots(pairs: DataFrame) -> DataFrame:
-    return pairs.union(pairs.select(F.col("low").alias("node"), "low").distinct())
-
-
 def _state(pairs: DataFrame) -> tuple:
     """Number of links and the sum of their hashes: equal sets have equal states."""
     return tuple(pairs.agg(F.count("*"), F.sum(F.xxhash64("node", "low").cast("decimal(38,0)"))).first())
@@ -50,12 +43,11 @@ def components(links: DataFrame) -> DataFrame:
     Nodes without a link do not appear. Null ends are dropped; self-links and repeated links change nothing; an empty
     table gives an empty table.
     """
+    scratch = Scratch(links.sparkSession)
     pairs = links.select(F.col("a").cast("bigint"), F.col("b").cast("bigint")).where("a is not null and b is not null and a <> b")
-    pairs = materialize(pairs.mapInArrow(_forest, "node bigint, low bigint"), "links")
+    pairs = scratch.keep(pairs.mapInArrow(_forest, "node bigint, low bigint"), "links")
     state = _state(pairs)
-    if state[0] <= LOCAL:  # a spanning forest of bounded size is contracted by one task
-        return pairs.repartition(1).mapInArrow(_forest, "node bigint, low bigint").transform(_with_roots)
-    while True:
+    while state[0]:
         # Large star: every larger neighbour of a node is tied to the smallest of its neighbourhood.
         both = pairs.union(pairs.select(F.col("low").alias("node"), F.col("node").alias("low")))
         least = both.groupBy("node").agg(F.min("low").alias("m")).select("node", F.least("m", "node").alias("m"))
@@ -63,8 +55,9 @@ def components(links: DataFrame) -> DataFrame:
         # Small star: every smaller neighbour (and the node itself) is tied to the smallest one.
         least = large.groupBy("node").agg(F.min("low").alias("m"))
         small = large.join(least, "node").select(F.col("low").alias("node"), F.col("m").alias("low")).union(least.select("node", F.col("m").alias("low")))
-        new = materialize(small.where("node <> low").distinct(), "links")
-        before, state, pairs = state, _state(new), new
+        pairs = scratch.keep(small.where("node <> low").distinct(), "links")
+        before, state = state, _state(pairs)
         if state == before:
             break
-    return _with_roots(pairs.groupBy("node").agg(F.min("low").alias("low")))
+    lows = pairs.groupBy("node").agg(F.min("low").alias("low"))
+    return lows.union(pairs.select(F.col("low").alias("node"), "low").distinct())

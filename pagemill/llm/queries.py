@@ -29,7 +29,7 @@ def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_dedup.near_groups(_table(spark, sf_dir, "documents"), words=3, percent=85).drop("n_links")
+    return near_dedup.near_groups(_table(spark, sf_dir, "documents"), words=3, percent=85)
 
 
 def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:

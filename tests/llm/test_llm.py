@@ -161,12 +161,74 @@ def test_near_groups(unique, docs, nothing):
     every = near_dedup.near_groups(docs, 3, 85).collect()
     assert len(every) == docs.count()
     assert {r.component_id for r in every if r.doc_id == 3} == {3} and {r.component_id for r in every if r.doc_id is None} == {None}
-    assert near_dedup.near_groups(nothing).count() == 0
+    assert near_dedup.near_groups(nothing).count() == 0 and near_dedup.keep_one(nothing).count() == 0
 
 
-@pytest.mark.parametrize("local", [0, 1 << 17])
-def test_components(spark, monkeypatch, local):
-    monkeypatch.setattr("pagemill.llm.components.LOCAL", local)
+def near_texts(rng, base, n, edits):
+    """Copies of base, each with some of its words replaced."""
+    for _ in range(n):
+        words_ = base.split()
+        for at in rng.sample(range(len(words_)), rng.randrange(1, edits + 1)):
+            words_[at] = f"{rng.choice(VOCABULARY)}{rng.randrange(9)}"
+        yield " ".join(words_)
+
+
+def brute_components(rows, percent):
+    """{id: smallest id reachable}, of {id: set of shingles}."""
+    parent = {i: i for i in rows}
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for i, a in rows.items():
+        for j, b in rows.items():
+            if i < j and a and b and 100 * len(a & b) >= percent * len(a | b):
+                x, y = sorted((root(i), root(j)))
+                parent[y] = x
+    return {i: root(i) for i in rows}
+
+
+@pytest.mark.parametrize("words_, percent, edits", [(3, 85, 6), (5, 80, 7)])
+def test_near_groups_of_many(spark, tmp_path, words_, percent, edits):
+    """A large group of near copies of a text that is there or not, one of exact copies, a passage shared by unlike texts,
+    texts of more shingles than a wide sketch keeps: every link is found, none more."""
+    rng = random.Random(5)
+    prose_ = lambda n: " ".join(rng.choice(VOCABULARY) for _ in range(n))
+    there, absent, passage, long_ = prose_(120), prose_(100), prose_(30), prose_(1500)
+    texts = [there, *near_texts(rng, there, 150, edits), *near_texts(rng, absent, 90, edits - 2)]
+    texts += [f"{prose_(rng.randrange(1, 60))} {passage} {prose_(rng.randrange(1, 9))}" for _ in range(90)]
+    texts += [prose_(30)] * 60 + [long_, *near_texts(rng, long_, 12, 60)]
+    texts += [t.upper() for t in texts[:3]] + [f"{t} more" for t in texts[100:120]]
+    rng.shuffle(texts)
+    path = str(tmp_path / "t")
+    spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").repartition(5).write.parquet(path)
+    df = spark.read.parquet(path)
+    sets = {i: shingles(t, words_) for i, t in enumerate(texts)}
+    want = brute_components(sets, percent)
+    assert len(set(want.values())) < len(want) - 150
+    got = {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in near_dedup.near_groups(df, words_, percent).collect()}
+    assert got == {i: (len(sets[i]), c, i == c) for i, c in want.items()}
+    assert {r.doc_id for r in near_dedup.keep_one(df, words_, percent).collect()} == set(want.values())
+
+
+def test_keep_one_of_rows_that_share_an_id(spark, tmp_path):
+    """An id with unlike texts and with near copies, null ids, exact repeats, clashing names."""
+    rng = random.Random(6)
+    a, b, c = (" ".join(rng.choice(VOCABULARY) for _ in range(60)) for _ in range(3))
+    rows = [(3, a, 1), (5, b, 2), (5, a + " tail", 3), (6, c, 4), (6, c + " tail", 5), (6, c, 4), (None, b + " x", 6), (None, None, 7), (None, "", 8), (9, "", 9), (9, "", 9)]
+    path = str(tmp_path / "t")
+    spark.createDataFrame([(i, t, k, 0, {"m": 1}) for i, t, k in rows], "doc_id bigint, text string, key int, rep int, h map<string,int>").write.parquet(path)
+    df = spark.read.parquet(path)
+    out = near_dedup.keep_one(df).collect()
+    assert out[0].asDict().keys() == set(df.columns)
+    kept = collections.Counter((r.doc_id, r.text) for r in out)
+    assert {kept.pop(x) for x in ((3, a), (None, b + " x"), (None, None), (None, ""), (9, ""))} == {1}
+    assert len(kept) == 1 and [*kept][0] in {(6, c), (6, c + " tail")} and [*kept.values()] == [1]
+
+
+def test_components(spark):
     links = [(RNG.randrange(60), RNG.randrange(60)) for _ in range(40)] + [(i, i + 1) for i in range(100, 130)]
     parent = {}
 
