@@ -20,14 +20,12 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def minhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates (five words, similarity 0.8) the document of the smallest id stays.
+    """Of each group of near-duplicates (five words, similarity 0.8) one document stays: that of the smallest id, or of
+    rows that share it, of the smallest hash of the text.
 
     Texts without words are in no group and stay. Of rows that repeat id and text one stays.
     """
-    kept = near_dedup.near_groups(docs, words=5, percent=80).where("kept").select(F.col("doc_id").alias("kept_id")).distinct()
-    out = docs.join(kept, docs["doc_id"].eqNullSafe(kept["kept_id"]), "left_semi")
-    repeated = docs.groupBy("doc_id").count().where("count > 1").limit(1).count()
-    return out.dropDuplicates(["doc_id", "text"]) if repeated else out
+    return near_dedup.keep_one(docs, words=5, percent=80)
 
 
 def suffix_array_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
