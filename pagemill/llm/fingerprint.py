@@ -76,33 +76,38 @@ def packed(a: Column) -> Column:
     return F.array_join(F.transform(a, lambda x: F.lpad(F.hex(x.cast("bigint")), BITS // 4, "0")), "")
 
 
+def _window(k: Column) -> Column:
+    """The number of an id's window: 0 to 2**52, in the order of the ids, whatever their signs."""
+    return F.shiftrightunsigned(k.bitwiseXOR(F.lit(NULL_ID)), SPAN)
+
+
 def _next_lower(keys: DataFrame, low: int, high: int) -> DataFrame:
-    """(k, following): for each distinct k the next lower one, the highest after the lowest. A window holds no more than
-    2 ** SPAN keys; the ends of windows are settled by the same means among windows."""
-    w = Window.partitionBy(F.shiftright("k", SPAN)).orderBy(F.desc("k"))
-    led = keys.select("k", F.lead("k").over(w).alias("following"))
-    if low >> SPAN == high >> SPAN:
+    """(k, following): for each distinct k, from low to high and not negative, the next lower one, the highest after the
+    lowest. A window holds no more than 2 ** SPAN keys; the ends of windows are settled by the same means among windows."""
+    window = F.shiftright(F.col("k") - low, SPAN)
+    led = keys.select("k", window.alias("b"), F.lead("k").over(Window.partitionBy(window).orderBy(F.desc("k"))).alias("following"))
+    last = (high - low) >> SPAN
+    if not last:
         return led.select("k", F.coalesce("following", F.lit(high)).alias("following"))
-    tops = keys.groupBy(F.shiftright("k", SPAN).alias("b")).agg(F.max("k").alias("top"))
-    after = _next_lower(tops.select(F.col("b").alias("k")), low >> SPAN, high >> SPAN).withColumnRenamed("k", "b")
-    entry = after.join(tops.select(F.col("b").alias("following"), "top"), "following").select("b", "top")
-    return led.join(entry, F.shiftright("k", SPAN) == F.col("b")).select("k", F.coalesce("following", "top").alias("following"))
+    tops = keys.groupBy(window.alias("b")).agg(F.max("k").alias("top"))
+    after = _next_lower(tops.select(F.col("b").alias("k")), 0, last).withColumnRenamed("k", "b")
+    entry = after.join(tops.withColumnRenamed("b", "following"), "following").select("b", "top")
+    return led.join(entry, "b").select("k", F.coalesce("following", "top").alias("following"))
 
 
 def with_next(docs: DataFrame) -> DataFrame:
     """docs (id, text, fp) with next_text and next_fp, those of the next row by descending id (after the last: the first).
 
     Rows of one id follow by hash of the text, then by text. One shuffle: ids of a window share all but their low bits,
-    and each window gets a copy of the row with which the next one begins.
+    and each window gets a copy of the row with which the next one begins. Rows that repeat an id share a window.
     """
-    low, high = docs.agg(F.min("id"), F.max("id")).first()
+    ordered = F.struct("id", F.xxhash64("text").alias("h"), "text")
+    keyed = docs.select(_window(F.col("id")).alias("w"), "id", "text")
+    low, high = keyed.agg(F.min("w"), F.max("w")).first()
     if low is None:
         return docs.select("*", F.col("text").alias("next_text"), F.col("fp").alias("next_fp"))
-    ordered = F.struct("id", F.xxhash64("text").alias("h"), "text")
-    keyed = docs.select(F.shiftright("id", SPAN).alias("w"), "id", "text")
     tops = keyed.groupBy("w").agg(F.max(ordered).alias("top"))
-    windows = docs.select(F.shiftright("id", SPAN).alias("k")).distinct()
-    after = _next_lower(windows, low >> SPAN, high >> SPAN)
+    after = _next_lower(keyed.select(F.col("w").alias("k")).distinct(), low, high)
     ghosts = after.join(tops.withColumnRenamed("w", "following"), "following").select(F.col("k").alias("w"), F.lit(None).cast("bigint").alias("id"), F.col("top.text").alias("text"))
     rows = with_fingerprint(keyed.unionByName(ghosts), "text", "fp")
     w = Window.partitionBy("w").orderBy(F.col("id").desc_nulls_last(), F.xxhash64("text").desc(), F.desc("text"))

@@ -322,9 +322,55 @@ def shingles_case(text):
     return {tuple(w[i : i + 5]) for i in range(len(w) - 4)}
 
 
+def signature(text, bins=128):
+    """One-permutation values of a text's distinct five-word runs before densification: {bin: least hash}, by plain code."""
+    from pyspark.sql import SparkSession
+
+    words_ = re.split(r"[\x20\x09-\x0D]+", text.strip(" \t\n\x0b\x0c\r"))
+    runs = [words_[i : i + 5] for i in range(max(1, len(words_) - 4))]
+    frame = SparkSession.getActiveSession().createDataFrame([(r + [None] * (5 - len(r)),) for r in runs], "r array<string>")
+    hashes = [r.h for r in frame.select(F.xxhash64(*[F.col("r")[i] for i in range(5)]).alias("h")).collect()]
+    least = {}
+    for h in hashes:
+        least[h >> 57] = min(least.get(h >> 57, h), h)
+    return least
+
+
+def test_fingerprint_bins(unique):
+    """Filled bins hold the low bits of their least hash; empty ones a value of a filled bin; likeness follows the bins."""
+    texts = {r.doc_id: r.text or "" for r in unique.collect()}
+    for r in fingerprint.fingerprints(unique).collect():
+        values = [int(r.fingerprint[i : i + 2], 16) for i in range(0, len(r.fingerprint), 2)]
+        if not texts[r.doc_id].strip(" \t\n\x0b\x0c\r"):
+            assert values == []
+            continue
+        least = signature(texts[r.doc_id])
+        assert len(values) == 128 and all(values[b + 64] == h & 255 for b, h in least.items())
+        assert set(values) <= {h & 255 for h in least.values()}
+        edited = [int(r.edited_fingerprint[i : i + 2], 16) for i in range(0, len(r.edited_fingerprint), 2)]
+        if edited:
+            same = sum(a == b for a, b in zip(values, edited)) / 128
+            assert abs(r.near_edited - min(1, max(0, (same - 1 / 256) / (1 - 1 / 256)))) < 1e-12
+
+
+@pytest.mark.parametrize("ids", [[None, 5, 7], [-1, 0, 1], [None, -(2**63) + 1, -4096, -5, 0, 3, 2**63 - 1], [7, 7, 7, -7, None, None]])
+def test_fingerprints_of_any_ids(spark, ids):
+    """Null, negative and repeated ids: each row's next one is that of the next lower id."""
+    df = spark.createDataFrame([(i, f"text number {k} of some") for k, i in enumerate(ids)], "doc_id bigint, text string")
+    order = {(r.doc_id, r.text): r.h for r in df.select("*", F.xxhash64("text").alias("h")).collect()}
+    rows = sorted(order, key=lambda x: (-(2**63) if x[0] is None else x[0], order[x]), reverse=True)
+    want = collections.Counter()
+    for k, (i, text) in enumerate(rows):
+        half = len(text) // 2
+        want[i, hashlib.sha256((text[: len(text) - half] + rows[(k + 1) % len(rows)][1][:half]).encode()).hexdigest()] += 1
+    got = fingerprint.fingerprints(df).collect()
+    assert collections.Counter((r.doc_id, r.edited_sha256) for r in got) == want
+
+
 def test_next_over_sparse_ids(spark):
-    ids = sorted({RNG.randrange(-(2**40), 2**62) for _ in range(50)}, reverse=True)
+    ids = sorted({RNG.randrange(-(2**62), 2**62) for _ in range(50)} | {-5, -4, 3}, reverse=True)
     df = spark.createDataFrame([(i, f"t{i}", None) for i in ids], "id bigint, text string, fp array<smallint>")
+    assert min(ids) < 0 < max(ids)
     got = {r.id: r.next_text for r in fingerprint.with_next(df).collect()}
     assert got == {i: f"t{j}" for i, j in zip(ids, [*ids[1:], ids[0]])}
 
