@@ -61,4 +61,49 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_language_id, op2_bpe, op3_suffix_dedup, op4_near_dedup, op5_warc, op6_decontaminate, op7_fingerprint, op8_quality, op9_url_filter, op10_token_counts)}
-ORACLES: dict[str, str] = {}
+
+#: 100-byte windows as hexadecimal digits; a window that also starts earlier covers its bytes; islands of covered bytes.
+_OP3 = """
+WITH raw AS (SELECT doc_id, lower(hex(encode(coalesce(text, '')))) AS h FROM documents),
+starts AS (SELECT doc_id, h, unnest(range(0, length(h) // 2 - 99)) AS p FROM raw),
+windows AS (SELECT doc_id, p, substr(h, 2 * p + 1, 200) AS w FROM starts),
+firsts AS (SELECT w, min((doc_id, p)) AS f FROM windows GROUP BY w HAVING count(*) > 1),
+later AS (SELECT x.doc_id, x.p FROM windows x JOIN firsts USING (w) WHERE (x.doc_id, x.p) > firsts.f),
+marked AS (SELECT doc_id, p, CASE WHEN p - lag(p) OVER (PARTITION BY doc_id ORDER BY p) <= 100 THEN 0 ELSE 1 END AS new FROM later),
+numbered AS (SELECT doc_id, p, sum(new) OVER (PARTITION BY doc_id ORDER BY p) AS run FROM marked),
+spans AS (SELECT doc_id, run, min(p) AS s, max(p) + 100 AS e FROM numbered GROUP BY doc_id, run),
+pieces AS (
+  SELECT doc_id, coalesce(lag(e) OVER (PARTITION BY doc_id ORDER BY s), 0) AS a, s AS b FROM spans
+  UNION ALL SELECT raw.doc_id, coalesce(max(e), 0), any_value(length(h)) // 2 FROM raw LEFT JOIN spans USING (doc_id) GROUP BY raw.doc_id),
+kept AS (SELECT doc_id, string_agg(substr(h, 2 * a + 1, 2 * (b - a)), '' ORDER BY a) AS k FROM pieces JOIN raw USING (doc_id) GROUP BY doc_id)
+SELECT doc_id, CAST(length(h) // 2 AS BIGINT) AS n_bytes, CAST((length(h) - length(k)) // 2 AS BIGINT) AS n_removed,
+  (SELECT count(*) FROM spans WHERE spans.doc_id = raw.doc_id) AS n_spans, sha256(unhex(k)) AS kept_sha256
+FROM raw JOIN kept USING (doc_id)
+"""
+
+_OP4 = """
+WITH RECURSIVE lowered AS (SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
+words AS (SELECT doc_id, list_filter(regexp_split_to_array(t, '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w FROM lowered),
+sets AS (SELECT doc_id, list_distinct(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
+  ELSE list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]) END) AS s FROM words),
+each AS (SELECT doc_id, len(s) AS n, unnest(s) AS v FROM sets),
+common AS (SELECT x.doc_id AS a, y.doc_id AS b, x.n AS n, y.n AS m, count(*) AS c FROM each x JOIN each y ON x.v = y.v AND x.doc_id < y.doc_id
+  AND 100 * least(x.n, y.n) >= 85 * greatest(x.n, y.n) GROUP BY ALL),
+links AS (SELECT a, b FROM common WHERE 100 * c >= 85 * (n + m - c)),
+edges AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+reach(doc_id, c) AS (SELECT doc_id, doc_id FROM documents UNION SELECT edges.b, reach.c FROM reach JOIN edges ON reach.doc_id = edges.a AND reach.c < edges.b),
+least_ AS (SELECT doc_id, min(c) AS component_id FROM reach GROUP BY doc_id)
+SELECT doc_id, CAST(len(s) AS BIGINT) AS n_shingles, component_id, doc_id = component_id AS kept FROM sets JOIN least_ USING (doc_id)
+"""
+
+_OP5 = """
+WITH raw AS (SELECT page_id, coalesce(html, '') AS t, sha1(coalesce(html, '')) AS h FROM pages),
+led AS (SELECT *, max(page_id) OVER (PARTITION BY t) AS lead FROM raw)
+SELECT page_id, CAST(octet_length(encode(t)) AS BIGINT) AS payload_bytes,
+  array_to_string(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + ((CAST('0x' || substr(h, CAST(1 + 5 * (i // 4) AS BIGINT), 5) AS BIGINT) >> CAST(15 - 5 * (i % 4) AS BIGINT)) & 31), 1)), '') AS payload_digest,
+  CASE WHEN page_id = lead THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> lead THEN lead END AS refers_to
+FROM led
+"""
+
+#: SQL expresses neither the other methods' models and samples nor the byte-pair merges; tests hold them against brute force.
+ORACLES: dict[str, str] = {"op3_suffix_dedup": _OP3, "op4_near_dedup": _OP4, "op5_warc": _OP5}

@@ -115,12 +115,12 @@ class _Bytes:
 
 def _headers(raw: bytes) -> dict[str, str]:
     """Names in lower case; continued lines are joined, of repeated ones the first counts."""
-    lines = re.sub(r"\r?\n[ \t]+", " ", raw.decode("utf-8", "replace")).splitlines()
+    lines = re.split(r"\r?\n", re.sub(r"\r?\n[ \t]+", " ", raw.decode("utf-8", "replace")))
     found: dict[str, str] = {}
     for line in lines[1:]:
         name, colon, value = line.partition(":")
         if colon:
-            found.setdefault(name.strip().lower(), value.strip())
+            found.setdefault(name.strip(" \t").lower(), value.strip(" \t"))
     return found
 
 
@@ -305,8 +305,11 @@ def archive(pages: DataFrame, path: str, least_bytes: int = 0, id_col: str = "pa
     register(pages.sparkSession)
     own = pages.select(F.coalesce(F.col(f"`{id_col}`").cast("bigint"), F.lit(NULL_ID)).alias("id"), F.col(f"`{url_col}`").alias("target_uri"), F.encode(F.coalesce(F.col(f"`{html_col}`"), F.lit("")), "UTF-8").alias("payload"))
     own = own.withColumns({"sha": F.sha2("payload", 256), "n": F.octet_length("payload")})
-    lead = own.where(F.col("n") >= least_bytes).groupBy("sha", "n").agg(F.max("id").alias("lead"))
-    rows = own.join(lead, ["sha", "n"], "left").withColumn("again", F.coalesce(F.col("id") != F.col("lead"), F.lit(False)))
+    # Equal payloads meet as ids and digests alone; payloads are dealt by id, of which no value is frequent.
+    slim = own.select("id", "sha", "n").where(F.col("n") >= least_bytes)
+    lead = slim.groupBy("sha", "n").agg(F.max("id").alias("lead"))
+    again = slim.join(lead, ["sha", "n"]).where("id <> lead").select("id", "sha", "lead").distinct()
+    rows = own.join(again, ["id", "sha"], "left").withColumn("again", F.col("lead").isNotNull())
     name = lambda c: F.concat(F.lit(PREFIX), F.when(F.col(c) == NULL_ID, "none").otherwise(F.col(c).cast("string")))
     rows.select(F.when(F.col("again"), "revisit").otherwise("response").alias("record_type"), name("id").alias("record_id"), "target_uri", F.lit(None).cast("string").alias("payload_digest"), F.when(F.col("again"), name("lead")).alias("refers_to"), "payload").write.format("warc").mode("append").save(path)
 

@@ -438,3 +438,30 @@ def test_warc(spark, tmp_path):
     assert bytes(full.payload) == b"body" and full.http_length == 4 and full.target_uri == "u"
     filtered = spark.read.format("warc").schema("record_id string").load(path).where("record_id = 'other'")
     assert filtered.count() == 0
+
+
+def test_warc_headers_cannot_be_smuggled(spark):
+    """Signs that other line ends are made of stay within the URL; ids repeat, payloads too."""
+    url = "http://a/\u2028WARC-Payload-Digest: sha1:AAAA\u0085WARC-Refers-To: <urn:pagemill:page:9>\x1cContent-Length: 3\r\nWARC-Type: revisit"
+    pages = [(1, url, "own"), (2, url, "same"), (3, url, "same"), (3, url, "other"), (2, "x", "same")]
+    df = spark.createDataFrame(pages, "page_id bigint, url string, html string").withColumn("sha", F.lit(1)).withColumn("id", F.lit(2)).withColumn("lead", F.lit(2))
+    digest = lambda t: base64.b32encode(hashlib.sha1(t.encode()).digest()).decode()
+    got = collections.Counter(tuple(r) for r in warc.round_trip(df).collect())
+    assert got == {(1, 3, digest("own"), "response", None): 1, (2, 4, digest("same"), "revisit", 3): 2, (3, 4, digest("same"), "response", None): 1, (3, 5, digest("other"), "response", None): 1}
+
+
+def test_sql_twins(spark):
+    """The queries that SQL expresses, on the whole small tables."""
+    import duckdb
+
+    from pagemill.llm import queries
+
+    con = duckdb.connect()
+    for table in ("documents", "pages"):
+        con.sql(f"create view {table} as select * from '/root/testdata/sf0.001/{table}.parquet'")
+    for name, sql in queries.ORACLES.items():
+        got = queries.QUERIES[name](spark, "/root/testdata/sf0.001")
+        want = con.sql(sql)
+        assert sorted(got.columns) == sorted(want.columns), name
+        rows = lambda found: sorted(map(tuple, found), key=repr)
+        assert rows(got.select(*want.columns).collect()) == rows(want.fetchall()), name
