@@ -271,6 +271,45 @@ def test_quality(spark, nothing):
     assert quality.resample(df, labels.limit(0))[0].where("not kept").count() == 0
 
 
+def test_quality_by_plain_counts(spark, tmp_path):
+    """Weights and the draw, with repeated rows and ids, ties, nulls and clashing names, against plain counts of n-grams."""
+    import math
+
+    rng = random.Random(3)
+    text = lambda i: " ".join(rng.choice(VOCABULARY[: 40 + 300 * (i % 3 == 0)]) for _ in range(30)) + (" vile" * 2 if i % 4 == 0 else "")
+    rows = [(i, text(i), 1, "w", "l") for i in range(300)]
+    rows += [rows[7], (8, rows[9][1], 1, "w", "l"), (None, rows[1][1], None, None, None), (None, None, 2, "", ""), (301, "", 0, "", "")]
+    path = str(tmp_path / "t")
+    spark.createDataFrame(rows, "doc_id bigint, text string, label int, weights string, id_ string").repartition(3).write.parquet(path)
+    df = spark.read.parquet(path)
+    labels = spark.createDataFrame([(i, 1, int(i % 4 == 0)) for i in range(0, 300, 1)], "doc_id bigint, quality int, toxic int")
+    got, model = quality.resample(df, labels)
+    got = sorted(map(tuple, got.collect()), key=repr)
+    marks = {r.doc_id: r.label for r in quality._labelled(df.select("doc_id", "text").distinct(), labels, quality.MOST_LABELLED).collect()}
+    grams = [quality.features([r[1] or ""])[0].tolist() for r in rows]
+    raw, target = collections.Counter(), collections.Counter()
+    for r, own in zip(rows, grams):
+        raw.update(own)
+        if marks.get(r[0]) == 1:
+            target.update(own)
+    share = sum(target.values()) / sum(raw.values())
+
+    def ratio(g):
+        expected, t = raw[g] * share, target[g]
+        away = math.sqrt(max(0.0, 2 * ((t * math.log(t / expected) if t else 0) - (t - expected))))
+        found = math.log((t + 1) / (expected + 1))
+        return found if abs(found) > math.log(quality.LEAST_RATIO) and away >= quality.LEVELS[model.level] else 0.0
+
+    noise = {r.doc_id: r.g for r in df.select("doc_id").distinct().withColumn("g", quality._gumbel(F.coalesce("doc_id", F.lit(0)), model.seed)).collect()}
+    weights = [sum(map(ratio, own)) for own in grams]
+    assert any(weights) and np.allclose(sorted(weights), sorted(w for _, w, _ in got), atol=1e-4)
+    keys = sorted((w * model.sharpness + noise[i] for i, w, _ in got), reverse=True)
+    k = sum(w >= model.least for _, w, _ in got)
+    assert 0 < k < len(rows) and sorted((i, w) for i, w, kept in got if kept and i is not None) == sorted((i, w) for i, w, _ in got if i is not None and w * model.sharpness + noise[i] >= keys[k - 1] - 1e-9)
+    kept = quality.keep(df, labels)
+    assert kept.columns == df.columns and sorted(r.doc_id for r in kept.collect() if r.doc_id is not None) == sorted(i for i, _, x in got if x and i is not None)
+
+
 def test_kth_largest(spark):
     keys = [RNG.choice([1.5, 2.5, RNG.gauss(0, 1)]) for _ in range(500)]
     df = spark.createDataFrame([(k,) for k in keys], "key double")
