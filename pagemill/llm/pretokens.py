@@ -9,6 +9,7 @@ documents are put together again by position. A word in a third of all rows trav
 from __future__ import annotations
 
 import functools
+import itertools
 import unicodedata
 from collections.abc import Callable, Iterator
 
@@ -129,18 +130,21 @@ def _blocks(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[tuple[int,
         yield base + block, ids, codes, list(number)
 
 
-def _by_bucket(words: list[str], buckets: int) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
-    """Order of the words by bucket, each word's bucket in that order, and the words' bytes in that order."""
+def _by_bucket(words: list[str], buckets: int, prefix: int | None) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
+    """Order of the words by bucket (a hash of the first `prefix` bytes), each word's bucket in that order, and the words'
+    bytes in that order."""
     raw = [w.encode() for w in words]
-    of = np.fromiter((xxhash.xxh32_intdigest(w) % buckets for w in raw), np.int64, len(raw))
+    of = np.fromiter((xxhash.xxh32_intdigest(w[:prefix]) % buckets for w in raw), np.int64, len(raw))
     order = np.argsort(of, kind="stable")
     return order, of[order], [raw[i] for i in order]
 
 
-def lookup(docs: DataFrame, answer: Callable[[], Callable[[list[bytes]], list[bytes]]], finish: Callable[[], Callable[[list, list[np.ndarray], list[bytes]], pa.RecordBatch]], schema: str, block_bytes: int) -> DataFrame:
+def lookup(docs: DataFrame, answer: Callable[[], Callable[[list[bytes]], list[bytes]]], finish: Callable[[], Callable[[list, list[np.ndarray], list[bytes]], pa.RecordBatch]], schema: str, block_bytes: int, prefix: int | None = None) -> DataFrame:
     """Rows of `finish` for the blocks of docs (doc_id, text; a stored table, which deals the same rows each time).
 
-    answer() gives a function from distinct words to their answers; it is called once for each word of the corpus.
+    answer() gives a function from distinct words in order to their answers; it is called once for all words of a bucket,
+    so once for each word of the corpus. Words go to buckets by hash, or by that of their first `prefix` bytes: then
+    words with a common beginning of that length meet. A bucket's words stand in memory, those of its blocks packed.
     finish() gives a function (ids, code sequences, answers by code) -> rows.
     """
     spark = docs.sparkSession
@@ -148,27 +152,26 @@ def lookup(docs: DataFrame, answer: Callable[[], Callable[[list[bytes]], list[by
 
     def words(batches):
         for block, _, _, found in _blocks(batches, block_bytes):
-            _, of, raw = _by_bucket(found, buckets)
+            _, of, raw = _by_bucket(found, buckets, prefix)
             cut = np.flatnonzero(np.diff(of)) + 1
             for a, b in zip([0, *cut], [*cut, len(raw)]) if raw else ():
                 part = raw[a:b]
                 yield pa.RecordBatch.from_pydict({"bucket": pa.array([int(of[a])], pa.int32()), "block": pa.array([block], pa.int64()), "base": pa.array([int(a)], pa.int32()), "lens": [_packed(np.fromiter(map(len, part), "<u4", len(part)))], "words": [_small(b"".join(part))]})
 
     def answered(batches):
-        reply, known, bucket = answer(), {}, None
-        for batch in batches:
-            for row in batch.to_pylist():
-                if row["bucket"] != bucket:
-                    bucket, known = row["bucket"], {}
-                found = unpack(row["lens"], row["words"])
-                new = [w for w in found if w not in known]
-                known.update(zip(new, reply(new)))
-                out = [known[w] for w in found]
+        reply = answer()
+        rows = (row for batch in batches for row in batch.to_pylist())
+        for _, same in itertools.groupby(rows, lambda row: row["bucket"]):
+            same = list(same)
+            distinct = sorted({w for row in same for w in unpack(row["lens"], row["words"])})
+            known = dict(zip(distinct, reply(distinct)))
+            for row in same:
+                out = [known[w] for w in unpack(row["lens"], row["words"])]
                 yield pa.RecordBatch.from_pydict({"block": pa.array([row["block"]], pa.int64()), "base": pa.array([row["base"]], pa.int32()), "lens": [_packed(np.fromiter(map(len, out), "<u4", len(out)))], "answers": [_small(b"".join(out))]})
 
     def coded(batches):
         for block, ids, codes, found in _blocks(batches, block_bytes):
-            order, _, _ = _by_bucket(found, buckets)
+            order, _, _ = _by_bucket(found, buckets, prefix)
             place = np.empty(len(order), np.uint32)
             place[order] = np.arange(len(order), dtype=np.uint32)
             # Words are numbered as they appear, so that common ones have small numbers; the block's first row places them.

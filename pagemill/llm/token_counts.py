@@ -1,7 +1,9 @@
 """Token counts under a unigram model, by dynamic programming over distinct pre-tokens in sorted order.
 
-Prefixes are shared among the new words of one row of the lookup only (a hash bucket of a block); a prefix whose words lie in
-different buckets or blocks is scored again in each.
+Words that begin with the same SHARED bytes meet in one bucket of the shuffle, whatever block they come from, and all of a
+bucket's distinct words make one trie, in which each prefix is scored once. Only prefixes shorter than SHARED bytes, of
+which there are few, are scored in several buckets.
+
 The model takes the tokens of a byte-level vocabulary; a token of rank r has the score -log((r + 1) * H), with H the
 harmonic number of the vocabulary's size (Zipf's law: the ranks are all the file states of the frequencies). A
 pre-token's count is the number of tokens in its best-scored segmentation; among equal scores the fewest tokens win.
@@ -22,6 +24,7 @@ from pagemill.llm.bpe import read_ranks
 from pagemill.llm.pretokens import lookup
 
 BLOCK_BYTES = 16 << 20
+SHARED = 4
 
 
 @functools.lru_cache(2)
@@ -39,7 +42,8 @@ def _vocabulary(ranks: bytes) -> dict:
 
 
 def trie_counts(words: list[bytes], root: dict) -> list[int]:
-    """Counts of the words. Sorted words are a trie in depth-first order: each prefix that the words of this call share is scored once.
+    """Counts of the words. Sorted words are a trie in depth-first order: each prefix that they share is
+    scored once.
 
     best[d] is the forward score (and count) of the prefix of d bytes; open_[d] are the vocabulary's nodes that tokens
     begun before byte d have reached there. Both stay valid for as long as the next word shares the prefix. Every
@@ -93,4 +97,4 @@ def count_tokens(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_
 
         return rows
 
-    return lookup(id_text(docs, id_col, text_col), answer, finish, "doc_id bigint, n_pretokens bigint, n_tokens bigint", BLOCK_BYTES)
+    return lookup(id_text(docs, id_col, text_col), answer, finish, "doc_id bigint, n_pretokens bigint, n_tokens bigint", BLOCK_BYTES, SHARED)
