@@ -342,6 +342,55 @@ def test_decontamination_of_shorter_documents(spark):
     assert {r.doc_id for r in decontaminate.keep_clean(df, bench).collect()} == {14, 16, 17}
 
 
+def test_decontamination_by_brute_force(spark, tmp_path):
+    """All windows against all items by exact similarity: items with some words changed, repeated rows, clashing names."""
+    rng = random.Random(8)
+    prose_ = lambda n: [rng.choice(VOCABULARY) for _ in range(n)]
+    items = [prose_(rng.randrange(6, 45)) for _ in range(25)] + [["ab"] * 12, ["ab", "cd"] * 8]
+    texts = []
+    for k in range(150):
+        own = list(items[k % len(items)])
+        for _ in range(rng.randrange(4)):
+            own[rng.choice([0, -1, rng.randrange(len(own))])] = f"z{rng.randrange(99)}"
+        texts.append(prose_(rng.randrange(40)) + own + prose_(rng.randrange(40)))
+    rows = [(i, " ".join(t), i, "s", 0) for i, t in enumerate(texts)] + [(0, " ".join(texts[0]), 0, "s", 0), (None, " ".join(texts[1]), 0, "s", 0)]
+    path = str(tmp_path / "t")
+    spark.createDataFrame(rows, "doc_id bigint, text string, item_id int, similarity string, start_word int").write.parquet(path)
+    df = spark.read.parquet(path)
+    bench = spark.createDataFrame([(j, " ".join(t)) for j, t in enumerate(items)], "item_id bigint, text string")
+
+    def best(words_, item):
+        w = min(5, len(item))
+        grams = lambda x: collections.Counter(tuple(x[i : i + w]) for i in range(len(x) - w + 1))
+        target, n = grams(item), min(len(item), len(words_))
+        found = [(sum((g & target).values()) / max(1, sum((g | target).values())), -a) for a in range(len(words_) - n + 1) for g in [grams(words_[a : a + n])]]
+        return max(found, default=(0, 0))
+
+    want = collections.Counter()
+    for i, text, *_ in rows:
+        for j, item in enumerate(items):
+            similarity, at = best(text.split(), item)
+            if similarity >= 0.8:
+                want[i, j, -at, round(similarity, 9)] += 1
+    assert 60 < sum(want.values())
+    got = collections.Counter((r.doc_id, r.item_id, r.start_word, round(r.similarity, 9)) for r in decontaminate.contaminated(df, bench).collect())
+    assert got == want
+    clean = decontaminate.keep_clean(df, bench)
+    assert clean.columns == df.columns and {r.doc_id for r in clean.collect()} == {r[0] for r in rows} - {i for i, *_ in want}
+
+
+def test_hamming_blocks_miss_nothing():
+    rng = np.random.default_rng(2)
+    prints = rng.integers(0, 1 << 16, (300, decontaminate.BLOCKS), np.uint16)
+    windows = prints[rng.integers(0, 300, 3000)].copy()
+    for row in windows:
+        for bit in rng.choice(decontaminate.BITS, rng.integers(40, 80), replace=False):
+            row[bit // 16] ^= np.uint16(1 << (bit % 16))
+    every = np.array([[int(x).bit_count() for x in range(1 << 16)]]).ravel()[windows[:, None] ^ prints[None]].sum(2)
+    i, j, d = decontaminate.candidates(windows, prints)
+    assert sorted(zip(i.tolist(), j.tolist(), d.tolist())) == sorted((a, b, every[a, b]) for a, b in zip(*np.nonzero(every <= decontaminate.RADIUS)))
+
+
 def test_fingerprints(docs, unique, nothing):
     rows = sorted(((r.doc_id, r.text or "") for r in unique.collect()), reverse=True)
     got = {r.doc_id: r for r in fingerprint.fingerprints(unique).collect()}
