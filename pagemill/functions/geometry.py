@@ -79,9 +79,24 @@ def padded(b: Column, by: Column) -> Column:
     return box(b["x0"] - by, b["y0"] - by, b["x1"] + by, b["y1"] + by)
 
 
-def erase_padding(kind: Column) -> Column:
-    """Room around what is erased: more for titles and headings."""
-    return F.when(kind.isin("title", "heading"), 1.2).when(kind == "caption", 0.8).otherwise(0.6)
+def erase_padding(kind: Column, h: Column, font_size: Column) -> Column:
+    """Room (x, y) around what is erased, by the box's height: more for titles and headings. The factors are fixed values."""
+    within = lambda low, high, v: F.greatest(F.lit(low), F.least(F.lit(high), v))
+    plain = within(0.9, 3.0, h * 0.20)
+    display = F.greatest(plain, F.least(F.lit(10.0), F.greatest(h * 0.08, F.coalesce(font_size, F.lit(0.0)) * 0.10)))
+    y = F.when(kind == "title", within(3.0, 14.0, h * 0.58)).when(kind == "heading", within(1.5, 5.0, h * 0.34)).otherwise(plain)
+    return F.struct(F.when(kind == "title", display).otherwise(plain).alias("x"), y.alias("y"))
+
+
+def growth_margin(font_size: Column, scale: Column, dpi: Column) -> Column:
+    """Pixels by which a recognized box may grow to its glyphs' edges; scale is the mean of both axes."""
+    points = F.least(F.lit(8.0), F.greatest(F.lit(0.75), font_size * 0.08))
+    return F.greatest(F.lit(1), F.bround(F.greatest(F.lit(1.0), dpi / 120.0, points * F.greatest(F.lit(1.0), scale))).cast("int"))
+
+
+def turned_apart(a: Column, b: Column) -> Column:
+    """Degrees between two rotations, 0 to 180."""
+    return F.abs(F.pmod(a - b + 180.0, F.lit(360.0)) - 180.0)
 
 
 def irregular(lines: Column) -> Column:

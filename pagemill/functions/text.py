@@ -2,11 +2,41 @@
 
 from __future__ import annotations
 
+import functools
+import unicodedata
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Places where a sentence ends, in Latin and CJK punctuation: fixed values.
-TERMINAL = ".!?。！？:：;；"
+#: A sentence's end, with a quote or bracket after it or none: fixed values. In running text colons do not end one.
+SENTENCE_END = r"""[.!?。！？]["'”’)]?$"""
+CLAUSE_END = r"""[.!?。！？:：;；]["'”’)]?$"""
+#: A list item's start: fixed value.
+BULLET = r"^(?:[-•▪◦‣]|\d+[.)])\s*"
+#: A label of capitals: fixed value.
+CAPITALS = r"^[A-Z][A-Z0-9 /&+.-]*$"
+#: Signs that identify a part of a page, and those that are stripped from them: fixed values.
+IDENTIFIER = r"(?:https?://|www\.)\S+|[A-Za-z]*\d[\w./:%+-]*|[A-Z]{2,}"
+OUTER = ".,;:()[]{}"
+
+
+@functools.cache
+def _compatible() -> tuple[str, str, tuple[tuple[str, str], ...]]:
+    """Signs with another compatibility form, by rule: those of one sign (from, to), and ligatures and dots of several."""
+    signs = [chr(i) for i in range(0xA0, 0xFFFF) if not 0xD800 <= i < 0xE000]
+    forms = [(c, unicodedata.normalize("NFKC", c)) for c in signs]
+    one = [(c, f) for c, f in forms if len(f) == 1 and f != c]
+    return "".join(c for c, _ in one), "".join(f for _, f in one), tuple((c, f) for c, f in forms if len(f) > 1 and f.isascii() and (0xFB00 <= ord(c) <= 0xFB06 or c in "‥…"))
+
+
+def compatible(c: Column) -> Column:
+    """Full-width signs, ligatures, odd blanks and the like in their plain forms (as NFKC has them, but for signs that it
+    composes from several or takes apart otherwise). Plain ASCII texts are left alone at once."""
+    before, after, several = _compatible()
+    own = F.translate(c, before, after)
+    for sign, form in several:
+        own = F.replace(own, F.lit(sign), F.lit(form))
+    return F.when(c.rlike(r"[^\x00-\x7f]"), own).otherwise(c)
 
 
 def strip(c: Column) -> Column:
@@ -15,8 +45,13 @@ def strip(c: Column) -> Column:
 
 
 def squeeze(c: Column) -> Column:
-    """Soft hyphens dropped, runs of blanks and tabs made one blank, ends stripped. Line breaks stay."""
-    return strip(F.regexp_replace(F.regexp_replace(c, "­", ""), r"[ \t\r\f\x0B]+", " "))
+    """Compatible forms, soft hyphens dropped, runs of blanks and tabs made one blank, ends stripped. Line breaks stay."""
+    return strip(F.regexp_replace(F.regexp_replace(compatible(c), "­", ""), r"[ \t\r\f\x0B]+", " "))
+
+
+def word_count(c: Column) -> Column:
+    own = strip(c)
+    return F.when(own == "", 0).otherwise(F.size(F.split(own, r"(?U)\s+")))
 
 
 def casefold(c: Column) -> Column:
@@ -63,15 +98,16 @@ def cjk_ratio(c: Column) -> Column:
 
 
 def visual_length(c: Column) -> Column:
-    """Width in ems: CJK 1, blanks .25, ASCII letters and digits .55, the rest .45."""
-    cjk, blank, plain = (F.regexp_count(c, F.lit(p)) for p in ("[㐀-鿿]", r"\s", "[A-Za-z0-9]"))
+    """Width in ems: CJK 1, blanks .25, other letters and digits of any script .55, the rest .45."""
+    cjk, blank, plain = (F.regexp_count(c, F.lit(p)) for p in ("[㐀-鿿]", r"(?U)\s", r"[\p{L}\p{N}&&[^㐀-鿿]]"))
     return cjk * 1.0 + blank * 0.25 + plain * 0.55 + (F.length(c) - cjk - blank - plain) * 0.45
 
 
 def identifiers(c: Column) -> Column:
     """Distinct URLs, tokens with a digit and runs of capitals, without outer punctuation, in lower case."""
-    found = F.regexp_extract_all(c, F.lit(r"(https?://\S+|\S*\d\S*|\b[A-Z]{2,}\b)"), 1)
-    return F.array_sort(F.array_distinct(F.filter(F.transform(found, lambda x: F.lower(F.regexp_replace(x, r"^[^A-Za-z0-9]+|[^A-Za-z0-9]+$", ""))), lambda x: x != "")))
+    found = F.regexp_extract_all(c, F.lit(f"({IDENTIFIER})"), 1)
+    bare = F.transform(found, lambda x: F.lower(F.regexp_replace(x, r"^[.,;:()\[\]{}]+|[.,;:()\[\]{}]+$", "")))
+    return F.array_sort(F.array_distinct(F.filter(bare, lambda x: x != "")))
 
 
 def translatable(c: Column) -> Column:
@@ -85,10 +121,21 @@ def looks_like_heading(c: Column) -> Column:
     return (n >= 3) & (F.length(c) <= 90) & (F.regexp_count(c, F.lit(r"\p{Lu}")) >= n * 0.9)
 
 
-def continues(before: Column, after: Column) -> Column:
-    """A line goes on with the next: hyphenated before a small letter, or no sentence ends and a small letter follows."""
+def similar_size(one: Column, two: Column) -> Column:
+    """Font sizes that differ by at most max(1.5, 22 % of the larger)."""
+    return F.abs(one - two) <= F.greatest(F.lit(1.5), F.greatest(one, two, F.lit(1.0)) * 0.22)
+
+
+def continues(before: Column, after: Column, size_before: Column | None = None, size_after: Column | None = None) -> Column:
+    """A text goes on with the next one: no label of capitals before it, eight signs or more in both (unless a word is
+    broken by a hyphen), and a small letter follows or no sentence ends. Sizes, where given, must be similar."""
+    before, after = squeeze(before), squeeze(after)
     small = after.rlike(r"^\p{Ll}")
-    return small & (before.endswith("-") | ~F.right(before, F.lit(1)).rlike(f"[{TERMINAL}]"))
+    broken = before.endswith("-") & small
+    label = (F.length(before) <= 30) & (word_count(before) <= 5) & before.rlike(CAPITALS)
+    fit = (before != "") & (after != "") & ~label & (broken | (F.least(F.length(before), F.length(after)) >= 8))
+    sized = F.lit(True) if size_before is None else similar_size(size_before, size_after)
+    return sized & fit & (small | ~before.rlike(SENTENCE_END))
 
 
 def escape_html(c: Column) -> Column:
@@ -132,12 +179,48 @@ def stress_text(c: Column, marker: str, ratio: float, kept: Column) -> Column:
     return F.rtrim(F.concat_ws(" ", body, F.array_join(kept, " "), F.array_join(numbers(c), " ")))
 
 
-def fragmentary_label(c: Column) -> Column:
-    """Two to four very short words without a capital or digit: a torn piece of a label."""
-    words = F.split(F.trim(c), r"\s+")
-    return F.size(words).between(2, 4) & F.forall(words, lambda w: F.length(w) <= 3) & ~c.rlike(r"[\p{Lu}\d]")
+def compact_label(c: Column, n_boxes: Column | int = 1) -> Column:
+    """One box, one line of up to 48 signs in 8 words, without a sentence's end."""
+    own, boxes = squeeze(c), F.lit(n_boxes) if isinstance(n_boxes, int) else n_boxes
+    return (boxes == 1) & F.length(own).between(1, 48) & (word_count(own) <= 8) & ~own.contains("\n") & ~own.rlike("[!?;。！？；]$")
+
+
+def fragmentary_label(c: Column, n_boxes: Column | int = 1) -> Column:
+    """A compact label of ASCII letters alone, six at most, no word of more than two."""
+    own = squeeze(c)
+    short = F.forall(F.split(own, " +"), lambda w: F.length(w) <= 2)
+    return compact_label(c, n_boxes) & own.rlike("^[A-Za-z ]+$") & (F.length(F.replace(own, F.lit(" "), F.lit(""))) <= 6) & short
 
 
 def short_label(c: Column) -> Column:
-    """At most 24 signs in three words, without a sentence's end."""
-    return (F.length(F.trim(c)) <= 24) & (F.size(F.split(F.trim(c), r"\s+")) <= 3) & ~F.trim(c).rlike(r"[.!?。！？]$")
+    """Up to 30 signs in five words, all capitals, digits and a few marks."""
+    own = squeeze(c)
+    return (F.length(own) <= 30) & (word_count(own) <= 5) & own.rlike(CAPITALS)
+
+
+def compact_anchors(texts: Column) -> Column:
+    """Two to six texts, each of up to 48 signs in 8 words."""
+    return F.size(texts).between(2, 6) & F.forall(texts, lambda t: (F.length(squeeze(t)) <= 48) & (word_count(squeeze(t)) <= 8))
+
+
+def ascii_word(c: Column) -> Column:
+    """A sign that an ASCII word may hold."""
+    return c.rlike(r"^[A-Za-z0-9./:%+-]$")
+
+
+def orphan_punctuation(lines: Column) -> Column:
+    """The last of two or more non-empty lines is closing punctuation alone."""
+    own = F.filter(F.transform(lines, strip), lambda x: x != "")
+    return (F.size(own) >= 2) & F.coalesce(F.get(own, F.size(own) - 1).rlike(r"^[)\]}>）】》」』〕〉.,，。！？!?；;：:、]+$"), F.lit(False))
+
+
+def vector_kind(source_kind: Column, font: Column) -> Column:
+    """Text from the page itself, not recognized from an image (where no kind is given, by the font's name)."""
+    return F.when(source_kind == "pdf_text", True).when(source_kind == "ocr", False).otherwise(F.coalesce(font, F.lit("")) != "macOS Vision OCR")
+
+
+def range_label(start: Column, end: Column, total: Column) -> Column:
+    """The label of a page range: all pages, or from where to where and how many."""
+    n = end - start + 1
+    whole = (n == total) & (start == 1)
+    return F.when(n < 1, "未选择页面").when(whole, F.concat(F.lit("全部 "), total.cast("string"), F.lit(" 页"))).otherwise(F.concat(F.lit("第 "), start.cast("string"), F.lit("–"), end.cast("string"), F.lit(" 页，共 "), n.cast("string"), F.lit(" 页")))

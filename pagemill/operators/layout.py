@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -113,12 +114,27 @@ def interval_islands(boxes: DataFrame, gap: float = 1.5) -> DataFrame:
     return cells.groupBy("page", "cell").agg(F.count("*").alias("n"), F.min("x0").alias("x0"), F.max("x1").alias("x1"))
 
 
-def page_chains(pages: DataFrame) -> DataFrame:
+def running(df: DataFrame, keys: list[str], order: str, value: Column, out: str, span: int = 4096) -> DataFrame:
+    """df with the sum of value (a whole number) over the rows of its keys up to and with its own, by the whole number
+    `order`. In two steps, so that no window is longer than `span` orders or the number of such spans."""
+    own = df.withColumns({"block__": F.floor(F.col(order) / span), "value__": value.cast("bigint")})
+    sums = own.groupBy(*keys, "block__").agg(F.sum("value__").alias("sum__"))
+    before = F.coalesce(F.sum("sum__").over(Window.partitionBy(*keys).orderBy("block__").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    sums = sums.select(*keys, "block__", before.alias("earlier__"))
+    inner = F.sum("value__").over(Window.partitionBy(*keys, "block__").orderBy(order).rowsBetween(Window.unboundedPreceding, 0))
+    return own.withColumn(out, inner).join(sums, [*keys, "block__"]).withColumn(out, F.col(out) + F.col("earlier__")).drop("block__", "value__", "earlier__")
+
+
+def page_chains(pages: DataFrame, bottom: str | None = None, top: str | None = None) -> DataFrame:
     """pages (doc, page, first_text, last_text) with a chain number: a page whose first paragraph goes on from the last
-    one of the page before (consecutive pages only) belongs to its chain."""
-    w = Window.partitionBy("doc").orderBy("page")
-    linked = (F.lag("page").over(w) == F.col("page") - 1) & T.continues(F.lag("last_text").over(w), F.col("first_text"))
-    return islands(pages, ["doc"], ["page"], ~linked, "chain")
+    one of the page before (consecutive pages only) belongs to its chain. Where the columns are named, the last
+    paragraph must end below 72 % of its page (bottom) and the first begin above 28 % of its own (top)."""
+    low = F.col(bottom) if bottom else F.lit(1.0)
+    before = pages.select("doc", (F.col("page") + 1).alias("page"), F.col("last_text").alias("before__"), low.alias("low__"))
+    linked = T.continues(F.col("before__"), F.col("first_text")) & (F.col("low__") >= 0.72)
+    linked = linked & (F.col(top) <= 0.28) if top else linked
+    starts = pages.join(before, ["doc", "page"], "left").withColumn("starts__", (~F.coalesce(linked, F.lit(False))).cast("int"))
+    return running(starts, ["doc"], "page", F.col("starts__"), "chain").drop("before__", "low__", "starts__")
 
 
 def ocr_lines(words: DataFrame, least: float = 0.35) -> DataFrame:
@@ -135,52 +151,76 @@ def ocr_lines(words: DataFrame, least: float = 0.35) -> DataFrame:
 
 
 def group_ocr_lines(lines: DataFrame) -> DataFrame:
-    """(page, block, text, x0, y0, x1, y1): horizontal lines join the one before in their column while they go downwards
-    with a gap of at most 1.8 heights, similar heights and alike headings; vertical lines follow, each for itself."""
-    h, upright = F.col("y1") - F.col("y0"), (F.col("x1") - F.col("x0")) < 1.2 * (F.col("y1") - F.col("y0"))
-    own = lines.withColumns({"h": h, "upright": upright, "heading": T.looks_like_heading(F.col("text"))})
-    w = Window.partitionBy("page").orderBy("upright", "y0", "x0")
+    """(page, block, text, x0, y0, x1, y1, font_size, block_type, confidence) of lines (page, line_no, text, confidence,
+    page_width and the box): a horizontal line (its width 1.2 heights or more) joins the one before if their left edges
+    are near, it goes downwards with a gap of at most 1.8 heights, heights are similar and both or neither look like a
+    heading. Vertical lines follow, each for itself. The limits are fixed values."""
+    h = F.col("y1") - F.col("y0")
+    own = lines.withColumns({"h": h, "upright": (F.col("x1") - F.col("x0")) < 1.2 * h, "heading": T.looks_like_heading(F.col("text"))})
+    w = Window.partitionBy("page").orderBy("upright", "line_no")
     lag = lambda c: F.lag(c).over(w)
-    shared = F.least(F.col("x1"), lag("x1")) - F.greatest(F.col("x0"), lag("x0"))
-    joins = ~F.col("upright") & (shared > 0) & (F.col("y0") >= lag("y0")) & (F.col("y0") - lag("y1") <= 1.8 * lag("h")) & (F.greatest("h", lag("h")) < 1.55 * F.least("h", lag("h"))) & (F.col("heading") == lag("heading"))
-    blocks = islands(own, ["page"], ["upright", "y0", "x0"], ~joins, "block")
-    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("y0", "x0", "text"))), lambda x: x["text"]), " ")
-    return blocks.groupBy("page", "block").agg(text.alias("text"), F.min("x0").alias("x0"), F.min("y0").alias("y0"), F.max("x1").alias("x1"), F.max("y1").alias("y1"))
-
-
-def assign_columns(blocks: DataFrame, wide: float = 0.72, least: float = 0.48) -> DataFrame:
-    """blocks (page, box_id, x0, x1, page_width) with column_id from left to right.
-
-    Boxes narrower than `wide` of the page join, in order of their left edge, the column that they fit best (overlap with
-    the medians of its edges), or open one; wide boxes have 0. Greedy by nature, so one group function a page.
+    near = F.abs(F.col("x0") - lag("x0")) <= F.greatest(F.lit(14.0), F.col("page_width") * 0.065)
+    follows = (F.col("y0") >= lag("y0") - 1.0) & (F.col("y0") - lag("y1") <= 1.8 * F.greatest("h", lag("h")))
+    alike = (F.greatest("h", lag("h")) / F.greatest(F.least("h", lag("h")), F.lit(0.1)) < 1.55) & (F.col("heading") == lag("heading"))
+    blocks = islands(own, ["page"], ["upright", "line_no"], ~(~F.col("upright") & near & follows & alike), "block")
+    typical = own.where("not upright").groupBy("page").agg(F.median("h").alias("typical"))
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "text"))), lambda x: x["text"]), " ")
+    box = [f(c).alias(c) for f, c in ((F.min, "x0"), (F.min, "y0"), (F.max, "x1"), (F.max, "y1"))]
+    found = blocks.groupBy("page", "block").agg(text.alias("text"), *box, F.avg("h").alias("h"), F.round(F.avg("confidence"), 3).alias("confidence"), F.first("upright").alias("upright")).join(typical, "page", "left")
+    capitals = F.regexp_count("text", F.lit(r"\p{Lu}")) / F.greatest(T.letters(F.col("text")), F.lit(1))
+    kind = F.when(F.col("text").rlike(r"^\d{1,5}$"), "page_number").when((F.col("h") >= 2.1 * F.coalesce("typical", F.lit(8.0))) & (F.length("text") <= 100), "title").when((capitals > 0.72) & (F.length("text") <= 120), "heading").when(F.col("upright"), "other").otherwise("paragraph")
+    return found.select("page", "block", "text", "x0", "y0", "x1", "y1", F.round(F.greatest(F.lit(7.5), F.col("h") * 0.9), 2).alias("font_size"), kind.alias("block_type"), "confidence")
+
+
+def rotated_lines(lines: DataFrame) -> DataFrame:
+    """lines (block, line_no, rotation) with the fragment each belongs to in its block: each its own where the dominant
+    rotation (that of most text) or any line's distance to it is 5 degrees or more; else all of the block in one."""
+    weights = lines.groupBy("block", "rotation").agg(F.sum(F.greatest(F.length("line"), F.lit(1))).alias("weight"))
+    main = weights.groupBy("block").agg(F.max_by("rotation", F.struct("weight", -F.col("rotation"))).alias("main"))
+    apart = F.abs(F.pmod(F.col("rotation") - F.col("main") + 180.0, F.lit(360.0)) - 180.0)
+    turned = lines.join(main, "block").groupBy("block").agg((F.max(F.greatest(apart, F.abs("main"))) >= 5.0).alias("turned"))
+    rank = F.row_number().over(Window.partitionBy("block").orderBy("line_no"))
+    return lines.join(turned, "block").withColumn("fragment", F.when(F.col("turned"), rank).otherwise(1).cast("bigint")).drop("turned")
+
+
+def assign_columns(blocks: DataFrame, wide: float = 0.72, least: float = 0.48, keys: tuple[str, ...] = ("page",)) -> DataFrame:
+    """(keys, box_id, column_id) of blocks (box_id, x0, x1, page_width, the keys of a page and, if they are there,
+    block_type, is_table_cell, rotation).
+
+    Paragraphs and footnotes narrower than `wide` of the page take, by their left edges, the column that fits best (by
+    overlap with, or alignment to, the medians of its edges) if the fit is `least` or more, or open one; columns count from
+    1, left to right. Table cells have -1, all others 0. Greedy by nature, so one group function a page.
     """
+    has = lambda c, other: F.col(c) if c in blocks.columns else F.lit(other)
+    free = has("block_type", "paragraph").isin("paragraph", "footnote") & ~has("is_table_cell", False) & (F.col("x1") - F.col("x0") < wide * F.col("page_width"))
+    own = blocks.select(*keys, "box_id", "x0", "x1", "page_width", has("rotation", 0.0).cast("double").alias("rotation"), F.when(has("is_table_cell", False), -1).when(free, 1).otherwise(0).alias("state"))
 
     def assign(page: pd.DataFrame) -> pd.DataFrame:
-        page = page.sort_values(["x0", "box_id"])
-        columns: list[list[int]] = []
-        x0, x1 = page["x0"].to_numpy(), page["x1"].to_numpy()
-        narrow = (x1 - x0) < wide * page["page_width"].to_numpy()
-        for i in range(len(page)):
-            if not narrow[i]:
-                continue
-            best, at = least, None
-            for k, members in enumerate(columns):
-                m0, m1 = pd.Series(x0[members]).median(), pd.Series(x1[members]).median()
-                shared = min(x1[i], m1) - max(x0[i], m0)
-                fit = shared / max(1e-9, min(x1[i] - x0[i], m1 - m0))
-                if fit > best:
-                    best, at = fit, k
-            if at is None:
-                columns.append([i])
+        page = page.sort_values(["x0", "box_id"], ignore_index=True)
+        edges, turn, far = page[["x0", "x1"]].to_numpy(), page["rotation"].to_numpy(), page["page_width"].to_numpy()
+        members: list[list[int]] = []
+        for i in np.flatnonzero(page["state"] == 1):
+            fits = []
+            for column in members:
+                alike = [m for m in column if abs((turn[i] - turn[m] + 180) % 360 - 180) <= 5]
+                if not alike:
+                    fits.append(0.0)
+                    continue
+                left, right = np.median(edges[alike], axis=0)
+                shared = max(0.0, min(edges[i, 1], right) - max(edges[i, 0], left))
+                narrower = max(1.0, min(max(edges[i, 1] - edges[i, 0], 1.0), right - left))
+                fits.append(max(shared / narrower, 1 - abs(edges[i, 0] - left) / max(far[i] * 0.08, 1.0)))
+            if fits and max(fits) >= least:
+                members[int(np.argmax(fits))].append(int(i))
             else:
-                columns[at].append(i)
-        ids = [0] * len(page)
-        for k, members in enumerate(sorted(columns, key=lambda c: pd.Series(x0[c]).median())):
-            for i in members:
-                ids[i] = k
-        return page.assign(column_id=ids)[["page", "box_id", "column_id"]]
-
-    return blocks.groupBy("page").applyInPandas(assign, "page int, box_id bigint, column_id int")
+                members.append([int(i)])
+        ids = np.minimum(page["state"].to_numpy(), 0)
+        for k, column in enumerate(sorted(members, key=lambda c: np.median(edges[c, 0])), 1):
+            ids[column] = k
+        return page.assign(column_id=ids)[[*keys, "box_id", "column_id"]]
+
+    kinds = dict(blocks.dtypes)
+    return own.groupBy(*keys).applyInPandas(assign, ", ".join([*(f"`{k}` {kinds[k]}" for k in keys), "box_id bigint, column_id int"]))
 
 
 def even_sample(ids: DataFrame, key: str, n: int = 5) -> DataFrame:

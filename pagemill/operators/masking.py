@@ -32,7 +32,7 @@ def select_spans(text: str, terms: tuple[str, ...] = ()) -> list[tuple[int, int,
     """(start, end, kind) of the spans to mask: by start, then priority (terms first), then length; overlaps lose."""
     found = []
     for term in terms:
-        found += [(m.start(), -1, -len(m[0]), m.end(), "term") for m in re.finditer(re.escape(term), text, re.I)] if term else []
+        found += [(m.start(), -1, -len(m[0]), m.end(), "protected_term") for m in re.finditer(re.escape(term), text, re.I)] if term else []
     for rank, (kind, pattern) in enumerate(PATTERNS):
         found += [(m.start(), rank, -len(m[0]), m.end(), kind) for m in re.finditer(pattern, text)]
     out, end = [], 0
@@ -76,20 +76,24 @@ def protect(df: DataFrame, task: str, id_col: str, text_col: str, terms: tuple[s
 
 
 def tolerant(tok: str) -> str:
-    """Matches a token with blanks between its signs and any brackets."""
-    return r"[⟦\[【{(<]?\s*" + r"\s*".join(tok.strip("⟦⟧")) + r"\s*[⟧\]】})>]?"
+    """Matches a token in either case, with blanks between its signs and any brackets (a fixed set)."""
+    bracket = r"[\[\]【】〔〕⟦⟧{}()（）]?"
+    return rf"(?i){bracket}\s*" + r"\s*".join(map(re.escape, tok.strip("⟦⟧"))) + rf"\s*{bracket}"
 
 
 def restore(text: str, placeholders: list[tuple[str, str, str]]) -> tuple[str, list[str], list[str], list[str]]:
-    """(text, missing, duplicated, unknown): each token is put back; one whose original stands there once is fine."""
-    missing, duplicated = [], []
+    """(text, missing, duplicated, unknown): each token that stands there once is put back. One that stands there more
+    often is left; one that is lost is fine if its original stands there once."""
+    missing, duplicated, own = [], [], {tok.strip("⟦⟧").upper() for tok, _, _ in placeholders}
     for tok, original, _ in placeholders:
-        text, n = re.subn(tolerant(tok), lambda _, o=original: o, text)
-        if n > 1 or (n == 0 and text.count(original) > 1):
+        found = len(re.findall(tolerant(tok), text))
+        if found == 1:
+            text = re.sub(tolerant(tok), lambda _, o=original: o, text)
+        elif found or text.count(original) > 1:
             duplicated.append(tok)
-        elif n == 0 and original not in text:
+        elif original not in text:
             missing.append(tok)
-    unknown = sorted(set(re.findall(r"X[0-9A-F]{10}", text)))
+    unknown = sorted({x.upper() for x in re.findall(r"(?i)X[0-9A-F]{10}", text)} - own)
     return text, missing, duplicated, unknown
 
 
@@ -104,11 +108,23 @@ def restored(df: DataFrame, text_col: str, placeholders_col: str) -> DataFrame:
     return df.withColumn("r__", back(F.col(text_col), F.col(placeholders_col))).withColumns({"restored_text": F.col("r__.text"), "missing": F.col("r__.missing"), "duplicated": F.col("r__.duplicated"), "unknown": F.col("r__.unknown")}).drop("r__")
 
 
+def _may_be_lost(p: Column, allow_units: bool) -> Column:
+    return (F.lit(allow_units) & (p["kind"] == "number_unit")) | ((p["kind"] == "file_path") & ~p["original"].rlike(r"\p{L}"))
+
+
+def allowed_missing(placeholders: Column, missing: Column, allow_units: bool = True) -> Column:
+    """Missing tokens that may be lost: units if allowed, paths without a letter always."""
+    return F.transform(F.filter(placeholders, lambda p: F.array_contains(missing, p["token"]) & _may_be_lost(p, allow_units)), lambda p: p["token"])
+
+
 def blocking_missing(placeholders: Column, missing: Column, allow_units: bool = True) -> Column:
-    """Missing tokens that may not be lost: units may if allowed, paths without a letter always."""
-    lost = F.filter(placeholders, lambda p: F.array_contains(missing, p["token"]))
-    ok = lambda p: (F.lit(allow_units) & (p["kind"] == "number_unit")) | ((p["kind"] == "file_path") & ~p["original"].rlike("[A-Za-z]"))
-    return F.transform(F.filter(lost, lambda p: ~ok(p)), lambda p: p["token"])
+    """Missing tokens that may not be lost; tokens that no placeholder has may not either."""
+    return F.array_except(missing, allowed_missing(placeholders, missing, allow_units))
+
+
+def restore_ok(placeholders: Column, missing: Column, duplicated: Column, unknown: Column, allow_units: bool = True) -> Column:
+    """Nothing blocks: no token is lost that may not be, none repeated or unknown."""
+    return (F.size(blocking_missing(placeholders, missing, allow_units)) == 0) & (F.size(duplicated) == 0) & (F.size(unknown) == 0)
 
 
 def kind_counts(df: DataFrame, text_col: str, kinds: tuple[str, ...]) -> DataFrame:

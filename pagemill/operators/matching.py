@@ -40,6 +40,40 @@ def duplicate_keys(imported: DataFrame, key: str) -> DataFrame:
     return imported.groupBy(key).agg(F.count("*").alias("n")).where("n > 1")
 
 
+def sheet_scores(cells: DataFrame, expected: DataFrame) -> DataFrame:
+    """(file, sheet_index, distinct_keys, keyed_rows, filled_rows) of cells (file, sheet_index, row_index, cell): rows of
+    which a cell is an expected key (expected: row_key), how many keys those are, and rows with any text."""
+    known = cells.withColumn("row_key", T.row_key(F.col("cell"))).join(expected.select("row_key").distinct(), "row_key", "left_semi")
+    keyed = known.groupBy("file", "sheet_index").agg(F.countDistinct("row_key").alias("distinct_keys"), F.countDistinct("row_index").alias("keyed_rows"))
+    rows = cells.groupBy("file", "sheet_index").agg(F.countDistinct(F.when(F.trim(F.coalesce("cell", F.lit(""))) != "", F.col("row_index"))).alias("filled_rows"))
+    return rows.join(keyed, ["file", "sheet_index"], "left").fillna(0, ["distinct_keys", "keyed_rows"])
+
+
+def import_issues(imported: DataFrame, positional: DataFrame, lost: DataFrame, task: str, key: str) -> DataFrame:
+    """(task, severity, code, row_key): a blocking issue for each key that rows repeat, a warning for each task matched by
+    position, and one for each missing key of the others."""
+    issue = lambda df, severity, code, row_key: df.select(task, F.lit(severity).alias("severity"), F.lit(code).alias("code"), row_key.cast("string").alias("row_key"))
+    twice = imported.groupBy(task, key).agg(F.count("*").alias("n")).where("n > 1")
+    rescued = positional.select(task).distinct()
+    gone = lost.join(rescued, task, "left_anti")
+    return issue(twice, "blocking", "DUPLICATE_ROW_KEY", F.col(key)).unionByName(issue(rescued, "warning", "POSITIONAL_MATCH", F.lit(None))).unionByName(issue(gone, "warning", "MISSING_ROW_KEY", F.col(key)))
+
+
+def page_lookup(wanted: DataFrame, pages: DataFrame, columns: list[str]) -> DataFrame:
+    """wanted (doc, page) with the stored page's columns; reopen says that the page is not stored."""
+    known = pages.select("doc", "page", *columns).withColumn("known__", F.lit(True))
+    return wanted.join(known, ["doc", "page"], "left").withColumn("reopen", F.col("known__").isNull()).drop("known__")
+
+
+def recognized_instead(pages: DataFrame, recognized: DataFrame, least: int = 20) -> DataFrame:
+    """(page, text, n_chars, used_ocr) of pages (page, text, n_images): where fewer than `least` signs stand beside an image,
+    the recognized text (page, text) takes their place; none, if nothing was recognized."""
+    found = recognized.select("page", F.col("text").alias("ocr__"))
+    poor = (F.length(T.strip(F.coalesce("text", F.lit("")))) < least) & (F.col("n_images") > 0)
+    text = F.when(poor, F.coalesce("ocr__", F.lit(""))).otherwise(F.coalesce("text", F.lit("")))
+    return pages.join(found, "page", "left").select("page", text.alias("text"), F.length(text).cast("bigint").alias("n_chars"), F.coalesce(poor & (F.length("ocr__") > 0), F.lit(False)).alias("used_ocr"))
+
+
 def by_key(segments: DataFrame, imported: DataFrame, key: str, order: str) -> DataFrame:
     """segments with the texts of the rows of their keys; unknown keys are ignored."""
     return segments.join(first_wins(imported, key, order), key)

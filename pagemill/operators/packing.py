@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from pagemill.operators.layout import running
+
 MAX_ROWS, MAX_CHARS, MAX_BYTES = 1_000_000, 100_000_000, 9_500_000
 
 
@@ -38,9 +40,8 @@ def next_fit(rows: DataFrame, task: str, order: str, size: str, most_size: int =
 
 
 def row_cap(rows: DataFrame, task: str, order: str, most_rows: int) -> DataFrame:
-    """Only the row cap: the running number decides, no fold is needed."""
-    n = F.row_number().over(Window.partitionBy(task).orderBy(order))
-    return rows.withColumn("package_index", F.floor((n - 1) / most_rows) + 1)
+    """Only the row cap: the running number decides, no fold is needed. Orders are whole numbers, each once a task."""
+    return running(rows, [task], order, F.lit(1), "n__").withColumn("package_index", F.floor((F.col("n__") - 1) / most_rows) + 1).drop("n__")
 
 
 def packages(packed: DataFrame, task: str, size: str) -> DataFrame:

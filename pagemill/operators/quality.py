@@ -16,6 +16,51 @@ def layout_report(boxes: DataFrame, pairs: DataFrame) -> DataFrame:
     return out.withColumns({"risk": risk, "status": status})
 
 
+def audit_risk(pages: DataFrame) -> DataFrame:
+    """(page, outside_ratio, outside_share, n_pairs, max_ratio, risk_score) of pages (page, changed, outside, pixels, n_pairs,
+    max_ratio): 10,000 times the share of pixels changed outside text, 10 times their share of all changed ones, a quarter
+    for each overlap up to 30, and the largest overlap. The weights are fixed values."""
+    ratio = F.col("outside") / F.greatest("pixels", F.lit(1))
+    share = F.col("outside") / F.greatest("changed", F.lit(1))
+    risk = ratio * 10_000 + share * 10 + F.least("n_pairs", F.lit(30)) * 0.25 + F.col("max_ratio")
+    return pages.select("page", F.round(ratio, 6).alias("outside_ratio"), F.round(share, 6).alias("outside_share"), "n_pairs", F.round("max_ratio", 4).alias("max_ratio"), F.round(risk, 4).alias("risk_score"))
+
+
+def audit_report(risks: DataFrame) -> DataFrame:
+    """One row: pages checked, those with more than 0.1 % changed outside text, those with overlaps, the largest share."""
+    return risks.agg(F.count("*").alias("pages_checked"), F.count_if(F.col("outside_ratio") > 0.001).alias("pages_changed_outside"), F.count_if(F.col("n_pairs") > 0).alias("pages_with_overlaps"), F.coalesce(F.max("outside_ratio"), F.lit(0.0)).alias("largest_outside_ratio"))
+
+
+def task_counts(segments: DataFrame, task: str) -> DataFrame:
+    """(task, n_segments, n_translatable, n_translated, n_fallback, n_chinese) of segments (task, translated_text,
+    should_translate, status): what a saved task states. All counts but the first are of translatable segments."""
+    own, filled = F.col("should_translate"), F.trim(F.coalesce("translated_text", F.lit(""))) != ""
+    fallback = F.coalesce(F.col("status") == "source_fallback", F.lit(False))
+    return segments.groupBy(task).agg(F.count("*").alias("n_segments"), F.count_if(own).alias("n_translatable"), F.count_if(own & filled).alias("n_translated"), F.count_if(own & fallback).alias("n_fallback"), F.count_if(own & filled & ~fallback).alias("n_chinese"))
+
+
+def font_stats(spans: DataFrame) -> DataFrame:
+    """(page, block, largest, median_size, font) of spans (page, block, span_no, size, font): sizes that are no zero, 0
+    without any; the most common font, of several the first seen, '' without any."""
+    size = F.nullif(F.col("size"), F.lit(0.0))
+    sizes = spans.groupBy("page", "block").agg(F.coalesce(F.max(size), F.lit(0.0)).alias("largest"), F.coalesce(F.median(size), F.lit(0.0)).alias("median_size"))
+    fonts = spans.where("font <> ''").groupBy("page", "block", "font").agg(F.count("*").alias("n"), F.min("span_no").alias("first"))
+    best = fonts.groupBy("page", "block").agg(F.max_by("font", F.struct("n", -F.col("first"))).alias("font"))
+    return sizes.join(best, ["page", "block"], "left").withColumn("font", F.coalesce("font", F.lit("")))
+
+
+def page_median(stats: DataFrame, default: float = 10.0) -> DataFrame:
+    """(page, page_median): the median of the blocks' positive sizes."""
+    return stats.groupBy("page").agg(F.coalesce(F.median(F.when(F.col("median_size") > 0, F.col("median_size"))), F.lit(default)).alias("page_median"))
+
+
+def same_page_sizes(source: DataFrame, output: DataFrame) -> DataFrame:
+    """(doc, n_source, n_output, same_sizes): as many pages, each within a tenth of a point (doc, page, width, height)."""
+    both = source.join(output.select("doc", "page", F.col("width").alias("w__"), F.col("height").alias("h__")), ["doc", "page"], "full_outer")
+    fine = (F.abs(F.col("width") - F.col("w__")) < 0.1) & (F.abs(F.col("height") - F.col("h__")) < 0.1)
+    return both.groupBy("doc").agg(F.count("width").alias("n_source"), F.count("w__").alias("n_output"), F.bool_and(F.coalesce(fine, F.lit(False))).alias("same_sizes"))
+
+
 def riskiest(report: DataFrame, n: int = 30) -> DataFrame:
     """The n pages of highest risk (ties: the smaller page)."""
     return report.orderBy(F.desc("risk"), "page").limit(n)

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import functools
+
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pagemill.functions import geometry as G
+from pagemill.functions import text as T
 
 CELL = 64.0
 
@@ -30,30 +33,28 @@ def overlap_pairs(boxes: DataFrame, least: float = 0.75, cell: float = CELL) ->
     return found.select("page", "a", "b", F.round(w, 2).alias("width"), F.round(h, 2).alias("height"), F.round(G.overlap_ratio(F.col("box_a"), F.col("box_b")), 6).alias("ratio"))
 
 
-def nearest(left: DataFrame, right: DataFrame, most: float, cell: float = 4.0) -> DataFrame:
+def nearest(left: DataFrame, right: DataFrame, most: float, cell: float = 4.0, same: tuple[str, ...] = ()) -> DataFrame:
     """(page, a, b, distance): for each box of left the box of right on its page with the least sum of edge differences
-    (ties: the smaller id), if that is at most `most`. Corners that near lie in the same or a neighbouring cell."""
+    (ties: the smaller id), if that is at most `most`; only of those that agree in the columns `same`. Corners that near
+    lie in the same or a neighbouring cell."""
     step = max(cell, most)
     around = F.array(*[F.lit(i) for i in (-1, 0, 1)])
-    l = left.select("page", F.col("box_id").alias("a"), G.box("x0", "y0", "x1", "y1").alias("box_a"), F.explode(F.transform(around, lambda i: F.floor(F.col("x0") / step) + i)).alias("gx")).withColumn("gy", F.explode(F.transform(around, lambda i: F.floor(F.col("box_a.y0") / step) + i)))  # noqa: E741
-    r = right.select("page", F.col("box_id").alias("b"), G.box("x0", "y0", "x1", "y1").alias("box_b"), F.floor(F.col("x0") / step).alias("gx"), F.floor(F.col("y0") / step).alias("gy"))
+    l = left.select("page", *same, F.col("box_id").alias("a"), G.box("x0", "y0", "x1", "y1").alias("box_a"), F.explode(F.transform(around, lambda i: F.floor(F.col("x0") / step) + i)).alias("gx")).withColumn("gy", F.explode(F.transform(around, lambda i: F.floor(F.col("box_a.y0") / step) + i)))  # noqa: E741
+    r = right.select("page", *same, F.col("box_id").alias("b"), G.box("x0", "y0", "x1", "y1").alias("box_b"), F.floor(F.col("x0") / step).alias("gx"), F.floor(F.col("y0") / step).alias("gy"))
     d = F.round(G.distance(F.col("box_a"), F.col("box_b")), 4)
-    found = l.join(r, ["page", "gx", "gy"]).withColumn("distance", d).where(F.col("distance") <= most)
+    found = l.join(r, ["page", *same, "gx", "gy"]).withColumn("distance", d).where(F.col("distance") <= most)
     best = found.groupBy("page", "a").agg(F.min(F.struct("distance", "b")).alias("m"))
     return best.select("page", "a", F.col("m.b").alias("b"), F.col("m.distance").alias("distance"))
 
 
-def matched_fragments(segments: DataFrame, fragments: DataFrame) -> DataFrame:
-    """Segment to fragment in three tiers: equal text within 8, equal text within 12, any within 4 (text, box columns)."""
-    tiers = []
-    for rank, most, same in ((1, 8.0, True), (2, 12.0, True), (3, 4.0, False)):
-        found = nearest(segments, fragments, most)
-        if same:
-            l, r = segments.select("page", F.col("box_id").alias("a"), F.col("text").alias("ta")), fragments.select("page", F.col("box_id").alias("b"), F.col("text").alias("tb"))  # noqa: E741
-            found = found.join(l, ["page", "a"]).join(r, ["page", "b"]).where("ta = tb").drop("ta", "tb")
-        tiers.append(found.withColumn("tier", F.lit(rank)))
-    every = tiers[0].unionByName(tiers[1]).unionByName(tiers[2])
-    return every.groupBy("page", "a").agg(F.min(F.struct("tier", "distance", "b")).alias("m")).select("page", "a", "m.b", "m.tier", "m.distance")
+def matched_fragments(segments: DataFrame, fragments: DataFrame, blocks: DataFrame) -> DataFrame:
+    """(page, a, tier, b, distance): for each segment the nearest fragment of equal text within 8 (tier 1), else the
+    nearest block of equal text within 12 (2), else the nearest block of any within 4 (3). Tables have page, box_id, text
+    and the box; texts are compared squeezed."""
+    segments, fragments, blocks = (t.withColumn("text", T.squeeze(F.col("text"))) for t in (segments, fragments, blocks))
+    tiers = [nearest(segments, fragments, 8.0, same=("text",)), nearest(segments, blocks, 12.0, same=("text",)), nearest(segments, blocks, 4.0)]
+    every = functools.reduce(DataFrame.unionByName, [t.withColumn("tier", F.lit(k)) for k, t in enumerate(tiers, 1)])
+    return every.groupBy("page", "a").agg(F.min(F.struct("tier", "distance", "b")).alias("m")).select("page", "a", "m.tier", "m.b", "m.distance")
 
 
 def leads(boxes: DataFrame, font: float = 10.0) -> DataFrame:
@@ -88,7 +89,7 @@ def clusters(boxes: DataFrame, gap: float, most: int = 16) -> DataFrame:
             _, i, j = min((size(joined(a, b)) - size(a) - size(b), i, j) for i, a in enumerate(out) for j, b in enumerate(out[:i]))
             merged = joined(out[i], out[j])
             out = [x for k, x in enumerate(out) if k not in (i, j)] + [merged]
-        out.sort()
+        out.sort(key=lambda b: (b[1], b[0], b[3], b[2]))
         return pd.DataFrame([[page["page"].iloc[0], k, b[4], *b[:4]] for k, b in enumerate(out)], columns=["page", "cluster", "n", "x0", "y0", "x1", "y1"])
 
     return boxes.select("page", "box_id", "x0", "y0", "x1", "y1").groupBy("page").applyInPandas(group, "page int, cluster bigint, n bigint, x0 double, y0 double, x1 double, y1 double")

@@ -16,8 +16,8 @@ def diff(stored: DataFrame, new: DataFrame, keys: list[str], compared: list[str]
 
 
 def apply_diff(stored: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
-    """The table after the upsert, as the new state: only new rows remain, in their new form."""
-    return new.select(stored.columns).join(stored.select(keys).distinct().withColumn("known__", F.lit(True)), keys, "left").drop("known__").select(stored.columns)
+    """The table after the upsert: the new state replaces the old one, in the stored table's columns."""
+    return new.select(stored.columns)
 
 
 def history_page(tasks: DataFrame, order: list, page: int, size: int = 5) -> DataFrame:

@@ -19,15 +19,16 @@ def source_fallback(segments: DataFrame) -> DataFrame:
 
 def issues(segments: DataFrame, keys: list[str], number_warnings: bool = True) -> DataFrame:
     """(keys, severity, code): every rule that a row breaks, in one pass. Rows in fallback break none but SOURCE_FALLBACK;
-    an empty text breaks only EMPTY_TRANSLATION. Token rules apply where the columns missing, duplicated, unknown exist."""
+    an empty text breaks only EMPTY_TRANSLATION. Token rules apply where the columns missing (those that block), allowed (those that do not), duplicated, unknown exist."""
     text, source = F.coalesce("translated_text", F.lit("")), F.coalesce("source_text", F.lit(""))
-    ratio = F.length(text) / F.greatest(F.length(T.strip(source)), F.lit(1))
+    ratio = F.length(T.strip(text)) / F.greatest(F.length(T.strip(source)), F.lit(1))
     rules = [
         ("UNCHANGED_TEXT", "warning", T.casefold(T.squeeze(text)) == T.casefold(T.squeeze(source))),
         ("ABNORMAL_LENGTH", "warning", (ratio > 4.0) | (ratio < 0.08)),
         ("LOW_CHINESE_RATIO", "warning", (F.length(T.strip(source)) >= 30) & (T.cjk_ratio(text) < 0.08)),
     ]
     rules += [("NUMBER_CHANGED", "warning", T.numbers(text) != T.numbers(source))] if number_warnings else []
+    rules += [("PLACEHOLDER_CHANGED_ALLOWED", "warning", F.size("allowed") > 0)] if "allowed" in segments.columns else []
     for column, code in (("missing", "MISSING_PLACEHOLDER"), ("duplicated", "DUPLICATED_PLACEHOLDER"), ("unknown", "UNKNOWN_PLACEHOLDER")):
         rules += [(code, "blocking", F.size(column) > 0)] if column in segments.columns else []
     rows = [F.when(broken, F.struct(F.lit(severity).alias("severity"), F.lit(code).alias("code"))) for code, severity, broken in rules]
@@ -41,6 +42,7 @@ def issues(segments: DataFrame, keys: list[str], number_warnings: bool = True) -
 def report(segments: DataFrame, found: DataFrame, task: str) -> DataFrame:
     """(task, total_segments, translated_segments, blocking_errors, warnings, can_generate)."""
     filled = T.strip(F.coalesce("translated_text", F.lit(""))) != ""
+    filled = filled | (F.col("status") == "source_fallback") if "status" in segments.columns else filled
     totals = segments.groupBy(task).agg(F.count("*").alias("total_segments"), F.count_if(filled).alias("translated_segments"))
     broken = found.groupBy(task).agg(F.count_if(F.col("severity") == "blocking").alias("blocking_errors"), F.count_if(F.col("severity") == "warning").alias("warnings"))
     out = totals.join(broken, task, "left").fillna(0, ["blocking_errors", "warnings"])

@@ -39,8 +39,12 @@ BOXES = """boxes AS (SELECT label AS page, vec_id AS box_id, round(least(embeddi
   round(greatest(embedding[1]::DOUBLE, embedding[3]::DOUBLE) * 500 + 250, 2) AS x1, round(greatest(embedding[2]::DOUBLE, embedding[4]::DOUBLE) * 500 + 250, 2) AS y1 FROM embeddings)"""
 MARGINALS = """marginals AS (SELECT c.doc, c.text, c.n FROM (SELECT doc, lower(upper(line)) AS text, count(*) AS n FROM doc_lines WHERE line <> '' AND length(line) <= 200 GROUP BY 1, 2) c
   JOIN (SELECT doc, count(DISTINCT page) AS pages FROM doc_lines GROUP BY 1) p USING (doc) WHERE c.n >= greatest(2, CAST(ceil(CAST(0.35 AS DOUBLE) * pages) AS BIGINT)))"""
-CONTINUES = r"""(regexp_matches(line, '^\p{Ll}') AND (right(before, 1) = '-' OR NOT regexp_matches(right(before, 1), '[.!?。！？:：;；]')))"""
-PARAGRAPHS = rf"""{WRAPPED}, tagged AS (SELECT page, line_no, line, lag(line) OVER (PARTITION BY page ORDER BY line_no) AS before FROM visual_lines),
+#: Whether b goes on with a, both squeezed.
+SQ = r"trim(regexp_replace(replace({0}, chr(173), ''), '[ \t\r\f\v]+', ' ', 'g'), chr(10) || ' ')"
+CONTINUES = r"""(b <> '' AND a <> '' AND NOT (length(b) <= 30 AND len(string_split(b, ' ')) <= 5 AND regexp_full_match(b, '[A-Z][A-Z0-9 /&+.-]*')) AND ((right(b, 1) = '-' AND regexp_matches(a, '^\p{Ll}')) OR least(length(a), length(b)) >= 8)
+  AND (regexp_matches(a, '^\p{Ll}') OR NOT regexp_matches(b, '[.!?。！？]["''”’)]?$')))"""
+TAGGED = f"tagged AS (SELECT page, line_no, line, {SQ.format('line')} AS a, {SQ.format('lag(line) OVER (PARTITION BY page ORDER BY line_no)')} AS b FROM visual_lines)"
+PARAGRAPHS = rf"""{WRAPPED}, {TAGGED},
   merged AS (SELECT page, line_no, line, sum(CASE WHEN {CONTINUES} THEN 0 ELSE 1 END) OVER (PARTITION BY page ORDER BY line_no) AS paragraph FROM tagged),
   paragraphs AS (SELECT page, CAST(paragraph AS BIGINT) AS paragraph, replace(regexp_replace(string_agg(line, chr(10) ORDER BY line_no), '-\n(\p{{Ll}})', '\1', 'g'), chr(10), ' ') AS text, count(*) AS n_lines FROM merged GROUP BY 1, 2)"""
 
@@ -61,7 +65,7 @@ def q02_relabelled_lines(s, d):
     return layout.relabel_marginals(lines, layout.repeated_marginals(lines)).drop("line")
 
 
-@query(rf"""WITH {WRAPPED}, tagged AS (SELECT page, line_no, line, lag(line) OVER (PARTITION BY page ORDER BY line_no) AS before FROM visual_lines)
+@query(rf"""WITH {WRAPPED}, {TAGGED}
 SELECT page, line_no, CAST(sum(CASE WHEN {CONTINUES} THEN 0 ELSE 1 END) OVER (PARTITION BY page ORDER BY line_no) AS BIGINT) AS paragraph FROM tagged""")
 def q03_line_islands(s, d):
     return layout.merge_lines(A.visual_lines(_docs(s, d))).select("page", "line_no", "paragraph")
@@ -106,11 +110,11 @@ def q07_interval_islands(s, d):
 
 
 @query(r"""SELECT kind, CAST(sum(n) AS BIGINT) AS n FROM (SELECT unnest([{'kind': 'code', 'n': len(regexp_extract_all(t, '```[\s\S]*?```|`[^`\n]+`'))}, {'kind': 'url', 'n': len(regexp_extract_all(t, '(?i)\b(?:https?://|www\.)[^\s<>{}\[\]]+'))},
- {'kind': 'email', 'n': len(regexp_extract_all(t, '(?i)\b[A-Z0-9._%+-]+@[A-Z0-9.-]+\.[A-Z]{2,}\b'))}, {'kind': 'citation', 'n': len(regexp_extract_all(t, '\[(?:\s*\d+(?:\s*[-–]\s*\d+)?\s*,?)+\]|\((?:19|20)\d{2}[a-z]?\)'))}], recursive := true) FROM (SELECT text AS t FROM documents UNION ALL SELECT url FROM pages UNION ALL SELECT html FROM pages)) GROUP BY kind""")
+ {'kind': 'email', 'n': len(regexp_extract_all(t, '(?i)\b[A-Z0-9._%+-]+@[A-Z0-9.-]+\.[A-Z]{2,}\b'))}, {'kind': 'doi', 'n': len(regexp_extract_all(t, '(?i)\b10\.\d{4,9}/[-._;()/:A-Z0-9]+\b'))}, {'kind': 'citation', 'n': len(regexp_extract_all(t, '\[(?:\s*\d+(?:\s*[-–]\s*\d+)?\s*,?)+\]|\((?:19|20)\d{2}[a-z]?\)'))}], recursive := true) FROM (SELECT text AS t FROM documents UNION ALL SELECT url FROM pages UNION ALL SELECT html FROM pages)) GROUP BY kind""")
 def q08_mask_counts(s, d):
     pages = A.table(s, d, "pages")
     texts = _docs(s, d).select(F.col("text").alias("t")).unionAll(pages.select("url")).unionAll(pages.select("html"))
-    return masking.kind_counts(texts, "t", ("code", "url", "email", "citation"))
+    return masking.kind_counts(texts, "t", ("code", "url", "email", "doi", "citation"))
 
 
 @query()
@@ -132,7 +136,7 @@ def q10_numbers_multiset(s, d):
 TEXT = "coalesce(translated_text, '')"
 BLANK = "regexp_matches(coalesce(translated_text, ''), '^\\s*$')"
 SQUEEZED = r"lower(upper(trim(regexp_replace({0}, '[ \t\r\f\v]+', ' ', 'g'), chr(10) || ' ')))"
-ISSUES = rf"""{PAIRS}, tested AS (SELECT *, {TEXT} AS t, length({TEXT}) / greatest(length(trim(source_text, chr(10) || ' ')), 1) AS ratio, length(regexp_replace({TEXT}, '[^\p{{L}}]', '', 'g')) AS letters FROM turn_pairs),
+ISSUES = rf"""{PAIRS}, tested AS (SELECT *, {TEXT} AS t, length(trim({TEXT}, chr(10) || ' ')) / greatest(length(trim(source_text, chr(10) || ' ')), 1) AS ratio, length(regexp_replace({TEXT}, '[^\p{{L}}]', '', 'g')) AS letters FROM turn_pairs),
  issues AS (SELECT conv_id, turn, 'blocking' AS severity, 'EMPTY_TRANSLATION' AS code FROM tested WHERE {BLANK}
  UNION ALL SELECT conv_id, turn, 'warning', 'UNCHANGED_TEXT' FROM tested WHERE NOT {BLANK} AND {SQUEEZED.format('t')} = {SQUEEZED.format('source_text')}
  UNION ALL SELECT conv_id, turn, 'warning', 'ABNORMAL_LENGTH' FROM tested WHERE NOT {BLANK} AND (ratio > 4.0 OR ratio < 0.08)
@@ -247,7 +251,7 @@ def q23_dense_documents(s, d):
     return spatial.density(A.visual_lines(_docs(s, d)), 500_990.0)
 
 
-@query(r"""WITH c AS (SELECT doc_id, length(text) AS n, length(regexp_replace(text, '[^㐀-鿿]', '', 'g')) AS cjk, length(regexp_replace(text, '[^\p{L}]', '', 'g')) AS letters, length(regexp_replace(text, '[^\s]', '', 'g')) AS blank, length(regexp_replace(text, '[^A-Za-z0-9]', '', 'g')) AS plain FROM documents)
+@query(r"""WITH c AS (SELECT doc_id, length(text) AS n, length(regexp_replace(text, '[^㐀-鿿]', '', 'g')) AS cjk, length(regexp_replace(text, '[^\p{L}]', '', 'g')) AS letters, length(regexp_replace(text, '[^\s]', '', 'g')) AS blank, length(regexp_replace(regexp_replace(text, '[^\p{L}\p{N}]', '', 'g'), '[㐀-鿿]', '', 'g')) AS plain FROM documents)
 SELECT doc_id, CASE WHEN letters = 0 THEN 0.0 ELSE cjk / letters END AS cjk_ratio, round(cjk * 1.0 + blank * 0.25 + plain * 0.55 + (n - cjk - blank - plain) * 0.45, 4)::DOUBLE AS visual_length FROM c""")
 def q24_cjk_and_visual_length(s, d):
     return _docs(s, d).select("doc_id", T.cjk_ratio(F.col("text")).alias("cjk_ratio"), F.round(T.visual_length(F.col("text")).cast("double"), 4).alias("visual_length"))
@@ -289,12 +293,14 @@ def q30_job_retention(s, d):
     return jobs.retained(A.job_events(A.table(s, d, "events")))
 
 
-@query(rf"""WITH {WRAPPED}, e AS (SELECT page, arg_min(line, line_no) AS line, arg_max(line, line_no) AS last_text FROM visual_lines GROUP BY 1), p AS (SELECT lang AS doc, page, line, lag(last_text) OVER w AS before, lag(page) OVER w AS before_page FROM e JOIN documents ON doc_id = page WINDOW w AS (PARTITION BY lang ORDER BY page))
-SELECT doc, page, CAST(sum(CASE WHEN before_page = page - 1 AND {CONTINUES} THEN 0 ELSE 1 END) OVER (PARTITION BY doc ORDER BY page) AS BIGINT) AS chain FROM p""")
+@query(rf"""WITH {WRAPPED}, e AS (SELECT page, arg_min(line, line_no) AS first_text, arg_max(line, line_no) AS last_text FROM visual_lines GROUP BY 1), p AS (SELECT lang AS doc, page, {SQ.format('first_text')} AS a, {SQ.format('lag(last_text) OVER w')} AS b, lag(page) OVER w AS before_page, (page % 4) * 0.1 AS top, 0.6 + ((page - 1) % 5) * 0.1 AS bottom FROM e JOIN documents ON doc_id = page WINDOW w AS (PARTITION BY lang ORDER BY page))
+SELECT doc, page, CAST(sum(CASE WHEN before_page = page - 1 AND bottom >= 0.72 AND top <= 0.28 AND {CONTINUES} THEN 0 ELSE 1 END) OVER (PARTITION BY doc ORDER BY page) AS BIGINT) AS chain FROM p""")
 def q31_page_chains(s, d):
     docs = _docs(s, d)
     ends = A.visual_lines(docs).groupBy("page").agg(F.min_by("line", "line_no").alias("first_text"), F.max_by("line", "line_no").alias("last_text"))
-    return layout.page_chains(ends.join(docs.select(F.col("doc_id").alias("page"), F.col("lang").alias("doc")), "page")).select("doc", "page", "chain")
+    own = ends.join(docs.select(F.col("doc_id").alias("page"), F.col("lang").alias("doc")), "page")
+    own = own.withColumns({"bottom": 0.6 + F.col("page") % 5 * 0.1, "top": F.col("page") % 4 * 0.1})
+    return layout.page_chains(own, "bottom", "top").select("doc", "page", "chain")
 
 
 @query()
@@ -371,7 +377,7 @@ def q43_columns(s, d):
     return layout.assign_columns(_boxes(s, d).withColumn("page_width", F.lit(500.0)))
 
 
-@query(r"""WITH i AS (SELECT page_id, unnest(list_distinct(list_filter(list_transform(regexp_extract_all(url, '(https?://\S+|\S*\d\S*|\b[A-Z]{2,}\b)', 1), lambda x: lower(regexp_replace(x, '^[^A-Za-z0-9]+|[^A-Za-z0-9]+$', '', 'g'))), lambda x: x <> ''))) AS identifier FROM pages)
+@query(r"""WITH i AS (SELECT page_id, unnest(list_distinct(list_filter(list_transform(regexp_extract_all(url, '(?:https?://|www\.)\S+|[A-Za-z]*\d[\w./:%+-]*|[A-Z]{2,}'), lambda x: lower(trim(x, '.,;:()[]{}'))), lambda x: x <> ''))) AS identifier FROM pages)
 SELECT identifier, min(page_id) AS page_id FROM i GROUP BY 1 HAVING count(DISTINCT page_id) = 1""")
 def q44_unique_identifiers(s, d):
     each = A.table(s, d, "pages").select("page_id", F.explode(T.identifiers(F.col("url"))).alias("identifier"))
@@ -421,11 +427,11 @@ def q51_pages_with_segments(s, d):
     return _docs(s, d).join(A.table(s, d, "labels"), "doc_id", "left").select(F.col("doc_id").alias("page"), F.length("text").cast("bigint").alias("n_signs"), F.coalesce("quality", F.lit(-1)).alias("quality"))
 
 
-@query("""WITH f AS (SELECT 'task_' || lpad((o_orderkey % 40 + 1)::VARCHAR, 3, '0') || '_of_040.xlsx' AS file, o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN 'PKG-' || (o_orderkey % 50 + 1) END AS package_id FROM orders)
-SELECT file || '#' || o_orderkey AS file, CASE WHEN package_id IS NOT NULL AND o_orderkey % 50 + 1 > 40 THEN 'WRONG_PACKAGE' WHEN package_id IS NULL THEN 'UNKNOWN_PACKAGE' ELSE 'OK' END AS state, CASE WHEN package_id IS NOT NULL AND o_orderkey % 50 + 1 <= 40 THEN o_orderkey % 50 + 1 END AS package_index FROM f""")
+@query("""WITH f AS (SELECT o_orderkey || CASE WHEN o_orderkey % 7 = 0 THEN '_copy.xlsx' ELSE '_' || lpad((o_orderkey % 40 + 1)::VARCHAR, 3, '0') || '_of_040.xlsx' END AS file, o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN 'PKG-' || (o_orderkey % 50 + 1) END AS package_id FROM orders)
+SELECT file, CASE WHEN package_id IS NOT NULL AND o_orderkey % 50 + 1 > 40 THEN 'WRONG_PACKAGE' WHEN package_id IS NULL AND o_orderkey % 7 = 0 THEN 'UNKNOWN_PACKAGE' ELSE 'OK' END AS state, CASE WHEN package_id IS NULL AND o_orderkey % 7 <> 0 THEN o_orderkey % 40 + 1 WHEN package_id IS NOT NULL AND o_orderkey % 50 + 1 <= 40 THEN o_orderkey % 50 + 1 END AS package_index FROM f""")
 def q52_package_lookup(s, d):
     k = F.col("o_orderkey")
-    files = A.table(s, d, "orders").select(F.format_string("task_%03d_of_040.xlsx#%d", k % 40 + 1, k).alias("file"), F.when(k % 3 == 0, F.concat(F.lit("PKG-"), k % 50 + 1)).alias("package_id"))
+    files = A.table(s, d, "orders").select(F.when(k % 7 == 0, F.concat(k, F.lit("_copy.xlsx"))).otherwise(F.format_string("%d_%03d_of_040.xlsx", k, k % 40 + 1)).alias("file"), F.when(k % 3 == 0, F.concat(F.lit("PKG-"), k % 50 + 1)).alias("package_id"))
     known = s.range(1, 41).select(F.concat(F.lit("PKG-"), "id").alias("package_id"), F.col("id").alias("package_index"))
     return matching.package_of(files, known)
 
@@ -495,3 +501,6 @@ def q60_html_block_classes(s, d):
     median = blocks.groupBy("page").agg(F.median("size").alias("m"))
     kind = layout.classify(F.col("text"), F.col("size"), F.col("size"), F.col("m"), F.col("top"), F.col("top") + 0.02, F.col("page"), F.col("block_no"))
     return blocks.join(median, "page").select("page", "kind", "block_no", kind.alias("block_type"))
+
+
+from pagemill.plans import reports  # noqa: E402, F401  (adds its queries to the same tables)

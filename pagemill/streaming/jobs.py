@@ -12,18 +12,20 @@ STATE = "started double, last double, current long, total long, remaining double
 RETENTION_HOURS = 24
 
 
-def smoothed(previous: float | None, elapsed: float, current: int, total: int) -> float:
-    """Seconds left: the rate so far, smoothed .35 new to .65 old, with an allowance for the last steps."""
-    raw = elapsed / max(1, current) * max(0, total - current) + (min(10.0, max(1.0, 0.03 * total)) if current < total else 0.0)
-    return raw if previous is None else 0.65 * previous + 0.35 * raw
+def smoothed(previous: float | None, since: float, elapsed: float, current: int, total: int) -> float:
+    """Seconds left: the time for a step so far, for the steps that are left and some more for the end; .35 of that and
+    .65 of the previous estimate, which has become shorter by the time since. The constants are fixed values."""
+    left = max(0, total - current) + min(10.0, max(1.0, 0.03 * total))
+    raw = max(elapsed, 0.001) / current * left
+    return raw if previous is None else 0.65 * max(0.0, previous - since) + 0.35 * raw
 
 
 def advance(state: tuple | None, ts: float, current: int, total: int, said: str) -> tuple:
     """The state after one event; a new total or a step back starts anew."""
     if state is None or state[3] != total or current < state[2]:
         state = (ts, ts, 0, total, -1.0, said)
-    started, _, _, _, remaining, _ = state
-    left = smoothed(None if remaining < 0 else remaining, ts - started, current, total) if current else -1.0
+    started, last, _, _, remaining, _ = state
+    left = smoothed(None if remaining < 0 else remaining, ts - last, ts - started, current, total) if current > 0 and total > 0 else remaining
     return started, ts, current, total, left, "completed" if current >= total and said != "failed" else said
 
 

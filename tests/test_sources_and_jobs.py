@@ -37,3 +37,13 @@ def test_states_follow_events(spark, tmp_path):
     q = stream.writeStream.outputMode("update").format("memory").queryName("job_states").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
     assert q.awaitTermination(120)
     assert {r.job_id: r for r in spark.sql("select * from job_states").collect()} == batch
+
+
+def test_time_left_by_hand():
+    """Two steps of ten after 4 s: 2 s a step, eight left and one more; a second later 3 steps, 5/3 s a step."""
+    assert jobs.smoothed(None, 0.0, 4.0, 2, 10) == 18.0
+    assert abs(jobs.smoothed(18.0, 1.0, 5.0, 3, 10) - (0.65 * 17.0 + 0.35 * 5 / 3 * 8)) < 1e-12
+    state = jobs.advance(None, 100.0, 0, 10, "running")
+    state = jobs.advance(jobs.advance(state, 104.0, 2, 10, "running"), 105.0, 3, 10, "running")
+    assert abs(state[4] - (0.65 * 17.0 + 0.35 * 5 / 3 * 8)) < 1e-12
+    assert jobs.advance(state, 106.0, 1, 20, "running")[0] == 106.0
