@@ -144,9 +144,10 @@ def _batch(kind: int, key, content, ids, th, a, b) -> pa.RecordBatch:
 def _matched(batches, length: int):
     """Rows in order of key, id, th, a. Passes ranges on; of each anchor, tells snippets whose bytes came before (as
     ranges) and, if there are different ones, the first of each (kind 1)."""
-    held: pa.Table | None = None
+    held: list[pa.RecordBatch] = []
 
-    def settle(table: pa.Table):
+    def settle(batches: list[pa.RecordBatch]):
+        table = pa.Table.from_batches(batches)
         kind, key, content, ids, th, a, b = (table.column(i).to_numpy() for i in range(7))
         if (marks := np.flatnonzero(kind == 0)).size:
             yield _batch(0, key[marks], content[marks], ids[marks], th[marks], a[marks], b[marks])
@@ -175,14 +176,17 @@ def _matched(batches, length: int):
             yield _batch(1, key[first], content[first], ids[first], th[first], a[first], b[first])
 
     for batch in batches:
-        table = pa.Table.from_batches([batch])
-        held = table if held is None else pa.concat_tables([held, table])
-        keys = held.column(1).to_numpy()
-        cut = int(np.searchsorted(keys, keys[-1])) if len(keys) else 0  # the last key may go on
-        if cut:
-            yield from settle(held.slice(0, cut))
-            held = held.slice(cut)
-    if held is not None and held.num_rows:
+        if not batch.num_rows:
+            continue
+        keys = batch.column(1).to_numpy()
+        cut = int(np.searchsorted(keys, keys[-1]))  # the last key may go on
+        if held and (cut or held[0].column(1)[0].as_py() != keys[0]):
+            yield from settle([*held, batch.slice(0, cut)])
+            held = []
+        elif cut:
+            yield from settle([batch.slice(0, cut)])
+        held.append(batch.slice(cut))
+    if held:
         yield from settle(held)
 
 
@@ -293,6 +297,20 @@ def cut_ranges(text: bytes, ranges: list[dict] | None) -> tuple[bytes, int, int]
     return b"".join(text[a:b] for a, b in zip(edges[::2], edges[1::2])), int((high - low).sum()), len(low)
 
 
+def whole_characters(text: bytes, ranges: list[dict]) -> list[dict]:
+    """Ranges of UTF-8 bytes, widened to whole characters."""
+    inside = lambda at: 0 <= at < len(text) and text[at] & 0xC0 == 0x80
+    out = []
+    for r in ranges:
+        a, b = r["a"], r["b"]
+        while inside(a):
+            a -= 1
+        while inside(b):
+            b += 1
+        out.append({"a": a, "b": b})
+    return out
+
+
 def digest(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256) for each row of docs, texts being UTF-8 bytes.
 
@@ -319,14 +337,20 @@ def digest(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_c
 def remove_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with the repeated bytes cut out of the text column (as in `digest`), all columns kept.
 
-    A character of which any byte goes goes as a whole, so that texts stay UTF-8. A null text stays null.
+    A character of which any byte goes goes as a whole, so that texts stay UTF-8 and no new character arises. A null text
+    stays null.
     """
     rows, ranges = with_ranges(docs, length, id_col, text_col)
 
     def cut(batches):
         for part in chunks(batches, text_col, BUFFER):
             at = part.schema.get_field_index(text_col)
-            texts = [t if t is None or not r else cut_ranges(t.encode(), r)[0].decode(errors="ignore") for t, r in zip(part.column(at).to_pylist(), part.column(part.num_columns - 1).to_pylist())]
+            texts = []
+            for t, r in zip(part.column(at).to_pylist(), part.column(part.num_columns - 1).to_pylist()):
+                if r:
+                    raw = t.encode()
+                    t = cut_ranges(raw, whole_characters(raw, r))[0].decode()
+                texts.append(t)
             kept = part.drop_columns([ranges])
             yield kept.set_column(at, kept.schema.field(at), pa.array(texts, pa.string()))
 

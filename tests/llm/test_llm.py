@@ -125,6 +125,36 @@ def test_suffix_dedup(unique, docs, nothing):
     assert suffix_dedup.digest(nothing).count() == 0
 
 
+def test_suffix_dedup_cuts_whole_characters(spark, tmp_path):
+    """A range that begins within a character and ends within another takes both; nothing is fused from their rests."""
+    raw = "xÉ" + "b" * 3 + "»y"
+    ranges = [{"a": 2, "b": 7}]
+    assert raw.encode()[2] & 0xC0 == raw.encode()[7] & 0xC0 == 0x80
+    assert suffix_dedup.cut_ranges(raw.encode(), suffix_dedup.whole_characters(raw.encode(), ranges))[0].decode() == "xy"
+    same = "ß" + prose(60)
+    rows = [(1, "é" + same), (2, "è" + same + "é")]
+    path = str(tmp_path / "t")
+    spark.createDataFrame(rows, "doc_id bigint, text string").write.parquet(path)
+    got = {r.doc_id: r.text for r in suffix_dedup.remove_repeats(spark.read.parquet(path)).collect()}
+    assert got == {1: rows[0][1], 2: "èé"}
+
+
+def test_suffix_dedup_of_texts_longer_than_a_buffer(spark, tmp_path):
+    """A text of several pieces, with passages that repeat within a piece, across its edge and in other documents."""
+    rng = random.Random(15)
+    noise = lambda n: "".join(rng.choices("abcdefghijklmnopqrstuvwxyz ", k=n))
+    passage, n = noise(300), suffix_dedup.BUFFER
+    long_ = noise(n - 150) + passage + noise(n // 2) + passage + noise(n)
+    rows = [(1, noise(400)), (2, long_), (3, noise(50) + passage + noise(50) + long_[n + 500 : n + 700]), (4, long_)]
+    path = str(tmp_path / "t")
+    spark.createDataFrame(rows, "doc_id bigint, text string").repartition(2).write.parquet(path)
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix_dedup.digest(spark.read.parquet(path)).collect()}
+    at = [n - 150, n - 150 + 300 + n // 2]
+    assert long_.find(passage, at[0] + 1) == at[1]
+    left = {1: (rows[0][1], 0, 0), 2: (long_[: at[1]] + long_[at[1] + 300 :], 300, 1), 3: (rows[2][1][:50] + rows[2][1][350:400], 500, 2), 4: ("", len(long_), 1)}
+    assert got == {i: (len(rows[i - 1][1]), removed, spans, hashlib.sha256(kept.encode()).hexdigest()) for i, (kept, removed, spans) in left.items()}
+
+
 def test_induced_sorting_finds_all_equal_strings():
     for trial in range(300):
         n, depth = RNG.randrange(1, 70), RNG.choice([1, 2, 3, 8])
