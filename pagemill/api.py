@@ -23,6 +23,7 @@ class Settings:
     protected_terms: tuple[str, ...] = ()
     max_rows: int = packing.MAX_ROWS
     max_chars: int = packing.MAX_CHARS
+    max_bytes: int = packing.MAX_BYTES
 
 
 @dataclass
@@ -45,25 +46,35 @@ class Engine:
         seg = layout.segments(layout.paragraphs(layout.merge_lines(lines)), own.stable_keys).withColumnRenamed("text", "source_text")
         return masking.protect(seg.withColumn("task_id", F.lit(self.task)), self.task, "segment_id", "source_text", own.protected_terms)
 
+    def _packed(self, segments: DataFrame) -> DataFrame:
+        """The translatable rows in packages bounded by rows, signs and bytes."""
+        rows = segments.where("should_translate").select("task_id", "segment_id", "row_key", F.col("protected_text").alias("text"), F.length("protected_text").alias("n"))
+        own = self.settings
+        sized = rows.withColumn("row_bytes", packing.checked_bytes("text", "segment_id", own.max_bytes))
+        return packing.next_fit(sized, "task_id", "segment_id", "n", own.max_chars, own.max_rows, "row_bytes", own.max_bytes)
+
     def export(self, segments: DataFrame, path: str | None = None) -> DataFrame:
         """The packages of the translatable rows; with a path, as XLSX files there."""
-        rows = segments.where("should_translate").select("task_id", "segment_id", "row_key", F.col("protected_text").alias("text"), F.length("protected_text").alias("n"))
-        packed = packing.next_fit(rows, "task_id", "segment_id", "n", self.settings.max_chars, self.settings.max_rows)
+        packed = self._packed(segments)
         each = packing.packages(packed, "task_id", "n")
         return each if path is None else xlsx.write_packages(packed.join(each.select("task_id", "package_index", "package_total"), ["task_id", "package_index"]), path)
 
     def import_(self, segments: DataFrame, cells: DataFrame) -> DataFrame:
-        """segments with the texts of returned cells (file, sheet_index, row_index, cells): by key, first row of a file
-        wins, later files overwrite earlier ones."""
-        rows = cells.withColumn("at", F.array_position(F.transform("cells", lambda c: T.row_key(c).isNotNull()), True) - 1).where("at >= 0")
-        keyed = rows.select(T.row_key(F.get("cells", F.col("at").cast("int"))).alias("row_key"), matching.value_after(F.col("cells"), F.col("at")).alias("translated_text"), "file", "sheet_index", "row_index")
-        per_file = keyed.groupBy("row_key", "file").agg(F.min_by("translated_text", F.struct("sheet_index", "row_index")).alias("translated_text"))
-        last = per_file.groupBy("row_key").agg(F.max_by("translated_text", "file").alias("translated_text"))
-        return segments.join(last, "row_key", "left")
+        """segments with the texts of returned cells, as `import_with_issues` finds them."""
+        return self.import_with_issues(segments, cells)[0]
+
+    def import_with_issues(self, segments: DataFrame, cells: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """(segments with the texts of returned cells (file, subject, sheet_index, sheet_state, row_index, cells), issues of
+        the files), by the rules of `matching.import_cells`."""
+        packed = self._packed(segments)
+        name = F.format_string("PKG-%s-%03d", F.col("task_id"), F.col("package_index"))
+        expected = packed.select(name.alias("package_id"), "package_index", "row_key", F.col("segment_id").alias("position"))
+        texts, issues = matching.import_cells(cells, expected)
+        return segments.join(texts.select("row_key", "translated_text"), "row_key", "left"), issues
 
     def validate(self, segments: DataFrame) -> tuple[DataFrame, DataFrame]:
         """(issues, report) of the translatable segments, tokens restored."""
-        rows = masking.restored(segments.where("should_translate"), "translated_text", "placeholders").withColumn("missing", masking.blocking_missing(F.col("placeholders"), F.col("missing"), not self.settings.number_warnings))
+        rows = masking.restored(segments.where("should_translate"), "translated_text", "placeholders").withColumns({"allowed": masking.allowed_missing(F.col("placeholders"), F.col("missing"), not self.settings.number_warnings), "missing": masking.blocking_missing(F.col("placeholders"), F.col("missing"), not self.settings.number_warnings)})
         ready = rows.withColumn("translated_text", F.when(F.col("translated_text").isNotNull(), F.col("restored_text")))
         found = validation.issues(ready, ["task_id", "segment_id"], self.settings.number_warnings)
         return found, validation.report(ready, found, "task_id")

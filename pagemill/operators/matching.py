@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pagemill.functions import text as T
+from pagemill.operators.store import stored
 
 
 def key_cell(cells: Column, expected: Column) -> Column:
@@ -59,6 +60,51 @@ def import_issues(imported: DataFrame, positional: DataFrame, lost: DataFrame, t
     return issue(twice, "blocking", "DUPLICATE_ROW_KEY", F.col(key)).unionByName(issue(rescued, "warning", "POSITIONAL_MATCH", F.lit(None))).unionByName(issue(gone, "warning", "MISSING_ROW_KEY", F.col(key)))
 
 
+def import_cells(cells: DataFrame, expected: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(texts, issues) of returned rows (file, subject, sheet_index, sheet_state, row_index, cells) for expected keys
+    (package_id, package_index, row_key, position).
+
+    A file belongs to the package that its subject names, else to that of the index in its name; a foreign subject is a
+    blocking WRONG_PACKAGE, and no package a blocking UNKNOWN_PACKAGE. Of each file the best sheet counts: visible ones
+    first, then by keys and rows. A row's key is its first cell that is an expected key of the package, its text the next
+    cell that is not null. The first row of a key wins in a file, a later file (by name) over an earlier one. Where all
+    rows stand but less than half of the keys, the n-th row is that of the n-th key, with its last text.
+    texts: (row_key, translated_text, file, match); issues: (file, severity, code, row_key). The keys and the rows with
+    theirs are stored, as all steps read them.
+    """
+    expected = stored(expected, "expected")
+    packages = expected.groupBy("package_id", "package_index").agg(F.count("*").alias("wanted"))
+    files = cells.select("file", F.col("subject").alias("package_id")).distinct()
+    states = package_of(files, packages)
+    fit = states.where("state = 'OK'").select("file", "package_index")
+    own = expected.join(fit, "package_index").select("file", "row_key", "position")
+    rows = cells.join(fit, "file").select("file", "sheet_index", "row_index", "sheet_state", "cells")
+    each = rows.select("file", "sheet_index", "row_index", F.posexplode("cells").alias("at", "cell"))
+    keyed = each.withColumn("row_key", T.row_key(F.col("cell"))).join(own, ["file", "row_key"], "left_semi")
+    keyed = keyed.groupBy("file", "sheet_index", "row_index").agg(F.min_by("row_key", "at").alias("row_key"), F.min("at").alias("at"), F.collect_set("row_key").alias("keys"))
+    # A row for each returned one, with its key if it has one: all that follows reads this table.
+    known = stored(rows.join(keyed, ["file", "sheet_index", "row_index"], "left").withColumn("filled", F.exists("cells", lambda c: F.coalesce(c, F.lit("")) != "")), "returned")
+    keys = known.select("file", "sheet_index", F.explode("keys").alias("k")).groupBy("file", "sheet_index").agg(F.countDistinct("k").alias("distinct_keys"))
+    scores = known.groupBy("file", "sheet_index").agg(F.count("row_key").alias("keyed_rows"), F.count_if("filled").alias("filled_rows"), F.max(F.col("sheet_state") == "visible").alias("visible"))
+    best = best_sheet(scores.join(keys, ["file", "sheet_index"], "left").fillna(0, ["distinct_keys"]))
+    sheet = known.join(best, ["file", "sheet_index"])
+    found = sheet.where("row_key is not null").select("file", "row_key", "row_index", value_after(F.col("cells"), F.col("at")).alias("translated_text"))
+    once = found.groupBy("file", "row_key").agg(F.min_by("translated_text", "row_index").alias("translated_text"), F.count("*").alias("n"))
+    filled = sheet.where("filled")
+    exact = once.groupBy("file").agg(F.sum("n").alias("exact"), F.count("*").alias("known"))
+    counts = own.groupBy("file").agg(F.count("*").alias("wanted")).join(filled.groupBy("file").agg(F.count("*").alias("got")), "file", "left").join(exact, "file", "left").fillna(0)
+    moved = counts.where("known < wanted and got = wanted and exact * 2 < wanted").select("file")
+    nth = lambda df, order: df.join(moved, "file", "left_semi").withColumn("nth", F.row_number().over(Window.partitionBy("file").orderBy(order)))
+    by_place = nth(own, "position").join(nth(filled.select("file", "row_index", "cells"), "row_index"), ["file", "nth"]).select("file", "row_key", last_value(F.col("cells")).alias("translated_text"))
+    exact = once.join(moved, "file", "left_anti")
+    texts = exact.select("file", "row_key", "translated_text", F.lit("key").alias("match")).unionByName(by_place.withColumn("match", F.lit("position")))
+    texts = texts.groupBy("row_key").agg(F.max_by(F.struct(F.trim(F.coalesce("translated_text", F.lit(""))).alias("translated_text"), "file", "match"), "file").alias("t")).select("row_key", "t.*")
+    lost = own.join(once, ["file", "row_key"], "left_anti").join(moved, "file", "left_anti")
+    issue = lambda df, severity, code, key=None: df.select("file", F.lit(severity).alias("severity"), (F.lit(code) if isinstance(code, str) else code).alias("code"), (F.lit(None).cast("string") if key is None else F.col(key)).alias("row_key"))
+    issues = issue(states.where("state <> 'OK'"), "blocking", F.col("state")).unionByName(issue(once.where("n > 1"), "blocking", "DUPLICATE_ROW_KEY", "row_key")).unionByName(issue(moved, "warning", "POSITIONAL_MATCH")).unionByName(issue(lost, "warning", "MISSING_ROW_KEY", "row_key"))
+    return texts, issues
+
+
 def page_lookup(wanted: DataFrame, pages: DataFrame, columns: list[str]) -> DataFrame:
     """wanted (doc, page) with the stored page's columns; reopen says that the page is not stored."""
     known = pages.select("doc", "page", *columns).withColumn("known__", F.lit(True))

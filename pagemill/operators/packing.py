@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pagemill.operators.layout import running
@@ -11,30 +11,33 @@ from pagemill.operators.layout import running
 MAX_ROWS, MAX_CHARS, MAX_BYTES = 1_000_000, 100_000_000, 9_500_000
 
 
-def next_fit(rows: DataFrame, task: str, order: str, size: str, most_size: int = MAX_CHARS, most_rows: int = MAX_ROWS) -> DataFrame:
+def next_fit(rows: DataFrame, task: str, order: str, size: str, most_size: int = MAX_CHARS, most_rows: int = MAX_ROWS, bytes_: str | None = None, most_bytes: int = MAX_BYTES) -> DataFrame:
     """rows with package_index (from 1): a package is closed as soon as the next row would exceed a bound. A row larger
-    than the bound has a package of its own.
+    than the bound has a package of its own. Where a column of bytes is named, packages that hold more than most_bytes are
+    split in order; the bounds of size and rows count on over such splits.
 
-    The sum starts anew with each package, so order matters: a task's (order, size) pairs are read in order in batches,
-    with two running numbers carried over; texts are not touched and join on the task and order.
+    The sums start anew with each package, so order matters: a task's (order, size) pairs are read in order in batches,
+    with running numbers carried over; texts are not touched and join on the task and order.
     """
-
     kinds = dict(rows.dtypes)
+    weight = F.lit(0) if bytes_ is None else F.col(bytes_)
 
     def partition(batches):
-        at, held, count, current = 1, 0, 0, object()
+        at, held, count, heavy, current = 1, 0, 0, 0, object()
         for batch in batches:
             out = []
-            for t, n in zip(batch[task], batch[size]):
+            for t, n, b in zip(batch[task], batch[size], batch["weight__"]):
                 if t != current:
-                    at, held, count, current = 1, 0, 0, t
+                    at, held, count, heavy, current = 1, 0, 0, 0, t
                 if count and (held + n > most_size or count >= most_rows):
-                    at, held, count = at + 1, 0, 0
-                held, count = held + n, count + 1
+                    at, held, count, heavy = at + 1, 0, 0, 0
+                elif heavy and heavy + b > most_bytes:
+                    at, heavy = at + 1, 0
+                held, count, heavy = held + n, count + 1, heavy + b
                 out.append(at)
             yield pd.DataFrame({task: batch[task], order: batch[order], "package_index": out})
 
-    slim = rows.select(task, order, F.col(size).cast("bigint").alias(size)).repartition(F.col(task)).sortWithinPartitions(task, order)
+    slim = rows.select(task, order, F.col(size).cast("bigint").alias(size), weight.cast("bigint").alias("weight__")).repartition(F.col(task)).sortWithinPartitions(task, order)
     packed = slim.mapInPandas(partition, f"{task} {kinds[task]}, {order} {kinds[order]}, package_index bigint")
     return rows.join(packed, [task, order])
 
@@ -52,8 +55,12 @@ def packages(packed: DataFrame, task: str, size: str) -> DataFrame:
     return each.join(total, task).withColumn("filename", name)
 
 
+def checked_bytes(text: str, order: str, most: int = MAX_BYTES, overhead: int = 64) -> Column:
+    """An additive estimate of a row's bytes in the file; a single row over the bound is an error."""
+    n = (F.octet_length(text) + F.lit(overhead)).cast("bigint")
+    return F.when(n > most, F.raise_error(F.concat(F.lit("a row exceeds the package size: "), F.col(order).cast("string")))).otherwise(n)
+
+
 def refine_by_bytes(rows: DataFrame, task: str, order: str, text: str, most: int = MAX_BYTES, overhead: int = 64) -> DataFrame:
     """Next fit on an additive estimate of a row's bytes in the file; a single row over the bound is an error."""
-    sized = rows.withColumn("row_bytes", (F.octet_length(text) + F.lit(overhead)).cast("bigint"))
-    checked = sized.withColumn("row_bytes", F.when(F.col("row_bytes") > most, F.raise_error(F.concat(F.lit("a row exceeds the package size: "), F.col(order).cast("string")))).otherwise(F.col("row_bytes")))
-    return next_fit(checked, task, order, "row_bytes", most)
+    return next_fit(rows.withColumn("row_bytes", checked_bytes(text, order, most, overhead)), task, order, "row_bytes", most)

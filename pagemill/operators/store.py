@@ -2,15 +2,27 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
-def diff(stored: DataFrame, new: DataFrame, keys: list[str], compared: list[str]) -> DataFrame:
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """df written to the shared folder of spark.checkpoint.dir (where that is unset, below the warehouse) and read again, so
+    that long plans end and lost executors cost nothing. The files stay until that folder is cleared."""
+    spark = df.sparkSession
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/scratch"
+    path = f"{root.rstrip('/')}/pagemill/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def diff(old: DataFrame, new: DataFrame, keys: list[str], compared: list[str]) -> DataFrame:
     """(keys, action): insert, update (a compared column differs), delete or unchanged; one full outer join."""
     h = F.xxhash64(*[F.to_json(F.struct(*[F.col(c) for c in compared]))])
-    old_, new_ = stored.select(*keys, h.alias("old__")), new.select(*keys, h.alias("new__"))
+    old_, new_ = old.select(*keys, h.alias("old__")), new.select(*keys, h.alias("new__"))
     action = F.when(F.col("old__").isNull(), "insert").when(F.col("new__").isNull(), "delete").when(F.col("old__") != F.col("new__"), "update").otherwise("unchanged")
     return old_.join(new_, keys, "full_outer").select(*keys, action.alias("action"))
 

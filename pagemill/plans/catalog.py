@@ -89,18 +89,19 @@ def q05_segment_ids_keys(s, d):
     return layout.segments(_paragraphs(s, d)).select("segment_id", "row_key", "reading_order", "should_translate")
 
 
-@query(r"""WITH h AS (SELECT doc_id AS page, list_extract(string_split(text, chr(10)), 1) AS t, length(text) AS n FROM documents),
-f AS (SELECT page, trim(t) AS t, page % 7 AS o, CASE page % 5 WHEN 0 THEN 20.0 WHEN 1 THEN 12.5 WHEN 2 THEN 8.0 ELSE 10.0 END AS size, (page % 100) / 100.0 AS top, least(1.0, (page % 100) / 100.0 + 0.02) AS bottom FROM h)
-SELECT page, CASE WHEN regexp_matches(t, '(?i)^(page\s*)?\d+(\s*/\s*\d+)?$') AND (top < 0.08 OR bottom > 0.92) THEN 'page_number' WHEN regexp_matches(t, '(?i)^(figure|fig\.|table)\s+\d+') THEN 'caption'
+@query(rf"""WITH {LINES}, f AS (SELECT page, line_no, line AS t, line_no % 7 AS o, CASE (page + line_no) % 5 WHEN 0 THEN 20.0 WHEN 1 THEN 12.5 WHEN 2 THEN 8.0 ELSE 10.0 END AS size, (line_no % 100) / 100.0 AS top, least(1.0, (line_no % 100) / 100.0 + 0.02) AS bottom FROM doc_lines), g AS (SELECT page, median(size) AS m FROM f GROUP BY 1)
+SELECT page, line_no, CASE WHEN regexp_matches(t, '(?i)^(page\s*)?\d+(\s*/\s*\d+)?$') AND (top < 0.08 OR bottom > 0.92) THEN 'page_number' WHEN regexp_matches(t, '(?i)^(figure|fig\.|table)\s+\d+') THEN 'caption'
  WHEN page = 1 AND o <= 3 AND size >= greatest(16.0, m * 1.55) THEN 'title' WHEN length(t) <= 180 AND size >= greatest(12.0, m * 1.25) THEN 'heading' WHEN top < 0.035 THEN 'header' WHEN bottom > 0.965 THEN 'footer' WHEN bottom > 0.82 AND size < m * 0.9 THEN 'footnote' ELSE 'paragraph' END AS block_type
-FROM f, (SELECT median(size) AS m FROM f)""")
+FROM f JOIN g USING (page)""")
 def q06_block_classes(s, d):
-    size = F.element_at(F.array(*[F.lit(x) for x in (20.0, 12.5, 8.0, 10.0, 10.0)]), (F.col("page") % 5 + 1).cast("int"))
-    top = F.round((F.col("page") % 100) / 100.0, 2)
-    blocks = _docs(s, d).select(F.col("doc_id").alias("page"), F.split("text", "\n")[0].alias("t")).withColumns({"size": size, "top": top, "bottom": F.least(F.lit(1.0), F.round(top + 0.02, 2))})
-    median = blocks.agg(F.median("size").alias("m"))
-    kind = layout.classify(F.col("t"), F.col("size"), F.col("size"), F.col("m"), F.col("top"), F.col("bottom"), F.col("page"), F.col("page") % 7)
-    return blocks.join(F.broadcast(median)).select("page", kind.alias("block_type"))  # one row
+    """All lines of all documents as blocks, each against its page's median size."""
+    k = F.col("line_no")
+    size = F.element_at(F.array(*[F.lit(x) for x in (20.0, 12.5, 8.0, 10.0, 10.0)]), ((F.col("page") + k) % 5 + 1).cast("int"))
+    top = F.round((k % 100) / 100.0, 2)
+    blocks = A.doc_lines(_docs(s, d)).withColumns({"size": size, "top": top, "bottom": F.least(F.lit(1.0), F.round(top + 0.02, 2))})
+    medians = blocks.groupBy("page").agg(F.median("size").alias("m"))
+    kind = layout.classify(F.col("line"), F.col("size"), F.col("size"), F.col("m"), F.col("top"), F.col("bottom"), F.col("page"), k % 7)
+    return blocks.join(medians, "page").select("page", "line_no", kind.alias("block_type"))
 
 
 @query(f"""WITH {BOXES}, r AS (SELECT *, max(x1) OVER (PARTITION BY page ORDER BY x0, x1, box_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM boxes),

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from pagemill.functions import geometry as G
 from pagemill.functions import text as T
-from pagemill.operators import assembly, layout, masking, matching, quality, spatial, validation, visual
+from pagemill.operators import assembly, layout, masking, matching, packing, quality, spatial, validation, visual
 from pagemill.plans.catalog import BLANK, BOXES, LINES, PAIRS, SQ, WRAPPED, _boxes, _docs, _pairs, query
 from pagemill.sources import adapters as A
 
@@ -135,7 +135,7 @@ def q71_import_issues(s, d):
     return matching.import_issues(rows, rows.where("task like '%a%'"), rows.where("doc_id % 9 = 0"), "task", "row_key")
 
 
-OCR = f"""{WRAPPED}, o AS (SELECT page, line_no, CASE WHEN line_no % 29 = 0 THEN (100 + line_no)::VARCHAR WHEN line_no % 11 = 3 THEN upper(line) ELSE line END AS text, 0.5::DOUBLE + (line_no % 5) * 0.1::DOUBLE AS confidence, 40.0::DOUBLE + CASE WHEN line_no % 9 = 4 THEN 60.0 ELSE line_no % 3 END AS x0, line_no * 15.0::DOUBLE + CASE WHEN line_no % 13 = 6 THEN 25.0 ELSE 0.0 END AS y0,
+OCR = f"""{WRAPPED}, o AS (SELECT page, line_no, CASE WHEN line_no % 29 = 0 THEN (100 + line_no)::VARCHAR WHEN line_no % 11 = 3 THEN translate(line, 'abcdefghijklmnopqrstuvwxyz', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ') ELSE line END AS text, 0.5::DOUBLE + (line_no % 5) * 0.1::DOUBLE AS confidence, 40.0::DOUBLE + CASE WHEN line_no % 9 = 4 THEN 60.0 ELSE line_no % 3 END AS x0, line_no * 15.0::DOUBLE + CASE WHEN line_no % 13 = 6 THEN 25.0 ELSE 0.0 END AS y0,
  (CASE WHEN line_no % 31 = 9 THEN 6.0 ELSE 300.0 END)::DOUBLE AS w, (CASE WHEN line_no % 17 = 2 THEN 30.0 ELSE 10.0 + line_no % 3 END)::DOUBLE AS h FROM visual_lines WHERE line <> '')"""
 
 
@@ -149,7 +149,7 @@ def q72_grouped_ocr_lines(s, d):
     k = F.col("line_no")
     flag = lambda test, yes, no: F.when(test, yes).otherwise(no)
     lines = A.visual_lines(_docs(s, d)).where("line <> ''").select(
-        "page", "line_no", F.when(k % 29 == 0, (k + 100).cast("string")).when(k % 11 == 3, F.upper("line")).otherwise(F.col("line")).alias("text"), (0.5 + k % 5 * 0.1).alias("confidence"), F.lit(600.0).alias("page_width"), (40.0 + flag(k % 9 == 4, F.lit(60.0), k % 3)).alias("x0"), (k * 15.0 + flag(k % 13 == 6, 25.0, 0.0)).alias("y0"),
+        "page", "line_no", F.when(k % 29 == 0, (k + 100).cast("string")).when(k % 11 == 3, F.translate("line", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ")).otherwise(F.col("line")).alias("text"), (0.5 + k % 5 * 0.1).alias("confidence"), F.lit(600.0).alias("page_width"), (40.0 + flag(k % 9 == 4, F.lit(60.0), k % 3)).alias("x0"), (k * 15.0 + flag(k % 13 == 6, 25.0, 0.0)).alias("y0"),
         flag(k % 31 == 9, 6.0, 300.0).alias("w"), flag(k % 17 == 2, F.lit(30.0), 10.0 + k % 3).alias("h"),
     )
     return layout.group_ocr_lines(lines.withColumns({"x1": F.col("x0") + F.col("w"), "y1": F.col("y0") + F.col("h")}).drop("w", "h"))
@@ -226,3 +226,45 @@ def q79_partitioned_texts(s, d):
 def q80_squeezed_lines(s, d):
     """Lines in their comparable form. (Plain forms of compatible signs are tested on their own: SQL has no such form.)"""
     return A.doc_lines(_docs(s, d)).select("page", "line_no", T.squeeze(F.col("line")).alias("text"), T.word_count(F.col("line")).alias("n_words"))
+
+
+@query("""WITH RECURSIVE o AS (SELECT lang, doc_id, n_chars, octet_length(encode(text)) + 64 AS b, row_number() OVER (PARTITION BY lang ORDER BY doc_id) AS rn FROM documents),
+f AS (SELECT lang, doc_id, n_chars, b, rn, 1::BIGINT AS p, n_chars AS held, 1::BIGINT AS k FROM o WHERE rn = 1 UNION ALL
+ SELECT o.lang, o.doc_id, o.n_chars, o.b, o.rn, CASE WHEN f.held + o.n_chars > 400000 OR f.k >= 60 THEN f.p + 1 ELSE f.p END, CASE WHEN f.held + o.n_chars > 400000 OR f.k >= 60 THEN o.n_chars ELSE f.held + o.n_chars END, CASE WHEN f.held + o.n_chars > 400000 OR f.k >= 60 THEN 1 ELSE f.k + 1 END FROM f JOIN o ON o.lang = f.lang AND o.rn = f.rn + 1),
+g AS (SELECT lang, doc_id, b, rn, p, 1::BIGINT AS q, b AS held FROM f WHERE rn = 1 UNION ALL
+ SELECT f.lang, f.doc_id, f.b, f.rn, f.p, CASE WHEN f.p <> g.p OR g.held + f.b > 250000 THEN g.q + 1 ELSE g.q END, CASE WHEN f.p <> g.p OR g.held + f.b > 250000 THEN f.b ELSE g.held + f.b END FROM g JOIN f ON f.lang = g.lang AND f.rn = g.rn + 1)
+SELECT lang, doc_id, q AS package_index FROM g""")
+def q81_byte_bounded_packages(s, d):
+    """Packages bounded by signs and rows, then by bytes."""
+    rows = _docs(s, d).withColumn("row_bytes", packing.checked_bytes("text", "doc_id", 250_000))
+    return packing.next_fit(rows, "lang", "doc_id", "n_chars", 400_000, 60, "row_bytes", 250_000).select("lang", "doc_id", "package_index")
+
+
+#: Returned tables: a conversation is a file, its keys are the turns' lengths; in every third one all keys are changed.
+RETURNED = """r AS (SELECT conv_id, turn, 'R' || (turn * 7 + 1) AS k, text FROM conversations), c AS (SELECT conv_id, turn AS row_index, CASE WHEN conv_id % 3 = 0 THEN 'x' || turn WHEN conv_id % 5 = 1 AND turn = 1 THEN 'R1' ELSE k END AS k, text FROM r),
+ e AS (SELECT conv_id, lpad((turn * 7 + 1)::VARCHAR, 8, '0') AS row_key, turn AS position FROM r), w AS (SELECT conv_id, count(*) AS wanted FROM e GROUP BY 1),
+ f AS (SELECT c.conv_id, e.row_key, c.row_index, c.text FROM c JOIN e ON e.conv_id = c.conv_id AND e.row_key = lpad(replace(c.k, 'R', ''), 8, '0')), n AS (SELECT conv_id, count(*) AS exact, count(DISTINCT row_key) AS known FROM f GROUP BY 1),
+ moved AS (SELECT conv_id FROM w LEFT JOIN n USING (conv_id) WHERE coalesce(known, 0) < wanted AND coalesce(exact, 0) * 2 < wanted)"""
+
+
+def _imported(s, d):
+    conv = A.table(s, d, "conversations")
+    k, c = F.col("turn"), F.col("conv_id")
+    key = F.when(c % 3 == 0, F.concat(F.lit("x"), k)).when((c % 5 == 1) & (k == 1), "R1").otherwise(F.concat(F.lit("R"), k * 7 + 1))
+    cells = conv.select(F.format_string("f%d.xlsx", c).alias("file"), F.format_string("PKG-%d", c).alias("subject"), F.lit(0).alias("sheet_index"), F.lit("visible").alias("sheet_state"), k.alias("row_index"), F.array(key, F.lit(None).cast("string"), F.col("text")).alias("cells"))
+    expected = conv.select(F.format_string("PKG-%d", c).alias("package_id"), c.alias("package_index"), T.row_key((k * 7 + 1).cast("string")).alias("row_key"), k.alias("position"))
+    return cells, expected
+
+
+@query(f"""WITH {RETURNED} SELECT 'f' || conv_id || '.xlsx' AS file, 'blocking' AS severity, 'DUPLICATE_ROW_KEY' AS code, row_key FROM f GROUP BY conv_id, row_key HAVING count(*) > 1 UNION ALL SELECT 'f' || conv_id || '.xlsx', 'warning', 'POSITIONAL_MATCH', NULL FROM moved
+UNION ALL SELECT 'f' || conv_id || '.xlsx', 'warning', 'MISSING_ROW_KEY', row_key FROM e WHERE conv_id NOT IN (SELECT conv_id FROM moved) AND NOT EXISTS (SELECT 1 FROM f WHERE f.conv_id = e.conv_id AND f.row_key = e.row_key)""")
+def q82_import_file_issues(s, d):
+    return matching.import_cells(*_imported(s, d))[1]
+
+
+@query(f"""WITH {RETURNED}, o AS (SELECT conv_id, row_key, arg_min(text, row_index) AS text, 'key' AS match FROM f WHERE conv_id NOT IN (SELECT conv_id FROM moved) GROUP BY 1, 2
+ UNION ALL SELECT e.conv_id, e.row_key, r.text, 'position' FROM e JOIN r ON r.conv_id = e.conv_id AND r.turn = e.position WHERE e.conv_id IN (SELECT conv_id FROM moved))
+SELECT row_key, trim(arg_max(text, 'f' || conv_id || '.xlsx')) AS translated_text, max('f' || conv_id || '.xlsx') AS file, arg_max(match, 'f' || conv_id || '.xlsx') AS match FROM o GROUP BY 1""")
+def q83_imported_texts(s, d):
+    """Texts by key or position; of files with the same key the last one wins."""
+    return matching.import_cells(*_imported(s, d))[0]

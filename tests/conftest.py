@@ -1,5 +1,6 @@
 import os
 import sys
+import tempfile
 
 import pytest
 
@@ -11,7 +12,7 @@ def spark():
     from pagemill.session import session
 
     os.environ.setdefault("PYSPARK_SUBMIT_ARGS", "--master local[4] --driver-memory 4g pyspark-shell")
-    s = session("tests", spark__sql__shuffle__partitions="4", spark__ui__enabled="false", spark__ui__showConsoleProgress="false")
+    s = session("tests", spark__sql__shuffle__partitions="4", spark__checkpoint__dir="file://" + tempfile.mkdtemp(prefix="tests-"), spark__ui__enabled="false", spark__ui__showConsoleProgress="false")
     s.sparkContext.setLogLevel("ERROR")
     return s
 

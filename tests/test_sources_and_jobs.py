@@ -25,6 +25,24 @@ def test_round_trip(spark, tmp_path):
     assert {r.code for r in issues.collect()} <= {"LOW_CHINESE_RATIO"}
 
 
+def test_imported_files_and_their_issues(spark):
+    """A hidden sheet with more rows, a number before the key, a repeated key, a foreign package, a lost one, moved rows."""
+    lines = spark.createDataFrame([(1, k, f"{w} stands here {k}.") for k, w in enumerate(("One", "Two", "Three", "Four"))], "page int, line_no int, line string")
+    engine = Engine(spark, "T", Settings(max_bytes=200))
+    segments = engine.create(lines).cache()
+    packages = engine.export(segments).orderBy("package_index").collect()
+    assert [p.n_rows for p in packages] == [2, 2] and packages[0].filename == "T_001_of_002.xlsx"
+    row = lambda file, subject, sheet, state, at, *cells: (file, subject, sheet, state, at, list(cells))
+    cells = [
+        row("a.xlsx", "PKG-T-001", 0, "hidden", 1, "00000001", "no"), row("a.xlsx", "PKG-T-001", 0, "hidden", 2, "00000002", "no"), row("a.xlsx", "PKG-T-001", 1, "visible", 1, "99", "R1", None, "eins"), row("a.xlsx", "PKG-T-001", 1, "visible", 2, "1", "later"),
+        row("b_002_of_002.xlsx", None, 0, "visible", 1, "gone", "drei"), row("b_002_of_002.xlsx", None, 0, "visible", 2, "gone", "vier"), row("c.xlsx", "PKG-X-001", 0, "visible", 1, "1", "foreign"), row("d.xlsx", None, 0, "visible", 1, "1", "whose"),
+    ]
+    df = spark.createDataFrame(cells, "file string, subject string, sheet_index int, sheet_state string, row_index int, cells array<string>")
+    done, issues = engine.import_with_issues(segments, df)
+    assert {r.row_key: r.translated_text for r in done.collect()} == {"00000001": "eins", "00000002": None, "00000003": "drei", "00000004": "vier"}
+    assert {tuple(r) for r in issues.collect()} == {("a.xlsx", "blocking", "DUPLICATE_ROW_KEY", "00000001"), ("a.xlsx", "warning", "MISSING_ROW_KEY", "00000002"), ("b_002_of_002.xlsx", "warning", "POSITIONAL_MATCH", None), ("c.xlsx", "blocking", "WRONG_PACKAGE", None), ("d.xlsx", "blocking", "UNKNOWN_PACKAGE", None)}
+
+
 def test_states_follow_events(spark, tmp_path):
     t = dt.datetime(2024, 1, 1)
     events = [("a", t + dt.timedelta(seconds=i), i, 4, "running") for i in range(1, 5)] + [("b", t, 1, 10, "running"), ("b", t + dt.timedelta(seconds=5), 2, 10, "failed")]
