@@ -7,6 +7,7 @@ import functools
 import hashlib
 
 import numpy as np
+import public_tokenizers
 import pyarrow as pa
 import tiktoken
 from pyspark.sql import DataFrame
@@ -59,6 +60,8 @@ def encode(docs: DataFrame, vocabulary: str, pattern: str, id_col: str = "doc_id
     docs must be a stored table. A null text counts as empty and has no tokens; repeated rows give a row each; an empty
     table gives no rows; columns other than the two named are not read.
     """
+    if pattern != public_tokenizers.PATTERN:
+        raise ValueError("pre-tokens follow public_tokenizers.PATTERN; another pattern would get other ids")
     ranks = read_ranks(vocabulary)
 
     def finish():

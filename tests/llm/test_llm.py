@@ -30,6 +30,12 @@ TEXTS = [*BASE, BASE[0], BASE[1] + " tail", "x " + BASE[3], BASE[2][:300], None,
 NAMES = "doc_id bigint, text string, lang string, block string, key string, ranges string"
 
 
+@pytest.fixture(autouse=True)
+def same_texts():
+    """Texts do not depend on which tests ran before."""
+    RNG.seed(12)
+
+
 @pytest.fixture(scope="module")
 def docs(spark, tmp_path_factory):
     """A stored table with further columns whose names operators might use."""
@@ -75,6 +81,8 @@ def test_bpe(docs, nothing):
         want[r.doc_id, len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest(), hashlib.sha256((r.text or "").encode()).hexdigest(), tuple(ids), r.text or ""] += 1
     assert collections.Counter((r.doc_id, r.n_tokens, r.ids_sha256, r.decoded_sha256, tuple(r.ids), r.decoded) for r in got) == want
     assert bpe.encode(nothing, RANKS, public_tokenizers.PATTERN).count() == 0
+    with pytest.raises(ValueError, match="pattern"):
+        bpe.encode(docs, RANKS, r"\w+")
 
 
 def test_token_counts(docs, nothing):
@@ -288,6 +296,36 @@ def test_language_id(spark, nothing):
     assert {r.lang_pred for r in language_id.identify(df, language_id.learn(nothing)).collect()} == {"und"}
 
 
+def test_language_id_by_plain_counts(spark):
+    """Every text's languages by exact sets of n-grams, which the filters stand for; repeated rows and clashing names."""
+    rng = random.Random(4)
+    letters = {"aa": "abcdefgh", "bb": "defghijk", "cc": "uvwxyzab"}
+    text = lambda k, n: " ".join("".join(rng.choice(letters[k]) for _ in range(rng.randrange(1, 6))) for _ in range(n))
+    rows = [(i, text(k, rng.randrange(1, 40)), k, "p", 1.0) for i in range(300) for k in (rng.choice(sorted(letters)),)]
+    rows += [rows[5], (7, rows[8][1], "aa", "p", 1.0), (None, rows[9][1], None, None, None)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, lang_pred string, score double")
+    learned = language_id.learn(df)
+    counts = collections.defaultdict(collections.Counter)
+    for _, t, k, *_ in {r for r in rows if r[2]}:
+        counts[k].update(language_id.grams([t])[0].tolist())
+    for r in (rows[5],):  # a repeated row is learned from twice
+        counts[r[2]].update(language_id.grams([r[1]])[0].tolist())
+    often = {k: {g: n for g, n in c.items() if n >= language_id.LEAST_COUNT} for k, c in counts.items()}
+    share = {k: {g: n / sum(c.values()) for g, n in c.items()} for k, c in often.items()}
+    known = {k: {g for g, x in share[k].items() if x >= language_id.LEAST_SHARE * max(o.get(g, 0) for o in share.values())} for k in share}
+    agree = 0
+    got = collections.defaultdict(set)
+    for r in language_id.identify(df, learned).collect():
+        got[r.doc_id].add(r.lang_pred)
+    for i, t, *_ in rows[:300]:
+        hits = sorted(((sum(g in known[k] for g in language_id.grams([t])[0].tolist()), k) for k in known), reverse=True)
+        if i in (7,) or hits[0][0] < hits[1][0] + 2:  # false positives may turn near ties
+            continue
+        agree += 1
+        assert got[i] == {hits[0][1]}, (i, hits)
+    assert agree > 200
+
+
 def test_quality(spark, nothing):
     rows = [(i, prose(40) + (" nasty wretch" * 4 if i % 4 == 0 else ""), "more") for i in range(600)] + [(700, None, ""), (701, "", "")]
     df = spark.createDataFrame(rows, "doc_id bigint, text string, log_weight string")
