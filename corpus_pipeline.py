@@ -1,7 +1,9 @@
 """The corpus pipeline: from raw documents to token ids, in five stages.
 
 Each stage takes (spark, docs, sf_dir), docs being a stored table with at least the columns of `documents`, and returns a
-DataFrame; all but the last keep the columns. `run` stores every stage's rows in the shared folder and reads them again.
+DataFrame; all but the last keep the columns, whatever further ones there are and whatever their names. Rows are judged by
+doc_id and text: null ids are one more id (the smallest), null texts are empty ones but come back as null; an empty table
+gives an empty one. `run` stores every stage's rows in the shared folder and reads them again.
 """
 
 from __future__ import annotations
@@ -15,7 +17,8 @@ from pagemill.llm._common import materialize
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that importance resampling rejects go. Null or empty texts have nothing against them and stay."""
+    """Documents that importance resampling rejects go. Null or empty texts have nothing against them and stay; rows that
+    repeat an id share its noise but each has its own text's weight; rows that tie with the last one drawn stay."""
     return quality.keep(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
@@ -29,18 +32,19 @@ def minhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def suffix_array_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Bytes of 100-byte strings that start earlier, too, are cut out; n_chars is that of what is left."""
+    """Bytes of 100-byte strings that start earlier, too, are cut out, with the whole characters they belong to; n_chars is
+    that of what is left. Rows that repeat id and text are one document, which all keep the same."""
     out = suffix_dedup.remove_repeats(docs)
     return out.withColumn("n_chars", F.length("text").cast("bigint")).select(docs.columns) if "n_chars" in docs.columns else out
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that contain an item of the benchmark (five words, similarity 0.8) go."""
+    """Documents that contain an item of the benchmark (five words, similarity 0.8) go; each row is judged by itself."""
     return decontaminate.keep_clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def bpe_encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """(doc_id, n_tokens, ids_sha256, decoded_sha256, ids) of every document that is left."""
+    """(doc_id, n_tokens, ids_sha256, decoded_sha256, ids) of every row that is left; a null text has no tokens."""
     return bpe.encode(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN).drop("decoded")
 
 
