@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pagemill.functions import geometry as G
 from pagemill.functions import text as T
 from pagemill.operators.layout import assign_columns, islands
+from pagemill.operators.store import stored
 
 MERGED = ("paragraph", "footnote")
 
@@ -115,12 +116,12 @@ def assemble(blocks: DataFrame) -> DataFrame:
     """(doc, page, box_id, column_id, group_page, group_id): for each block the page and the first block of its paragraph.
 
     Columns are assigned, blocks joined within them, then pieces across columns, then groups across pages. Groups are read in
-    the order of their least box_id, then from the top and the left (order_groups).
+    the order of their least box_id, then from the top and the left (order_groups). Runs and pieces are stored on the way.
     """
     own = blocks if "column_id" in blocks.columns else blocks.join(assign_columns(blocks, keys=("doc", "page")), ["doc", "page", "box_id"])
-    runs = in_columns(own)
-    single = pieces(runs)
-    heads = across_columns(single)
+    runs = stored(in_columns(own), "runs")  # all steps read them
+    single = stored(pieces(runs), "pieces")
+    heads = stored(across_columns(single), "heads")
     joined = single.join(heads, ["doc", "page", "piece"])
     spot = F.struct((F.col("piece") != F.col("head")).cast("int").alias("k"), F.col("first.column_id").alias("c"))
     groups = joined.groupBy("doc", "page", F.col("head").alias("piece")).agg(F.min("at").alias("at"), F.min_by("first", spot).alias("first"), F.max_by("last", spot).alias("last"))

@@ -202,8 +202,9 @@ def assign_columns(blocks: DataFrame, wide: float = 0.72, least: float = 0.48, k
         for i in np.flatnonzero(page["state"] == 1):
             fits = []
             for column in members:
-                alike = [m for m in column if abs((turn[i] - turn[m] + 180) % 360 - 180) <= 5]
-                if not alike:
+                every = np.array(column)
+                alike = every[np.abs((turn[i] - turn[every] + 180) % 360 - 180) <= 5]
+                if not len(alike):
                     fits.append(0.0)
                     continue
                 left, right = np.median(edges[alike], axis=0)
