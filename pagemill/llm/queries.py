@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import hashlib
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagemill.llm import bpe, decontaminate, fingerprint, language_id, near_dedup, quality, suffix_dedup, token_counts, url_filter, warc
+from pagemill.llm import bpe, centroids, decontaminate, fill_middle, fingerprint, language_id, mixing, near_dedup, quality, suffix_dedup, token_counts, url_filter, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -60,7 +62,28 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"))
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op2_bpe, op3_suffix_dedup, op4_near_dedup, op5_warc, op6_decontaminate, op7_fingerprint, op8_quality, op9_url_filter, op10_token_counts)}
+def op11_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mixing.mix(_table(spark, sf_dir, "documents"), weights=[1, 2, 3], most=3)
+    taken = F.col("copies") * F.col("size") + F.coalesce(mixing.words(F.col("part")), F.lit(0))
+    return mixed.select(F.col("id").alias("doc_id"), "size", "source_size", "target", taken.alias("taken"))
+
+
+def op12_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = fill_middle.fill_in_middle(_table(spark, sf_dir, "documents"), fill_middle.GRAMMARS["letter runs"])
+    back = fill_middle.restored(F.col("output"), F.col("form"))
+    digest = lambda text: F.sha2(text.cast("binary"), 256)
+    return cut.select(F.col("id").alias("doc_id"), "n", "form", F.length("prefix").cast("bigint").alias("prefix_chars"), F.length("middle").cast("bigint").alias("middle_chars"), digest(F.col("output")).alias("output_sha256"), digest(back).alias("restored_sha256"))
+
+
+def op13_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    near, centers, _ = centroids.cluster(_table(spark, sf_dir, "embeddings"), k=16, rounds=3, width=64, scale=64)
+    near = near.withColumnRenamed("id", "vec_id")
+    sums = near.groupBy("cluster").agg(F.sum("distance").alias("cluster_inertia")).collect()  # a row a centroid
+    told = [(r.cluster, r.cluster_inertia, sum(x.cluster_inertia for x in sums), hashlib.sha256(",".join(map(str, centers[r.cluster])).encode()).hexdigest()) for r in sums]
+    return near.join(F.broadcast(spark.createDataFrame(told, "cluster int, cluster_inertia bigint, inertia bigint, centroid_sha256 string")), "cluster")
+
+
+QUERIES = {f.__name__: f for f in (op1_language_id, op2_bpe, op3_suffix_dedup, op4_near_dedup, op5_warc, op6_decontaminate, op7_fingerprint, op8_quality, op9_url_filter, op10_token_counts, op11_mixing, op12_fill_middle, op13_centroids)}
 
 #: 100-byte windows as hexadecimal digits; a window that also starts earlier covers its bytes; islands of covered bytes.
 _OP3 = """
@@ -105,5 +128,50 @@ SELECT page_id, CAST(octet_length(encode(t)) AS BIGINT) AS payload_bytes,
 FROM led
 """
 
+#: 60 bits of a hash order a source's documents; the level of targets is the first that a source's bound allows.
+_OP11 = """
+WITH d AS (SELECT doc_id, source, CAST(len(list_filter(regexp_split_to_array(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '')) AS HUGEINT) AS size,
+  CAST('0x' || substr(sha256('1:' || coalesce(CAST(doc_id AS VARCHAR), '') || ':' || coalesce(text, '')), 1, 15) AS BIGINT) AS key FROM documents),
+s AS (SELECT source, sum(size) AS size, 1 + (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 AS w FROM d GROUP BY source),
+steps AS (SELECT source, size, w, 3 * size * (6 // w) AS ratio, sum(size) OVER () AS total, sum(w) OVER () AS all_w FROM s),
+levels AS (SELECT *, total - coalesce(sum(3 * size) OVER before, 0) AS rest, all_w - coalesce(sum(w) OVER before, 0) AS rest_w FROM steps
+  WINDOW before AS (ORDER BY ratio, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+level AS (SELECT rest, rest_w FROM levels WHERE rest * w <= 3 * size * rest_w ORDER BY rest_w DESC LIMIT 1),
+goals AS (SELECT source, size AS source_size, CASE WHEN w * rest <= 3 * size * rest_w THEN CAST(w * rest AS DOUBLE) / CAST(rest_w AS DOUBLE) ELSE CAST(3 * size AS DOUBLE) END AS target,
+  CASE WHEN w * rest <= 3 * size * rest_w THEN (2 * w * rest + rest_w) // (2 * rest_w) ELSE 3 * size END AS budget FROM s CROSS JOIN level),
+placed AS (SELECT d.*, source_size, target, CASE WHEN source_size = 0 THEN 0 ELSE budget // source_size END AS passes, CASE WHEN source_size = 0 THEN 0 ELSE budget % source_size END AS rest,
+  coalesce(sum(d.size) OVER (PARTITION BY d.source ORDER BY key ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
+  FROM d JOIN goals ON d.source IS NOT DISTINCT FROM goals.source)
+SELECT doc_id, CAST(size AS BIGINT) AS size, CAST(source_size AS BIGINT) AS source_size, target, CAST(passes * size + greatest(0, least(size, rest - before)) AS BIGINT) AS taken FROM placed
+"""
+
+_OP12 = """
+WITH cut AS (SELECT doc_id, coalesce(text, '') AS t, CASE WHEN coalesce(text, '') = '' THEN [] ELSE regexp_extract_all(text, '[A-Za-z]+|[^A-Za-z]') END AS u, sha256('1:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h FROM documents),
+drawn AS (SELECT doc_id, t, u, CAST(len(u) AS BIGINT) AS n, list_transform(range(0, 4), lambda i: CAST('0x' || substr(h, CAST(8 * i + 1 AS BIGINT), 8) AS BIGINT)) AS r FROM cut),
+placed AS (SELECT doc_id, t, u, n, least(r[1] % (n + 1), r[2] % (n + 1)) AS a, greatest(r[1] % (n + 1), r[2] % (n + 1)) AS b,
+  CASE WHEN n = 0 OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR r[3] % 100 >= 90 THEN 'plain' WHEN r[4] % 100 < 20 THEN 'spm' ELSE 'psm' END AS form FROM drawn),
+parts AS (SELECT doc_id, t, n, form, coalesce(array_to_string(u[1:a], ''), '') AS p, coalesce(array_to_string(u[a + 1:b], ''), '') AS m, coalesce(array_to_string(u[b + 1:n], ''), '') AS s FROM placed)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN CAST(length(p) AS BIGINT) END AS prefix_chars, CASE WHEN form <> 'plain' THEN CAST(length(m) AS BIGINT) END AS middle_chars,
+  sha256(CASE form WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m WHEN 'spm' THEN '<S>' || s || '<P>' || p || '<M>' || m ELSE t END) AS output_sha256, sha256(t) AS restored_sha256
+FROM parts
+"""
+
+#: One round of plain assignment to the nearest centroid and exact means, three times over, and a last assignment.
+_ROUND = """
+near{i} AS (SELECT vec_id, v, min(struct_pack(d := list_sum(list_transform(range(1, 65), lambda i: (v[i] - c[i]) * (v[i] - c[i]))), j := j)) AS best FROM kept CROSS JOIN c{i} GROUP BY vec_id, v),
+means{i} AS (SELECT best.j AS j, i, CAST(sum(v[i]) AS HUGEINT) AS s, CAST(count(*) AS HUGEINT) AS n FROM near{i} CROSS JOIN range(1, 65) AS t(i) GROUP BY ALL),
+c{k} AS (SELECT c{i}.j AS j, coalesce(m.c, c{i}.c) AS c FROM c{i} LEFT JOIN (SELECT j, list(CAST((s - ((s % n) + n) % n) // n AS BIGINT) ORDER BY i) AS c FROM means{i} GROUP BY j) AS m USING (j)),
+"""
+_OP13 = """
+WITH kept AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+  WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+c0 AS (SELECT row_number() OVER (ORDER BY h, v) - 1 AS j, v AS c FROM (SELECT sha256('1:' || coalesce(CAST(vec_id AS VARCHAR), '')) AS h, v FROM kept ORDER BY h, v LIMIT 16)),
+""" + "".join(_ROUND.format(i=i, k=i + 1) for i in range(3)) + """
+last AS (SELECT vec_id, v, min(struct_pack(d := list_sum(list_transform(range(1, 65), lambda i: (v[i] - c[i]) * (v[i] - c[i]))), j := j)) AS best FROM kept CROSS JOIN c3 GROUP BY vec_id, v)
+SELECT vec_id, CAST(best.j AS INTEGER) AS cluster, CAST(best.d AS BIGINT) AS distance, CAST(sum(best.d) OVER (PARTITION BY best.j) AS BIGINT) AS cluster_inertia,
+  CAST(sum(best.d) OVER () AS BIGINT) AS inertia, sha256(array_to_string(c, ',')) AS centroid_sha256
+FROM last JOIN c3 ON c3.j = best.j
+"""
+
 #: SQL expresses neither the other methods' models and samples nor the byte-pair merges; tests hold them against brute force.
-ORACLES: dict[str, str] = {"op3_suffix_dedup": _OP3, "op4_near_dedup": _OP4, "op5_warc": _OP5}
+ORACLES: dict[str, str] = {"op3_suffix_dedup": _OP3, "op4_near_dedup": _OP4, "op5_warc": _OP5, "op11_mixing": _OP11, "op12_fill_middle": _OP12, "op13_centroids": _OP13}
