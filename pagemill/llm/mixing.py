@@ -21,8 +21,8 @@ DIGITS = 15
 
 
 def words(text: Column) -> Column:
-    """The number of words, without a list of them."""
-    return F.length(F.translate(F.regexp_replace(text, f"[^{SPACE}]+", "w"), " \t\n\x0b\f\r", "")).cast("bigint")
+    """The number of words, without a list of them: a sign for each word with the blanks behind it."""
+    return F.length(F.regexp_replace(F.ltrim(text, F.lit(" \t\n\x0b\f\r")), f"[^{SPACE}]+[{SPACE}]*", "w")).cast("bigint")
 
 
 def first_words(text: Column, n: Column) -> Column:
@@ -64,7 +64,7 @@ def targets(sizes: DataFrame, weights: list[int], most: int, scratch: Scratch) -
     ranked = prefix_sums(sizes, ["none", "src"], {"rank": F.lit(1), "start": F.col("source_size")}, scratch, "sources")
     weight = F.element_at(F.array(*[F.lit(w) for w in weights]), (F.col("rank") % len(weights) + 1).cast("int"))
     weighed = ranked.withColumn("weight", weight.cast("bigint")).withColumn("bound", F.col("source_size") * most)
-    weighed = scratch.keep(weighed.withColumn("ratio", F.col("bound") * F.floor(F.lit(unit) / F.col("weight"))), "weighed")
+    weighed = weighed.withColumn("ratio", F.col("bound") * F.expr(f"{unit} div weight"))
     full, all_weights = weighed.agg(F.sum("source_size"), F.sum("weight")).first()
     big = lambda x: x.cast("decimal(19,0)")  # noqa: E731  the product of two keeps all digits
     steps = prefix_sums(weighed, ["ratio", "none", "src"], {"spent": F.col("bound"), "lighter": F.col("weight")}, scratch, "levels")
@@ -101,7 +101,7 @@ def mix(docs: DataFrame, weights: list[int] = [1, 2, 3], most: int = 3, seed: in
     cuts = placed.join(goals.where("source_size > 0"), ["none", "src"]).withColumn("left", left).where("left >= 0 and left < words")
     cuts = goals.join(cuts.select("none", "src", F.col("key").alias("cut"), "left", "words"), ["none", "src"], "left")
     cuts = scratch.keep(cuts.withColumn("passes", F.expr("if(source_size = 0, 0, budget div source_size)")).drop("start", "budget"), "cuts")
-    scratch.drop("units", "sources", "weighed", "levels", "goals", "units_in_order")
+    scratch.drop("units", "sources", "levels", "goals", "units_in_order")
     met = own.join(cuts, ["none", "src"])
     at_cut = (F.col("key") == F.col("cut")) & (F.col("size") > 0)
     some = F.expr("left * size div words + if(pmod(xxhash64(place), words) < left * size % words, 1, 0)")
