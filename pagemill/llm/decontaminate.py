@@ -30,6 +30,8 @@ PAIRS = 1 << 20
 #: Items are taken in groups of so many bytes at most; each group is one pass over the documents.
 GROUP_BYTES = 32 << 20
 CHUNK = 1 << 20
+#: Shingles of a document whose bits are held at once, besides a window's.
+SLICE = 4096
 
 
 def _bits(hashes: np.ndarray) -> np.ndarray:
@@ -88,6 +90,27 @@ class Index:
             self.sizes[n] = [min(words, n), own, prints]
 
 
+def _search(own: np.ndarray, at: int, stretch: int, w: int, known: np.ndarray, index: Index, least: float, best: dict) -> None:
+    """Puts into best what the windows show that begin within the first SLICE of some shingles; the first of them has the
+    number `at`, and the stretch that they are cut from `stretch` shingles."""
+    upto = np.concatenate([np.zeros((1, BITS), np.int32), np.cumsum(_bits(own), 0, dtype=np.int32)])
+    hits = np.concatenate([[0], np.cumsum(np.isin(own, known))])
+    for n, (size, items, prints) in index.sizes.items():
+        m = n - w + 1  # shingles of a window
+        if size != w or stretch / m < least:  # no similarity can be higher
+            continue
+        m = min(m, stretch)  # a document of fewer words than the item is one window
+        starts = np.flatnonzero(hits[m:] - hits[:-m] > 0)
+        starts = starts[starts < SLICE]
+        windows = _fingerprints(upto[starts + m] - upto[starts])
+        for i, j, d in zip(*(x.tolist() for x in candidates(windows, prints))):
+            first = int(starts[i])
+            similarity = weighted_jaccard(own[first : first + m], items[j][1])
+            key = (n, j)
+            if similarity >= least and (key not in best or similarity > best[key][4]):
+                best[key] = (items[j][0], at + first, m + w - 1, d, similarity)
+
+
 def matches(hashes: np.ndarray, index: Index, least: float) -> list[tuple[int | None, int, int, int, float]]:
     """(item, first word, words, distance, similarity): for each item the best window of one document."""
     best: dict = {}
@@ -101,21 +124,8 @@ def matches(hashes: np.ndarray, index: Index, least: float) -> list[tuple[int |
         cuts = np.flatnonzero(np.diff(hit) > most) + 1
         for part in np.split(hit, cuts):
             low, high = max(0, part[0] - most + 1), min(len(own), part[-1] + most)
-            upto = np.concatenate([np.zeros((1, BITS), np.int32), np.cumsum(_bits(own[low:high]), 0, dtype=np.int32)])
-            hits = np.concatenate([[0], np.cumsum(np.isin(own[low:high], known))])
-            for n, (size, items, prints) in index.sizes.items():
-                m = n - w + 1  # shingles of a window
-                if size != w or (high - low) / m < least:  # no similarity can be higher
-                    continue
-                m = min(m, high - low)  # a document of fewer words than the item is one window
-                starts = np.flatnonzero(hits[m:] - hits[:-m] > 0)
-                windows = _fingerprints(upto[starts + m] - upto[starts])
-                for i, j, d in zip(*(x.tolist() for x in candidates(windows, prints))):
-                    at = low + int(starts[i])
-                    similarity = weighted_jaccard(own[at : at + m], items[j][1])
-                    key = (n, j)
-                    if similarity >= least and (key not in best or similarity > best[key][4]):
-                        best[key] = (items[j][0], at, m + w - 1, d, similarity)
+            for at in range(low, high, SLICE):
+                _search(own[at : min(high, at + SLICE + most)], at, high - low, w, known, index, least, best)
     return list(best.values())
 
 
@@ -134,7 +144,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, words: int = 5, least: f
 
     An item of fewer than `words` words is one shingle; one without words, or null, matches nothing, as does a null text.
     Repeated items give a row each only if their ids differ; repeated rows of docs give rows each. Empty tables give no
-    rows. Columns other than those named are not read.
+    rows. Columns other than those named are not read. A text of any length is gone through in slices, so that only its
+    words' hashes grow with it.
     """
     kept = docs.select(F.col(f"`{id_col}`").cast("bigint").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
     schema = "doc_id bigint, item_id bigint, start_word bigint, n_words bigint, hamming int, similarity double"
