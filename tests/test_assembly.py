@@ -1,95 +1,127 @@
-"""Paragraph assembly against the rules followed block by block in plain Python."""
+"""Paragraph assembly on pages made by hand, each for one rule, and what holds of any pages."""
 
 import random
-import re
+
+import pytest
 
 from pagemill.operators import assembly
 
 BLOCK = "doc int, page int, box_id long, text string, block_type string, is_table_cell boolean, rotation double, size double, page_width double, page_height double, x0 double, y0 double, x1 double, y1 double, column_id int"
+OPEN, SMALL, CLOSED, CAPITAL = "a line that is open", "and goes on small", "It ends right here.", "Another one begins"
+
+
+def at(top, text=OPEN, page=1, column=1, **other):
+    """A block of height 10 and size 10 on a page of 600 by 1000, in the column's place."""
+    left = other.pop("left", 40 + 180 * column)
+    plain = {"doc": 0, "page": page, "box_id": None, "text": text, "block_type": "paragraph", "is_table_cell": False, "rotation": 0.0, "size": 10.0, "page_width": 600.0, "page_height": 1000.0, "x0": float(left), "y0": float(top), "x1": left + 150.0, "y1": top + 10.0, "column_id": column}
+    return plain | other
+
+
+#: What a page shows, its blocks, and the groups of their places in the list.
+CASES = [
+    ("an open line and a capital one close below", [at(0), at(15, CAPITAL)], [[0, 1]]),
+    ("a capital line 0.7 sizes below an open one", [at(0), at(17, CAPITAL)], [[0], [1]]),
+    ("a small line one size below", [at(0, CLOSED), at(20, SMALL)], [[0, 1]]),
+    ("a small line 1.1 sizes below", [at(0), at(21, SMALL)], [[0], [1]]),
+    ("a broken word 1.3 sizes below", [at(0, "a broken hyph-"), at(23, "en goes on")], [[0, 1]]),
+    ("a broken word 1.4 sizes below", [at(0, "a broken hyph-"), at(24, "en goes on")], [[0], [1]]),
+    ("a line that ends before a capital one", [at(0, CLOSED), at(12, CAPITAL)], [[0], [1]]),
+    ("a colon ends a clause", [at(0, "as follows:"), at(12, CAPITAL)], [[0], [1]]),
+    ("an item of a list", [at(0), at(12, "- an item")], [[0], [1]]),
+    ("a numbered item of a list", [at(0), at(12, "2. second item")], [[0], [1]]),
+    ("a footnote below a paragraph", [at(0), at(12, SMALL, block_type="footnote")], [[0], [1]]),
+    ("footnotes among themselves", [at(0, block_type="footnote"), at(12, SMALL, block_type="footnote")], [[0, 1]]),
+    ("headings stay alone", [at(0, block_type="heading"), at(12, SMALL, block_type="heading")], [[0], [1]]),
+    ("an indent of 24, the page's 4 %", [at(0), at(12, SMALL, left=244)], [[0, 1]]),
+    ("an indent of 25", [at(0), at(12, SMALL, left=245)], [[0], [1]]),
+    ("a turned block", [at(0), at(12, SMALL, rotation=90.0)], [[0], [1]]),
+    ("a turn of 4 degrees over the half circle", [at(0, rotation=178.0), at(12, SMALL, rotation=-178.0)], [[0, 1]]),
+    ("sizes 10 and 11.5", [at(0), at(12, SMALL, size=11.5)], [[0, 1]]),
+    ("sizes 10 and 16", [at(0), at(12, SMALL, size=16.0)], [[0], [1]]),
+    ("lines that overlap a little", [at(0), at(7, SMALL)], [[0, 1]]),
+    ("lines that overlap by half", [at(0), at(5, SMALL)], [[0], [1]]),
+    ("a table cell between two lines is none of them", [at(0), at(12, SMALL, is_table_cell=True, column=-1, left=220), at(12, SMALL)], [[0, 2], [1]]),
+    ("an empty line", [at(0), at(12, "")], [[0], [1]]),
+    ("four lines in a row", [at(0), at(12, SMALL), at(24, SMALL), at(36, SMALL)], [[0, 1, 2, 3]]),
+    ("order is by place, not by number", [at(24, SMALL), at(0), at(12, SMALL)], [[1, 2, 0]]),
+    ("a left column's foot and a right one's head", [at(570), at(410, SMALL, column=2)], [[0, 1]]),
+    ("a left column that ends above 58 %", [at(560), at(410, SMALL, column=2)], [[0], [1]]),
+    ("a right column that begins below 42 %", [at(570), at(430, SMALL, column=2)], [[0], [1]]),
+    ("a right column's foot before a left one's head", [at(410, SMALL), at(570, column=2)], [[0], [1]]),
+    ("the lowest piece goes on, in the highest one", [at(600), at(900), at(300, SMALL, column=2), at(100, SMALL, column=2)], [[0], [1, 3], [2]]),
+    ("a label of capitals goes on nowhere", [at(900, "PUMP ROOM"), at(100, SMALL, column=2)], [[0], [1]]),
+    ("a text of fewer than eight signs", [at(900), at(100, "of it", column=2)], [[0], [1]]),
+    ("a short rest of a broken word", [at(900, "a broken hyph-"), at(100, "en", column=2)], [[0, 1]]),
+    ("a heading is no foot", [at(900, block_type="heading"), at(100, SMALL, column=2)], [[0], [1]]),
+    ("through three columns", [at(900), at(100, SMALL, column=2), at(112, SMALL, column=2), at(600, SMALL, column=2), at(100, SMALL, column=3)], [[0, 1, 2], [3, 4]]),
+    ("a whole column passed through", [at(900), *[at(10 + 12 * i, SMALL, column=2) for i in range(60)], at(100, SMALL, column=3)], [[0, *range(1, 61)], [61]]),
+    ("the foot of one page and the head of the next", [at(720, column=1), at(270, SMALL, page=2)], [[0, 1]]),
+    ("a foot above 72 %", [at(700), at(270, SMALL, page=2)], [[0], [1]]),
+    ("a head below 28 %", [at(720), at(290, SMALL, page=2)], [[0], [1]]),
+    ("a page between", [at(900), at(100, SMALL, page=3)], [[0], [1]]),
+    ("over three pages", [at(900), at(20, SMALL, page=2), *[at(32 + 12 * i, SMALL, page=2) for i in range(60)], at(20, SMALL, page=3)], [[0, *range(1, 63)]]),
+    ("an ended sentence and a capital head", [at(900, CLOSED), at(20, CAPITAL, page=2)], [[0], [1]]),
+    ("an ended sentence and a small head", [at(900, CLOSED), at(20, SMALL, page=2)], [[0, 1]]),
+    ("a footnote below the foot does not count", [at(800), at(950, block_type="footnote"), at(20, SMALL, page=2)], [[0, 2], [1]]),
+]
+
+
+def grouped(spark, blocks):
+    rows = [tuple(b[c.split()[0]] for c in BLOCK.split(", ")) for b in blocks]
+    return {(r.doc, r.page, r.box_id): (r.doc, r.group_page, r.group_id) for r in assembly.assemble(spark.createDataFrame(rows, BLOCK)).collect()}
+
+
+def numbered(blocks):
+    seen: dict = {}
+    for b in blocks:
+        if b["box_id"] is None:
+            b["box_id"] = seen[b["doc"], b["page"]] = seen.get((b["doc"], b["page"]), -1) + 1
+    return blocks
+
+
+@pytest.fixture(scope="module")
+def by_hand(spark):
+    """All cases in one table, a document each."""
+    blocks = [numbered([b | {"doc": i} for b in own]) for i, (_, own, _) in enumerate(CASES)]
+    return blocks, grouped(spark, [b for own in blocks for b in own])
+
+
+@pytest.mark.parametrize("case", range(len(CASES)), ids=[c[0].replace(" ", "_") for c in CASES])
+def test_rule(by_hand, case):
+    own, got = by_hand[0][case], by_hand[1]
+    key = lambda b: (b["doc"], b["page"], b["box_id"])
+    want = {key(own[i]): key(own[group[0]]) for group in CASES[case][2] for i in group}
+    assert {k: v for k, v in got.items() if k[0] == case} == want
 
 
-def alike(a, b):
-    return abs(a["size"] - b["size"]) <= max(1.5, 0.22 * max(a["size"], b["size"], 1)) and abs((a["rotation"] - b["rotation"] + 180) % 360 - 180) <= 5
-
-
-def goes_on(a, b):
-    s, t = a["text"].strip(), b["text"].strip()
-    small, broken = t[:1].islower(), s.endswith("-") and t[:1].islower()
-    label = len(s) <= 30 and len(s.split()) <= 5 and re.fullmatch(r"[A-Z][A-Z0-9 /&+.-]*", s)
-    return bool(alike(a, b) and s and t and not label and (broken or min(len(s), len(t)) >= 8) and (small or not re.search(r"""[.!?。！？]["'”’)]?$""", s)))
-
-
-def below(a, b):
-    base, gap, s, t = max(a["size"], b["size"], 1), b["y0"] - a["y1"], a["text"].strip(), b["text"].strip()
-    small = t[:1].islower()
-    if not alike(a, b) or abs(a["x0"] - b["x0"]) > max(14, 0.04 * a["page_width"]) or not -0.4 * base <= gap <= 1.35 * base or not s or not t:
-        return False
-    if a["block_type"] != b["block_type"] or re.match(r"(?:[-•▪◦‣]|\d+[.)])\s*", t):
-        return False
-    return small and (s.endswith("-") or gap <= base) or not re.search(r"""[.!?。！？:：;；]["'”’)]?$""", s) and gap <= 0.65 * base
-
-
-def assembled(blocks):
-    """[[box ids with pages]] of one document."""
-    pages = {}
-    for page in sorted({b["page"] for b in blocks}):
-        own, groups = [b for b in blocks if b["page"] == page], []
-        free = [b for b in own if b["block_type"] in ("paragraph", "footnote") and not b["is_table_cell"]]
-        for column in sorted({b["column_id"] for b in free}):
-            run = []
-            for b in sorted((b for b in free if b["column_id"] == column), key=lambda b: (b["y0"], b["x0"], b["box_id"])):
-                if run and below(run[-1], b):
-                    run.append(b)
-                else:
-                    run = [b]
-                    groups.append(run)
-        groups += [[b] for b in own if b not in free]
-        groups.sort(key=lambda g: (min(b["box_id"] for b in g), g[0]["y0"], g[0]["x0"]))
-        used = sorted({g[0]["column_id"] for g in groups if g[0]["column_id"] > 0 and g[0]["block_type"] == "paragraph"})
-        for left, right in zip(used, used[1:]):
-            ls, rs = ([g for g in groups if g[0]["column_id"] == c] for c in (left, right))
-            if ls and rs:
-                a, b = max(ls, key=lambda g: g[-1]["y1"]), min(rs, key=lambda g: g[0]["y0"])
-                x, y = a[-1], b[0]
-                if x["block_type"] == y["block_type"] == "paragraph" and x["column_id"] < y["column_id"] and x["y1"] >= 0.58 * x["page_height"] and y["y0"] <= 0.42 * y["page_height"] and goes_on(x, y):
-                    a += b
-                    groups.remove(b)
-        pages[page] = groups
-    for page in sorted(pages):
-        ends = [g for gs in pages.values() for g in gs if g[-1]["page"] == page and g[-1]["block_type"] == "paragraph"]
-        tops = [g for g in pages.get(page + 1, []) if g[0]["block_type"] == "paragraph"]
-        if ends and tops:
-            a, b = max(ends, key=lambda g: (g[-1]["y1"], g[-1]["box_id"])), min(tops, key=lambda g: (g[0]["y0"], g[0]["box_id"]))
-            x, y = a[-1], b[0]
-            if not x["is_table_cell"] and not y["is_table_cell"] and x["y1"] >= 0.72 * x["page_height"] and y["y0"] <= 0.28 * y["page_height"] and goes_on(x, y):
-                a += b
-                pages[page + 1].remove(b)
-    return [g for gs in pages.values() for g in gs]
-
-
-def test_assembly_follows_the_rules(spark):
+def test_of_any_pages(spark):
+    """Every block is in one group, named by a member; what must stand alone does; groups hold runs of columns and
+    neighbouring pages, of one kind and turn."""
     rng = random.Random(31)
-    texts = ["A sentence that is", "goes on in small letters", "It ends here.", "Not at an end,", "broken at a hyph-", "PUMP ROOM", "- an item of a list", "short", "Another line: with", "said she.”"]
-    names, blocks = [c.split()[0] for c in BLOCK.split(", ")], []
-    for doc in range(30):
+    texts = [OPEN, SMALL, CLOSED, CAPITAL, "broken hyph-", "PUMP ROOM", "- an item", "short", ""]
+    blocks = []
+    for doc in range(25):
         for page in range(1, 6):
-            n, y = rng.randrange(1, 9), {1: 5.0, 2: 5.0, 3: 5.0, 0: 5.0}
-            for k in range(n):
-                kind = rng.choice(["paragraph"] * 6 + ["footnote", "heading"])
-                table = rng.random() < 0.05
-                column = -1 if table else 0 if kind == "heading" else rng.choice([1, 2, 2, 3])
-                top = y[max(column, 0)] + rng.choice([0.0, 4.0, 9.0, 60.0])
-                y[max(column, 0)] = top + 20
-                blocks.append(dict(zip(names, (doc, page, k, rng.choice(texts), kind, table, rng.choice([0.0] * 9 + [90.0]), rng.choice([10.0] * 6 + [11.0, 16.0]), 600.0, 100.0, 30.0 + 150 * column + rng.choice([0.0, 0.0, 5.0, 40.0]), top, 30.0 + 150 * column + 140, top + 20, column))))
-    want = {}
-    crossed = wide = 0
-    for doc in range(30):
-        for g in assembled([b for b in blocks if b["doc"] == doc]):
-            crossed += g[0]["page"] != g[-1]["page"]
-            wide += len({(b["page"], b["column_id"]) for b in g}) > len({b["page"] for b in g})
-            for b in g:
-                want[doc, b["page"], b["box_id"]] = (g[0]["page"], g[0]["box_id"])
-    assert crossed > 5 and wide > 5
-    df = spark.createDataFrame([tuple(b.values()) for b in blocks], BLOCK)
-    got = {(r.doc, r.page, r.box_id): (r.group_page, r.group_id) for r in assembly.assemble(df).collect()}
-    assert got == want
+            tops = {}
+            for _ in range(rng.randrange(1, 9)):
+                cell, kind = rng.random() < 0.05, rng.choice(["paragraph"] * 6 + ["footnote", "heading"])
+                column = -1 if cell else 0 if kind == "heading" else rng.choice([1, 2, 2, 3])
+                tops[column] = top = tops.get(column, rng.choice([5.0, 800.0])) + rng.choice([12.0, 14.0, 19.0, 60.0])
+                blocks.append(at(top, rng.choice(texts), page, column, doc=doc, block_type=kind, is_table_cell=cell, rotation=rng.choice([0.0] * 9 + [90.0])))
+    blocks = numbered(blocks)
+    got = grouped(spark, blocks)
+    known = {(b["doc"], b["page"], b["box_id"]): b for b in blocks}
+    assert got.keys() == known.keys() and all(got[head] == head for head in got.values())
+    groups: dict = {}
+    for k, head in got.items():
+        groups.setdefault(head, []).append(known[k])
+    assert sum(len(g) > 1 for g in groups.values()) > 30 and any(len({b["page"] for b in g}) > 1 for g in groups.values())
+    for g in groups.values():
+        pages, columns = sorted({b["page"] for b in g}), {(b["page"], b["column_id"]) for b in g}
+        assert pages == list(range(pages[0], pages[-1] + 1))
+        assert len(g) == 1 or not any(b["is_table_cell"] or b["block_type"] == "heading" or not b["text"] for b in g)
+        assert len({(b["block_type"], b["rotation"]) for b in g}) == 1
+        for page, column in columns if len(g) > 1 else ():
+            order = sorted((b for b in blocks if (b["doc"], b["page"], b["column_id"]) == (g[0]["doc"], page, column) and b["block_type"] in assembly.MERGED), key=lambda b: (b["y0"], b["x0"], b["box_id"]))
+            places = [i for i, b in enumerate(order) if b in g]
+            assert places == list(range(places[0], places[-1] + 1))
