@@ -9,14 +9,38 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
+def _place(spark, name: str) -> str:
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/scratch"
+    return f"{root.rstrip('/')}/pagemill/{name}-{uuid.uuid4().hex}"
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """df written to the shared folder of spark.checkpoint.dir (where that is unset, below the warehouse) and read again, so
     that long plans end and lost executors cost nothing. The files stay until that folder is cleared."""
-    spark = df.sparkSession
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/scratch"
-    path = f"{root.rstrip('/')}/pagemill/{name}-{uuid.uuid4().hex}"
+    path = _place(df.sparkSession, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+class Steps:
+    """Stored tables of an operator's steps; one that is stored anew under its name takes the older one's place, whose files
+    go once the new ones are written."""
+
+    def __init__(self, spark):
+        self.spark, self.paths = spark, {}
+
+    def keep(self, df: DataFrame, name: str) -> DataFrame:
+        path = _place(self.spark, name)
+        df.write.parquet(path)
+        self.drop(name)
+        self.paths[name] = path
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def drop(self, *names: str) -> None:
+        for name in names:
+            if path := self.paths.pop(name, None):
+                at = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+                at.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def diff(old: DataFrame, new: DataFrame, keys: list[str], compared: list[str]) -> DataFrame:

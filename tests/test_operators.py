@@ -143,6 +143,27 @@ def test_next_fit(spark):
         assert {r.k: r.package_index for r in got if r.task == t} == want
 
 
+def test_next_fit_of_one_large_task(spark):
+    """Zero sizes, rows over the bound, orders that are texts, and bytes that split packages; one task has nearly all rows."""
+    rng = random.Random(14)
+    rows = [("hot", f"{i:05d}", rng.choice([0, 0, 1, 9, 30, 200]), rng.randrange(1, 40)) for i in range(260)] + [(t, "00001", 5, 5) for t in "xyz"]
+    df = spark.createDataFrame(rows, "task string, k string, n int, b int").repartition(5)
+    for size, cap in ((100, 12), (0, 30)):
+        got = {(r.task, r.k): r.package_index for r in packing.next_fit(df, "task", "k", "n", size, cap, "b", 90).collect()}
+        at, part, held, count, heavy, current, want = 1, 0, 0, 0, 0, None, {}
+        for t, k, n, b in sorted(rows):
+            if t != current:
+                at, held, count, heavy, current = 1, 0, 0, 0, t
+            elif held + n > size or count >= cap:
+                at, held, count, heavy = at + 1, 0, 0, 0
+            elif heavy + b > 90:
+                at, heavy = at + 1, 0
+            held, count, heavy = held + n, count + 1, heavy + b
+            want[t, k] = at
+        assert got == want, (size, cap)
+    assert packing.next_fit(df.limit(0), "task", "k", "n", 10).count() == 0
+
+
 def test_oversize_row_is_an_error(spark):
     df = spark.createDataFrame([("a", 1, "x" * 200)], "task string, k int, text string")
     with pytest.raises(Exception, match="exceeds"):
