@@ -428,12 +428,16 @@ def q51_pages_with_segments(s, d):
     return _docs(s, d).join(A.table(s, d, "labels"), "doc_id", "left").select(F.col("doc_id").alias("page"), F.length("text").cast("bigint").alias("n_signs"), F.coalesce("quality", F.lit(-1)).alias("quality"))
 
 
-@query("""WITH f AS (SELECT o_orderkey || CASE WHEN o_orderkey % 7 = 0 THEN '_copy.xlsx' ELSE '_' || lpad((o_orderkey % 40 + 1)::VARCHAR, 3, '0') || '_of_040.xlsx' END AS file, o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN 'PKG-' || (o_orderkey % 50 + 1) END AS package_id FROM orders)
-SELECT file, CASE WHEN package_id IS NOT NULL AND o_orderkey % 50 + 1 > 40 THEN 'WRONG_PACKAGE' WHEN package_id IS NULL AND o_orderkey % 7 = 0 THEN 'UNKNOWN_PACKAGE' ELSE 'OK' END AS state, CASE WHEN package_id IS NULL AND o_orderkey % 7 <> 0 THEN o_orderkey % 40 + 1 WHEN package_id IS NOT NULL AND o_orderkey % 50 + 1 <= 40 THEN o_orderkey % 50 + 1 END AS package_index FROM f""")
+@query("""WITH f AS (SELECT o_orderkey, o_orderkey || CASE WHEN o_orderkey % 7 = 0 THEN '_copy.xlsx' ELSE '_' || lpad((o_orderkey % 45 + 1)::VARCHAR, 3, '0') || '_of_040.xlsx' END AS file, CASE WHEN o_orderkey % 3 = 0 THEN 'PKG-' || (o_orderkey % 50 + 1) END AS package_id FROM orders),
+k AS (SELECT 'PKG-' || i AS id, CASE WHEN i = 40 THEN 39 ELSE i END AS package_index FROM range(1, 41) AS t(i)), one AS (SELECT package_index FROM k GROUP BY 1 HAVING count(*) = 1),
+g AS (SELECT file, package_id, k.package_index AS own, CASE WHEN package_id IS NULL THEN one.package_index END AS named FROM f LEFT JOIN k ON k.id = f.package_id LEFT JOIN one ON o_orderkey % 7 <> 0 AND one.package_index = o_orderkey % 45 + 1)
+SELECT file, CASE WHEN coalesce(own, named) IS NOT NULL THEN 'OK' WHEN package_id IS NOT NULL THEN 'WRONG_PACKAGE' ELSE 'UNKNOWN_PACKAGE' END AS state, coalesce(own, named) AS package_index, own IS NOT NULL AS by_id FROM g""")
 def q52_package_lookup(s, d):
+    """Files by claimed id or by the index in the name: some ids and indexes are of no package, one index is of two."""
     k = F.col("o_orderkey")
-    files = A.table(s, d, "orders").select(F.when(k % 7 == 0, F.concat(k, F.lit("_copy.xlsx"))).otherwise(F.format_string("%d_%03d_of_040.xlsx", k, k % 40 + 1)).alias("file"), F.when(k % 3 == 0, F.concat(F.lit("PKG-"), k % 50 + 1)).alias("package_id"))
-    known = s.range(1, 41).select(F.concat(F.lit("PKG-"), "id").alias("package_id"), F.col("id").alias("package_index"))
+    name = F.when(k % 7 == 0, F.concat(k, F.lit("_copy.xlsx"))).otherwise(F.format_string("%d_%03d_of_040.xlsx", k, k % 45 + 1))
+    files = A.table(s, d, "orders").select(name.alias("file"), F.when(k % 3 == 0, F.concat(F.lit("PKG-"), k % 50 + 1)).alias("package_id"))
+    known = s.range(1, 41).select(F.concat(F.lit("PKG-"), "id").alias("package_id"), F.when(F.col("id") == 40, 39).otherwise(F.col("id")).alias("package_index"))
     return matching.package_of(files, known)
 
 

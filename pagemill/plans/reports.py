@@ -128,11 +128,14 @@ def q70_recognized_instead(s, d):
     return matching.recognized_instead(own, pages.where(k % 5 != 0).select(k.alias("page"), F.concat(F.lit("recognized "), k).alias("text")))
 
 
-@query("""WITH i AS (SELECT source AS task, sha256(text) AS row_key, doc_id FROM documents), p AS (SELECT DISTINCT source AS task FROM documents WHERE source LIKE '%a%'), e AS (SELECT source AS task, sha256(text) AS row_key FROM documents WHERE doc_id % 9 = 0)
-SELECT task, 'blocking' AS severity, 'DUPLICATE_ROW_KEY' AS code, row_key FROM i GROUP BY task, row_key HAVING count(*) > 1 UNION ALL SELECT task, 'warning', 'POSITIONAL_MATCH', NULL FROM p UNION ALL SELECT task, 'warning', 'MISSING_ROW_KEY', row_key FROM e WHERE task NOT IN (SELECT task FROM p)""")
+@query("""WITH i AS (SELECT source AS task, sha256(text) AS row_key, doc_id FROM documents), p AS (SELECT DISTINCT source AS task FROM documents WHERE source LIKE '%1%'), e AS (SELECT task, row_key FROM i WHERE doc_id % 2 = 0 AND task NOT IN (SELECT task FROM p)),
+n AS (SELECT task, row_key, row_number() OVER (PARTITION BY task ORDER BY row_key) AS k FROM e)
+SELECT task, 'blocking' AS severity, 'DUPLICATE_ROW_KEY' AS code, row_key FROM i GROUP BY task, row_key HAVING count(*) > 1 UNION ALL SELECT task, 'warning', 'POSITIONAL_MATCH', NULL FROM p
+UNION ALL SELECT task, 'blocking', 'MISSING_ROW_KEY', row_key FROM n WHERE k <= 20 UNION ALL SELECT task, 'blocking', 'MISSING_ROW_KEY_SUMMARY', NULL FROM n GROUP BY task HAVING count(*) > 20""")
 def q71_import_issues(s, d):
+    """Issues of tasks: repeated keys, tasks matched by position, and missing keys, of which twenty are listed."""
     rows = _docs(s, d).select(F.col("source").alias("task"), F.sha2("text", 256).alias("row_key"), "doc_id")
-    return matching.import_issues(rows, rows.where("task like '%a%'"), rows.where("doc_id % 9 = 0"), "task", "row_key")
+    return matching.import_issues(rows, rows.where("task like '%1%'"), rows.where("doc_id % 2 = 0"), "task", "row_key", 20)
 
 
 OCR = f"""{WRAPPED}, o AS (SELECT page, line_no, CASE WHEN line_no % 29 = 0 THEN (100 + line_no)::VARCHAR WHEN line_no % 11 = 3 THEN translate(line, 'abcdefghijklmnopqrstuvwxyz', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ') ELSE line END AS text, 0.5::DOUBLE + (line_no % 5) * 0.1::DOUBLE AS confidence, 40.0::DOUBLE + CASE WHEN line_no % 9 = 4 THEN 60.0 ELSE line_no % 3 END AS x0, line_no * 15.0::DOUBLE + CASE WHEN line_no % 13 = 6 THEN 25.0 ELSE 0.0 END AS y0,
@@ -240,31 +243,45 @@ def q81_byte_bounded_packages(s, d):
     return packing.next_fit(rows, "lang", "doc_id", "n_chars", 400_000, 60, "row_bytes", 250_000).select("lang", "doc_id", "package_index")
 
 
-#: Returned tables: a conversation is a file, its keys are the turns' lengths; in every third one all keys are changed.
-RETURNED = """r AS (SELECT conv_id, turn, 'R' || (turn * 7 + 1) AS k, text FROM conversations), c AS (SELECT conv_id, turn AS row_index, CASE WHEN conv_id % 3 = 0 THEN 'x' || turn WHEN conv_id % 5 = 1 AND turn = 1 THEN 'R1' ELSE k END AS k, text FROM r),
- e AS (SELECT conv_id, lpad((turn * 7 + 1)::VARCHAR, 8, '0') AS row_key, turn AS position FROM r), w AS (SELECT conv_id, count(*) AS wanted FROM e GROUP BY 1),
- f AS (SELECT c.conv_id, e.row_key, c.row_index, c.text FROM c JOIN e ON e.conv_id = c.conv_id AND e.row_key = lpad(replace(c.k, 'R', ''), 8, '0')), n AS (SELECT conv_id, count(*) AS exact, count(DISTINCT row_key) AS known FROM f GROUP BY 1),
- moved AS (SELECT conv_id FROM w LEFT JOIN n USING (conv_id) WHERE coalesce(known, 0) < wanted AND coalesce(exact, 0) * 2 < wanted)"""
+#: Returned tables: a conversation is a file and the keys of its turns a package. In every third all keys are changed; of
+#: those, every second says by its name alone which package it is. Some claim a foreign package, some none at all.
+RETURNED = """r AS (SELECT conv_id, turn, conv_id * 100 + turn AS num, text FROM conversations),
+ kind AS (SELECT conv_id, CASE WHEN conv_id % 11 = 4 THEN 'foreign' WHEN conv_id % 11 = 5 THEN 'none' WHEN conv_id % 2 = 0 AND conv_id < 1000 THEN 'named' ELSE 'claimed' END AS kind,
+  'f' || conv_id || CASE WHEN conv_id % 2 = 0 AND conv_id < 1000 THEN '_' || lpad(conv_id::VARCHAR, 3, '0') || '_of_999.xlsx' WHEN conv_id % 11 = 5 THEN '_copy.xlsx' ELSE '.xlsx' END AS file FROM (SELECT DISTINCT conv_id FROM conversations)),
+ kinds AS (SELECT conv_id, file, CASE WHEN kind = 'none' AND conv_id % 2 = 0 AND conv_id < 1000 THEN 'named' ELSE kind END AS kind FROM kind),
+ c AS (SELECT r.conv_id, turn AS row_index, CASE WHEN r.conv_id % 3 = 0 THEN 'x' || turn WHEN r.conv_id % 5 = 1 AND turn = 1 THEN 'R' || (r.conv_id * 100) WHEN r.conv_id % 7 = 2 AND turn % 2 = 1 THEN 'lost' ELSE 'R' || num END AS k, text FROM r),
+ e AS (SELECT conv_id, lpad(num::VARCHAR, 8, '0') AS row_key, turn AS position FROM r), n_all AS (SELECT count(DISTINCT row_key) AS n FROM e),
+ f AS (SELECT c.conv_id, kinds.kind, kinds.file, e.row_key, c.row_index, c.text FROM c JOIN kinds USING (conv_id) JOIN e ON kinds.kind <> 'foreign' AND (kinds.kind = 'none' OR e.conv_id = c.conv_id) AND e.row_key = lpad(replace(c.k, 'R', ''), 8, '0')),
+ n AS (SELECT conv_id, count(*) AS exact, count(DISTINCT row_key) AS known FROM f GROUP BY 1),
+ w AS (SELECT kinds.*, coalesce(exact, 0) AS exact, coalesce(known, 0) AS known, CASE WHEN kind = 'none' THEN (SELECT n FROM n_all) ELSE (SELECT count(*) FROM e WHERE e.conv_id = kinds.conv_id) END AS wanted FROM kinds LEFT JOIN n USING (conv_id) WHERE kind <> 'foreign'),
+ moved AS (SELECT conv_id, file FROM w WHERE kind = 'claimed' AND known < wanted AND exact * 2 < wanted),
+ lacking AS (SELECT * FROM w WHERE known < wanted AND conv_id NOT IN (SELECT conv_id FROM moved) AND (known > 0 OR kind <> 'none'))"""
 
 
 def _imported(s, d):
     conv = A.table(s, d, "conversations")
     k, c = F.col("turn"), F.col("conv_id")
-    key = F.when(c % 3 == 0, F.concat(F.lit("x"), k)).when((c % 5 == 1) & (k == 1), "R1").otherwise(F.concat(F.lit("R"), k * 7 + 1))
-    cells = conv.select(F.format_string("f%d.xlsx", c).alias("file"), F.format_string("PKG-%d", c).alias("subject"), F.lit(0).alias("sheet_index"), F.lit("visible").alias("sheet_state"), k.alias("row_index"), F.array(key, F.lit(None).cast("string"), F.col("text")).alias("cells"))
-    expected = conv.select(F.format_string("PKG-%d", c).alias("package_id"), c.alias("package_index"), T.row_key((k * 7 + 1).cast("string")).alias("row_key"), k.alias("position"))
+    named = (c % 2 == 0) & (c < 1000)
+    key = F.when(c % 3 == 0, F.concat(F.lit("x"), k)).when((c % 5 == 1) & (k == 1), F.concat(F.lit("R"), c * 100)).when((c % 7 == 2) & (k % 2 == 1), "lost").otherwise(F.concat(F.lit("R"), c * 100 + k))
+    file = F.when(named, F.format_string("f%d_%03d_of_999.xlsx", c, c)).when(c % 11 == 5, F.format_string("f%d_copy.xlsx", c)).otherwise(F.format_string("f%d.xlsx", c))
+    subject = F.when(c % 11 == 4, "PKG-of another").when(named | (c % 11 == 5), "a note").otherwise(F.format_string("PKG-%d", c))
+    cells = conv.select(file.alias("file"), subject.alias("subject"), F.lit(0).alias("sheet_index"), F.lit("visible").alias("sheet_state"), k.alias("row_index"), F.array(key, F.lit(None).cast("string"), F.col("text")).alias("cells"))
+    expected = conv.select(F.format_string("PKG-%d", c).alias("package_id"), c.cast("bigint").alias("package_index"), T.row_key((c * 100 + k).cast("string")).alias("row_key"), k.alias("position"))
     return cells, expected
 
 
-@query(f"""WITH {RETURNED} SELECT 'f' || conv_id || '.xlsx' AS file, 'blocking' AS severity, 'DUPLICATE_ROW_KEY' AS code, row_key FROM f GROUP BY conv_id, row_key HAVING count(*) > 1 UNION ALL SELECT 'f' || conv_id || '.xlsx', 'warning', 'POSITIONAL_MATCH', NULL FROM moved
-UNION ALL SELECT 'f' || conv_id || '.xlsx', 'warning', 'MISSING_ROW_KEY', row_key FROM e WHERE conv_id NOT IN (SELECT conv_id FROM moved) AND NOT EXISTS (SELECT 1 FROM f WHERE f.conv_id = e.conv_id AND f.row_key = e.row_key)""")
+@query(f"""WITH {RETURNED}, first AS (SELECT l.file, e.row_key, row_number() OVER (PARTITION BY l.file ORDER BY e.conv_id, e.position, e.row_key) AS k FROM lacking l JOIN e ON l.kind = 'none' OR e.conv_id = l.conv_id WHERE NOT EXISTS (SELECT 1 FROM f WHERE f.conv_id = l.conv_id AND f.row_key = e.row_key))
+SELECT file, 'blocking' AS severity, 'WRONG_PACKAGE' AS code, NULL AS row_key FROM kinds WHERE kind = 'foreign' UNION ALL SELECT file, 'blocking', 'UNKNOWN_PACKAGE', NULL FROM w WHERE kind = 'none' AND known = 0
+UNION ALL SELECT file, 'blocking', 'DUPLICATE_ROW_KEY', row_key FROM f GROUP BY file, row_key HAVING count(*) > 1 UNION ALL SELECT file, 'warning', 'POSITIONAL_MATCH', NULL FROM moved
+UNION ALL SELECT file, 'blocking', 'MISSING_ROW_KEY', row_key FROM first WHERE k <= 100 UNION ALL SELECT file, 'blocking', 'MISSING_ROW_KEY_SUMMARY', NULL FROM lacking WHERE wanted - known > 100""")
 def q82_import_file_issues(s, d):
+    """Foreign, unknown and moved files, repeated and missing keys."""
     return matching.import_cells(*_imported(s, d))[1]
 
 
-@query(f"""WITH {RETURNED}, o AS (SELECT conv_id, row_key, arg_min(text, row_index) AS text, 'key' AS match FROM f WHERE conv_id NOT IN (SELECT conv_id FROM moved) GROUP BY 1, 2
- UNION ALL SELECT e.conv_id, e.row_key, r.text, 'position' FROM e JOIN r ON r.conv_id = e.conv_id AND r.turn = e.position WHERE e.conv_id IN (SELECT conv_id FROM moved))
-SELECT row_key, trim(arg_max(text, 'f' || conv_id || '.xlsx')) AS translated_text, max('f' || conv_id || '.xlsx') AS file, arg_max(match, 'f' || conv_id || '.xlsx') AS match FROM o GROUP BY 1""")
+@query(f"""WITH {RETURNED}, o AS (SELECT file, row_key, arg_min(text, row_index) AS text, 'key' AS match FROM f WHERE conv_id NOT IN (SELECT conv_id FROM moved) GROUP BY 1, 2
+ UNION ALL SELECT moved.file, e.row_key, r.text, 'position' FROM moved JOIN e USING (conv_id) JOIN r ON r.conv_id = e.conv_id AND r.turn = e.position)
+SELECT row_key, trim(coalesce(arg_max(text, file), '')) AS translated_text, max(file) AS file, arg_max(match, file) AS match FROM o GROUP BY 1""")
 def q83_imported_texts(s, d):
     """Texts by key or position; of files with the same key the last one wins."""
     return matching.import_cells(*_imported(s, d))[0]

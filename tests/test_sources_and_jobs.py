@@ -5,6 +5,7 @@ import datetime as dt
 from pyspark.sql import functions as F
 
 from pagemill.api import Engine, Settings
+from pagemill.operators import matching
 from pagemill.sources import xlsx
 from pagemill.streaming import jobs
 
@@ -39,8 +40,29 @@ def test_imported_files_and_their_issues(spark):
     ]
     df = spark.createDataFrame(cells, "file string, subject string, sheet_index int, sheet_state string, row_index int, cells array<string>")
     done, issues = engine.import_with_issues(segments, df)
-    assert {r.row_key: r.translated_text for r in done.collect()} == {"00000001": "eins", "00000002": None, "00000003": "drei", "00000004": "vier"}
-    assert {tuple(r) for r in issues.collect()} == {("a.xlsx", "blocking", "DUPLICATE_ROW_KEY", "00000001"), ("a.xlsx", "warning", "MISSING_ROW_KEY", "00000002"), ("b_002_of_002.xlsx", "warning", "POSITIONAL_MATCH", None), ("c.xlsx", "blocking", "WRONG_PACKAGE", None), ("d.xlsx", "blocking", "UNKNOWN_PACKAGE", None)}
+    lost = lambda file, *keys: {(file, "blocking", "MISSING_ROW_KEY", f"0000000{k}") for k in keys}
+    # b is known by its name alone, so its rows are not matched by place; d has no package, so that all keys are expected
+    assert {r.row_key: r.translated_text for r in done.collect()} == {"00000001": "whose", "00000002": None, "00000003": None, "00000004": None}
+    assert {tuple(r) for r in issues.collect()} == {("a.xlsx", "blocking", "DUPLICATE_ROW_KEY", "00000001"), ("c.xlsx", "blocking", "WRONG_PACKAGE", None)} | lost("a.xlsx", 2) | lost("b_002_of_002.xlsx", 3, 4) | lost("d.xlsx", 2, 3, 4)
+
+
+def test_imports_that_claim_their_package(spark):
+    """An id in a cell, a subject that is a note, an index of no package, no key at all, and more missing keys than listed."""
+    expected = spark.createDataFrame([(f"PKG-T-{p:03d}", p, f"{p * 1000 + k:08d}", k) for p, n in ((1, 2), (2, 130)) for k in range(n)], "package_id string, package_index bigint, row_key string, position int")
+    row = lambda file, subject, sheet, at, *cells: (file, subject, sheet, "visible", at, list(cells))
+    cells = [
+        row("note.xlsx", "a note", 1, 30, None, " PKG-no", "PKG-T-001 "), row("note.xlsx", "a note", 0, 1, "gone", "eins"), row("note.xlsx", "a note", 0, 2, "gone", "zwei"),
+        row("v_009_of_009.xlsx", None, 0, 1, "2005", "fünf"), row("z.xlsx", "my subject", 0, 1, "7", "sieben"), row("late.xlsx", None, 0, 31, "1", "PKG-T-001"),
+        row("few.xlsx", "PKG-T-002", 0, 1, "2001", "two"), row("few.xlsx", "PKG-T-002", 0, 2, "2129", "last"),
+    ]
+    df = spark.createDataFrame(cells, "file string, subject string, sheet_index int, sheet_state string, row_index int, cells array<string>")
+    texts, issues = matching.import_cells(df, expected)
+    assert {r.row_key: (r.translated_text, r.match) for r in texts.collect()} == {"00001000": ("eins", "position"), "00001001": ("zwei", "position"), "00002001": ("two", "key"), "00002005": ("fünf", "key"), "00002129": ("last", "key")}
+    got = issues.collect()
+    assert {(r.file, r.severity, r.code) for r in got if r.row_key is None} == {("note.xlsx", "warning", "POSITIONAL_MATCH"), ("z.xlsx", "blocking", "UNKNOWN_PACKAGE"), ("late.xlsx", "blocking", "UNKNOWN_PACKAGE"), ("few.xlsx", "blocking", "MISSING_ROW_KEY_SUMMARY"), ("v_009_of_009.xlsx", "blocking", "MISSING_ROW_KEY_SUMMARY")}
+    lost = {f: sorted(r.row_key for r in got if r.file == f and r.code == "MISSING_ROW_KEY") for f in ("few.xlsx", "v_009_of_009.xlsx")}
+    assert lost["few.xlsx"] == [f"{2000 + k:08d}" for k in range(102) if k != 1][:100]
+    assert lost["v_009_of_009.xlsx"] == ["00001000", "00001001", *[f"{2000 + k:08d}" for k in range(100) if k != 5][:98]]
 
 
 def test_states_follow_events(spark, tmp_path):
