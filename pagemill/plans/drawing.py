@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from pagemill.operators import collisions
-from pagemill.plans.catalog import BOXES, _boxes, query
+from pagemill.operators import collisions, drawing_report
+from pagemill.plans.catalog import BOXES, WRAPPED, _boxes, _docs, query
+from pagemill.sources import adapters as A
 
 #: Boxes as labels of a map: a tenth of the size, with words that repeat; upright ones are read from below.
 LABELS = f"""{BOXES}, labels AS (SELECT page, box_id, x0 / 8 AS x0, y0 / 8 AS y0, x0 / 8 + 2 + (x1 - x0) / 16 AS x1, y0 / 8 + 2 + (y1 - y0) / 16 AS y1,
@@ -51,3 +52,47 @@ def q86_preflight_fallbacks(s, d):
     """What keeps its source text before anything is erased, with the first reason that holds."""
     room = F.length("text") * 0.5 * F.col("size") <= (F.col("x1") - F.col("x0")) * (F.col("y1") - F.col("y0"))
     return collisions.preflight(_labels(s, d).withColumns({"fits": room, "whole": F.col("source"), "n_whole": F.col("n_boxes")}), 8.0)
+
+
+#: Sources as drawn tasks, their documents as pages and lines as placed texts, with faults of each kind here and there.
+DRAWN = f"""{WRAPPED}, l AS (SELECT source AS task, page, line_no AS k, length(line) AS n, 'P' || lpad(page::VARCHAR, 7, '0') || '-' || lpad(line_no::VARCHAR, 5, '0') AS segment_id FROM visual_lines JOIN documents ON doc_id = page),
+ placed AS (SELECT *, k * 12.0::DOUBLE AS y0, k * 12.0::DOUBLE + CASE WHEN k % 7 = 3 THEN 14.0 ELSE 11.0 END AS y1, 40.0::DOUBLE + 4.0 * n AS x1, 8.0::DOUBLE - 0.5 * (k % 4) AS font_size, k % 97 <> 5 AS fitted, k % 13 = 6 AS flat, k % 37 = 8 AS back, n > 3 AS own FROM l),
+ p AS (SELECT source AS task, doc_id AS page, doc_id % 4 AS tiles, doc_id % 9 = 4 AS rasterized, (SELECT count(*) FROM l WHERE l.page = doc_id) AS lines FROM documents),
+ pg AS (SELECT task, count(*) AS source_pages, count(*) FILTER (page % 50 <> 7) AS output_pages, bool_and(page % 50 <> 7 AND page % 31 <> 9) AS page_sizes_preserved, count(*) FILTER (tiles > 0) AS repair_image_layers, CAST(sum(tiles) AS BIGINT) AS repair_image_tiles, CAST(sum(CASE WHEN page % 2 = 0 THEN lines ELSE 0 END) AS BIGINT) AS vector_text_redactions, count(*) FILTER (page % 2 = 0) AS vector_cleaned_pages,
+  count(*) FILTER (rasterized) AS rasterized_pages, count(*) FILTER (lines >= 120) AS dense_pages, CAST(sum(page % 3) AS BIGINT) AS complex_background_repairs, round(avg(least(1.0::DOUBLE, lines / 487)), 6) AS masked_page_area_ratio, round(max(least(1.0::DOUBLE, lines / 487)), 6) AS maximum_page_mask_area_ratio,
+  coalesce(array_to_string((list(page ORDER BY page) FILTER (rasterized))[1:100], ','), '') AS rasterized_source_pages, coalesce(array_to_string((list(page ORDER BY page) FILTER (lines >= 120))[1:100], ','), '') AS dense_pages_requiring_review, coalesce(array_to_string((list(page ORDER BY page) FILTER (lines >= 120 AND page IN (SELECT page FROM placed WHERE flat)))[1:100], ','), '') AS dense_flat_page_cleanups FROM p GROUP BY 1),
+ pl AS (SELECT task, count(*) AS replaced_segments, count(*) FILTER (NOT fitted) AS overflow_errors, min(font_size) AS minimum_rendered_font_size, count(*) FILTER (font_size + 0.1 < 8.0) AS font_reductions, count(*) FILTER (k % 31 = 4) AS rotated_segments, count(*) FILTER (k % 5 = 2) AS contour_flow_segments, count(*) AS visual_anchors, count(*) FILTER (own) AS semantic_paragraphs,
+  count(*) FILTER (back AND own) AS source_fallback_segments, count(*) FILTER (back) AS visual_source_fallback_segments, count(*) FILTER (k % 41 = 9) AS layout_fallback_segments, count(*) FILTER (k % 53 = 1) AS issues, count(*) FILTER (k % 53 = 1 AND k % 2 = 1) AS warnings,
+  coalesce(array_to_string((list(segment_id ORDER BY segment_id) FILTER (back AND own))[1:100], ','), '') AS source_fallback_segment_ids, coalesce(array_to_string((list(segment_id ORDER BY segment_id) FILTER (back))[1:100], ','), '') AS visual_source_fallback_segment_ids, coalesce(array_to_string((list(segment_id || '=' || (k % 2) ORDER BY segment_id) FILTER (k % 41 = 9))[1:100], ','), '') AS layout_fallback_reasons,
+  coalesce(array_to_string((list(segment_id ORDER BY page, k) FILTER (NOT fitted))[1:100], ','), '') AS overflow_segment_ids FROM placed GROUP BY 1),
+ ov AS (SELECT a.task, a.page, a.segment_id AS first, b.segment_id AS second, a.k FROM placed a JOIN placed b ON b.page = a.page AND b.k = a.k + 1 AND a.k % 7 = 3 AND a.n > 0 AND b.n > 0),
+ op AS (SELECT task, count(*) AS source_bbox_overlap_warnings, array_to_string(list(first || '+' || second ORDER BY page, k)[1:100], ',') AS source_bbox_overlap_pairs FROM ov GROUP BY 1)"""
+COUNTS = "replaced_segments overflow_errors minimum_rendered_font_size font_reductions rotated_segments contour_flow_segments visual_anchors semantic_paragraphs source_fallback_segments visual_source_fallback_segments layout_fallback_segments issues warnings source_bbox_overlap_warnings".split()
+LISTS = "source_fallback_segment_ids visual_source_fallback_segment_ids layout_fallback_reasons overflow_segment_ids source_bbox_overlap_pairs".split()
+
+
+def drawn_tables(s, d):
+    """(placements, pages, segments, fallbacks, issues) as `drawing_report` takes them."""
+    docs, k, p = _docs(s, d), F.col("line_no"), F.col("page")
+    lines = A.visual_lines(docs).join(docs.select(F.col("doc_id").alias("page"), F.col("source").alias("task")), "page")
+    lines = lines.withColumn("segment_id", F.format_string("P%07d-%05d", p, k))
+    top, flag = k * 12.0, (lambda test, yes, no: F.when(test, F.lit(yes)).otherwise(F.lit(no)))
+    background = flag(k % 13 == 6, f"{drawing_report.FLAT}-x", "plain")
+    placements = lines.select("task", "page", k.alias("box_id"), "segment_id", F.lit(40.0).alias("x0"), top.alias("y0"), (F.length("line") * 4.0 + 40.0).alias("x1"), (top + flag(k % 7 == 3, 14.0, 11.0)).alias("y1"), (F.lit(8.0) - k % 4 * 0.5).alias("font_size"), F.lit(8.0).alias("source_size"), (k % 31 == 4).alias("rotated"), (k % 5 == 2).alias("contour_flow"), (k % 97 != 5).alias("fitted"), background.alias("background"))
+    own = docs.select(F.col("source").alias("task"), F.col("doc_id").alias("page")).join(lines.groupBy("page").agg(F.count("*").alias("lines")), "page", "left").fillna(0, ["lines"])
+    pages = own.select("task", "page", F.when(p % 50 != 7, p).alias("output_page"), (p % 31 != 9).alias("same__"), (p % 4).alias("tiles"), F.when(p % 2 == 0, F.col("lines")).otherwise(0).alias("redactions"), (p % 2 == 0).alias("vector_cleaned"), (p % 9 == 4).alias("rasterized"), (F.col("lines") >= 120).alias("dense"), (p % 3).alias("complex_backgrounds"), F.least(F.lit(1.0), F.col("lines") / 487).alias("mask_ratio"))
+    pages = pages.withColumn("same_size", F.col("output_page").isNotNull() & F.col("same__")).drop("same__")
+    segments = lines.select("task", "segment_id", (F.length("line") > 3).alias("should_translate"), flag(k % 37 == 8, "source_fallback", "translated").alias("status"))
+    fallbacks = lines.where(k % 41 == 9).select("task", "segment_id", (k % 2).cast("string").alias("reason"))
+    issues = lines.where(k % 53 == 1).select("task", flag(k % 2 == 1, "warning", "info").alias("severity"), "segment_id", F.lit("a line to look at").alias("message"))
+    return placements, pages, segments, fallbacks, issues
+
+
+@query(f"""WITH {DRAWN}, t AS (SELECT pg.*, {", ".join(f"coalesce({c}, 0) AS {c}" for c in COUNTS)}, {", ".join(f"coalesce({c}, '') AS {c}" for c in LISTS)} FROM pg LEFT JOIN pl USING (task) LEFT JOIN op USING (task))
+SELECT *, CASE WHEN overflow_errors > 0 OR NOT page_sizes_preserved OR dense_pages > 0 THEN 'needs_review' WHEN source_bbox_overlap_warnings > 0 OR warnings > 0 OR layout_fallback_segments > 0 THEN 'passed_with_warnings' ELSE 'passed' END AS status FROM t""")
+def q87_drawing_report(s, d):
+    """All measures of the report, with the first hundred entries of its lists."""
+    out = drawing_report.drawing_report(*drawn_tables(s, d)).drop("shown_issues")
+    told = {"layout_fallback_reasons": lambda x: F.concat(x["segment_id"], F.lit("="), x["reason"]), "source_bbox_overlap_pairs": lambda x: F.concat(x["first"], F.lit("+"), x["second"])}
+    lists = [name for name, kind in out.dtypes if kind.startswith("array")]
+    return out.withColumns({name: F.array_join(F.transform(name, told.get(name, lambda x: x.cast("string"))), ",") for name in lists})
