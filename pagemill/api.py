@@ -87,9 +87,16 @@ class Engine:
         return report.where("can_generate").select("task_id", F.lit(True).alias("confirmed"))
 
     def generate(self, segments: DataFrame, anchors: DataFrame) -> DataFrame:
-        """A row for each visual anchor (segment_id, anchors: array of source parts), with its part of the text."""
-        done = validation.source_fallback(segments).join(anchors, "segment_id")
-        return visual.expand(visual.split_over_anchors(done, "output_text", "anchors"))
+        """A row for each visual anchor (segment_id, anchors: array of source parts; crossing, if it is there: whether the
+        paragraph crosses columns or pages), with its part of the text, tokens put back. Segments whose tokens cannot be put
+        back keep their source, as do anchors whose labels stay."""
+        found = masking.restored(segments, "translated_text", "placeholders")
+        safe = masking.restore_ok(F.col("placeholders"), F.col("missing"), F.col("duplicated"), F.col("unknown"), not self.settings.number_warnings)
+        done = validation.source_fallback(found, safe, F.col("restored_text")).join(anchors, "segment_id")
+        crossing = done if "crossing" in anchors.columns else done.withColumn("crossing", F.lit(False))
+        fallen = F.col("status") == "source_fallback"
+        parts = visual.over_anchors(crossing, "output_text", "anchors", "crossing")
+        return visual.expand(parts.withColumn("parts", F.when(fallen, F.col("anchors")).otherwise(F.col("parts"))))
 
     def cleanup(self, files: DataFrame, referenced: DataFrame) -> DataFrame:
         return store.orphans(files, referenced, "file")

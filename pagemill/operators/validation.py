@@ -2,19 +2,30 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pagemill.functions import text as T
 
 
-def source_fallback(segments: DataFrame) -> DataFrame:
-    """Empty or missing translations take the source text, with the reason and a sticky status."""
+def source_fallback(segments: DataFrame, restorable: Column | None = None, text: Column | None = None) -> DataFrame:
+    """Empty or missing translations take the source text, with the reason and a sticky status; so do those whose protected
+    tokens cannot be put back, where `restorable` tells that. Others give `text`, or the translation where none is named."""
     empty = T.strip(F.coalesce("translated_text", F.lit(""))) == ""
     old = F.col("status") == "source_fallback" if "status" in segments.columns else F.lit(False)
-    fall = empty | old
-    reason = F.when(F.col("translated_text").isNull(), "missing").when(empty, "empty").when(old, "earlier")
-    return segments.withColumns({"output_text": F.when(fall, F.col("source_text")).otherwise(F.col("translated_text")), "fallback_reason": reason, "status": F.when(fall, "source_fallback").otherwise("translated")})
+    broken = F.lit(False) if restorable is None else ~F.coalesce(restorable, F.lit(False))
+    fall = F.coalesce(empty | old | broken, F.lit(False))
+    reason = F.when(F.col("translated_text").isNull(), "missing").when(empty, "empty").when(old, "earlier").when(broken, "unrestorable")
+    done = F.when(fall, F.col("source_text")).otherwise(F.col("translated_text") if text is None else text)
+    return segments.withColumns({"output_text": done, "fallback_reason": reason, "status": F.when(fall, "source_fallback").otherwise("translated")})
+
+
+def after_fallback(found: DataFrame, segments: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, severity, code) once segments (keys, fallback_reason) fell back: issues but those of missing keys, which the
+    source text now answers, and a warning for each segment that fell back."""
+    kept = found.where(~F.col("code").isin("MISSING_ROW_KEY", "MISSING_ROW_KEY_SUMMARY")).select(*keys, "severity", "code")
+    fallen = segments.where("fallback_reason is not null").select(*keys, F.lit("warning").alias("severity"), F.lit("SOURCE_FALLBACK").alias("code"))
+    return kept.unionByName(fallen)
 
 
 def issues(segments: DataFrame, keys: list[str], number_warnings: bool = True) -> DataFrame:

@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from pagemill.operators import collisions, drawing_report
-from pagemill.plans.catalog import BOXES, WRAPPED, _boxes, _docs, query
+from pagemill.operators import collisions, drawing_report, fitting, masking, validation, visual
+from pagemill.plans.catalog import BOXES, PAIRS, WRAPPED, _boxes, _docs, _pairs, query
 from pagemill.sources import adapters as A
 
 #: Boxes as labels of a map: a tenth of the size, with words that repeat; upright ones are read from below.
@@ -96,3 +96,38 @@ def q87_drawing_report(s, d):
     told = {"layout_fallback_reasons": lambda x: F.concat(x["segment_id"], F.lit("="), x["reason"]), "source_bbox_overlap_pairs": lambda x: F.concat(x["first"], F.lit("+"), x["second"])}
     lists = [name for name, kind in out.dtypes if kind.startswith("array")]
     return out.withColumns({name: F.array_join(F.transform(name, told.get(name, lambda x: x.cast("string"))), ",") for name in lists})
+
+
+@query()
+def q88_paragraph_fit(s, d):
+    """The font size at which each line of the documents fits a box of its own."""
+    k = F.col("line_no")
+    lines = A.doc_lines(_docs(s, d)).select("page", "line_no", "line", (120.0 + k % 5 * 60).alias("w"), (14.0 + k % 7 * 12).alias("h"), (7.0 + k % 4).alias("z"), F.when(k % 6 == 0, "heading").otherwise("paragraph").alias("kind"))
+    return fitting.paragraph_fit(lines, "line", "w", "h", "z", "kind").select("page", "line_no", F.round("fit_size", 4).alias("fit_size"), "fit_leading", "fit_lines", "fits")
+
+
+@query()
+def q89_anchored_parts(s, d):
+    """Texts over the labels and lines that they were drawn at, where identifiers stay with their own."""
+    k, t = F.col("turn"), F.col("source_text")
+    spots = F.array(F.concat(F.lit("Fig. "), k), F.when(F.col("conv_id") % 2 == 0, "PUMP ROOM").otherwise(F.substring(t, 1, 60)), F.concat(F.lit("No. "), k + 1))
+    rows = _pairs(s, d).where("translated_text is not null").select("conv_id", "turn", F.concat("translated_text", F.lit(" Fig. "), k, F.lit(" No. "), k + 1).alias("text"), spots.alias("spots"), (F.col("conv_id") % 3 == 0).alias("crossing"))
+    return visual.over_anchors(rows, "text", "spots", "crossing").select("conv_id", "turn", F.array_join("parts", "|").alias("parts"), F.array_join(F.col("kept").cast("array<string>"), "|").alias("kept"), "kept_reason")
+
+
+BLANK = "trim(coalesce(translated_text, ''), ' ' || chr(9) || chr(10) || chr(13)) = ''"
+
+
+@query(f"""WITH {PAIRS}, p AS (SELECT *, (conv_id + turn) % 5 = 0 OR (conv_id + turn) % 11 = 3 AS broken FROM turn_pairs), r AS (SELECT conv_id, turn, CASE WHEN translated_text IS NULL THEN 'missing' WHEN {BLANK} THEN 'empty' WHEN broken THEN 'unrestorable' END AS reason, (conv_id + turn) % 3 = 0 AS lost FROM p)
+SELECT conv_id, turn, 'warning' AS severity, 'SOURCE_FALLBACK' AS code FROM r WHERE reason IS NOT NULL UNION ALL SELECT conv_id, turn, 'warning', 'ABNORMAL_LENGTH' FROM r WHERE lost AND turn % 2 = 0""")
+def q90_issues_after_fallback(s, d):
+    """What is left of issues once texts that are missing, empty or have lost tokens keep their source."""
+    k = F.col("conv_id") + F.col("turn")
+    token = lambda name, kind: F.struct(F.lit(name).alias("token"), F.lit("o").alias("original"), F.lit(kind).alias("kind"))
+    held = F.array(token("T1", "url"), token("T2", "number_unit"))
+    gone = F.when(k % 5 == 0, F.array(F.lit("T1"))).when(k % 7 == 0, F.array(F.lit("T2"))).otherwise(F.array().cast("array<string>"))
+    none, twice = F.array().cast("array<string>"), F.when(k % 11 == 3, F.array(F.lit("T2"))).otherwise(F.array().cast("array<string>"))
+    done = validation.source_fallback(_pairs(s, d), masking.restore_ok(held, gone, twice, none))
+    found = done.where(k % 3 == 0).select("conv_id", "turn", F.lit("blocking").alias("severity"), F.lit("MISSING_ROW_KEY").alias("code"))
+    found = found.unionByName(done.where((k % 3 == 0) & (F.col("turn") % 2 == 0)).select("conv_id", "turn", F.lit("warning").alias("severity"), F.lit("ABNORMAL_LENGTH").alias("code")))
+    return validation.after_fallback(found, done, ["conv_id", "turn"])
