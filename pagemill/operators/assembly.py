@@ -6,7 +6,6 @@ and, in reading axes, x0, y0, x1, y1; box_id is their order on the page. All lim
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -81,17 +80,18 @@ def across_columns(found: DataFrame) -> DataFrame:
     pairs = pairs.join(firsts, [*key, "b"])
     decided = pairs.select(*key, "column_id", "a", "a_else", "b", *[F.coalesce(_goes_on(F.col(f"last_{a}"), F.col("first"), 0.58, 0.42), F.lit(False)).alias(out) for a, out in (("a", "plain"), ("a_else", "otherwise"))])
 
-    def settle(page: pd.DataFrame) -> pd.DataFrame:
-        out, taken = [], None
-        for r in page.sort_values("column_id").itertuples():
-            a, fine = (r.a, r.plain) if r.a != taken else (r.a_else, r.otherwise)
-            taken = r.b if fine else None
-            if fine:
-                out.append((r.doc, r.page, r.b, int(a)))
-        return pd.DataFrame(out, columns=["doc", "page", "piece", "head"])
-
-    kinds = dict(found.dtypes)
-    heads = decided.groupBy(*key).applyInPandas(settle, f"doc {kinds['doc']}, page {kinds['page']}, piece {kinds['piece']}, head {kinds['piece']}")
+    kind = dict(found.dtypes)["piece"]
+
+    def settle(state: Column, pair: Column) -> Column:
+        """The pairs in turn; the state holds what the last one took, and all that was taken with its head."""
+        lost = state["taken"].eqNullSafe(pair["a"])
+        fine = F.when(lost, pair["otherwise"]).otherwise(pair["plain"])
+        link = F.struct(pair["b"].alias("piece"), F.when(lost, pair["a_else"]).otherwise(pair["a"]).alias("head"))
+        return F.struct(F.when(fine, pair["b"]).alias("taken"), F.when(fine, F.concat(state["links"], F.array(link))).otherwise(state["links"]).alias("links"))
+
+    start = F.struct(F.lit(None).cast(kind).alias("taken"), F.array().cast(f"array<struct<piece:{kind},head:{kind}>>").alias("links"))
+    inside = F.array_sort(F.collect_list(F.struct("column_id", "a", "a_else", "plain", "otherwise", "b")))  # a row for each two columns of a page
+    heads = decided.groupBy(*key).agg(F.aggregate(inside, start, settle)["links"].alias("links")).select(*key, F.inline("links"))
     return found.select(*key, "piece").join(heads, [*key, "piece"], "left").withColumn("head", F.coalesce("head", "piece"))
 
 

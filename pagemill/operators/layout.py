@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import bisect
+import itertools
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -183,45 +186,98 @@ def rotated_lines(lines: DataFrame) -> DataFrame:
     return lines.join(turned, "block").withColumn("fragment", F.when(F.col("turned"), rank).otherwise(1).cast("bigint")).drop("turned")
 
 
+class _Edges:
+    """The left and right edges of a column's blocks, sorted, for each rotation among them."""
+
+    def __init__(self):
+        self.of: dict[float, tuple[list, list]] = {}
+
+    def add(self, turn: float, left: float, right: float) -> None:
+        lefts, rights = self.of.setdefault(turn, ([], []))
+        bisect.insort(lefts, left)
+        bisect.insort(rights, right)
+
+    def medians(self, turn: float | None) -> tuple[float, float] | None:
+        """Of the blocks within five degrees (or of all, without a turn); none without any."""
+        alike = [e for t, e in self.of.items() if turn is None or abs((turn - t + 180) % 360 - 180) <= 5]
+        if not alike:
+            return None
+        lefts, rights = alike[0] if len(alike) == 1 else (sorted(x for e in alike for x in e[k]) for k in (0, 1))
+        middle = lambda x: (x[(len(x) - 1) // 2] + x[len(x) // 2]) / 2
+        return middle(lefts), middle(rights)
+
+
+def _columns_of(state: np.ndarray, x0: np.ndarray, x1: np.ndarray, width: np.ndarray, turn: np.ndarray, least: float) -> np.ndarray:
+    """The columns of a page's blocks, which come by left edge."""
+    members: list[list[int]] = []
+    edges: list[_Edges] = []
+    for i in np.flatnonzero(state == 1).tolist():
+        left, right, own = float(x0[i]), float(x1[i]), float(turn[i])
+        best, at = -np.inf, -1
+        for k, column in enumerate(edges):
+            fit = 0.0
+            if found := column.medians(own):
+                shared = max(0.0, min(right, found[1]) - max(left, found[0]))
+                narrower = max(1.0, min(max(right - left, 1.0), found[1] - found[0]))
+                fit = max(shared / narrower, 1 - abs(left - found[0]) / max(float(width[i]) * 0.08, 1.0))
+            if fit > best:
+                best, at = fit, k
+        if best < least:
+            at = len(edges)
+            members.append([])
+            edges.append(_Edges())
+        members[at].append(i)
+        edges[at].add(own, left, right)
+    ids = np.minimum(state, 0)
+    for k, column in enumerate(sorted(range(len(members)), key=lambda c: edges[c].medians(None)[0]), 1):
+        ids[members[column]] = k
+    return ids
+
+
+def _by_page(batches, keys: list[str]):
+    """Frames of whole pages from sorted batches, and where in each a page begins."""
+    held: list[pd.DataFrame] = []
+    for batch in batches:
+        if len(batch):
+            now = pd.concat([held[-1].tail(1), batch], ignore_index=True) if held else batch
+            new = pd.Series(False, now.index)
+            for k in keys:
+                before = now[k].shift()
+                new |= (now[k] != before) & ~(now[k].isna() & before.isna())
+            starts = np.flatnonzero(new.to_numpy()[1:]) + (0 if held else 1)
+            if len(starts):
+                whole = pd.concat([*held, batch.iloc[: starts[-1]]], ignore_index=True)
+                offset = sum(map(len, held))
+                yield whole, np.concatenate([[0], starts[:-1] + offset])
+                held = [batch.iloc[starts[-1] :]]
+            else:
+                held.append(batch)
+    if held:
+        yield pd.concat(held, ignore_index=True), np.array([0])
+
+
 def assign_columns(blocks: DataFrame, wide: float = 0.72, least: float = 0.48, keys: tuple[str, ...] = ("page",)) -> DataFrame:
     """(keys, box_id, column_id) of blocks (box_id, x0, x1, page_width, the keys of a page and, if they are there,
     block_type, is_table_cell, rotation).
 
     Paragraphs and footnotes narrower than `wide` of the page take, by their left edges, the column that fits best (by
     overlap with, or alignment to, the medians of its edges) if the fit is `least` or more, or open one; columns count from
-    1, left to right. Table cells have -1, all others 0. Greedy by nature, so one group function a page.
+    1, left to right. Table cells have -1, all others 0. Greedy by nature, so a page is one task's work; pages come sorted,
+    many in a batch.
     """
     has = lambda c, other: F.col(c) if c in blocks.columns else F.lit(other)
     free = has("block_type", "paragraph").isin("paragraph", "footnote") & ~has("is_table_cell", False) & (F.col("x1") - F.col("x0") < wide * F.col("page_width"))
     own = blocks.select(*keys, "box_id", "x0", "x1", "page_width", has("rotation", 0.0).cast("double").alias("rotation"), F.when(has("is_table_cell", False), -1).when(free, 1).otherwise(0).alias("state"))
 
-    def assign(page: pd.DataFrame) -> pd.DataFrame:
-        page = page.sort_values(["x0", "box_id"], ignore_index=True)
-        edges, turn, far = page[["x0", "x1"]].to_numpy(), page["rotation"].to_numpy(), page["page_width"].to_numpy()
-        members: list[list[int]] = []
-        for i in np.flatnonzero(page["state"] == 1):
-            fits = []
-            for column in members:
-                every = np.array(column)
-                alike = every[np.abs((turn[i] - turn[every] + 180) % 360 - 180) <= 5]
-                if not len(alike):
-                    fits.append(0.0)
-                    continue
-                left, right = np.median(edges[alike], axis=0)
-                shared = max(0.0, min(edges[i, 1], right) - max(edges[i, 0], left))
-                narrower = max(1.0, min(max(edges[i, 1] - edges[i, 0], 1.0), right - left))
-                fits.append(max(shared / narrower, 1 - abs(edges[i, 0] - left) / max(far[i] * 0.08, 1.0)))
-            if fits and max(fits) >= least:
-                members[int(np.argmax(fits))].append(int(i))
-            else:
-                members.append([int(i)])
-        ids = np.minimum(page["state"].to_numpy(), 0)
-        for k, column in enumerate(sorted(members, key=lambda c: np.median(edges[c, 0])), 1):
-            ids[column] = k
-        return page.assign(column_id=ids)[[*keys, "box_id", "column_id"]]
+    def assign(batches):
+        for frame, starts in _by_page(batches, list(keys)):
+            state, x0, x1, width, turn = (frame[c].to_numpy() for c in ("state", "x0", "x1", "page_width", "rotation"))
+            pages = [_columns_of(*(v[a:b] for v in (state, x0, x1, width, turn)), least) for a, b in itertools.pairwise([*starts, len(frame)])]
+            yield frame.assign(column_id=np.concatenate(pages))[[*keys, "box_id", "column_id"]]
 
     kinds = dict(blocks.dtypes)
-    return own.groupBy(*keys).applyInPandas(assign, ", ".join([*(f"`{k}` {kinds[k]}" for k in keys), "box_id bigint, column_id int"]))
+    ordered = own.repartition(*keys).sortWithinPartitions(*keys, "x0", "box_id")
+    return ordered.mapInPandas(assign, ", ".join([*(f"`{k}` {kinds[k]}" for k in keys), "box_id bigint, column_id int"]))
 
 
 def even_sample(ids: DataFrame, key: str, n: int = 5) -> DataFrame:

@@ -2,6 +2,7 @@
 
 import random
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -331,3 +332,21 @@ def test_more_text_and_geometry(spark):
     assert [r[0] for r in df.select(G.irregular(F.col("b"))).collect()] == [True, False]
     turned = df.select(G.corners(F.col("b")[0], F.lit(90.0)).alias("c")).first().c
     assert abs(turned[0].x - 5.0) < 1e-9 and abs(turned[0].y) < 1e-9
+
+
+def test_pages_come_whole_from_any_batches():
+    """Keys with nulls, pages longer than batches, batches that begin with a page, and empty ones."""
+    rng = random.Random(16)
+    keys = [(d, p) for d in (1, 2, None) for p in (1, 2, 3, None)]
+    rows = [(d, p, i) for d, p in keys for i in range(rng.choice([1, 2, 9]))]
+    frame = pd.DataFrame(rows, columns=["doc", "page", "i"])
+    for size in (1, 2, 3, 7, 100):
+        batches = [frame.iloc[a : a + size] for a in range(0, len(frame), size)]
+        batches.insert(1, frame.iloc[:0])
+        got = []
+        for whole, starts in layout._by_page(iter(batches), ["doc", "page"]):
+            ends = [*starts[1:], len(whole)]
+            got += [whole.iloc[a:b][["doc", "page", "i"]] for a, b in zip(starts, ends)]
+        assert len(got) == len(keys) and all(g["i"].tolist() == list(range(len(g))) for g in got)
+        assert pd.concat(got, ignore_index=True).astype("float64").equals(frame.astype("float64"))
+    assert list(layout._by_page(iter([]), ["doc"])) == []
