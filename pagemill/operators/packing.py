@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -24,10 +26,12 @@ def sums_before(ranged: DataFrame, keys: list[str], order: list[str], sums: dict
     own = ranged.withColumns({f"{k}own__": v.cast("bigint") for k, v in sums.items()})
     earlier = Window.partitionBy(*keys).orderBy("range__").rowsBetween(Window.unboundedPreceding, -1)
     totals = own.groupBy(*keys, "range__").agg(*[F.sum(f"{k}own__").alias(f"{k}all__") for k in sums])
-    totals = totals.select(*keys, "range__", *[F.coalesce(F.sum(f"{k}all__").over(earlier), F.lit(0)).alias(f"{k}base__") for k in sums])
+    same = [F.col(k).alias(f"{k}of__") for k in [*keys, "range__"]]
+    totals = totals.select(*same, *[F.coalesce(F.sum(f"{k}all__").over(earlier), F.lit(0)).alias(f"{k}base__") for k in sums])
+    matched = functools.reduce(Column.__and__, [F.col(k).eqNullSafe(F.col(f"{k}of__")) for k in [*keys, "range__"]])
     inside = Window.partitionBy(*keys, "range__").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    out = own.withColumns({k: F.coalesce(F.sum(f"{k}own__").over(inside), F.lit(0)) for k in sums}).join(totals, [*keys, "range__"])
-    return out.withColumns({k: F.col(k) + F.col(f"{k}base__") for k in sums}).drop(*[f"{k}{x}__" for k in sums for x in ("own", "base")])
+    out = own.withColumns({k: F.coalesce(F.sum(f"{k}own__").over(inside), F.lit(0)) for k in sums}).join(totals, matched)
+    return out.withColumns({k: F.col(k) + F.col(f"{k}base__") for k in sums}).drop(*[f"{k}{x}__" for k in sums for x in ("own", "base")], *[f"{k}of__" for k in [*keys, "range__"]])
 
 
 def following(placed: DataFrame, task: str, size: str, most_size: int, most_rows: int) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from pagemill.operators import collisions, drawing_report, fitting, masking, validation, visual
+from pagemill.operators import caching, collisions, drawing_report, fitting, masking, validation, visual
 from pagemill.plans.catalog import BOXES, PAIRS, WRAPPED, _boxes, _docs, _pairs, query
 from pagemill.sources import adapters as A
 
@@ -131,3 +131,23 @@ def q90_issues_after_fallback(s, d):
     found = done.where(k % 3 == 0).select("conv_id", "turn", F.lit("blocking").alias("severity"), F.lit("MISSING_ROW_KEY").alias("code"))
     found = found.unionByName(done.where((k % 3 == 0) & (F.col("turn") % 2 == 0)).select("conv_id", "turn", F.lit("warning").alias("severity"), F.lit("ABNORMAL_LENGTH").alias("code")))
     return validation.after_fallback(found, done, ["conv_id", "turn"])
+
+
+@query("""WITH r AS (SELECT source, row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS n, sha256('{"doc_id":' || doc_id || ',"lang":' || coalesce('"' || lang || '"', 'null') || ',"n_chars":' || n_chars || '}') AS h FROM documents),
+a AS (SELECT source, n // 8 AS k, sha256(string_agg(h, ',' ORDER BY n)) AS h FROM r GROUP BY 1, 2), b AS (SELECT source, k // 8 AS m, sha256(string_agg(h, ',' ORDER BY k)) AS h FROM a GROUP BY 1, 2)
+SELECT source, sha256(string_agg(h, ',' ORDER BY m)) AS fingerprint FROM b GROUP BY 1""")
+def q91_fingerprint_tree(s, d):
+    """Fingerprints of sources as trees of hashes over their documents' records, eight to a node."""
+    return caching.fingerprint_tree(_docs(s, d), "source", "doc_id", ["n_chars", "lang", "doc_id"], 8, 3)
+
+
+@query("""WITH w AS (SELECT doc_id AS task, sha256(text) AS f, sha256(CASE WHEN doc_id % 7 = 0 THEN text || 'x' ELSE text END) AS g, n_chars + CASE WHEN doc_id % 13 = 0 THEN 1 ELSE 0 END AS bytes, n_chars FROM documents)
+SELECT task, CASE WHEN task % 11 = 0 THEN 'no_report' WHEN f <> g THEN 'other_fingerprint' WHEN task % 17 = 0 THEN 'no_file' WHEN bytes <> n_chars THEN 'other_size' WHEN task % 19 = 0 THEN 'not_verified' ELSE 'valid' END AS state FROM w""")
+def q92_cache_validity(s, d):
+    """Which drawn documents still hold, and why the others do not."""
+    docs, k = _docs(s, d), F.col("doc_id")
+    path = F.format_string("out/%d.pdf", k)
+    wanted = docs.select(k.alias("task"), F.sha2("text", 256).alias("fingerprint"))
+    reports = docs.where(k % 11 != 0).select(k.alias("task"), F.sha2(F.when(k % 7 == 0, F.concat("text", F.lit("x"))).otherwise(F.col("text")), 256).alias("fingerprint"), path.alias("path"), F.col("n_chars").alias("size_bytes"))
+    files = docs.where(k % 17 != 0).select(path.alias("path"), (F.col("n_chars") + F.when(k % 13 == 0, 1).otherwise(0)).alias("bytes"), (k % 19 != 0).alias("verified"))
+    return caching.cache_validity(wanted, reports, files)
