@@ -45,8 +45,10 @@ def strip(c: Column) -> Column:
 
 
 def squeeze(c: Column) -> Column:
-    """Compatible forms, soft hyphens dropped, runs of blanks and tabs made one blank, ends stripped. Line breaks stay."""
-    return strip(F.regexp_replace(F.regexp_replace(compatible(c), "­", ""), r"[ \t\r\f\x0B]+", " "))
+    """Compatible forms, soft hyphens dropped, runs of blanks and tabs made one blank, ends stripped. Line breaks stay.
+
+    Only what is no single blank already is matched and replaced."""
+    return strip(F.regexp_replace(F.replace(compatible(c), F.lit("\xad"), F.lit("")), r"[\t\r\f\x0B][ \t\r\f\x0B]*| [ \t\r\f\x0B]+", " "))
 
 
 def word_count(c: Column) -> Column:
@@ -126,10 +128,11 @@ def similar_size(one: Column, two: Column) -> Column:
     return F.abs(one - two) <= F.greatest(F.lit(1.5), F.greatest(one, two, F.lit(1.0)) * 0.22)
 
 
-def continues(before: Column, after: Column, size_before: Column | None = None, size_after: Column | None = None) -> Column:
+def continues(before: Column, after: Column, size_before: Column | None = None, size_after: Column | None = None, squeezed: bool = False) -> Column:
     """A text goes on with the next one: no label of capitals before it, eight signs or more in both (unless a word is
-    broken by a hyphen), and a small letter follows or no sentence ends. Sizes, where given, must be similar."""
-    before, after = squeeze(before), squeeze(after)
+    broken by a hyphen), and a small letter follows or no sentence ends. Sizes, where given, must be similar. Texts may be
+    squeezed already."""
+    before, after = (before, after) if squeezed else (squeeze(before), squeeze(after))
     small = after.rlike(r"^\p{Ll}")
     broken = before.endswith("-") & small
     label = (F.length(before) <= 30) & (word_count(before) <= 5) & before.rlike(CAPITALS)

@@ -31,8 +31,10 @@ class Signs:
     def __init__(self, texts: list[str]):
         whole = "".join(texts)
         self.ends = np.cumsum([0, *map(len, texts)])
-        self.upto = np.concatenate([[0], np.cumsum(np.array([_thousandths(c) for c in whole], np.int64))])
-        breaks = np.unique(np.concatenate([np.flatnonzero(np.array([c == "\n" for c in whole], bool)) + 1, self.ends[1:]]))
+        points = np.frombuffer(whole.encode("utf-32-le"), np.uint32)
+        signs, which = np.unique(points, return_inverse=True)
+        self.upto = np.concatenate([[0], np.cumsum(np.array([_thousandths(chr(c)) for c in signs], np.int64)[which])])
+        breaks = np.unique(np.concatenate([np.flatnonzero(points == ord("\n")) + 1, self.ends[1:]]))
         self.line_end = breaks[np.searchsorted(breaks, np.arange(len(whole)), side="right")] if len(whole) else breaks
 
     def lines(self, rows: np.ndarray, room: np.ndarray, most: np.ndarray) -> np.ndarray:

@@ -59,7 +59,8 @@ def islands(df: DataFrame, keys: list[str], order: list[str], breaks: Column, ou
 def merge_lines(lines: DataFrame) -> DataFrame:
     """lines (page, line_no, line) with the paragraph each belongs to: it goes on while `continues` holds."""
     w = Window.partitionBy("page").orderBy("line_no")
-    return islands(lines, ["page"], ["line_no"], ~T.continues(F.lag("line").over(w), F.col("line")), "paragraph")
+    own = lines.withColumn("own__", T.squeeze(F.col("line")))  # once a line: the next one reads it by lag
+    return islands(own, ["page"], ["line_no"], ~T.continues(F.lag("own__").over(w), F.col("own__"), squeezed=True), "paragraph").drop("own__")
 
 
 def paragraphs(merged: DataFrame) -> DataFrame:
