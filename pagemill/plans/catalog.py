@@ -508,4 +508,4 @@ def q60_html_block_classes(s, d):
     return blocks.join(median, "page").select("page", "kind", "block_no", kind.alias("block_type"))
 
 
-from pagemill.plans import drawing, reports  # noqa: E402, F401  (add their queries to the same tables)
+from pagemill.plans import drawing, reports, stored  # noqa: E402, F401  (add their queries to the same tables)
