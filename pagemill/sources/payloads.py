@@ -65,7 +65,7 @@ SETTINGS = record(
 )
 DOCUMENT = record({}, {"version": ("int", 2), "pages": (T.ArrayType(PAGE), [])})
 #: Recognized lines: parts of the page's width and height, from its lower left corner.
-RECOGNIZED = "array<struct<text:string,confidence:double,x:double,y:double,width:double,height:double>>"
+RECOGNIZED = record({}, {"text": ("string", "")} | {n: ("double", 0.0) for n in ("confidence", "x", "y", "width", "height")})
 
 PROBLEMS = "array<struct<path:string,problem:string>>"
 
@@ -83,34 +83,49 @@ def problems(text: Column, schema: T.StructType, at: Column | None = None) -> Co
     Each level is read as a map of texts, whose keys are compared with the schema's names, and its plain fields once by
     their types. A null text is no object; null is a value of every optional field; a text field takes any value.
     """
+    read = F.struct(
+        F.from_json(text, "map<string,string>").alias("members"),
+        F.from_json(text, T.StructType([T.StructField(f.name, f.dataType) for f in _plain(schema)] or [T.StructField("none", T.StringType())])).alias("typed"),
+    )
+    return _once(read, lambda level: _of_level(level["members"], level["typed"], schema, at))
+
+
+def _once(value: Column, of) -> Column:
+    """What `of` makes of a value that is computed once, however often it is used."""
+    return F.transform(F.array(value), of)[0]
+
+
+def _plain(schema: T.StructType) -> list[T.StructField]:
+    return [f for f in schema if _nested(f.dataType) is None and f.dataType != T.StringType()]
+
+
+def _of_level(members: Column, typed: Column, schema: T.StructType, at: Column | None) -> Column:
     name = (lambda key: key) if at is None else (lambda key: F.concat(at, F.lit("."), key))
-    said = lambda path, problem: F.struct(path.alias("path"), F.lit(problem).alias("problem"))
+    said = lambda path, problem: F.struct(path.alias("path"), problem.alias("problem"))
+    names = lambda own: F.array(*[F.lit(f.name) for f in own]).cast("array<string>")
     none = F.array().cast(PROBLEMS)
-    only = lambda test, *found: F.when(test, F.array(*found)).otherwise(none)
-    known = F.array(*[F.lit(f.name) for f in schema]).cast("array<string>")
-    needed = F.array(*[F.lit(f.name) for f in schema if not f.nullable]).cast("array<string>")
-    members = F.from_json(text, "map<string,string>")
-    keys = F.map_keys(members)
-    found = [
-        F.transform(F.array_sort(F.array_except(keys, known)), lambda k: said(name(k), "unknown key")),
-        F.transform(F.filter(needed, lambda k: members[k].isNull()), lambda k: said(name(k), "missing")),
-    ]
-    plain = [f for f in schema if _nested(f.dataType) is None and f.dataType != T.StringType()]
-    if plain:
-        typed = F.from_json(text, T.StructType([T.StructField(f.name, f.dataType) for f in plain]))
-        found += [only(members[f.name].isNotNull() & typed[f.name].isNull(), said(name(F.lit(f.name)), f"no {f.dataType.simpleString()}")) for f in plain]
+    unknown = F.array_sort(F.array_except(F.map_keys(members), names(schema)))
+    missing = F.filter(names([f for f in schema if not f.nullable]), lambda k: members[k].isNull())
+    found = [F.transform(unknown, lambda k: said(name(k), F.lit("unknown key"))), F.transform(missing, lambda k: said(name(k), F.lit("missing")))]
+    if plain := _plain(schema):
+        odd = lambda f: F.when(members[f.name].isNotNull() & typed[f.name].isNull(), said(name(F.lit(f.name)), F.lit(f"no {f.dataType.simpleString()}")))
+        found.append(F.filter(F.array(*[odd(f) for f in plain]), lambda x: x.isNotNull()))
     for f in schema:
         if (inner := _nested(f.dataType)) is None:
             continue
         own, path = members[f.name], name(F.lit(f.name))
         if isinstance(f.dataType, T.ArrayType):
-            items = F.from_json(own, "array<string>")
-            listed = _of_items(items, inner, path)
-            found.append(F.when(own.isNull(), none).when(items.isNull(), F.array(said(path, "no list"))).otherwise(listed))
+            of = lambda items, inner=inner, path=path: _of_items(items, inner, path)
+            found.append(F.when(own.isNull(), none).otherwise(_listed(own, path, of)))
         else:
             found.append(F.when(own.isNull(), none).otherwise(problems(own, inner, path)))
     whole = F.lit("$") if at is None else at
-    return F.when(members.isNull(), F.array(said(whole, "no object"))).otherwise(F.concat(*found))
+    return F.when(members.isNull(), F.array(said(whole, F.lit("no object")))).otherwise(F.concat(*found))
+
+
+def _listed(text: Column, path: Column, of) -> Column:
+    lost = F.array(F.struct(path.alias("path"), F.lit("no list").alias("problem")))
+    return _once(F.from_json(text, "array<string>"), lambda items: F.when(items.isNull(), lost).otherwise(of(items)))
 
 
 def _of_items(items: Column, schema: T.StructType, path: Column) -> Column:
@@ -147,9 +162,11 @@ def read_strict(rows: DataFrame, column: str, schema: T.StructType) -> DataFrame
 
     `column` gives way to both. Expressions alone; a document's text is held by one task.
     """
-    checked = rows.withColumn("problems", problems(F.col(f"`{column}`"), schema))
-    typed = _filled(F.from_json(F.col(f"`{column}`"), bare(schema)), schema)
-    return checked.withColumn("document", F.when(F.size("problems") == 0, typed)).drop(column)
+    text = F.col(f"`{column}`")
+    typed = _once(F.from_json(text, bare(schema)), lambda c: _filled(c, schema))
+    judged = _once(problems(text, schema), lambda found: F.struct(found.alias("problems"), F.when(F.size(found) == 0, typed).alias("document")))
+    kept = [F.col(f"`{c}`") for c in rows.columns if c != column]
+    return rows.select(*kept, F.explode(F.array(judged)).alias("judged__")).select(*kept, "judged__.*")
 
 
 def faults(checked: DataFrame, *keys: str) -> DataFrame:
@@ -159,7 +176,10 @@ def faults(checked: DataFrame, *keys: str) -> DataFrame:
 
 def visual_anchors(segment: str) -> Column:
     """A segment's anchors, or without any the one that its own box makes."""
-    s = F.col(segment)
+    return _once(F.col(segment), _own_anchors)
+
+
+def _own_anchors(s: Column) -> Column:
     erased = F.when(F.size(s["erase_bboxes"]) > 0, s["erase_bboxes"]).otherwise(F.array(s["bbox"]))
     label = F.when(s["layout_label"] != "", s["layout_label"]).otherwise(s["block_type"])
     own = {
@@ -180,16 +200,16 @@ def anchor_rows(checked: DataFrame, *keys: str) -> DataFrame:
 
 def recognized_lines(pages: DataFrame, payload: str, *keys: str) -> tuple[DataFrame, DataFrame]:
     """(lines, broken): lines (keys, line_no, text, confidence, x0, y0, x1, y1) of pages (keys, payload, rx0, ry0, rx1, ry1),
-    and the keys of payloads that are no list of such lines.
+    and the keys of payloads that are no list of objects or hold a number that is none.
 
-    Texts are squeezed, empty ones and those of a confidence below .35 go; what is not stated is 0; boxes are those of
-    `layout.ocr_lines` in the placed rectangle. A null payload is broken, an empty list has no lines.
+    Texts are squeezed, empty ones and those of a confidence below .35 go; what is not stated is 0, keys that nobody knows
+    are left alone; boxes are those of `layout.ocr_lines` in the placed rectangle. A null payload is broken, an empty list
+    has no lines.
     """
-    read = pages.withColumn("lines__", F.from_json(F.col(f"`{payload}`"), RECOGNIZED, {"mode": "PERMISSIVE"}))
-    whole = F.col("lines__").isNotNull() & ~F.exists("lines__", lambda x: x.isNull())
-    each = read.where(whole).select(*keys, "rx0", "ry0", "rx1", "ry1", F.posexplode("lines__").alias("line_no", "l"))
-    number = lambda n: F.coalesce(F.col("l")[n], F.lit(0.0)).alias(n)
-    text = X.squeeze(F.coalesce(F.col("l.text"), F.lit(""))).alias("text")
-    words = each.select(*keys, "line_no", "rx0", "ry0", "rx1", "ry1", text, *[number(n) for n in ("confidence", "x", "y", "width", "height")])
+    text, kind = F.col(f"`{payload}`"), T.ArrayType(bare(RECOGNIZED))
+    wrong = F.filter(_listed(text, F.lit("$"), lambda items: _of_items(items, RECOGNIZED, F.lit("$"))), lambda p: p["problem"] != "unknown key")
+    read = pages.withColumn("lines__", F.when(F.size(wrong) == 0, F.from_json(text, kind)))
+    each = read.select(*keys, "rx0", "ry0", "rx1", "ry1", F.posexplode("lines__").alias("line_no", "l")).withColumn("l", _filled(F.col("l"), RECOGNIZED))
+    words = each.select(*keys, "line_no", "rx0", "ry0", "rx1", "ry1", "l.*").withColumn("text", X.squeeze(F.col("text")))
     lines = layout.ocr_lines(words).select(*keys, "line_no", "text", "confidence", "x0", "y0", "x1", "y1")
-    return lines, read.where(~whole).select(*keys)
+    return lines, read.where("lines__ is null").select(*keys)
