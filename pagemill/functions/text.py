@@ -61,8 +61,9 @@ def casefold(c: Column) -> Column:
 
 
 def safe_stem(c: Column) -> Column:
-    """A file name's stem: other signs than word characters, CJK, dot and hyphen become underscores; 80 signs at most."""
-    own = F.regexp_replace(F.regexp_replace(c, r"(?U)[^\w一-鿿.-]+", "_"), r"^[._]+|[._]+$", "")
+    """A file name's stem: in compatible forms, other signs than word characters, CJK, dot and hyphen become underscores; 80
+    signs at most."""
+    own = F.regexp_replace(F.regexp_replace(compatible(c), r"(?U)[^\w一-鿿.-]+", "_"), r"^[._]+|[._]+$", "")
     return F.left(F.when(own == "", "document").otherwise(own), F.lit(80))
 
 
@@ -174,12 +175,21 @@ def task_id_ok(c: Column) -> Column:
     return c.rlike(r"^[A-Za-z0-9][A-Za-z0-9_-]{0,63}$")
 
 
-def stress_text(c: Column, marker: str, ratio: float, kept: Column) -> Column:
-    """A text of a stated length for layout tests: the marker repeated up to ceil(letters * ratio) signs, then the tokens
-    that must survive and all numbers."""
-    n = F.ceil(letters(c) * ratio).cast("int")
+def numbers_without(c: Column, held: Column) -> Column:
+    """The sorted multiset of a text's numbers without those of the texts in `held`, each as often as it stands there."""
+    own, gone = numbers(c), F.flatten(F.transform(held, numbers))
+    times = lambda all_, v: F.size(F.filter(all_, lambda x: x == v))
+    left = lambda v: F.array_repeat(v, F.greatest(F.lit(0), times(own, v) - times(gone, v)))
+    return F.flatten(F.transform(F.array_distinct(own), left))
+
+
+def stress_text(c: Column, marker: str, ratio: float, kept: Column, held: Column | None = None) -> Column:
+    """A text of a stated length for layout tests: the marker repeated up to ceil(ASCII letters * ratio) signs, one at least,
+    then the tokens that must survive and the numbers that do not stand in what the tokens stand for (`held`)."""
+    n = F.greatest(F.lit(1), F.ceil(F.regexp_count(c, F.lit("[A-Za-z]")) * F.lit(ratio))).cast("int")
     body = F.left(F.repeat(F.lit(marker), F.ceil(n / len(marker)).cast("int")), n)
-    return F.rtrim(F.concat_ws(" ", body, F.array_join(kept, " "), F.array_join(numbers(c), " ")))
+    own = numbers(c) if held is None else numbers_without(c, held)
+    return F.rtrim(F.concat_ws(" ", body, F.when(F.size(kept) > 0, F.array_join(kept, " ")), F.when(F.size(own) > 0, F.array_join(own, " "))))
 
 
 def compact_label(c: Column, n_boxes: Column | int = 1) -> Column:

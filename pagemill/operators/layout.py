@@ -49,6 +49,28 @@ def relabel_marginals(lines: DataFrame, marginals: DataFrame) -> DataFrame:
     return joined.select("doc", "page", "line_no", "line", role.alias("role"))
 
 
+def mark_repeated(blocks: DataFrame, share: float = 0.35, most: int = 200) -> DataFrame:
+    """blocks (doc, page, text, block_type, top) in whose documents a text that stands in header and footer blocks at least
+    max(2, ceil(share * pages)) times makes every block of that text one: a header above half the page, else a footer.
+
+    Only texts of up to `most` signs count; they are compared squeezed and without regard to case. Pages are those with
+    blocks. What is counted is aggregated before the shuffle, a row for each text of a document; the blocks meet these rows
+    by document and a hash of the text, which is compared then, so that no text is a key of its own length.
+    """
+    squeezed = T.casefold(T.squeeze(F.col("text")))
+    own = blocks.withColumns({"text__": squeezed, "h__": F.xxhash64(squeezed)})
+    marginal = F.col("block_type").isin("header", "footer")
+    pages = own.groupBy("doc").agg(F.countDistinct("page").alias("pages"))
+    found = own.where(marginal & (F.length("text") <= most)).groupBy("doc", "h__", "text__").agg(F.count("*").alias("n"))
+    least = F.greatest(F.lit(2), F.ceil(F.lit(share) * F.col("pages")).cast("bigint"))
+    repeated = found.join(pages, found["doc"].eqNullSafe(pages["doc"])).where(F.col("n") >= least)
+    repeated = repeated.select(found["doc"].alias("doc__"), F.col("h__").alias("k__"), F.col("text__").alias("known__"))
+    same = F.col("doc").eqNullSafe(F.col("doc__")) & (F.col("h__") == F.col("k__")) & (F.col("text__") == F.col("known__"))
+    joined = own.join(repeated, same, "left").drop("doc__", "h__", "k__", "text__")
+    role = F.when(F.col("top") < 0.5, "header").otherwise("footer")
+    return joined.withColumn("block_type", F.when(marginal | F.col("known__").isNull(), F.col("block_type")).otherwise(role)).drop("known__")
+
+
 def islands(df: DataFrame, keys: list[str], order: list[str], breaks: Column, out: str) -> DataFrame:
     """Numbers from 1 for runs of rows in order; a row at which `breaks` holds (or is null) starts a new run. The column
     may refer to the row before as F.lag over the same window."""
@@ -288,6 +310,33 @@ def even_sample(ids: DataFrame, key: str, n: int = 5) -> DataFrame:
     return ids.join(F.broadcast(wanted), key, "left_semi")  # n rows
 
 
+def inspection(pages: DataFrame, ranges: DataFrame, most: int = 5, least: int = 20) -> DataFrame:
+    """(doc, page_count, page_start, page_end, sampled_pages, text_layer_pages, image_pages, status, recommended_mode) of
+    documents (doc, page, text, n_images), pages counted from 1, and what is wanted of each (doc, page_start, page_end).
+
+    At most `most` pages in even steps (half to even) are looked at: those of `least` squeezed signs have a text layer. All of
+    them: `text`, mode `off`; some: `mixed`, none: `image`, mode `vision`. A missing start is 1, a missing end the last page;
+    a range that is not within the document gives `bad_range` and no pages. Pages are counted by document and then met by
+    the few that are sampled; the texts of no others are read.
+    """
+    counts = pages.groupBy("doc").agg(F.count("*").alias("page_count"))
+    start, end = F.coalesce("page_start", F.lit(1)), F.coalesce("page_end", "page_count")
+    own = counts.join(ranges.select("doc", "page_start", "page_end"), "doc", "left").select("doc", "page_count", start.cast("int").alias("page_start"), end.cast("int").alias("page_end"))
+    fine = (F.col("page_start") >= 1) & (F.col("page_start") <= F.col("page_end")) & (F.col("page_end") <= F.col("page_count"))
+    last = F.col("page_end") - F.col("page_start")
+    steps = F.least(F.lit(most - 1), last)
+    spread = F.transform(F.sequence(F.lit(0), steps), lambda i: (F.bround(i * last / F.greatest(F.lit(1), steps)) + F.col("page_start")).cast("int"))
+    own = own.withColumn("sampled_pages", F.when(fine, F.array_sort(F.array_distinct(spread))))
+    chosen = own.where("sampled_pages is not null").select("doc", F.explode("sampled_pages").alias("page"))
+    listed = lambda test: F.array_sort(F.collect_list(F.when(test, F.col("page").cast("int"))))
+    text, drawn = listed(F.length(T.squeeze(F.col("text"))) >= least), listed(F.col("n_images") > 0)
+    seen = pages.join(chosen, ["doc", "page"]).groupBy("doc").agg(text.alias("text_layer_pages"), drawn.alias("image_pages"))
+    n, of = F.size("text_layer_pages"), F.size("sampled_pages")
+    status = F.when(F.col("sampled_pages").isNull(), "bad_range").when(n == of, "text").when(n > 0, "mixed").otherwise("image")
+    mode = F.when(F.col("status") == "text", "off").when(F.col("status") != "bad_range", "vision")
+    return own.join(seen, "doc", "left").withColumn("status", status).withColumn("recommended_mode", mode)
+
+
 def page_range(pages: DataFrame, start: int, end: int | None, count: int) -> DataFrame:
     """Pages start..end (from 1, inclusive); bounds outside the document are an error."""
     end = count if end is None else end

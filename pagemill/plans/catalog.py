@@ -456,10 +456,13 @@ def q54_rotations(s, d):
     return A.table(s, d, "lineitem").select("l_orderkey", "l_linenumber", F.pmod(F.round(turn, 6) + 180.0, F.lit(360.0)).alias("t"), F.round(q * F.cos(F.radians(angle)) - F.col("l_linenumber") * F.sin(F.radians(angle)), 6).alias("u")).withColumn("turn", F.col("t") - 180.0).drop("t")
 
 
-@query(r"""WITH n AS (SELECT conv_id, turn, CAST(ceil(length(regexp_replace(text, '[^\p{L}]', '', 'g')) * 0.6) AS INT) AS n, text FROM conversations)
-SELECT conv_id, turn, rtrim(concat_ws(' ', left(repeat('测试', CAST(ceil(n / 2) AS INT)), n), role_, array_to_string(list_sort(list_transform(regexp_extract_all(text, '(\d+(?:[.,]\d+)?)', 1), lambda x: replace(x, ',', '.'))), ' '))) AS stress FROM (SELECT n.*, c.role AS role_ FROM n JOIN conversations c USING (conv_id, turn))""")
+@query(r"""WITH n AS (SELECT conv_id, turn, role, greatest(1, CAST(ceil(length(regexp_replace(text, '[^A-Za-z]', '', 'g')) * 0.6::DOUBLE) AS INT)) AS n,
+    list_transform(regexp_extract_all(text, '(\d+(?:[.,]\d+)?)', 1)[CASE WHEN turn % 2 = 0 THEN 2 ELSE 1 END:], lambda x: replace(x, ',', '.')) AS left_ FROM conversations)
+SELECT conv_id, turn, concat_ws(' ', left(repeat('测试', CAST(ceil(n / 2) AS INT)), n), role, CASE WHEN len(left_) > 0 THEN array_to_string(list_sort(left_), ' ') END) AS stress FROM n""")
 def q55_stress_text(s, d):
-    return A.table(s, d, "conversations").select("conv_id", "turn", T.stress_text(F.col("text"), "测试", 0.6, F.array("role")).alias("stress"))
+    """Texts for layout tests; on even turns a token stands for the first number and its unit."""
+    first = F.when(F.col("turn") % 2 == 0, F.regexp_extract("text", r"\d+(?:[.,]\d+)?[a-z]*", 0)).otherwise("")
+    return A.table(s, d, "conversations").select("conv_id", "turn", T.stress_text(F.col("text"), "测试", 0.6, F.array("role"), F.array(first)).alias("stress"))
 
 
 @query(f"WITH {BOXES} SELECT page, box_id, greatest(0.0, least(x0, 300.0)) AS x0, greatest(0.0, least(y1, 400.0)) AS y1, greatest(greatest(0.0, least(x1, 300.0)) - greatest(0.0, least(x0, 300.0)), 0.0) AS width FROM boxes")

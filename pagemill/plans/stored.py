@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from pagemill.operators import colors
-from pagemill.plans.catalog import LINES, SQ, _docs, query
+from pagemill.operators import colors, layout
+from pagemill.plans.catalog import HTML_BLOCKS, LINES, SQ, _docs, query
 from pagemill.sources import adapters as A
 from pagemill.sources import payloads as P
 
@@ -113,3 +113,35 @@ def q96_ink_polarity(s, d):
     pixels, regions = _images(s, d)
     out = colors.ink(colors.region_pixels(pixels, regions), regions)
     return out.select("page", "spread", F.round("dark", 4).alias("dark"), F.round("light", 4).alias("light"), "polarity")
+
+
+@query(f"""WITH {LINES}, p AS (SELECT page AS doc, line_no + 1 AS page, length({SQ.format("line")}) AS n, line_no % 3 = 1 AS drawn FROM doc_lines),
+  c AS (SELECT doc, count(*) AS page_count FROM p GROUP BY 1),
+  r AS (SELECT doc, page_count, CASE WHEN doc % 4 = 0 THEN 1 ELSE doc % 4 END AS a, CASE WHEN doc % 5 = 0 THEN 12 ELSE page_count END AS z FROM c),
+  f AS (SELECT *, a <= z AND z <= page_count AS fine FROM r),
+  s AS (SELECT DISTINCT doc, CAST(round_even(i * (z - a) / greatest(1, least(4, z - a)), 0) AS BIGINT) + a AS page FROM f, range(5) t(i) WHERE fine AND i <= least(4, z - a)),
+  g AS (SELECT doc, array_to_string(list(page ORDER BY page), ',') AS sampled, count(*) AS k, count(*) FILTER (n >= 20) AS texts,
+    coalesce(array_to_string(list(page ORDER BY page) FILTER (n >= 20), ','), '') AS text_pages, coalesce(array_to_string(list(page ORDER BY page) FILTER (drawn), ','), '') AS image_pages FROM s JOIN p USING (doc, page) GROUP BY 1)
+SELECT doc, page_count, a AS page_start, z AS page_end, sampled, text_pages, image_pages, CASE WHEN NOT fine THEN 'bad_range' WHEN texts = k THEN 'text' WHEN texts > 0 THEN 'mixed' ELSE 'image' END AS status,
+  CASE WHEN fine THEN CASE WHEN texts = k THEN 'off' ELSE 'vision' END END AS recommended_mode FROM f LEFT JOIN g USING (doc)""")
+def q97_inspections(s, d):
+    """What a look at a few pages says of each document whose lines are its pages; some ranges end beyond the last one."""
+    k = F.col("doc")
+    lines = A.doc_lines(_docs(s, d)).select(F.col("page").alias("doc"), (F.col("line_no") + 1).alias("page"), F.col("line").alias("text"), F.when(F.col("line_no") % 3 == 1, 1).otherwise(0).alias("n_images"))
+    ranges = _docs(s, d).select(F.col("doc_id").alias("doc")).select("doc", F.when(k % 4 > 0, k % 4).alias("page_start"), F.when(k % 5 == 0, 12).alias("page_end"))
+    out = layout.inspection(lines, ranges)
+    told = lambda c: F.array_join(c, ",")
+    return out.select("doc", "page_count", "page_start", "page_end", told("sampled_pages").alias("sampled"), told("text_layer_pages").alias("text_pages"), told("image_pages").alias("image_pages"), "status", "recommended_mode")
+
+
+@query(rf"""WITH {HTML_BLOCKS}, b AS (SELECT page % 40 AS doc, page, kind, block_no, t, lower(upper(t)) AS key, CASE WHEN kind IN ('footer', 'title') AND page % 3 = 0 THEN 'footer' WHEN kind = 'navigation' AND page % 2 = 0 THEN 'header' ELSE 'paragraph' END AS type, CASE kind WHEN 'footer' THEN 0.9 WHEN 'item' THEN 0.5 ELSE 0.2 END AS top FROM html_blocks),
+  c AS (SELECT doc, key, count(*) AS n FROM b WHERE type <> 'paragraph' AND length(t) <= 200 GROUP BY 1, 2), k AS (SELECT doc, count(DISTINCT page) AS pages FROM b GROUP BY 1),
+  r AS (SELECT doc, key FROM c JOIN k USING (doc) WHERE n >= greatest(2, CAST(ceil(0.35::DOUBLE * pages) AS BIGINT)))
+SELECT b.doc, page, kind, block_no, CASE WHEN type <> 'paragraph' OR r.key IS NULL THEN type WHEN top < 0.5 THEN 'header' ELSE 'footer' END AS block_type FROM b LEFT JOIN r ON r.doc = b.doc AND r.key = b.key""")
+def q98_repeated_marginal_blocks(s, d):
+    """All blocks of all pages; what repeats in headers and footers of forty documents is one wherever it stands."""
+    p, kind = F.col("page"), F.col("kind")
+    known = F.when(kind.isin("footer", "title") & (p % 3 == 0), "footer").when((kind == "navigation") & (p % 2 == 0), "header").otherwise("paragraph")
+    top = F.when(kind == "footer", 0.9).when(kind == "item", 0.5).otherwise(0.2)
+    blocks = A.html_blocks(A.table(s, d, "pages")).withColumns({"doc": p % 40, "block_type": known, "top": top})
+    return layout.mark_repeated(blocks).select("doc", "page", "kind", "block_no", "block_type")

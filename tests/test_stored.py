@@ -6,7 +6,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from pagemill.operators import colors
+from pagemill.functions import text as X
+from pagemill.operators import colors, layout
 from pagemill.sources import payloads as P
 
 SEGMENT = {"segment_id": "S1", "row_key": "1", "page_number": 3, "reading_order": 2, "block_type": "caption", "source_text": "a", "protected_text": "a", "source_text_hash": "h", "bbox": [0, 1, 2, 3.5]}
@@ -156,3 +157,37 @@ def test_text_is_as_its_first_lines_are(spark):
     lines = spark.createDataFrame([(1, "a", 0, 0), (1, "a", 19, 1), (1, "a", 20, 9), (1, "b", 0, 9), (1, "b", 1, 2), (1, "c", 0, 77)], "page int, text string, line_no int, region int")
     got = {r.text: (r.dark, r.light, r.polarity) for r in colors.text_polarity(inks, lines).collect()}
     assert got == {"a": (0.0, 10.0, "light"), "b": (1000.0, 5.0, "dark"), "c": (0.0, 0.0, "dark")}
+
+
+def test_repeated_marginals_make_headers_and_footers(spark):
+    """Case and blanks do not matter; twice at least and in 35 of 100 pages; long texts, other documents and bodies do not count."""
+    rows = [("d", i, "header", "My  Title", 0.0) for i in (1, 2)] + [("d", 3, "paragraph", "MY TITLE", 0.49), ("d", 4, "heading", "my title", 0.5), ("d", 5, "footer", "my title", 0.1)]
+    rows += [("d", 1, "footer", "once", 0.9), ("d", 2, "paragraph", "once", 0.9), ("d", 3, "paragraph", "body", 0.1), ("d", 4, "paragraph", "body", 0.1)]
+    rows += [("d", i, "footer", "x" * 201, 0.9) for i in (1, 2)] + [("d", 5, "paragraph", "x" * 201, 0.9), ("e", 1, "paragraph", "my title", 0.9), (None, 1, "paragraph", None, 0.9)]
+    df = spark.createDataFrame(rows, "doc string, page int, block_type string, text string, top double")
+    got = layout.mark_repeated(df).collect()
+    assert len(got) == len(rows) and layout.mark_repeated(df.limit(0)).count() == 0
+    changed = sorted((r.page, r.text, r.block_type) for r in got if (r.doc, r.page, r.block_type, r.text, r.top) not in rows)
+    assert changed == [(3, "MY TITLE", "header"), (4, "my title", "footer")]
+    many = spark.createDataFrame([("d", i, "header" if i < 34 else "body", "t", 0.0) for i in range(100)], df.schema)
+    assert layout.mark_repeated(many).where("block_type = 'header'").count() == 34
+
+
+def test_inspections(spark):
+    text = "a text of twenty signs and more"
+    pages = [("a", p, text, 0) for p in range(1, 11)] + [("b", 1, text, 1), ("b", 2, "  short " + " " * 30, 2), ("c", 1, None, 0), ("c", 2, "", 1), ("d", 1, text, 0)]
+    ranges = [("a", 2, 9), ("c", None, None), ("d", 1, 2), ("nothing", 1, 1)]
+    df = spark.createDataFrame(pages, "doc string, page int, text string, n_images int")
+    got = {r.doc: tuple(r)[1:] for r in layout.inspection(df, spark.createDataFrame(ranges, "doc string, page_start int, page_end int")).collect()}
+    assert got == {
+        "a": (10, 2, 9, [2, 4, 6, 7, 9], [2, 4, 6, 7, 9], [], "text", "off"),  # 1.75, 3.5, 5.25 beyond the first
+        "b": (2, 1, 2, [1, 2], [1], [1, 2], "mixed", "vision"),
+        "c": (2, 1, 2, [1, 2], [], [2], "image", "vision"),
+        "d": (1, 1, 2, None, None, None, "bad_range", None),
+    }
+
+
+def test_stress_texts_and_stems(spark):
+    df = spark.createDataFrame([("Pay 3,5 kg or 12 of 12 é", ["3,5 kg", "12"]), ("", []), ("７ ﬁle?.", ["9"])], "t string, held array<string>")
+    got = [tuple(r) for r in df.select(X.stress_text(F.col("t"), "测试", 0.5, F.array(F.lit("T1")), F.col("held")), X.safe_stem(F.col("t"))).collect()]
+    assert got[:2] == [("测试测试测 T1 12", "Pay_3_5_kg_or_12_of_12_é"), ("测 T1", "document")] and got[2][1] == "7_file"
