@@ -8,11 +8,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-META, TRASH = "_schema_version", "_trash"
-
+from pagemill.errors import StoreError
 
-class StoreError(Exception):
-    """The store is not as this code needs it."""
+META, TRASH = "_schema_version", "_trash"
 
 
 class _Files:
@@ -101,7 +99,7 @@ class Store:
     def read(self, table: str, schema) -> DataFrame:
         return self.spark.read.schema(schema).parquet(f"{self.root}/{table}")
 
-    def _partition(self, task: str) -> str:
+    def partition(self, task: str) -> str:
         if not re.fullmatch(r"[A-Za-z0-9_-]+", task):
             raise StoreError(f"no name of a task: {task!r}")
         return f"{self.key}={task}"
@@ -121,7 +119,7 @@ class Store:
     def delete_task(self, task: str, now: dt.datetime | None = None) -> str:
         """Moves a task's rows of all tables to the trash, by renames of folders, and returns their place there; no row is
         read. A task that no table holds is an error."""
-        part, stamp = self._partition(task), (now or dt.datetime.now(dt.UTC)).strftime("%Y%m%dT%H%M%S%f")
+        part, stamp = self.partition(task), (now or dt.datetime.now(dt.UTC)).strftime("%Y%m%dT%H%M%S%f")
         place = f"{task}.{stamp}"
         if not (held := [t for t in self.tables() if self.files.exists(t, part)]):
             raise StoreError(f"no task {task}")
@@ -136,7 +134,7 @@ class Store:
 
     def restore_task(self, place: str) -> None:
         """Takes a deleted task back, unless there is one of its name again."""
-        part = self._partition(place.split(".")[0])
+        part = self.partition(place.split(".")[0])
         if not (held := sorted(self.files.names(TRASH, place))):
             raise StoreError(f"{place} is not in the trash")
         if again := [t for t in self.tables() if self.files.exists(t, part)]:
