@@ -42,7 +42,7 @@ def _documents(s, d):
 
 
 @query(f"WITH {FAULTS} SELECT * FROM faults")
-def q92_faults_of_documents(s, d):
+def q99_faults_of_documents(s, d):
     """What is wrong with stored documents, and where."""
     return P.faults(P.read_strict(_documents(s, d), "json", P.SEGMENT), "doc_id")
 
