@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -86,8 +87,8 @@ def save(spark, path: str, new: DataFrame, keys: list[str], partition: str) -> D
     """
     try:
         old = spark.read.schema(new.schema).parquet(path)
-    except Exception as e:  # no table yet
-        if "PATH_NOT_FOUND" not in str(e):
+    except AnalysisException as e:  # no table yet
+        if e.getCondition() != "PATH_NOT_FOUND":
             raise
         old = spark.createDataFrame([], new.schema)
     compared = [c for c in new.columns if c not in keys]
