@@ -4,7 +4,9 @@ Each window of LENGTH bytes is named by its anchor, the leftmost of its KGRAM-by
 windows have equal anchors at equal places. Consecutive windows with one anchor occurrence form a snippet. Snippets with
 equal bytes repeat each other in full; only the first of them, and only if its anchor has others with different bytes,
 can share single windows with another. Those snippets are dealt by anchor to shards, and each shard's suffixes are sorted
-by external induction (`induced`), which finds all equal windows within it.
+by external induction (`induced`), which finds all equal windows within it. There are as many shards as keep each small;
+an anchor with too many such snippets for one (a line that most texts have, each between other words) is first narrowed:
+its windows by their distance from the anchor, a few at a time, which agree in all but a few bytes if any two are equal.
 
 What repeats within a task is settled there, so that a string found in a third of all documents is shuffled once a task.
 """
@@ -31,6 +33,10 @@ BUFFER = 4 << 20
 PLACE = 24
 #: Bytes that the queues of one shard may hold in memory; more goes to disk.
 QUEUE_MEMORY = 64 << 20
+#: Bytes of snippets that a shard has on average, at most, and that one anchor may bring to it; sorting takes some 60 for each.
+SHARD, CROWD = 6 << 20, 2 << 20
+#: So many windows of a crowded anchor, next to each other, are dealt as one.
+STEP = 4
 _ROWS = pa.schema([("kind", pa.int8()), ("key", pa.int64()), ("content", pa.int64()), ("id", pa.int64()), ("th", pa.int64()), ("a", pa.int64()), ("b", pa.int64())])
 _SQL = "kind tinyint, key bigint, content bigint, id bigint, th bigint, a bigint, b bigint"
 
@@ -190,27 +196,83 @@ def _matched(batches, length: int):
         yield from settle(held)
 
 
+_PIECES = "key bigint, id bigint, th bigint, a bigint, b bigint, piece binary"
+
+
+def _cut(own: list[tuple]) -> pa.RecordBatch:
+    """own: (key, id, th, a, b, bytes)."""
+    *numbers, pieces = zip(*own)
+    return pa.RecordBatch.from_arrays([*(pa.array(x, pa.int64()) for x in numbers), pa.array(pieces, pa.binary())], names=["key", "id", "th", "a", "b", "piece"])
+
+
+def _narrowed(own: list[tuple], length: int) -> pa.RecordBatch:
+    """Snippets (as of `_cut`) of crowded anchors in parts: windows by their distance from the anchor, STEP at a time, dealt by
+    the bytes that all windows at these distances share."""
+    key, ids, th, a, b = (np.array([o[i] for o in own], np.int64) for i in range(5))
+    raw, k = b"".join(o[5] for o in own), min(KGRAM, length)
+    data = np.frombuffer(raw, np.uint8)
+    begin = np.cumsum(b + length - 1) - (b + length - 1)
+    forth, back = _powers(len(data) + 1)
+    sums = np.zeros(len(data) + 1, np.uint64)
+    np.cumsum(_values()[data] * forth[: len(data)], out=sums[1:])
+    grams = mix((sums[k:] - sums[:-k]) * back[: len(data) - k + 1])
+    low = np.append((grams & ~np.uint64((1 << PLACE) - 1)) | np.arange(len(grams), dtype=np.uint64), np.uint64(2**64 - 1))
+    # the anchor is the least of the strings that lie in all windows of its snippet
+    least = np.minimum.reduceat(low, np.stack([begin + b - 1, begin + length - k + 1], 1).ravel())[::2]
+    anchor = (least & np.uint64((1 << PLACE) - 1)).astype(np.int64)
+    of = np.repeat(np.arange(len(own)), b)
+    window = np.arange(len(of)) - np.repeat(np.cumsum(b) - b, b) + begin[of]
+    step = (anchor[of] - window) // STEP
+    first = np.ones(len(of), bool)
+    first[1:] = (of[1:] != of[:-1]) | (step[1:] != step[:-1])
+    at = np.flatnonzero(first)
+    windows = np.diff(np.append(at, len(of)))
+    of, start, step = of[at], window[at], step[at]
+    left = anchor[of] - step * STEP
+    core = mix((sums[left - STEP + 1 + length] - sums[left]) * back[left])
+    dealt = mix(core + mix(key[of].view(np.uint64) + step.astype(np.uint64))).view(np.int64)
+    parts = [raw[x : x + n + length - 1] for x, n in zip(start.tolist(), windows.tolist())]
+    return pa.RecordBatch.from_arrays([*map(pa.array, (dealt, ids[of], th[of], a[of] + start - begin[of], windows)), pa.array(parts, pa.binary())], names=["key", "id", "th", "a", "b", "piece"])
+
+
 def _cut_out(batches, text_at: int, length: int):
-    """The bytes of each wanted snippet; rows have id, th and the snippets in their last columns."""
+    """The bytes of each wanted snippet, those of crowded anchors narrowed; rows have id, th and the snippets in their last
+    columns."""
     for batch in batches:
         ids, ths, texts = (batch.column(i).to_pylist() for i in (batch.num_columns - 3, batch.num_columns - 2, text_at))
         for i, th, text, own in zip(ids, ths, texts, batch.column(batch.num_columns - 1).to_pylist()):
             raw = text.encode()
-            for at in range(0, len(own), 4096):
-                part = own[at : at + 4096]
-                yield pa.RecordBatch.from_pydict({"key": pa.array([w["key"] for w in part], pa.int64()), "id": pa.array([i] * len(part), pa.int64()), "th": pa.array([th] * len(part), pa.int64()), "a": pa.array([w["a"] for w in part], pa.int64()), "b": pa.array([w["b"] for w in part], pa.int64()), "piece": pa.array([raw[w["a"] : w["a"] + w["b"] + length - 1] for w in part], pa.binary())})
+            for crowded, made in ((False, _cut), (True, lambda part: _narrowed(part, length))):
+                some = [w for w in own if w["crowded"] == crowded]
+                for at in range(0, len(some), 4096):
+                    yield made([(w["key"], i, th, w["a"], w["b"], raw[w["a"] : w["a"] + w["b"] + length - 1]) for w in some[at : at + 4096]])
+
+
+def _distinct(batches, late: list):
+    """Of equal pieces the first, as {bytes: (id, th, a, b)}; the others' places come into `late`."""
+    first: dict[bytes, tuple] = {}
+    for batch in batches:
+        for i, th, a, b, piece in zip(*(batch.column(c).to_pylist() for c in range(1, 6))):
+            own = (i, th, a, b)
+            held = first.setdefault(piece, own)
+            if held != own:  # else the piece is new, or a repeated document's
+                first[piece] = min(held, own)
+                late.append(max(held, own))
+    return first
 
 
 def _sorted_shard(batches, length: int):
     """One shard: the ranges of its snippets that repeat an earlier window."""
-    pieces, cols = [], [[], [], [], []]
-    for batch in batches:
-        pieces += batch.column(5).to_pylist()
-        for c, i in zip(cols, (1, 2, 3, 4)):
-            c.append(batch.column(i).to_numpy())
-    if not pieces:
+    late: list[tuple] = []
+    first = _distinct(batches, late)
+    for at in range(0, len(late), 1 << 16):
+        again = np.array(late[at : at + (1 << 16)], np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(x) for x in (again[:, 0], again[:, 1], again[:, 2], again[:, 2] + again[:, 3] + length - 1)], names=["id", "th", "a", "b"])
+    if not first:
         return
-    ids, th, a, windows = map(np.concatenate, cols)
+    pieces = list(first)
+    ids, th, a, windows = np.array(list(first.values()), np.int64).T.copy()
+    del first, late
     begins = np.cumsum([0, *(len(p) + 1 for p in pieces)])
     text = np.zeros(begins[-1], np.uint16)
     for p, at in zip(pieces, begins.tolist()):
@@ -276,14 +338,20 @@ def with_ranges(docs: DataFrame, length: int, id_col: str, text_col: str) -> tup
     found = own.mapInArrow(lambda b: _scanned(b, length), _SQL)
     sorted_ = found.repartition(partitions(spark), "key").sortWithinPartitions("key", "id", "th", "a")
     matched = materialize(sorted_.mapInArrow(lambda b: _matched(b, length), _SQL), "snippets")
+    firsts = matched.where("kind = 1")
+    weight = firsts.groupBy("key").agg(F.sum(F.col("b") + length - 1).alias("n"))
+    crowded = F.broadcast(weight.where(F.col("n") > CROWD).select("key", F.lit(True).alias("crowded")))  # a row for each CROWD bytes at most
+    pieces = firsts.join(crowded, "key", "left").fillna(False, ["crowded"])
+    dealt_bytes = F.when(F.col("crowded"), (F.floor(F.col("b") / STEP) + 1) * (length - 1 + STEP)).otherwise(F.col("b") + length - 1)
+    shards = max(partitions(spark), -(-(pieces.agg(F.sum(dealt_bytes)).first()[0] or 0) // SHARD))
     # Both joins below read one shuffle of the documents: they take the same columns of it.
     dealt = keyed.repartition(partitions(spark), *names.values())
-    wanted = matched.where("kind = 1").groupBy(*names).agg(F.collect_list(F.struct("key", "a", "b")).alias("wanted"))
+    wanted = pieces.groupBy(*names).agg(F.collect_list(F.struct("key", "a", "b", "crowded")).alias("wanted"))
     same = lambda other: [F.col(own) == other[c] for c, own in names.items()]
     texts = dealt.join(wanted, same(wanted)).select(*[F.col(f"`{c}`") for c in docs.columns], i, t, "wanted")
     text_at = docs.columns.index(text_col)
-    cut = texts.mapInArrow(lambda b: _cut_out(b, text_at, length), "key bigint, id bigint, th bigint, a bigint, b bigint, piece binary")
-    late = cut.repartition(partitions(spark), "key").mapInArrow(lambda b: _sorted_shard(b, length), "id bigint, th bigint, a bigint, b bigint")
+    cut = texts.mapInArrow(lambda b: _cut_out(b, text_at, length), _PIECES)
+    late = cut.repartition(shards, "key").mapInArrow(lambda b: _sorted_shard(b, length), "id bigint, th bigint, a bigint, b bigint")
     every = matched.where("kind = 0").select("id", "th", "a", "b").unionByName(late).groupBy(*names).agg(F.collect_list(F.struct("a", "b")).alias(ranges))
     return dealt.join(every, same(every), "left").select(*[F.col(f"`{c}`") for c in docs.columns], ranges), ranges
 

@@ -147,6 +147,36 @@ def test_suffix_dedup_cuts_whole_characters(spark, tmp_path):
     assert got == {1: rows[0][1], 2: "èé"}
 
 
+def test_suffix_dedup_of_a_line_that_most_texts_have(spark, tmp_path, monkeypatch):
+    """One anchor between other words in each text: no shard sorts them all, and the result is that of brute force."""
+    rng = random.Random(16)
+    noise = lambda n: "".join(rng.choices("abc", k=n))
+    line = "".join(rng.choices("abcdefghijklmnopqrstuvwxyz ", k=60))
+    rows = [(i, noise(rng.randint(0, 60)) + line + noise(rng.randint(0, 60))) for i in range(400)]
+    rows += [(1000 + i, rows[i][1][5:] + noise(9)) for i in range(0, 40, 2)]
+    path, told = str(tmp_path / "t"), tmp_path / "told"
+    spark.createDataFrame(rows, "doc_id bigint, text string").repartition(2).write.parquet(path)
+    told.mkdir()
+    plain, folder = suffix_dedup._sorted_shard, str(told)
+
+    def weighed(batches, length):
+        import uuid
+
+        own = list(batches)
+        with open(f"{folder}/{uuid.uuid4().hex}", "w") as f:
+            f.write(str(sum(len(x) for x in {x for b in own for x in b.column(5).to_pylist()})))
+        return plain(iter(own), length)
+
+    monkeypatch.setattr(suffix_dedup, "_sorted_shard", weighed)
+    for name, value in (("SHARD", 4000), ("CROWD", 1500)):
+        monkeypatch.setattr(suffix_dedup, name, value, raising=False)
+    got = {r.doc_id: (r.n_removed, r.kept_sha256) for r in suffix_dedup.digest(spark.read.parquet(path)).collect()}
+    texts = [t.encode() for _, t in rows]
+    want = {i: (int(c.sum()), hashlib.sha256(np.frombuffer(t, np.uint8)[~c].tobytes()).hexdigest()) for (i, _), t, c in zip(rows, texts, brute_ranges(texts, 100))}
+    assert got == want and sum(n > 0 for n, _ in got.values()) > 10
+    assert max(int(f.read_text()) for f in told.iterdir()) < sum(map(len, texts)) / 8
+
+
 def test_suffix_dedup_of_texts_longer_than_a_buffer(spark, tmp_path):
     """A text of several pieces, with passages that repeat within a piece, across its edge and in other documents."""
     rng = random.Random(15)
