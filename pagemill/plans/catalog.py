@@ -97,8 +97,8 @@ def q06_block_classes(s, d):
     """All lines of all documents as blocks, each against its page's median size."""
     k = F.col("line_no")
     size = F.element_at(F.array(*[F.lit(x) for x in (20.0, 12.5, 8.0, 10.0, 10.0)]), ((F.col("page") + k) % 5 + 1).cast("int"))
-    top = F.round((k % 100) / 100.0, 2)
-    blocks = A.doc_lines(_docs(s, d)).withColumns({"size": size, "top": top, "bottom": F.least(F.lit(1.0), F.round(top + 0.02, 2))})
+    top = (k % 100) / 100.0  # not rounded: 0.8 + 0.02 is above 0.82
+    blocks = A.doc_lines(_docs(s, d)).withColumns({"size": size, "top": top, "bottom": F.least(F.lit(1.0), top + 0.02)})
     medians = blocks.groupBy("page").agg(F.median("size").alias("m"))
     kind = layout.classify(F.col("line"), F.col("size"), F.col("size"), F.col("m"), F.col("top"), F.col("bottom"), F.col("page"), k % 7)
     return blocks.join(medians, "page").select("page", "line_no", kind.alias("block_type"))

@@ -1,6 +1,7 @@
 """Every query against its SQL twin in DuckDB."""
 
 import math
+import os
 import re
 
 import duckdb
@@ -49,3 +50,19 @@ def test_every_html_block_is_classified(spark, sf, duck):
     want = sum(len(re.findall(rf"(?s)<{tag}>.*?</{tag}>", html)) for html in pages for tag in ("title", "h1", "p", "li", "nav", "footer"))
     assert len(got) == want > 5 * len(pages)
     assert {"heading", "header", "footer", "footnote", "paragraph"} <= set(got.block_type)
+
+
+def alike(spark, name, folder):
+    """The query and its SQL twin give the same rows of the tables in a folder."""
+    con = duckdb.connect()
+    for t in TABLES:
+        if os.path.exists(f"{folder}/{t}.parquet"):
+            con.sql(f"create view {t} as select * from read_parquet('{folder}/{t}.parquet')")
+    assert rows(catalog.QUERIES[name](spark, folder).toPandas()) == rows(con.execute(catalog.ORACLES[name]).df())
+
+
+def test_classes_of_lines_at_a_limit(spark, tmp_path):
+    """Line 80 ends at 0.8 + 0.02 of its page, just above 0.82."""
+    text = "\n".join(f"some line {i}" for i in range(200))
+    pd.DataFrame({"doc_id": [2, 487], "text": [text] * 2, "lang": "en", "source": "s", "n_chars": len(text)}).to_parquet(tmp_path / "documents.parquet")
+    alike(spark, "q06_block_classes", str(tmp_path))
