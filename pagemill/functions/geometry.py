@@ -10,6 +10,12 @@ def box(x0, y0, x1, y1) -> Column:
     return F.struct(*[F.col(c).cast("double").alias(n) if isinstance(c, str) else c.cast("double").alias(n) for c, n in ((x0, "x0"), (y0, "y0"), (x1, "x1"), (y1, "y1"))])
 
 
+def rounded(x: Column, places: int) -> Column:
+    """x to so many places, half away from zero, as SQL engines round doubles: multiplied, rounded, divided. F.round takes the
+    shortest decimal of x instead, which ends in 5 where the product does not, or not where it does."""
+    return F.round(x * 10.0**places) / 10.0**places
+
+
 def width(b: Column) -> Column:
     return b["x1"] - b["x0"]
 

@@ -30,7 +30,7 @@ def overlap_pairs(boxes: DataFrame, least: float = 0.75, cell: float = CELL) ->
     w, h = G.overlap(F.col("box_a"), F.col("box_b"))
     corner = (F.floor(F.greatest("box_a.x0", "box_b.x0") / cell) == F.col("gx")) & (F.floor(F.greatest("box_a.y0", "box_b.y0") / cell) == F.col("gy"))
     found = left.join(right, ["page", "gx", "gy"]).where((F.col("a") < F.col("b")) & (w > least) & (h > least) & corner)
-    return found.select("page", "a", "b", F.round(w, 2).alias("width"), F.round(h, 2).alias("height"), F.round(G.overlap_ratio(F.col("box_a"), F.col("box_b")), 6).alias("ratio"))
+    return found.select("page", "a", "b", G.rounded(w, 2).alias("width"), G.rounded(h, 2).alias("height"), G.rounded(G.overlap_ratio(F.col("box_a"), F.col("box_b")), 6).alias("ratio"))
 
 
 def nearest(left: DataFrame, right: DataFrame, most: float, cell: float = 4.0, same: tuple[str, ...] = ()) -> DataFrame:
@@ -41,7 +41,7 @@ def nearest(left: DataFrame, right: DataFrame, most: float, cell: float = 4.0, s
     around = F.array(*[F.lit(i) for i in (-1, 0, 1)])
     l = left.select("page", *same, F.col("box_id").alias("a"), G.box("x0", "y0", "x1", "y1").alias("box_a"), F.explode(F.transform(around, lambda i: F.floor(F.col("x0") / step) + i)).alias("gx")).withColumn("gy", F.explode(F.transform(around, lambda i: F.floor(F.col("box_a.y0") / step) + i)))  # noqa: E741
     r = right.select("page", *same, F.col("box_id").alias("b"), G.box("x0", "y0", "x1", "y1").alias("box_b"), F.floor(F.col("x0") / step).alias("gx"), F.floor(F.col("y0") / step).alias("gy"))
-    d = F.round(G.distance(F.col("box_a"), F.col("box_b")), 4)
+    d = G.rounded(G.distance(F.col("box_a"), F.col("box_b")), 4)
     found = l.join(r, ["page", *same, "gx", "gy"]).withColumn("distance", d).where(F.col("distance") <= most)
     best = found.groupBy("page", "a").agg(F.min(F.struct("distance", "b")).alias("m"))
     return best.select("page", "a", F.col("m.b").alias("b"), F.col("m.distance").alias("distance"))

@@ -67,7 +67,7 @@ t AS (SELECT *, CASE WHEN kind = 'fragment' AND same AND distance <= 8 THEN 1 WH
 SELECT page, a, tier, b, distance FROM (SELECT *, row_number() OVER (PARTITION BY page, a ORDER BY tier, distance, b) AS k FROM t WHERE tier IS NOT NULL) WHERE k = 1""")
 def q64_matched_fragments(s, d):
     """Segments to fragments and blocks in three tiers."""
-    edge = lambda c: F.round(F.col(c) / 40, 2).alias(c)
+    edge = lambda c: G.rounded(F.col(c) / 40, 2).alias(c)
     small = _boxes(s, d).select("page", "box_id", F.concat(F.lit("t"), F.col("box_id") % 4).alias("text"), *map(edge, ("x0", "y0", "x1", "y1")))
     segments, fragments, blocks = (small.where(F.col("box_id") % 3 == k) for k in range(3))
     return spatial.matched_fragments(segments, fragments, blocks)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pagemill.functions import geometry as G
 from pagemill.functions import text as T
 
 
@@ -42,7 +43,7 @@ def turn_pairs(conversations: DataFrame) -> DataFrame:
 def boxes(embeddings: DataFrame) -> DataFrame:
     """(page, box_id, x0, y0, x1, y1): rectangles from the first four values of each vector; the label is the page."""
     v = [F.col("embedding")[i].cast("double") for i in range(4)]
-    edge = lambda f, a, b: F.round(f(v[a], v[b]) * 500 + 250, 2)
+    edge = lambda f, a, b: G.rounded(f(v[a], v[b]) * 500 + 250, 2)
     return embeddings.select(F.col("label").alias("page"), F.col("vec_id").alias("box_id"), edge(F.least, 0, 2).alias("x0"), edge(F.least, 1, 3).alias("y0"), edge(F.greatest, 0, 2).alias("x1"), edge(F.greatest, 1, 3).alias("y1"))
 
 

@@ -66,3 +66,8 @@ def test_classes_of_lines_at_a_limit(spark, tmp_path):
     text = "\n".join(f"some line {i}" for i in range(200))
     pd.DataFrame({"doc_id": [2, 487], "text": [text] * 2, "lang": "en", "source": "s", "n_chars": len(text)}).to_parquet(tmp_path / "documents.parquet")
     alike(spark, "q06_block_classes", str(tmp_path))
+
+
+def test_edges_rounded_at_a_half(spark):
+    """137.4 / 40 is 3.435, whose hundredfold is no half in binary."""
+    alike(spark, "q64_matched_fragments", "/root/testdata/sf0.1")
