@@ -42,7 +42,7 @@ def q84_label_collisions(s, d):
 def q85_turned_label_collisions(s, d):
     """Labels turned by all multiples of 15 degrees, with the reason that each keeps its source for."""
     turned = _labels(s, d).withColumn("rotation", (F.col("region") % 24 * 15 - 180).cast("double"))
-    return collisions.collision_reasons(collisions.colliding(collisions.label_regions(turned), 8.0))
+    return collisions.collision_reasons(collisions.first_colliding(collisions.label_regions(turned), 8.0))
 
 
 @query(f"""WITH {LABELS}, {SHAPES.format(kept="source <> 'ab c' AND length(text) * 0.5 * size <= w * h")}, {MET},
