@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from pagemill.functions import geometry as G
 from pagemill.operators import caching, collisions, drawing_report, fitting, masking, validation, visual
 from pagemill.plans.catalog import BOXES, PAIRS, WRAPPED, _boxes, _docs, _pairs, query
 from pagemill.sources import adapters as A
@@ -35,7 +36,7 @@ def _labels(s, d):
 def q84_label_collisions(s, d):
     """Labels of a page that would be drawn over each other."""
     pairs = collisions.colliding(collisions.label_regions(_labels(s, d)), 8.0)
-    return pairs.select("page", "a", "b", F.round("shared", 6).alias("shared"), "same")
+    return pairs.select("page", "a", "b", G.rounded(F.col("shared"), 6).alias("shared"), "same")
 
 
 @query()
