@@ -129,17 +129,36 @@ def similar_size(one: Column, two: Column) -> Column:
     return F.abs(one - two) <= F.greatest(F.lit(1.5), F.greatest(one, two, F.lit(1.0)) * 0.22)
 
 
-def continues(before: Column, after: Column, size_before: Column | None = None, size_after: Column | None = None, squeezed: bool = False) -> Column:
-    """A text goes on with the next one: no label of capitals before it, eight signs or more in both (unless a word is
-    broken by a hyphen), and a small letter follows or no sentence ends. Sizes, where given, must be similar. Texts may be
-    squeezed already."""
-    before, after = (before, after) if squeezed else (squeeze(before), squeeze(after))
-    small = after.rlike(r"^\p{Ll}")
-    broken = before.endswith("-") & small
-    label = (F.length(before) <= 30) & (word_count(before) <= 5) & before.rlike(CAPITALS)
-    fit = (before != "") & (after != "") & ~label & (broken | (F.least(F.length(before), F.length(after)) >= 8))
+def traits(c: Column, squeezed: bool = False) -> dict[str, Column]:
+    """What is asked of a text when it may go on with another one; it may be squeezed already."""
+    own = c if squeezed else squeeze(c)
+    label = (F.length(own) <= 30) & (word_count(own) <= 5) & own.rlike(CAPITALS)
+    return {"some": own != "", "small": own.rlike(r"^\p{Ll}"), "hyphen": own.endswith("-"), "label": label, "long": F.length(own) >= 8, "sentence": own.rlike(SENTENCE_END), "clause": own.rlike(CLAUSE_END), "item": own.rlike(BULLET)}
+
+
+def marks(c: Column) -> Column:
+    """The traits of a squeezed text as bits of one number, which travels in the text's place; none of them without a text."""
+    return functools.reduce(Column.__add__, [F.coalesce(t, F.lit(False)).cast("int") * (1 << i) for i, t in enumerate(traits(c, squeezed=True).values())])
+
+
+def marked(m: Column) -> dict[str, Column]:
+    """The traits that marks hold."""
+    return {k: m.bitwiseAND(1 << i) != 0 for i, k in enumerate(traits(F.lit("")))}
+
+
+def follows(before: dict[str, Column], after: dict[str, Column], size_before: Column | None = None, size_after: Column | None = None) -> Column:
+    """A text goes on with the next one, by the traits of both: no label of capitals before it, eight signs or more in both
+    (unless a word is broken by a hyphen), and a small letter follows or no sentence ends. Sizes, where given, must be
+    similar."""
+    broken = before["hyphen"] & after["small"]
+    fit = before["some"] & after["some"] & ~before["label"] & (broken | (before["long"] & after["long"]))
     sized = F.lit(True) if size_before is None else similar_size(size_before, size_after)
-    return sized & fit & (small | ~before.rlike(SENTENCE_END))
+    return sized & fit & (after["small"] | ~before["sentence"])
+
+
+def continues(before: Column, after: Column, size_before: Column | None = None, size_after: Column | None = None, squeezed: bool = False) -> Column:
+    """`follows` of two texts, which may be squeezed already."""
+    return follows(traits(before, squeezed), traits(after, squeezed), size_before, size_after)
 
 
 def escape_html(c: Column) -> Column:

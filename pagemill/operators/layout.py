@@ -279,9 +279,9 @@ def _by_page(batches, keys: list[str]):
         yield pd.concat(held, ignore_index=True), np.array([0])
 
 
-def assign_columns(blocks: DataFrame, wide: float = 0.72, least: float = 0.48, keys: tuple[str, ...] = ("page",)) -> DataFrame:
-    """(keys, box_id, column_id) of blocks (box_id, x0, x1, page_width, the keys of a page and, if they are there,
-    block_type, is_table_cell, rotation).
+def assign_columns(blocks: DataFrame, wide: float = 0.72, least: float = 0.48, keys: tuple[str, ...] = ("page",), carried: tuple[str, ...] = ()) -> DataFrame:
+    """(keys, box_id, the columns carried, column_id) of blocks (box_id, x0, x1, page_width, the keys of a page and, if they
+    are there, block_type, is_table_cell, rotation). What is carried need not be joined again.
 
     Paragraphs and footnotes narrower than `wide` of the page take, by their left edges, the column that fits best (by
     overlap with, or alignment to, the medians of its edges) if the fit is `least` or more, or open one; columns count from
@@ -290,17 +290,19 @@ def assign_columns(blocks: DataFrame, wide: float = 0.72, least: float = 0.48, k
     """
     has = lambda c, other: F.col(c) if c in blocks.columns else F.lit(other)
     free = has("block_type", "paragraph").isin("paragraph", "footnote") & ~has("is_table_cell", False) & (F.col("x1") - F.col("x0") < wide * F.col("page_width"))
-    own = blocks.select(*keys, "box_id", "x0", "x1", "page_width", has("rotation", 0.0).cast("double").alias("rotation"), F.when(has("is_table_cell", False), -1).when(free, 1).otherwise(0).alias("state"))
+    more = [c for c in carried if c not in ("x0", "x1", "page_width")]
+    own = blocks.select(*keys, "box_id", "x0", "x1", "page_width", *more, has("rotation", 0.0).cast("double").alias("rotation__"), F.when(has("is_table_cell", False), -1).when(free, 1).otherwise(0).alias("state__"))
 
     def assign(batches):
         for frame, starts in _by_page(batches, list(keys)):
-            state, x0, x1, width, turn = (frame[c].to_numpy() for c in ("state", "x0", "x1", "page_width", "rotation"))
+            state, x0, x1, width, turn = (frame[c].to_numpy() for c in ("state__", "x0", "x1", "page_width", "rotation__"))
             pages = [_columns_of(*(v[a:b] for v in (state, x0, x1, width, turn)), least) for a, b in itertools.pairwise([*starts, len(frame)])]
-            yield frame.assign(column_id=np.concatenate(pages))[[*keys, "box_id", "column_id"]]
+            yield frame.assign(column_id=np.concatenate(pages))[[*keys, "box_id", *carried, "column_id"]]
 
     kinds = dict(blocks.dtypes)
     ordered = own.repartition(*keys).sortWithinPartitions(*keys, "x0", "box_id")
-    return ordered.mapInPandas(assign, ", ".join([*(f"`{k}` {kinds[k]}" for k in keys), "box_id bigint, column_id int"]))
+    named = lambda columns: [f"`{c}` {kinds[c]}" for c in columns]
+    return ordered.mapInPandas(assign, ", ".join([*named(keys), "box_id bigint", *named(carried), "column_id int"]))
 
 
 def even_sample(ids: DataFrame, key: str, n: int = 5) -> DataFrame:

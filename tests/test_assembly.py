@@ -1,9 +1,14 @@
 """Paragraph assembly on pages made by hand, each for one rule, and what holds of any pages."""
 
+import glob
+import os
 import random
+import re
 
 import pytest
+from pyspark.sql import functions as F
 
+from pagemill.functions import text as T
 from pagemill.operators import assembly
 
 BLOCK = "doc int, page int, box_id long, text string, block_type string, is_table_cell boolean, rotation double, size double, page_width double, page_height double, x0 double, y0 double, x1 double, y1 double, column_id int"
@@ -125,3 +130,37 @@ def test_of_any_pages(spark):
             order = sorted((b for b in blocks if (b["doc"], b["page"], b["column_id"]) == (g[0]["doc"], page, column) and b["block_type"] in assembly.MERGED), key=lambda b: (b["y0"], b["x0"], b["box_id"]))
             places = [i for i, b in enumerate(order) if b in g]
             assert places == list(range(places[0], places[-1] + 1))
+
+
+def test_texts_do_not_travel(spark):
+    """Of 4 MB of texts that do not compress, the stored steps hold little, and no shuffle within columns holds any."""
+    text = F.concat(F.lit("small "), *[F.sha2(F.concat_ws(":", "id", F.lit(i)), 512) for i in range(160)])
+    plain = {k: v for k, v in at(0).items() if k not in ("doc", "page", "box_id", "text", "y0", "y1", "column_id")}
+    blocks = spark.range(200).select(F.lit(0).alias("doc"), (F.col("id") % 4).cast("int").alias("page"), F.col("id").alias("box_id"), text.alias("text"), *[F.lit(v).alias(k) for k, v in plain.items()], (F.col("id") * 3.0).alias("y0"), (F.col("id") * 3.0 + 10).alias("y1"))
+    folder = spark.conf.get("spark.checkpoint.dir").removeprefix("file://")
+    size = lambda: sum(os.path.getsize(f) for f in glob.glob(f"{folder}/**/*.parquet", recursive=True))
+    before = size()
+    assert assembly.assemble(blocks).count() == 200
+    assert 0 < size() - before < 100_000
+    runs = assembly.in_columns(blocks.withColumn("column_id", F.lit(1))).select("doc", "page", "box_id", "piece")
+    plan = runs._jdf.queryExecution().explainString(runs.sparkSession._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
+    dealt = [node for node in plan.split("\n\n") if re.match(r"\(\d+\) Exchange", node)]
+    assert dealt and not any("text#" in node for node in dealt)
+
+
+def test_a_block_of_no_document_stays(spark):
+    """A block whose document or page is null is in a paragraph of its column; no step loses it."""
+    rows = [at(0, doc=None, box_id=0), at(12, SMALL, doc=None, box_id=1), at(0, page=None, box_id=0), at(0, box_id=0)]
+    table = spark.createDataFrame([tuple(b[c.split()[0]] for c in BLOCK.split(", ")) for b in rows], BLOCK)
+    want = {(None, 1, 0, 1, 0), (None, 1, 1, 1, 0), (0, None, 0, None, 0), (0, 1, 0, 1, 0)}
+    for blocks in (table, table.drop("column_id")):
+        assert {(r.doc, r.page, r.box_id, r.group_page, r.group_id) for r in assembly.assemble(blocks).collect()} == want
+
+
+def test_marks_stand_for_texts(spark):
+    """What goes on with what is the same by marks as by texts."""
+    texts = [OPEN, SMALL, CLOSED, CAPITAL, "a broken hyph-", "PUMP ROOM", "- an item", "short", "", " ", None, "12 345 678", "as follows:", "éclair und mehr", "soft\xad-", "A" * 31]
+    pairs = spark.createDataFrame([(a, b) for a in texts for b in texts], "a string, b string")
+    marks = [T.marked(T.marks(T.squeeze(F.col(c)))) for c in "ab"]
+    got = pairs.select(T.continues(F.col("a"), F.col("b")).alias("by_text"), T.follows(*marks).alias("by_marks")).collect()
+    assert all(bool(r.by_text) == r.by_marks for r in got) and 20 < sum(r.by_marks for r in got) < 200
