@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import functools
+import math
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -12,6 +13,8 @@ from pagemill.functions import geometry as G
 from pagemill.functions import text as T
 
 CELL = 64.0
+#: Boxes of a crowded cell that one task lets meet as many others.
+BLOCK = 2048
 
 
 def gridded(boxes: DataFrame, cell: float = CELL, margin: float = 0.0) -> DataFrame:
@@ -20,16 +23,32 @@ def gridded(boxes: DataFrame, cell: float = CELL, margin: float = 0.0) -> DataFr
     return boxes.withColumn("gx", F.explode(span("x0", "x1"))).withColumn("gy", F.explode(span("y0", "y1")))
 
 
-def overlap_pairs(boxes: DataFrame, least: float = 0.75, cell: float = CELL) -> DataFrame:
+def dealt(tiles: DataFrame, block: int = BLOCK) -> tuple[DataFrame, DataFrame]:
+    """The tiles as left and as right side of a join by page, gx, gy, i and j, in which every two tiles of a cell meet once.
+
+    A cell of more than `block` tiles is dealt into blocks, and each left block (i) meets each right one (j) by itself. There
+    are as many tasks as give each block * block meetings on average, however few bytes these are.
+    """
+    cells = tiles.groupBy("page", "gx", "gy").agg(F.count("*").alias("n"))
+    meetings = cells.agg(F.sum(F.col("n") * F.col("n"))).first()[0] or 0
+    tasks = max(tiles.sparkSession.sparkContext.defaultParallelism, math.ceil(meetings / block**2))
+    crowded = cells.where(F.col("n") > block).select("page", "gx", "gy", F.ceil(F.col("n") / block).alias("blocks"))
+    tiles = tiles.join(F.broadcast(crowded), ["page", "gx", "gy"], "left").withColumn("blocks", F.coalesce("blocks", F.lit(1).cast("bigint")))
+    own, each = F.pmod(F.xxhash64("box_id"), F.col("blocks")), F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1))
+    left, right = tiles.withColumn("i", own).withColumn("j", each), tiles.withColumn("i", each).withColumn("j", own)
+    return tuple(t.drop("blocks").repartition(tasks, "page", "gx", "gy", "i", "j") for t in (left, right))
+
+
+def overlap_pairs(boxes: DataFrame, least: float = 0.75, cell: float = CELL, block: int = BLOCK) -> DataFrame:
     """(page, a, b, width, height, ratio), a < b: boxes of one page that share more than `least` in both directions.
 
     A pair is kept in the one cell where the corner of the shared part lies, so that no distinct is needed.
     """
-    tiles = gridded(boxes, cell)
-    left, right = (tiles.select("page", "gx", "gy", F.col("box_id").alias(n), G.box("x0", "y0", "x1", "y1").alias(f"box_{n}")) for n in "ab")
+    tiles = gridded(boxes.select("page", "box_id", "x0", "y0", "x1", "y1"), cell)
+    left, right = (t.select("page", "gx", "gy", "i", "j", F.col("box_id").alias(n), G.box("x0", "y0", "x1", "y1").alias(f"box_{n}")) for t, n in zip(dealt(tiles, block), "ab"))
     w, h = G.overlap(F.col("box_a"), F.col("box_b"))
     corner = (F.floor(F.greatest("box_a.x0", "box_b.x0") / cell) == F.col("gx")) & (F.floor(F.greatest("box_a.y0", "box_b.y0") / cell) == F.col("gy"))
-    found = left.join(right, ["page", "gx", "gy"]).where((F.col("a") < F.col("b")) & (w > least) & (h > least) & corner)
+    found = left.join(right, ["page", "gx", "gy", "i", "j"]).where((F.col("a") < F.col("b")) & (w > least) & (h > least) & corner)
     return found.select("page", "a", "b", G.rounded(w, 2).alias("width"), G.rounded(h, 2).alias("height"), G.rounded(G.overlap_ratio(F.col("box_a"), F.col("box_b")), 6).alias("ratio"))
 
 

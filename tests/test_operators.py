@@ -1,6 +1,7 @@
 """Operators against plain Python and small stated cases."""
 
 import random
+from collections import Counter
 
 import pandas as pd
 import pytest
@@ -198,6 +199,18 @@ def test_spatial_against_brute_force(spark):
     assert sum(r.n for r in clustered) == 120 and all(sum(c.page == p for c in clustered) <= 16 for p in (1, 2))
 
 
+def test_a_crowded_cell_is_dealt_to_many_tasks(spark):
+    rng = random.Random(6)
+    boxes = [(1, i, x := rng.uniform(0, 30), y := rng.uniform(0, 30), x + rng.uniform(0, 30), y + rng.uniform(0, 30)) for i in range(300)] + [(2, 7, 0.0, 0.0, 9.0, 9.0), (2, 8, 8.0, 8.0, 9.0, 9.0)]
+    df = spark.createDataFrame(boxes, "page int, box_id long, x0 double, y0 double, x1 double, y1 double")
+    want = sorted((a[0], a[1], b[1]) for a in boxes for b in boxes if a[0] == b[0] and a[1] < b[1] and min(a[4], b[4]) - max(a[2], b[2]) > 0.75 and min(a[5], b[5]) - max(a[3], b[3]) > 0.75)
+    got = spatial.overlap_pairs(df, block=30).select("page", "a", "b", F.spark_partition_id().alias("task")).collect()
+    assert sorted((r.page, r.a, r.b) for r in got) == want
+    by_task = Counter(r.task for r in got)
+    assert len(by_task) > 20 and max(by_task.values()) < len(got) / 5
+    assert spatial.overlap_pairs(df.where("false")).count() == 0
+
+
 def test_split_text_follows_shares():
     assert visual.split_text("沉积，然后抬升", ["slow sedimentation", "uplift"]) == ["沉积，", "然后抬升"]  # share ends at 5, the comma 2 before it
     assert visual.split_text("one two, three four", ["aaaaaaa", "bbbbbbbb"]) == ["one two,", "three four"]
