@@ -141,7 +141,7 @@ def induce(text: np.ndarray, starts: np.ndarray, prefixes: np.ndarray, depth: in
         symbol = text[before]
         ok &= fits(symbol)
         at = np.flatnonzero(ok)
-        order, values = least.place(prefix, at, symbol[at].astype(np.int64))
+        order, values = least.place(prefix, at, symbol[at])
         at = at[order]
         symbols, targets = symbol[at], before[at]
         cut = np.flatnonzero(np.diff(symbols)) + 1
@@ -195,7 +195,7 @@ def _solved(names: np.ndarray, places: np.ndarray, depth: int) -> np.ndarray:
         later = np.zeros(len(active), np.int64)
         inside = active + step < n
         later[inside] = rank[active[inside] + step] + 1
-        order = np.lexsort((later, rank[active]))
+        order = np.argsort(rank[active] * (n + 1) + later)  # both are at most n
         r, x, who = rank[active][order], later[order], active[order]
         new_group = np.ones(len(who), bool)
         new_group[1:] = r[1:] != r[:-1]
@@ -273,8 +273,15 @@ def sorted_suffixes(text: np.ndarray, depth: int, memory: int = 64 << 20):
 
 
 def groups(text: np.ndarray, depth: int, memory: int = 64 << 20):
-    """Arrays of positions whose next `depth` symbols are equal, for every such string that occurs twice or more; with
-    `memory` bytes for the queues. Positions whose string would cross an end mark (0) are left out by the caller."""
+    """Arrays of positions whose next `depth` symbols are equal, for every such string that occurs twice or more; see
+    `many_groups`."""
+    for positions, sizes in many_groups(text, depth, memory):
+        yield from np.split(positions, np.cumsum(sizes)[:-1])
+
+
+def many_groups(text: np.ndarray, depth: int, memory: int = 64 << 20):
+    """(positions, sizes) of such groups, one after another; with `memory` bytes for the queues. Positions whose string
+    would cross an end mark (0) are left out by the caller."""
     small, large = sorted_suffixes(text, depth, memory)
     for c in range(1, SYMBOLS):
         held = np.zeros(0, np.int64)
@@ -299,12 +306,11 @@ def groups(text: np.ndarray, depth: int, memory: int = 64 << 20):
             if len(joins):
                 joins[0] = len(held) > 0 and joins[0]
             starts = np.flatnonzero(~joins | (np.arange(len(p)) == 0))
-            ends = np.append(starts[1:], len(p))
-            for a, b in zip(starts[:-1].tolist(), ends[:-1].tolist()):
-                if b - a > 1:
-                    yield p[a:b]
+            sizes = np.diff(starts)
+            if (sizes > 1).any():
+                yield p[: starts[-1]][np.repeat(sizes > 1, sizes)], sizes[sizes > 1]
             held = p[starts[-1] :] if len(starts) else held
         if len(held) > 1:
-            yield held
+            yield held, np.array([len(held)])
         small[c].close()
         large[c].close()

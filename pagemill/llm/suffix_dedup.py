@@ -7,6 +7,7 @@ can share single windows with another. Those snippets are dealt by anchor to sha
 by external induction (`induced`), which finds all equal windows within it. There are as many shards as keep each small;
 an anchor with too many such snippets for one (a line that most texts have, each between other words) is first narrowed:
 its windows by their distance from the anchor, a few at a time, which agree in all but a few bytes if any two are equal.
+Likewise a shard sorts no windows that differ from all others at their distance from the anchor in what they would share.
 
 What repeats within a task is settled there, so that a string found in a third of all documents is shuffled once a task.
 """
@@ -18,6 +19,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -35,8 +37,12 @@ PLACE = 24
 QUEUE_MEMORY = 64 << 20
 #: Bytes of snippets that a shard has on average, at most, and that one anchor may bring to it; sorting takes some 60 for each.
 SHARD, CROWD = 6 << 20, 2 << 20
-#: So many windows of a crowded anchor, next to each other, are dealt as one.
-STEP = 4
+#: So many windows of a crowded anchor, next to each other, are dealt as one; so many are held against others before the sort.
+STEP, SCREEN = 4, 10
+#: Texts are hashed so many bytes at a time, whose arrays stay in the processor's cache.
+BLOCK = 128 << 10
+#: So many rows of snippets are settled at once, at least.
+MANY = 1 << 15
 _ROWS = pa.schema([("kind", pa.int8()), ("key", pa.int64()), ("content", pa.int64()), ("id", pa.int64()), ("th", pa.int64()), ("a", pa.int64()), ("b", pa.int64())])
 _SQL = "kind tinyint, key bigint, content bigint, id bigint, th bigint, a bigint, b bigint"
 
@@ -83,6 +89,22 @@ def snippets(data: np.ndarray, ends: np.ndarray, length: int = LENGTH) -> tuple[
     return start, windows, anchors[place[start]], mix((sums[end] - sums[start]) * back[start] + windows.astype(np.uint64))
 
 
+def _blocks(ends: np.ndarray):
+    """(first, last + 1) of texts that take about BLOCK bytes together; ends has each text's start and the total."""
+    at = 0
+    while at < len(ends) - 1:
+        to = max(at + 1, int(np.searchsorted(ends, ends[at] + BLOCK, side="right")) - 1)
+        yield at, to
+        at = to
+
+
+def _snippets_by_block(texts: list[bytes], ends: np.ndarray, length: int):
+    """`snippets` of texts, block by block; starts count in the whole."""
+    for i, j in _blocks(ends):
+        start, *others = snippets(np.frombuffer(b"".join(texts[i:j]), np.uint8), ends[i : j + 1] - ends[i], length)
+        yield start + ends[i], *others
+
+
 def _merged(group: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Maximal runs of the ranges [low, high) of each group; sorted by group and low."""
     if not len(low):
@@ -121,7 +143,7 @@ def _scanned_buffers(pieces: list, length: int):
             take += 1
         own, pieces = pieces[:take], pieces[take:]
         ends = np.cumsum([0, *(len(p[3]) for p in own)])
-        start, windows, anchor, content = snippets(np.frombuffer(b"".join(p[3] for p in own), np.uint8), ends, length)
+        start, windows, anchor, content = map(np.concatenate, zip(*_snippets_by_block([p[3] for p in own], ends, length)))
         if not len(start):
             continue
         of = np.searchsorted(ends, start, side="right") - 1
@@ -148,9 +170,10 @@ def _batch(kind: int, key, content, ids, th, a, b) -> pa.RecordBatch:
 
 
 def _matched(batches, length: int):
-    """Rows in order of key, id, th, a. Passes ranges on; of each anchor, tells snippets whose bytes came before (as
+    """Rows in order of key. Passes ranges on; of each anchor, tells snippets whose bytes came before (as
     ranges) and, if there are different ones, the first of each (kind 1)."""
     held: list[pa.RecordBatch] = []
+    n = 0
 
     def settle(batches: list[pa.RecordBatch]):
         table = pa.Table.from_batches(batches)
@@ -166,7 +189,7 @@ def _matched(batches, length: int):
         at = snip[shared]
         if not len(at):
             return
-        order = np.lexsort((np.arange(len(at)), content[at], key[at]))
+        order = np.lexsort((a[at], th[at], ids[at], content[at], key[at]))
         at = at[order]
         same_key = np.concatenate([[False], key[at][1:] == key[at][:-1]])
         again = same_key & np.concatenate([[False], content[at][1:] == content[at][:-1]])
@@ -184,14 +207,16 @@ def _matched(batches, length: int):
     for batch in batches:
         if not batch.num_rows:
             continue
+        held.append(batch)
+        n += batch.num_rows
+        if n < MANY:
+            continue
         keys = batch.column(1).to_numpy()
         cut = int(np.searchsorted(keys, keys[-1]))  # the last key may go on
-        if held and (cut or held[0].column(1)[0].as_py() != keys[0]):
-            yield from settle([*held, batch.slice(0, cut)])
-            held = []
-        elif cut:
-            yield from settle([batch.slice(0, cut)])
-        held.append(batch.slice(cut))
+        if cut or (len(held) > 1 and held[-2].column(1)[-1].as_py() != keys[-1]):
+            yield from settle([*held[:-1], batch.slice(0, cut)])
+            held = [batch.slice(cut)]
+            n = held[0].num_rows
     if held:
         yield from settle(held)
 
@@ -199,53 +224,61 @@ def _matched(batches, length: int):
 _PIECES = "key bigint, id bigint, th bigint, a bigint, b bigint, piece binary"
 
 
-def _cut(own: list[tuple]) -> pa.RecordBatch:
-    """own: (key, id, th, a, b, bytes)."""
-    *numbers, pieces = zip(*own)
-    return pa.RecordBatch.from_arrays([*(pa.array(x, pa.int64()) for x in numbers), pa.array(pieces, pa.binary())], names=["key", "id", "th", "a", "b", "piece"])
+def _cut(key, ids, th, a, b, pieces: list[bytes]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([*map(pa.array, (key, ids, th, a, b)), pa.array(pieces, pa.binary())], names=["key", "id", "th", "a", "b", "piece"])
 
 
-def _narrowed(own: list[tuple], length: int) -> pa.RecordBatch:
-    """Snippets (as of `_cut`) of crowded anchors in parts: windows by their distance from the anchor, STEP at a time, dealt by
-    the bytes that all windows at these distances share."""
-    key, ids, th, a, b = (np.array([o[i] for o in own], np.int64) for i in range(5))
-    raw, k = b"".join(o[5] for o in own), min(KGRAM, length)
+def _parts(raw: bytes, windows: np.ndarray, length: int, width: int) -> tuple[np.ndarray, ...]:
+    """Snippets that lie end to end in raw, with so many windows each, in parts: windows by their distance from the anchor,
+    `width` at a time. (snippet, first window, windows, number of the part, hash of the bytes that all windows at these
+    distances share); equal windows are in parts of one number and hash."""
+    k = min(KGRAM, length)
     data = np.frombuffer(raw, np.uint8)
-    begin = np.cumsum(b + length - 1) - (b + length - 1)
+    begin = np.cumsum(windows + length - 1) - (windows + length - 1)
     forth, back = _powers(len(data) + 1)
     sums = np.zeros(len(data) + 1, np.uint64)
     np.cumsum(_values()[data] * forth[: len(data)], out=sums[1:])
     grams = mix((sums[k:] - sums[:-k]) * back[: len(data) - k + 1])
     low = np.append((grams & ~np.uint64((1 << PLACE) - 1)) | np.arange(len(grams), dtype=np.uint64), np.uint64(2**64 - 1))
     # the anchor is the least of the strings that lie in all windows of its snippet
-    least = np.minimum.reduceat(low, np.stack([begin + b - 1, begin + length - k + 1], 1).ravel())[::2]
+    least = np.minimum.reduceat(low, np.stack([begin + windows - 1, begin + length - k + 1], 1).ravel())[::2]
     anchor = (least & np.uint64((1 << PLACE) - 1)).astype(np.int64)
-    of = np.repeat(np.arange(len(own)), b)
-    window = np.arange(len(of)) - np.repeat(np.cumsum(b) - b, b) + begin[of]
-    step = (anchor[of] - window) // STEP
+    of = np.repeat(np.arange(len(windows)), windows)
+    window = np.arange(len(of)) - np.repeat(np.cumsum(windows) - windows, windows) + begin[of]
+    number = (anchor[of] - window) // width
     first = np.ones(len(of), bool)
-    first[1:] = (of[1:] != of[:-1]) | (step[1:] != step[:-1])
+    first[1:] = (of[1:] != of[:-1]) | (number[1:] != number[:-1])
     at = np.flatnonzero(first)
-    windows = np.diff(np.append(at, len(of)))
-    of, start, step = of[at], window[at], step[at]
-    left = anchor[of] - step * STEP
-    core = mix((sums[left - STEP + 1 + length] - sums[left]) * back[left])
-    dealt = mix(core + mix(key[of].view(np.uint64) + step.astype(np.uint64))).view(np.int64)
-    parts = [raw[x : x + n + length - 1] for x, n in zip(start.tolist(), windows.tolist())]
-    return pa.RecordBatch.from_arrays([*map(pa.array, (dealt, ids[of], th[of], a[of] + start - begin[of], windows)), pa.array(parts, pa.binary())], names=["key", "id", "th", "a", "b", "piece"])
+    many = np.diff(np.append(at, len(of)))
+    of, start, number = of[at], window[at], number[at]
+    left = anchor[of] - number * width
+    return of, start - begin[of], many, number, mix((sums[left - width + 1 + length] - sums[left]) * back[left])
+
+
+def _narrowed(key, ids, th, a, b, pieces: list[bytes], length: int) -> pa.RecordBatch:
+    """Snippets (as of `_cut`) of crowded anchors in parts: windows by their distance from the anchor, STEP at a time, dealt by
+    the bytes that all windows at these distances share."""
+    of, start, windows, number, core = _parts(b"".join(pieces), b, length, STEP)
+    dealt = mix(core + mix(key[of].view(np.uint64) + number.astype(np.uint64))).view(np.int64)
+    parts = [pieces[i][x : x + n + length - 1] for i, x, n in zip(of.tolist(), start.tolist(), windows.tolist())]
+    return _cut(dealt, ids[of], th[of], a[of] + start, windows, parts)
 
 
 def _cut_out(batches, text_at: int, length: int):
-    """The bytes of each wanted snippet, those of crowded anchors narrowed; rows have id, th and the snippets in their last
-    columns."""
+    """The bytes of each wanted snippet, those of crowded anchors narrowed, some thousand a batch, as a batch of few rows costs
+    more than they do; rows have id, th and the snippets in their last columns."""
     for batch in batches:
-        ids, ths, texts = (batch.column(i).to_pylist() for i in (batch.num_columns - 3, batch.num_columns - 2, text_at))
-        for i, th, text, own in zip(ids, ths, texts, batch.column(batch.num_columns - 1).to_pylist()):
-            raw = text.encode()
-            for crowded, made in ((False, _cut), (True, lambda part: _narrowed(part, length))):
-                some = [w for w in own if w["crowded"] == crowded]
-                for at in range(0, len(some), 4096):
-                    yield made([(w["key"], i, th, w["a"], w["b"], raw[w["a"] : w["a"] + w["b"] + length - 1]) for w in some[at : at + 4096]])
+        ids, ths = (batch.column(i).to_numpy() for i in (batch.num_columns - 3, batch.num_columns - 2))
+        texts = batch.column(text_at).cast(pa.binary()).to_pylist()
+        wanted = batch.column(batch.num_columns - 1)
+        of = np.repeat(np.arange(len(texts)), pc.list_value_length(wanted).to_numpy())
+        key, a, b, crowded = (x.to_numpy(zero_copy_only=False) for x in wanted.flatten().flatten())
+        for some, made in ((~crowded, _cut), (crowded, functools.partial(_narrowed, length=length))):
+            places = np.flatnonzero(some)
+            for at in range(0, len(places), 4096):
+                own = places[at : at + 4096]
+                pieces = [texts[i][x:y] for i, x, y in zip(of[own].tolist(), a[own].tolist(), (a[own] + b[own] + length - 1).tolist())]
+                yield made(key[own], ids[of[own]], ths[of[own]], a[own], b[own], pieces)
 
 
 def _distinct(batches, late: list):
@@ -261,6 +294,21 @@ def _distinct(batches, late: list):
     return first
 
 
+def _screened(pieces: list[bytes], windows: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(snippet, low, high): of different snippets those that may share a window with another, and which of their windows,
+    from low to before high, may be shared. Some of these are not; all that are left out are not."""
+    width, found = min(SCREEN, length), []
+    for i, j in _blocks(np.cumsum([0, *map(len, pieces)])):
+        of, start, many, number, core = _parts(b"".join(pieces[i:j]), windows[i:j], length, width)
+        found.append((of + i, start, start + many, mix(core + number.astype(np.uint64))))
+    of, low, high, core = map(np.concatenate, zip(*found))
+    order = np.argsort(core)
+    again = core[order][1:] == core[order][:-1]
+    at = np.sort(order[np.append(again, False) | np.append(False, again)])
+    head = np.append(True, of[at][1:] != of[at][:-1])[: len(at)]
+    return of[at][head], low[at][head], high[at][np.append(head[1:], True)[: len(at)]]
+
+
 def _sorted_shard(batches, length: int):
     """One shard: the ranges of its snippets that repeat an earlier window."""
     late: list[tuple] = []
@@ -273,19 +321,22 @@ def _sorted_shard(batches, length: int):
     pieces = list(first)
     ids, th, a, windows = np.array(list(first.values()), np.int64).T.copy()
     del first, late
+    own, low, high = _screened(pieces, windows, length)
+    if not len(own):
+        return
+    ids, th, a, windows = ids[own], th[own], a[own] + low, high - low
+    pieces = [pieces[i][x : y + length - 1] for i, x, y in zip(own.tolist(), low.tolist(), high.tolist())]
     begins = np.cumsum([0, *(len(p) + 1 for p in pieces)])
-    text = np.zeros(begins[-1], np.uint16)
-    for p, at in zip(pieces, begins.tolist()):
-        text[at : at + len(p)] = np.frombuffer(p, np.uint8)
-        text[at : at + len(p)] += 1
+    text = np.frombuffer(b"\0".join([*pieces, b""]), np.uint8).astype(np.uint16) + np.uint16(1)
+    text[begins[1:] - 1] = 0
     del pieces
     found_of, found_at = [], []
     size, held = 0, []
 
     def flush():
         """Of groups of equal windows, all but the earliest."""
-        at = np.concatenate(held)
-        group = np.repeat(np.arange(len(held)), [len(h) for h in held])
+        at, sizes = map(np.concatenate, zip(*held))
+        group = np.repeat(np.arange(len(sizes)), sizes)
         of = np.searchsorted(begins, at, side="right") - 1
         inside = at - begins[of] < windows[of]
         at, group, of = at[inside], group[inside], of[inside]
@@ -299,8 +350,8 @@ def _sorted_shard(batches, length: int):
         found_of.append(of[later])
         found_at.append(start[later])
 
-    for positions in induced.groups(text, length, QUEUE_MEMORY):
-        held.append(positions)
+    for positions, sizes in induced.many_groups(text, length, QUEUE_MEMORY):
+        held.append((positions, sizes))
         size += len(positions)
         if size > 1 << 20:
             flush()
@@ -336,7 +387,7 @@ def with_ranges(docs: DataFrame, length: int, id_col: str, text_col: str) -> tup
     binary = F.col(f"`{text_col}`").cast("binary")
     own = keyed.select(F.col(i).alias("id"), F.col(t).alias("th"), binary.alias("text"))
     found = own.mapInArrow(lambda b: _scanned(b, length), _SQL)
-    sorted_ = found.repartition(partitions(spark), "key").sortWithinPartitions("key", "id", "th", "a")
+    sorted_ = found.repartition(partitions(spark), "key").sortWithinPartitions("key")  # by one number, which Spark sorts by its digits
     matched = materialize(sorted_.mapInArrow(lambda b: _matched(b, length), _SQL), "snippets")
     firsts = matched.where("kind = 1")
     weight = firsts.groupBy("key").agg(F.sum(F.col("b") + length - 1).alias("n"))
@@ -360,9 +411,14 @@ def cut_ranges(text: bytes, ranges: list[dict] | None) -> tuple[bytes, int, int]
     """(what is left, bytes removed, maximal removed runs)."""
     if not ranges:
         return text, 0, 0
-    _, low, high = _merged(np.zeros(len(ranges), np.int64), np.array([r["a"] for r in ranges], np.int64), np.array([r["b"] for r in ranges], np.int64))
-    edges = [0, *np.stack([low, high], 1).ravel().tolist(), len(text)]
-    return b"".join(text[a:b] for a, b in zip(edges[::2], edges[1::2])), int((high - low).sum()), len(low)
+    runs: list[list[int]] = []
+    for a, b in sorted((r["a"], r["b"]) for r in ranges):
+        if runs and a <= runs[-1][1]:
+            runs[-1][1] = max(runs[-1][1], b)
+        else:
+            runs.append([a, b])
+    edges = [0, *(x for run in runs for x in run), len(text)]
+    return b"".join(text[a:b] for a, b in zip(edges[::2], edges[1::2])), sum(b - a for a, b in runs), len(runs)
 
 
 def whole_characters(text: bytes, ranges: list[dict]) -> list[dict]:

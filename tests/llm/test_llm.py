@@ -193,6 +193,54 @@ def test_suffix_dedup_of_texts_longer_than_a_buffer(spark, tmp_path):
     assert got == {i: (len(rows[i - 1][1]), removed, spans, hashlib.sha256(kept.encode()).hexdigest()) for i, (kept, removed, spans) in left.items()}
 
 
+def test_suffix_dedup_sorts_only_what_may_repeat(monkeypatch):
+    """Snippets with one anchor, few of which share a window: only these are sorted, and all shared windows are found; the
+    snippets of many texts are cut out in few batches."""
+    import pyarrow as pa
+
+    rng = random.Random(17)
+    noise = lambda n: "".join(rng.choices("abcdefghijklmnopqrstuvwxyz ", k=n))
+    lines = [noise(40) for _ in range(5)]
+    texts = [(noise(100) + lines[i % 5] + noise(100)).encode() for i in range(300)]
+    texts += [noise(20).encode() + texts[i][60:190] + noise(20).encode() for i in range(0, 30, 3)]
+    ends = np.cumsum([0, *map(len, texts)])
+    start, windows, anchor, _ = suffix_dedup.snippets(np.frombuffer(b"".join(texts), np.uint8), ends)
+    of = np.searchsorted(ends, start, side="right") - 1
+    wanted = [[{"key": int(k), "a": int(a - ends[i]), "b": int(n), "crowded": False} for k, a, n, o in zip(anchor.view(np.int64), start, windows, of) if o == i] for i in range(len(texts))]
+    kind = pa.list_(pa.struct([("key", pa.int64()), ("a", pa.int64()), ("b", pa.int64()), ("crowded", pa.bool_())]))
+    rows = pa.RecordBatch.from_arrays([pa.array([t.decode() for t in texts]), pa.array(range(len(texts))), pa.array([0] * len(texts)), pa.array(wanted, kind)], names=["text", "i", "t", "wanted"])
+    cut = list(suffix_dedup._cut_out([rows.slice(0, 7), rows.slice(7)], 0, 100))
+    pieces = [x for c in cut for x in zip(*(c.column(i).to_pylist() for i in (1, 3, 4, 5)))]
+    assert len(pieces) == len(start) and all(texts[i][a : a + b + 99] == piece for i, a, b, piece in pieces)
+    assert len(cut) < 10
+    sorted_bytes, plain = [], induced.sorted_suffixes
+    monkeypatch.setattr(induced, "sorted_suffixes", lambda text, *more: sorted_bytes.append(len(text)) or plain(text, *more))
+    removed = [np.zeros(len(t), bool) for t in texts]
+    for r in suffix_dedup._sorted_shard(cut, 100):
+        for i, low, high in zip(r.column(0).to_pylist(), r.column(2).to_pylist(), r.column(3).to_pylist()):
+            removed[i][low:high] = True
+    assert all((got == want).all() for got, want in zip(removed, brute_ranges(texts, 100))) and 1300 <= sum(map(sum, removed)) < 1400
+    assert 0 < sum(sorted_bytes) < sum(len(x[3]) for x in pieces) / 4
+
+
+def test_suffix_dedup_block_by_block(monkeypatch):
+    """Neither blocks of texts nor the number of rows settled at once change what is found."""
+    import pyarrow as pa
+
+    texts = [(prose(RNG.randint(0, 60)) + BASE[i % 3]).encode() for i in range(40)] + [b"", b"short"]
+    rows = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array([0] * len(texts)), pa.array(texts)], names=["id", "th", "text"])
+
+    def found(block, many):
+        monkeypatch.setattr(suffix_dedup, "BLOCK", block)
+        monkeypatch.setattr(suffix_dedup, "MANY", many)
+        scanned = pa.Table.from_batches(list(suffix_dedup._scanned([rows.slice(0, 20), rows.slice(20)], 100))).sort_by("key")
+        matched = [r for b in suffix_dedup._matched(scanned.combine_chunks().to_batches(max_chunksize=3), 100) for r in b.to_pylist()]
+        return sorted(map(str, scanned.to_pylist())), sorted(map(str, matched))
+
+    want = found(1 << 20, 1 << 20)
+    assert all(want) and all(found(*x) == want for x in ((1, 1), (500, 1), (3000, 10), (3000, 1 << 20)))
+
+
 def test_induced_sorting_finds_all_equal_strings():
     for trial in range(300):
         n, depth = RNG.randrange(1, 70), RNG.choice([1, 2, 3, 8])
